@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from quillframe.llm import exact_dedup, mixing, quality, sharding
+from quillframe.llm import bpe, exact_dedup, language_id, mixing, quality, secrets, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_bpe": bpe.op1_bpe,
         "op2_mixing": mixing.op2_mixing,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_language_id": language_id.op6_language_id,
         "op7_sharding": sharding.op7_sharding,
+        "op8_simhash": simhash.op8_simhash,
         "op9_quality_rules": quality.op9_quality_rules,
+        "op10_secret_scan": secrets.op10_secret_scan,
     }
 
 
