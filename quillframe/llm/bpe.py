@@ -34,7 +34,7 @@ from quillframe.llm.common import documents
 
 WINDOW = 32
 CHUNK_BITS = 9
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 32 << 20
 #: The published split pattern of this kind of vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -190,7 +190,15 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = default_path()
-    out = decode(encode(documents(spark, sf_dir), path), path)
+def digest(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the decoded text, of each row."""
+    out = decode(encode(docs, path), path)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(documents(spark, sf_dir), default_path())
+
+
+def stage(docs: DataFrame) -> DataFrame:
+    return digest(docs, default_path())

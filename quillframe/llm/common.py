@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +22,33 @@ def text_or_empty() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def _folder(sc: SparkContext) -> str:
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillframe-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read again from the checkpoint folder that all executors share.
 
     The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests, a
     local one is made. Spark removes the files when no plan refers to them any more.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillframe-"))
+    _folder(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """df, written once as a compressed table beside the checkpoints, for results too large for cut().
+
+    The folder is the shared one; the files stay until it is emptied.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark.sparkContext)}/quillframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fan_out(df: DataFrame) -> int:
     """Partitions for keyed Python stages: the session's shuffle partitions, which the cluster sets."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

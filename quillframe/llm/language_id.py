@@ -35,6 +35,8 @@ SAMPLE_ROWS = 48
 SAMPLE_BYTES = 400
 FOLDS = 5
 FLAG = 30
+REJECT_BITS = 7.0
+LEAST_JUDGED = 64
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -175,18 +177,26 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text has a language; texts without a letter go."""
+    """The rows of docs whose text is in a learned language, with the columns of docs.
+
+    Rejected are texts without a letter, and texts of LEAST_JUDGED bytes or more that the best
+    language needs more than REJECT_BITS bits a byte to describe: some ten standard deviations above
+    what texts in learned languages need, reached where nearly every phrase is one or two bytes.
+    """
     samples = learn(docs)
-    fields = docs.schema.names
+    names = docs.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = CrossParser(samples) if samples else None
+        at = names.index("text")
         for batch in batches:
-            table = batch.select(fields)
-            mask = batch.column(len(fields)).to_numpy(zero_copy_only=False).astype(bool)
-            if parser is None:
-                mask = np.zeros(len(mask), dtype=bool)
-            yield table.filter(pa.array(mask))
-
-    marked = docs.withColumn("__lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return marked.mapInArrow(run, docs.schema)
+            keep = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(bool)
+            data, offsets = lanes.buffers(batch.column(at))
+            for a, b in lanes.blocks(offsets):
+                size = np.diff(offsets[a : b + 1])
+                best = parser.costs(data, offsets[a : b + 1]).min(axis=1) if parser else np.full(b - a, np.inf)
+                keep[a:b] &= (best <= REJECT_BITS * size) | ((size < LEAST_JUDGED) & bool(parser))
+            yield batch.select(names).filter(pa.array(keep))
+
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return docs.select("*", lettered.alias("__lettered")).mapInArrow(run, docs.schema)

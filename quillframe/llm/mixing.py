@@ -106,7 +106,7 @@ def pieces(rows: DataFrame, sources: DataFrame, block: int = BLOCK_WORDS) -> Dat
     some = two_level_sum(some, ["sid"], "spread", ["doc_id", "tie", "size"], F.col("size"), "at")
     some = some.withColumn("block_index", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
     base = F.col("block_index") * block
-    return some.withColumns({"lo": F.greatest(F.col("at"), base) - base, "hi": F.least(F.col("at") + F.col("size"), base + block) - base}).drop("spread", "tie")
+    return some.withColumns({"lo": F.greatest(F.col("at"), base) - base, "hi": F.least(F.col("at") + F.col("size"), base + block) - base}).drop("spread")
 
 
 def mix(rows: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
@@ -124,14 +124,28 @@ def mix(rows: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 def taken(rows: DataFrame) -> DataFrame:
     """rows with source_size, target and taken, the words the mix takes of each document."""
     sources = cut(targets(rows))
-    keys = ["doc_id", "sid", "at", "size", "source_size", "target"]
+    keys = ["doc_id", "tie", "sid", "at", "size", "source_size", "target"]
     got = pieces(rows, sources).join(slots(sources), ["sid", "block_index"], "left")
     take = F.greatest(F.lit(0), F.least("hi", F.coalesce("words", F.lit(0))) - F.col("lo"))
-    got = got.groupBy(*keys).agg(F.sum(take).alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    got = got.groupBy(*keys).agg(F.sum(take).alias("taken")).select("doc_id", "tie", "size", "source_size", "target", "taken")
     s = sources.select(F.col("source").alias("__source"), "source_size", "target")
-    none = rows.where("size = 0").join(s, F.col("source").eqNullSafe(F.col("__source"))).select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    none = rows.where("size = 0").join(s, F.col("source").eqNullSafe(F.col("__source"))).select("doc_id", "tie", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return got.unionByName(none)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(sizes(documents(spark, sf_dir)))
+    return taken(sizes(documents(spark, sf_dir))).drop("tie")
+
+
+def stage(docs: DataFrame) -> DataFrame:
+    """docs as the mix has them, with the columns of docs: whole documents, repeated or left out.
+
+    A document of which the mix takes n times its size, n a fraction, stands floor(n + u) times, u
+    being a draw from 0 to 1 by hash, so each source's words come near its target in documents, too.
+    Documents without words, which no mix takes, are left out.
+    """
+    per = taken(sizes(docs)).where("size > 0").groupBy("doc_id", "tie").agg((F.sum("taken") / F.sum("size")).alias("n"))
+    per = per.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.floor(F.col("n") + F.pmod(_draw(F.lit("round"), F.col("doc_id"), F.col("tie")), F.lit(1 << 30)) / float(1 << 30)).cast("int").alias("__copies"))
+    per = per.where("__copies > 0")
+    out = docs.join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__tie")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

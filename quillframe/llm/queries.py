@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quillframe.llm import bpe, exact_dedup, language_id, mixing, quality, secrets, sharding, simhash
+from quillframe.llm import bpe, exact_dedup, language_id, mixing, quality, repeats, secrets, sharding, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_mixing": mixing.op2_mixing,
+        "op3_repeats": repeats.op3_repeats,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_language_id": language_id.op6_language_id,
         "op7_sharding": sharding.op7_sharding,
         "op8_simhash": simhash.op8_simhash,

@@ -36,6 +36,8 @@ from quillframe.llm.common import cut, documents, fan_out
 
 SHINGLE = 4
 DISTANCE = 4
+#: The pipeline's stage: five words, and a wider distance, which more near-copies of similarity 0.8 are within.
+STAGE_SHINGLE, STAGE_DISTANCE = 5, 6
 SEED = 42
 SHORT_RUN = 48
 #: Hashes whose bits are counted at a time.
@@ -172,30 +174,23 @@ def close_forest(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Star edges (a, b) of close fingerprints, of each partition; distinct has column fp."""
     masks = block_masks(distance, distinct.count())
     fp = F.col("fp")
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("k"))
-    keyed = keyed.select("k.choice", "k.bits", "fp").repartition(fan_out(distinct), "choice", "bits").sortWithinPartitions("choice", "bits")
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    keyed = distinct.select(F.explode(keys).alias("key"), "fp").repartition(fan_out(distinct), "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 3
+        key, fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
         a, b = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
         for batch in _and_end(batches):
             if batch is not None:
-                new = [batch.column(i).to_numpy() for i in range(3)]
-                held = [np.concatenate([h.astype(np.int64), n.astype(np.int64)]) for h, n in zip(held, new)]
-                if not len(held[0]):
-                    continue
-                open_run = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
-                whole = len(open_run) - int(open_run.sum())
-            else:
-                whole = len(held[0])
+                key = np.concatenate([key, batch.column(0).to_numpy()])
+                fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
+            whole = int(np.searchsorted(key, key[-1])) if batch is not None and len(key) else len(key)  # the last run may go on
             if whole:
-                choice, bits, fps = (h[:whole] for h in held)
-                change = np.append(False, (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1]))
-                x, y = links_in_runs(np.cumsum(change), fps.view(np.uint64), distance)
+                x, y = links_in_runs(key[:whole], fp[:whole], distance)
                 a, b = np.concatenate([a, x]), np.concatenate([b, y])
                 if len(a) > 1 << 20:
                     a, b = forest(a, b)
-                held = [h[whole:] for h in held]
+                key, fp = key[whole:], fp[whole:]
         a, b = forest(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -245,6 +240,6 @@ def stage(docs: DataFrame) -> DataFrame:
     Rows without a doc_id stay. Only the doc_ids that go are joined, so a table with few
     near-duplicates moves its texts at most once.
     """
-    judged = group(cut(fingerprints(docs, shingle=5)))
+    judged = group(cut(fingerprints(docs, STAGE_SHINGLE)), STAGE_DISTANCE)
     gone = cut(judged.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
