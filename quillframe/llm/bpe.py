@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import lanes
-from quillframe.llm.common import documents
+from quillframe.llm.common import arrow_bounds, documents
 
 WINDOW = 32
 CHUNK_BITS = 9
@@ -148,7 +148,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for a, b in lanes.blocks(offsets):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_encode_block(own, data, offsets[a : b + 1]), pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return arrow_bounds(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def _encode_block(own: Codec, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -181,7 +181,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts = [own.decode(np.frombuffer(x.as_buffer(), dtype="<u4")) for x in part]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 512), part, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return arrow_bounds(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
 def default_path() -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: One run of the white space that the operators' contracts name: space, tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Most rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,6 +53,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_bounds(df: DataFrame) -> DataFrame:
+    """df, after bounding the Arrow batches of its session, as batches of long texts need memory in proportion."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = re.fullmatch(r"(\d+)b?", conf.get(key))
+        if not held or not 0 < int(held[1]) <= most:
+            conf.set(key, str(most))
+    return df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fan_out(df: DataFrame) -> int:
     """Partitions for keyed Python stages: the session's shuffle partitions, which the cluster sets."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm import lanes
-from quillframe.llm.common import documents
+from quillframe.llm.common import arrow_bounds, documents
 
 LANGUAGES = 64
 SAMPLE_ROWS = 48
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
                 score = np.where(lettered, np.clip(1 - two[:, 0] / np.maximum(two[:, 1], 1e-9), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(cost.tolist(), pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "bits"])
 
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    rows = arrow_bounds(docs).select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits array<double>")
 
 
@@ -199,4 +199,4 @@ def stage(docs: DataFrame) -> DataFrame:
             yield batch.select(names).filter(pa.array(keep))
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("*", lettered.alias("__lettered")).mapInArrow(run, docs.schema)
+    return arrow_bounds(docs).select("*", lettered.alias("__lettered")).mapInArrow(run, docs.schema)

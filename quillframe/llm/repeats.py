@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import lanes
-from quillframe.llm.common import documents, fan_out, materialise
+from quillframe.llm.common import arrow_bounds, documents, fan_out, materialise, release
 
 WINDOW = 50
 GRAM = 24
@@ -124,12 +124,12 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[at], reach[np.append(at[1:] - 1, len(end) - 1)]
 
 
-FOUND = "kind int, did long, th long, lo long, len int, off int, g long"
-SENT = "bucket int, dids binary, d binary, g binary, c binary, c_low binary, lo binary, n binary, off binary"
+FOUND = "kind int, did long, th long, lo long, len int, g long"
+SENT = "bucket int, known boolean, packed binary"
 
 
 def _send(docs: DataFrame, buckets: int) -> DataFrame:
-    """Step 1: per batch and bucket the packed places of distinct contexts; d of 65535 marks a found repeat."""
+    """Step 1: per batch and bucket the packed places of distinct contexts, and the repeats known already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -142,7 +142,7 @@ def _send(docs: DataFrame, buckets: int) -> DataFrame:
                     yield _pack(contexts(data, offsets[x : y + 1]), dids[x:y], ths[x:y], buckets, turn)
                     turn += 1
 
-    return docs.select("did", "th", "text").mapInArrow(run, SENT)
+    return arrow_bounds(docs).select("did", "th", "text").mapInArrow(run, SENT)
 
 
 def _pack(c: dict[str, np.ndarray], dids: np.ndarray, ths: np.ndarray, buckets: int, turn: int) -> pa.RecordBatch:
@@ -153,70 +153,75 @@ def _pack(c: dict[str, np.ndarray], dids: np.ndarray, ths: np.ndarray, buckets:
     head = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     own_least = did == did[head][group] if len(did) else new
-    rows: dict[str, list] = {k: [] for k in ("bucket", "dids", "d", "g", "c", "c_low", "lo", "n", "off")}
-
-    def add(bucket: int, pick: np.ndarray, known: bool) -> None:
-        used, local = np.unique(c["d"][pick], return_inverse=True)
-        lo, n = c["lo"][pick], c["n"][pick]
-        if known:  # repeats that need no bucket: merged intervals per text
-            far = local.astype(np.int64) << np.int64(40)
-            o = np.argsort(far + lo)
-            s, e = merged((far + lo)[o], (far + lo + n - 1 + WINDOW)[o])
-            local, lo, n = s >> np.int64(40), s & np.int64((1 << 40) - 1), e - s
-        rows["bucket"].append(bucket)
-        rows["dids"].append(np.column_stack([dids[used], ths[used]]).astype(np.int64).tobytes())
-        rows["d"].append(local.astype(np.uint16).tobytes())
-        rows["g"].append(b"" if known else (c["g"][pick] >> np.uint64(32)).astype(np.uint32).tobytes())
-        rows["c"].append(b"" if known else (c["c"][pick] >> np.uint64(32)).astype(np.uint32).tobytes())
-        rows["c_low"].append(b"" if known else (c["c"][pick] & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-        rows["lo"].append(lo.astype(np.uint64).tobytes() if known else lo.astype(np.uint32).tobytes())
-        rows["n"].append(n.astype(np.uint32).tobytes() if known else n.astype(np.uint8).tobytes())
-        rows["off"].append(b"" if known else c["off"][pick].astype(np.uint8).tobytes())
+    rows: list[tuple[int, bool, bytes]] = []
 
     # of several places of one context in the smallest doc_id all are sent: each needs its own answer
     sent = np.flatnonzero(own_least)
     where = (c["g"][sent] % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(where, kind="stable")
+    by = np.lexsort((c["lo"][sent], c["d"][sent], where))
     sent, where = sent[by], where[by]
     edges = np.searchsorted(where, np.arange(buckets + 1))
     for k in np.flatnonzero(np.diff(edges)).tolist():
-        add(k, sent[edges[k] : edges[k + 1]], False)
+        pick = sent[edges[k] : edges[k + 1]]
+        g, wide = c["g"][pick] >> np.uint64(32), c["c"][pick] >> np.uint64(16)
+        parts = [g.astype(np.uint32), (wide >> np.uint64(16)).astype(np.uint32), wide.astype(np.uint16)]
+        lo = c["lo"][pick]
+        parts += [lo.astype(np.uint16), (lo >> 16).astype(np.uint32), c["n"][pick].astype(np.uint8), c["off"][pick].astype(np.uint8)]
+        rows.append((k, False, _packed(c["d"][pick], dids, ths, parts)))
     known = np.flatnonzero(~own_least)
-    if len(known):
-        add(int(hash((turn, int(c["g"][0]))) % buckets), known[np.argsort(c["d"][known], kind="stable")], True)
-    kinds = [pa.int32(), *[pa.binary()] * 8]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
+    if len(known):  # merged intervals per text
+        far = c["d"][known] << np.int64(40)
+        o = np.argsort(far + c["lo"][known])
+        s, e = merged((far + c["lo"][known])[o], (far + c["lo"][known] + c["n"][known] - 1 + WINDOW)[o])
+        parts = [s & np.int64((1 << 40) - 1), e - s]
+        rows.append((int(ths[0] + turn) % buckets, True, _packed(s >> np.int64(40), dids, ths, parts)))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "known", "packed"])
+
+
+def _packed(d: np.ndarray, dids: np.ndarray, ths: np.ndarray, parts: list[np.ndarray]) -> bytes:
+    """Rows sorted by text, column by column: the texts' keys and numbers of rows, then parts."""
+    used, n = np.unique(d, return_counts=True)
+    raw = b"".join(x.tobytes() for x in (dids[used], ths[used], n.astype(np.uint32), *parts))
+    return np.array([len(used), len(d), len(raw)], dtype=np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, kinds: list[type]) -> list[np.ndarray]:
+    """doc_id and text hash of each row, then its parts."""
+    texts, rows, size = np.frombuffer(blob, dtype=np.int64, count=3).tolist()
+    raw, at, out = pa.decompress(memoryview(blob)[24:], size, codec="zstd", asbytes=True), 0, []
+    for kind, count in [(np.int64, texts), (np.int64, texts), (np.uint32, texts), *((k, rows) for k in kinds)]:
+        out.append(np.frombuffer(raw, dtype=kind, count=count, offset=at))
+        at += out[-1].nbytes
+    did, th, n, *parts = out
+    return [np.repeat(did, n), np.repeat(th, n), *parts]
 
 
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """Step 2. kind 0: a found repeat (lo, len); kind 1: a context whose bytes are needed."""
-    did, th, g, c, lo, n, off = ([] for _ in range(7))
-    out = []
-    for r in pdf.itertuples():
-        who = np.frombuffer(r.dids, dtype=np.int64).reshape(-1, 2)[np.frombuffer(r.d, dtype=np.uint16)]
-        if not len(r.g):
-            out.append(pd.DataFrame({"kind": 0, "did": who[:, 0], "th": who[:, 1], "lo": np.frombuffer(r.lo, dtype=np.uint64).astype(np.int64), "len": np.frombuffer(r.n, dtype=np.uint32).astype(np.int32), "off": 0, "g": 0}))
-            continue
-        did.append(who[:, 0]), th.append(who[:, 1])
-        g.append(np.frombuffer(r.g, dtype=np.uint32))
-        c.append(np.frombuffer(r.c, dtype=np.uint32).astype(np.uint64) << np.uint64(16) | np.frombuffer(r.c_low, dtype=np.uint16))
-        lo.append(np.frombuffer(r.lo, dtype=np.uint32)), n.append(np.frombuffer(r.n, dtype=np.uint8)), off.append(np.frombuffer(r.off, dtype=np.uint8))
-    if did:
-        did, th, g, c, lo, n, off = map(np.concatenate, (did, th, g, c, lo, n, off))
+    held, out = [], []
+    for known, blob in zip(pdf["known"], pdf["packed"]):
+        if known:
+            did, th, lo, size = _unpacked(blob, [np.int64, np.int64])
+            out.append(pd.DataFrame({"kind": 0, "did": did, "th": th, "lo": lo, "len": size.astype(np.int32), "g": 0}))
+        else:
+            held.append(_unpacked(blob, [np.uint32, np.uint32, np.uint16, np.uint16, np.uint32, np.uint8, np.uint8]))
+    if held:
+        did, th, g, c, c_low, lo, lo_high, n, off = map(np.concatenate, zip(*held))
+        c = c.astype(np.uint64) << np.uint64(16) | c_low
+        lo = lo.astype(np.int64) | lo_high.astype(np.int64) << np.int64(16)
         order = np.lexsort((did, c, g))
-        did, th, g, c, lo, n, off = (x[order] for x in (did, th, g, c, lo, n, off))
+        did, th, g, c, lo, n = (x[order] for x in (did, th, g, c, lo, n))
         new_g = np.append(True, g[1:] != g[:-1])
         new_c = new_g | np.append(True, c[1:] != c[:-1])
         least = did[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
         again = did > least
-        of_g = np.cumsum(new_g) - 1
-        low = np.minimum.reduceat(did, np.flatnonzero(new_g))[of_g]
-        reps = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_g))[of_g]
-        high = np.maximum.reduceat(np.where(again, -1, did), np.flatnonzero(new_g))[of_g]
-        need = ~again & (reps > 1) & (high > low) & (new_c | (did == least))
+        heads, of_g = np.flatnonzero(new_g), np.cumsum(new_g) - 1
+        low = np.minimum.reduceat(did, heads)[of_g]
+        high = np.maximum.reduceat(np.where(again, -1, did), heads)[of_g]
+        need = ~again & (high > low)  # the gram has representatives in several documents
         bucket = np.int64(pdf["bucket"].iloc[0]) << np.int64(32)
         for kind, pick, size in ((0, again, n.astype(np.int32) - 1 + WINDOW), (1, need, n.astype(np.int32))):
-            out.append(pd.DataFrame({"kind": kind, "did": did[pick], "th": th[pick], "lo": lo[pick].astype(np.int64), "len": size[pick], "off": off[pick].astype(np.int32), "g": g[pick].astype(np.int64) | bucket}))
+            out.append(pd.DataFrame({"kind": kind, "did": did[pick], "th": th[pick], "lo": lo[pick], "len": size[pick], "g": g[pick].astype(np.int64) | bucket}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -306,10 +311,13 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """(did, th, lo, len): byte intervals of docs (did, th, text) that repeat a smaller doc_id's."""
     buckets = 4 * fan_out(docs)
     found = materialise(_send(docs, buckets).groupBy("bucket").applyInPandas(_bucket, FOUND))
+    release(docs.sparkSession)  # the places' shuffle files are the largest of this operator
     needs = found.where("kind = 1").groupBy("did", "th").agg(F.collect_set(F.struct("lo", F.col("len").alias("n"), "g")).alias("needs"))
     texts = docs.select("did", "th", "text").join(needs, ["did", "th"]).select("did", "th", "text", "needs")
     met = _cut_contexts(texts).dropDuplicates(["did", "th", "lo", "g"])
-    edges = met.groupBy(F.pmod(F.xxhash64("g"), F.lit(buckets))).applyInPandas(_edges, "did long, th long, lo long, len int")
+    edges = materialise(met.groupBy(F.pmod(F.xxhash64("g"), F.lit(buckets))).applyInPandas(_edges, "did long, th long, lo long, len int"))
+    del texts, met
+    release(docs.sparkSession)
     return found.where("kind = 0").select("did", "th", "lo", "len").unionByName(edges)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm import lanes
 from quillframe.llm.automata import Dfa
-from quillframe.llm.common import documents
+from quillframe.llm.common import arrow_bounds, documents
 
 
 class Rule(NamedTuple):
@@ -164,7 +164,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 spans += [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in x] for x in scan(data, offsets[a : b + 1], scanner)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<kind string, start long, end long>>")
+    return arrow_bounds(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<kind string, start long, end long>>")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import lanes
-from quillframe.llm.common import cut, documents, fan_out
+from quillframe.llm.common import arrow_bounds, cut, documents, fan_out
 
 SHINGLE = 4
 DISTANCE = 4
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return arrow_bounds(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def block_masks(distance: int, rows: int) -> list[int]:

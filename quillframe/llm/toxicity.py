@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import documents
+from quillframe.llm.common import arrow_bounds, documents
 from quillframe.llm.language_id import fold
 
 EXAMPLES = 2000
@@ -164,7 +164,7 @@ def score(docs: DataFrame, rows: list[tuple[int, int, float, str]]) -> DataFrame
             found = [index.score(x.as_py() or "") if index else (0.0, []) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    return arrow_bounds(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence array<long>")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
