@@ -1,11 +1,355 @@
-"""Registered queries over the driver's tables, and the SQL that checks them."""
+"""Registered queries over the driver's tables, and the SQL that checks them.
+
+Carriers: labelled documents are papers (source) with buckets (lang) and a matched flag (toxic); a
+document's lines are blocks; events are an append log; conversations are ordered blocks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillframe.functions import numeric as N
+from quillframe.functions import text as T
+from quillframe.operators import blocks as B
+from quillframe.operators import scoring as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The driver's tables, read when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a function of Tables under its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(x) -> F.Column:
+    return F.round(x, 6)
+
+
+def labelled(t: Tables) -> DataFrame:
+    return t.labels.join(t.documents.select("doc_id", "lang", "source", "n_chars"), "doc_id")
+
+
+LABELLED = "labels JOIN documents USING (doc_id)"
+
+
+@query(f"""
+WITH x AS (SELECT source, unnest(['lang', 'quality']) AS dim, unnest([lang, quality::VARCHAR]) AS value, toxic FROM {LABELLED}),
+p AS (SELECT source, dim, value, count(*) AS t, sum(toxic) AS m FROM x WHERE value IS NOT NULL GROUP BY ALL)
+SELECT dim, value, count(*) AS paper_count, sum(t)::BIGINT AS total, sum(m)::BIGINT AS matched,
+       round(sum(m) / sum(t), 6) AS rate, round(avg(m / t), 6) AS macro_rate FROM p GROUP BY dim, value""")
+def macro_micro_breakdown(t):
+    out = S.breakdown(labelled(t), "source", ["lang", "quality"], F.col("toxic") == 1)
+    return out.select("dim", "value", "paper_count", "total", "matched", r6("rate").alias("rate"), r6("macro_rate").alias("macro_rate"))
+
+
+@query(f"""
+WITH p AS (SELECT source, count(*) AS t, sum(toxic) AS m FROM {LABELLED} GROUP BY source)
+SELECT count(*) AS paper_count, sum(t)::BIGINT AS total, sum(m)::BIGINT AS matched, round(sum(m) / sum(t), 6) AS micro_rate, round(avg(m / t), 6) AS macro_rate FROM p""")
+def overall_micro_macro(t):
+    out = S.overall(labelled(t), "source", F.col("toxic") == 1)
+    return out.select("paper_count", "total", "matched", r6("micro_rate").alias("micro_rate"), r6("macro_rate").alias("macro_rate"))
+
+
+@query(f"SELECT lang, quality, count(*) AS n, sum(toxic)::BIGINT AS matched FROM {LABELLED} GROUP BY GROUPING SETS ((lang), (quality))")
+def breakdown_grouping_sets(t):
+    labelled(t).createOrReplaceTempView("qf_labelled")
+    return t.spark.sql("SELECT lang, quality, count(*) AS n, sum(toxic) AS matched FROM qf_labelled GROUP BY GROUPING SETS ((lang), (quality))")
+
+
+SCORES = f"""
+WITH g AS (SELECT source, count(*) FILTER (quality = 1) AS gt, count(*) FILTER (quality = 1 AND toxic = 1) AS hits, count(*) FILTER (toxic = 1) AS findings FROM {LABELLED} GROUP BY source),
+s AS (SELECT *, CASE WHEN gt = 0 THEN 0 ELSE hits / gt END AS recall, CASE WHEN findings = 0 THEN 0 ELSE hits / findings END AS prec FROM g),
+f AS (SELECT *, CASE WHEN prec + recall = 0 THEN 0 ELSE 2 * prec * recall / (prec + recall) END AS f1 FROM s)"""
+
+
+def scored(t):
+    q, x = F.col("quality") == 1, F.col("toxic") == 1
+    g = labelled(t).groupBy("source").agg(F.count_if(q).alias("gt"), F.count_if(q & x).alias("hits"), F.count_if(x).alias("findings"))
+    return S.per_paper_scores(g.withColumn("matched_preds", F.col("hits")))
+
+
+@query(SCORES + " SELECT source, gt, hits, findings, round(recall, 6) AS recall, round(prec, 6) AS precision, round(f1, 6) AS f1 FROM f")
+def precision_recall_f1(t):
+    return scored(t).select("source", "gt", "hits", "findings", *[r6(c).alias(c) for c in ("recall", "precision", "f1")])
+
+
+@query(SCORES + """, a AS (SELECT avg(recall) AS r, avg(prec) AS p, avg(f1) AS macro_f1, avg(hits) / avg(findings) AS msr FROM f)
+SELECT round(r, 6) AS avg_recall, round(p, 6) AS avg_precision, round(macro_f1, 6) AS macro_f1, round(msr, 6) AS match_success_rate, round(2 * p * r / (p + r), 6) AS avg_f1 FROM a""")
+def avg_vs_macro_f1(t):
+    return S.dataset_scores(scored(t)).select(*[r6(c).alias(c) for c in ("avg_recall", "avg_precision", "macro_f1", "match_success_rate", "avg_f1")])
+
+
+@query("""SELECT conv_id, turn, cum_cost FROM (SELECT conv_id, turn, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS cum_cost FROM conversations) WHERE cum_cost <= 600""")
+def char_budget_prefix(t):
+    return B.budget_prefix(t.conversations, "conv_id", "turn", F.length("text").cast("long"), 600).select("conv_id", "turn", "cum_cost")
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, sum(length(text)) OVER w AS cc, count(*) OVER w AS cp FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, coalesce(max((cc > 630 OR cp >= 5)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM c)
+SELECT conv_id, turn FROM s WHERE stopped = 0""")
+def soft_budget_prefix(t):
+    return B.soft_budget_prefix(t.conversations, "conv_id", "turn", F.length("text").cast("long"), 600, 5).select("conv_id", "turn")
+
+
+LINES = r"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM s),
+m AS (SELECT doc_id, line_no, line, lower(trim(regexp_replace(regexp_replace(trim(line, ' '), '^[#*]+\s*', ''), '\s+', ' ', 'g'), ' .·•|-–—~')) AS x FROM l),
+n AS (SELECT doc_id, line_no, line, CASE WHEN length(replace(x, ' ', '')) >= 5 THEN x ELSE '' END AS norm FROM m),
+c AS (SELECT doc_id, norm, count(*) AS n FROM n WHERE norm <> '' GROUP BY ALL),
+p AS (SELECT * FROM (SELECT doc_id, norm, n, (sum(n) OVER (PARTITION BY doc_id))::BIGINT AS n_lines FROM c) WHERE n >= 3 AND n >= 0.15 * n_lines)"""
+
+
+@query(LINES + " SELECT doc_id, norm, n, n_lines FROM p")
+def header_footer_patterns(t):
+    return B.repeated_lines(B.lines(t.documents, "doc_id", "text"), "doc_id")
+
+
+@query(LINES + """, k AS (SELECT n.*, p.norm IS NOT NULL AS pat, row_number() OVER (PARTITION BY n.doc_id, n.norm ORDER BY line_no) AS nth FROM n LEFT JOIN p USING (doc_id, norm))
+SELECT doc_id, line_no::INT AS line_no, line FROM k WHERE NOT pat OR nth = 1""")
+def strip_header_footer(t):
+    rows = B.lines(t.documents, "doc_id", "text")
+    return B.strip_repeated(rows, B.repeated_lines(rows, "doc_id"), "doc_id").select("doc_id", "line_no", "line")
+
+
+RUNS = """
+WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx FROM events),
+d AS (SELECT *, idx - row_number() OVER (PARTITION BY user_id, event_type ORDER BY idx) AS grp FROM e),
+r AS (SELECT user_id, event_type AS title, min(idx) AS start_index, max(idx) AS end_index FROM d GROUP BY user_id, event_type, grp)"""
+
+
+def event_runs(t):
+    from pyspark.sql import Window
+
+    e = t.events.select("user_id", "event_id", "event_type").withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
+    return e, B.section_runs(e, "user_id", "idx", "event_type")
+
+
+@query(RUNS + " SELECT user_id, title, start_index, end_index FROM r")
+def section_islands(t):
+    return event_runs(t)[1].select("user_id", "title", "start_index", "end_index")
+
+
+@query(RUNS + """ SELECT user_id, title, string_agg(CASE WHEN start_index = end_index THEN start_index::VARCHAR ELSE start_index || '-' || end_index END, ',' ORDER BY start_index) AS ranges FROM r GROUP BY ALL""")
+def label_ranges(t):
+    runs = event_runs(t)[1].withColumn("part", T.format_range(F.col("start_index"), F.col("end_index")))
+    return runs.groupBy("user_id", "title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_index", "part"))), lambda x: x["part"]), ",").alias("ranges"))
+
+
+@query("""SELECT user_id, event_id, coalesce(last_value(CASE WHEN event_type <> 'error' THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), 'Introduction') AS filled FROM events""")
+def forward_fill_labels(t):
+    e = t.events.withColumn("label", F.when(F.col("event_type") != "error", F.col("event_type")))
+    return B.fill_labels(e, "user_id", "event_id", "label", "Introduction").select("user_id", "event_id", "filled")
+
+
+@query("""SELECT l_orderkey, l_linenumber, unnest(generate_series(l_linenumber, l_linenumber + l_quantity::INT % 4)::INT[]) AS idx FROM lineitem""")
+def index_range_expand(t):
+    expr = F.concat_ws("-", F.col("l_linenumber") + F.col("l_quantity").cast("int") % 4, "l_linenumber")
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.explode(T.expand_ranges(F.concat(expr, F.lit(",x,"), F.col("l_linenumber").cast("string")))).alias("idx"))
+
+
+@query("""WITH h AS (SELECT ceil(p_size / 5)::INT AS bin, count(*) AS n FROM part WHERE p_size > 0 GROUP BY 1), b AS (SELECT unnest(generate_series(1, (SELECT max(bin) FROM h)))::INT AS bin)
+SELECT (bin - 1) * 5 + 1 AS low, bin * 5 AS high, coalesce(n, 0) AS n FROM b LEFT JOIN h USING (bin)""")
+def histogram_by5(t):
+    return S.histogram(t.part, "p_size", 5)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (n_chars > 0) AS readable, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean, median(n_chars) AS med FROM documents")
+def page_stats(t):
+    return t.documents.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n_chars") > 0).alias("readable"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), r6(F.avg("n_chars")).alias("mean"), F.median("n_chars").alias("med"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <= 0 THEN 'unreadable' WHEN p_size < 30 THEN 'keep' ELSE 'overlong' END AS verdict FROM part")
+def threshold_split(t):
+    return t.part.select("p_partkey", F.when(F.col("p_size") <= 0, "unreadable").when(F.col("p_size") < 30, "keep").otherwise("overlong").alias("verdict"))
+
+
+@query("""SELECT l_orderkey, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(l_quantity) END, 6) AS std, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem GROUP BY l_orderkey""")
+def alignment_stats(t):
+    return S.metric_stats(t.lineitem, ["l_orderkey"], "l_quantity").select("l_orderkey", "n", r6("mean").alias("mean"), r6("std").alias("std"), "min", "max")
+
+
+@query("""SELECT sha1('{"l_linestatus":"' || l_linestatus || '","l_returnflag":"' || l_returnflag || '"}') AS config_key, count(*) AS n, round(avg(l_discount), 6) AS mean FROM lineitem GROUP BY 1""")
+def config_group(t):
+    return t.lineitem.groupBy(N.config_key(["l_returnflag", "l_linestatus"]).alias("config_key")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("l_discount")).alias("mean"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'purchase') DESC, event_id DESC) = 1")
+def latest_record(t):
+    return S.latest(t.events, "user_id", [F.desc(F.col("event_type") == "purchase"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS last_type, arg_max(props, event_id) FILTER (value > 50) AS last_props, count(*) AS n FROM events GROUP BY user_id""")
+def resume_state(t):
+    return t.events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.max_by(F.when(F.col("value") > 50, F.col("props")), F.when(F.col("value") > 50, F.col("event_id"))).alias("last_props"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def todo_antijoin(t):
+    return t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left_anti")
+
+
+@query("""WITH a AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM a) OR (SELECT count(*) FROM a) = 0""")
+def gt_semi_join(t):
+    applied = t.labels.where("toxic = 1").select("doc_id")
+    docs = t.documents.select("doc_id", "lang")
+    return docs if applied.isEmpty() else docs.join(applied, "doc_id", "left_semi")
+
+
+@query("SELECT source, count(*) AS paper_total, count(toxic) AS paper_with_eval, sum(toxic)::BIGINT AS hits FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def optional_eval_join(t):
+    return t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("paper_total"), F.count("toxic").alias("paper_with_eval"), F.sum("toxic").alias("hits"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS pos FROM conversations)
+SELECT a.conv_id, a.pos, length(a.text) AS asked, length(b.text) AS answered FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.pos = b.pos AND a.role = 'user' AND b.role = 'assistant'""")
+def position_zip(t):
+    from pyspark.sql import Window
+
+    r = t.conversations.withColumn("pos", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("long"))
+    a = r.where("role = 'user'").select("conv_id", "pos", F.length("text").cast("long").alias("asked"))
+    return a.join(r.where("role = 'assistant'").select("conv_id", "pos", F.length("text").cast("long").alias("answered")), ["conv_id", "pos"])
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, 0 AS depth FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
+SELECT conv_id, count(*) AS nodes, max(depth) AS depth FROM t GROUP BY conv_id""")
+def reply_tree(t):
+    t.conversations.select("conv_id", "turn").createOrReplaceTempView("qf_turns")
+    return t.spark.sql("""WITH RECURSIVE t AS (SELECT conv_id, turn, 0 AS depth FROM qf_turns WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN qf_turns c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
+        SELECT conv_id, count(*) AS nodes, max(depth) AS depth FROM t GROUP BY conv_id""")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL")
+def unique_sections(t):
+    return t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
+
+
+@query("SELECT conv_id, role, min(turn) AS first_turn, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS merged FROM conversations GROUP BY conv_id, role")
+def merge_sections(t):
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return t.conversations.groupBy("conv_id", "role").agg(F.min("turn").alias("first_turn"), F.array_join(parts, "\n\n").alias("merged"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity::INT AS overall, NULL::INT AS clarity FROM lineitem")
+def score_extract(t):
+    review = F.concat(F.lit("Summary\n### Score- Overall (10): "), F.col("l_quantity").cast("int"), F.lit("\nend"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", T.score_label(review, "Overall").alias("overall"), T.score_label(review, "Clarity").alias("clarity"))
+
+
+@query("SELECT l_orderkey, count(*) AS reviewers, round(avg(least(10, l_quantity::INT)), 6) AS overall FROM lineitem GROUP BY l_orderkey")
+def score_multi_avg(t):
+    lines = F.array_join(F.collect_list(F.concat(F.lit("Overall (10)："), F.col("l_quantity").cast("int"))), "\n")
+    x = t.lineitem.groupBy("l_orderkey").agg(T.score_all(lines, "Overall", 10).alias("v")).select("l_orderkey", F.explode("v").alias("v"))
+    return x.groupBy("l_orderkey").agg(F.count("v").alias("reviewers"), r6(F.avg("v")).alias("overall"))
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '<title>((?s:.*?))</title>', 1)) AS title FROM pages")
+def tag_extract(t):
+    return t.pages.select("page_id", T.first_tag(F.col("html"), "title").alias("title"))
+
+
+@query("""WITH x AS (SELECT lang, sum(toxic)::BIGINT AS d, sum(1 - toxic)::BIGINT AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang)
+SELECT lang, d, n, round(d / (d + n), 6) AS drop_rate, round((d / sum(d) OVER () + 1e-9) / (n / sum(n) OVER () + 1e-9), 6) AS lift FROM x""")
+def drop_rate_lift(t):
+    out = S.drop_rate_lift(labelled(t), "lang", F.col("toxic") == 1)
+    return out.select("lang", "d", "n", r6("drop_rate").alias("drop_rate"), r6("lift").alias("lift"))
+
+
+@query(f"SELECT toxic, lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY toxic), 6) AS share FROM {LABELLED} GROUP BY toxic, lang")
+def bucket_counts_pct(t):
+    return S.bucket_shares(labelled(t), "toxic", "lang").select("toxic", "lang", "n", r6("share").alias("share"))
+
+
+@query("SELECT source, count(*) AS n, min(doc_id) AS first_pos FROM documents GROUP BY source ORDER BY n DESC, first_pos LIMIT 10")
+def topn_stable_ties(t):
+    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_pos")).orderBy(F.desc("n"), "first_pos").limit(10)
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_extract(t):
+    noisy = F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" -- end}"))
+    return t.events.select("event_id", F.try_variant_get(T.embedded_json(noisy), "$.k", "bigint").alias("k"))
+
+
+@query("SELECT doc_id, round(0.6 * quality + 0.4 * (1 - toxic), 6) AS reward FROM labels")
+def reward_score(t):
+    return t.labels.select("doc_id", r6(N.reward(F.col("quality"), 1 - F.col("toxic"))).alias("reward"))
+
+
+@query("""WITH a AS (SELECT event_id % 100 AS k, max(event_id) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1), b AS (SELECT event_id % 70 AS k, min(event_id) AS v FROM events WHERE event_id % 3 = 1 GROUP BY 1)
+SELECT k, v FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, v FROM b""")
+def upsert_runs(t):
+    old = t.events.where("event_id % 3 = 0").groupBy((F.col("event_id") % 100).alias("k")).agg(F.max("event_id").alias("v"))
+    new = t.events.where("event_id % 3 = 1").groupBy((F.col("event_id") % 70).alias("k")).agg(F.min("event_id").alias("v"))
+    return S.upsert(old, new, ["k"])
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS g FROM lineitem)
+SELECT l_orderkey, l_linenumber, coalesce(g, 2 * (row_number() OVER (PARTITION BY l_orderkey, g IS NULL ORDER BY l_linenumber))::INT - 1) AS fixed_id
+FROM x WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = max(l_linenumber) AND count(DISTINCT l_linenumber) = count(*))""")
+def id_repair(t):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey")
+    x = t.lineitem.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber")).alias("g"))
+    x = x.withColumn("ok", (F.count(F.lit(1)).over(w) == F.max("l_linenumber").over(w)) & (F.size(F.collect_set("l_linenumber").over(w)) == F.count(F.lit(1)).over(w))).where("ok")
+    return S.repair_ids(x, "l_orderkey", "l_linenumber", "g").select("l_orderkey", "l_linenumber", "fixed_id")
+
+
+@query("SELECT doc_id, trim(string_split(text, chr(10))[1], ' ') AS body FROM documents")
+def markers_between(t):
+    first = F.substring_index("text", "\n", 1)
+    text = F.concat(F.lit("intro ### Text ### "), first, F.lit("\n@@@ tail"))
+    return t.documents.select("doc_id", T.between_markers(F.regexp_replace(text, "\n@@@", " @@@"), "### Text ###", "@@@").alias("body"))
+
+
+@query("SELECT o_orderkey, ['Smith|' || (2000 + o_orderkey % 20), (o_orderkey % 50)::VARCHAR] AS keys FROM orders")
+def citation_match(t):
+    text = F.concat(F.lit("As Smith et al., "), (2000 + F.col("o_orderkey") % 20).cast("string"), F.lit(" and [0"), (F.col("o_orderkey") % 50).cast("string"), F.lit("] say"))
+    return t.orders.select("o_orderkey", T.citation_keys(text).alias("keys"))
+
+
+@query("SELECT conv_id, list(replace(text, 'e', 'E') ORDER BY turn) FILTER (false) IS NULL AS ok, count(*) AS n FROM conversations GROUP BY conv_id")
+def sequential_edits(t):
+    """Edits that undo themselves leave every text as it was."""
+    c = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+    edits = F.array(*[F.struct(F.lit(a).alias("find"), F.lit(b).alias("replacement")) for a, b in ((" ", "~~"), ("~~", " "))])
+    return c.select("conv_id", (B.apply_edits(F.col("texts"), edits) == F.col("texts")).alias("ok"), F.size("texts").cast("long").alias("n"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, list(text ORDER BY l_linenumber) AS ts FROM (SELECT l_orderkey, l_linenumber, repeat(l_returnflag, 500 + l_linenumber) AS text FROM lineitem) GROUP BY 1)
+SELECT l_orderkey, len(ts) AS parts, (list_sum([length(x) for x in ts]))::BIGINT AS chars FROM p""")
+def multi_review_split(t):
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.expr("repeat(l_returnflag, 500 + l_linenumber)").alias("x")))), lambda x: x["x"])
+    reviews = t.lineitem.groupBy("l_orderkey").agg(F.array_join(parts, "\n----------\n").alias("text")).select("l_orderkey", T.split_reviews(F.col("text")).alias("ts"))
+    return reviews.select("l_orderkey", F.size("ts").cast("long").alias("parts"), F.expr("aggregate(ts, 0L, (a, x) -> a + length(x))").alias("chars"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
