@@ -34,7 +34,7 @@ from quillframe.llm.common import arrow_bounds, documents
 
 WINDOW = 32
 CHUNK_BITS = 9
-TABLE_BYTES = 32 << 20
+TABLE_BYTES = 8 << 20
 #: The published split pattern of this kind of vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

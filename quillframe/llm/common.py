@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: One run of the white space that the operators' contracts name: space, tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Most rows and bytes of an Arrow batch.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 

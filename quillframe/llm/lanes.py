@@ -13,7 +13,7 @@ import pyarrow as pa
 
 LANE = 512
 #: Bytes handled at a time; a longer single text is handled alone.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -3,8 +3,8 @@
 A text's 64-bit fingerprint has a bit where more than half of its word shingles' hashes have it.
 Two fingerprints that differ in at most DISTANCE bits, cut into b blocks, agree on at least
 b - DISTANCE whole blocks; so every fingerprint is keyed by each choice of b - DISTANCE blocks, and
-close pairs meet under at least one key. b is chosen so that a key has about as many values as there
-are distinct fingerprints; any b finds the same links. Copies meet as one row, for only distinct
+close pairs meet under at least one key. b is the least number that makes keys of KEY_BITS bits or
+more; any b finds the same links, and a corpus of 10^9 distinct fingerprints would want more bits. Copies meet as one row, for only distinct
 fingerprints are keyed.
 
 Rows of one key stand together in a sorted partition and are verified there by Hamming distance:
@@ -39,7 +39,11 @@ DISTANCE = 4
 #: The pipeline's stage: five words, and a wider distance, which more near-copies of similarity 0.8 are within.
 STAGE_SHINGLE, STAGE_DISTANCE = 5, 6
 SEED = 42
+#: Least bits of a key: the fewest blocks that give as many are used, at every size of the corpus.
+KEY_BITS = 20
 SHORT_RUN = 48
+#: Links that a partition holds before it reduces them to a forest.
+HELD_LINKS = 1 << 17
 #: Hashes whose bits are counted at a time.
 CHUNK = 1 << 17
 
@@ -104,10 +108,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return arrow_bounds(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def block_masks(distance: int, rows: int) -> list[int]:
+def block_masks(distance: int, key_bits: int = KEY_BITS) -> list[int]:
     """A mask for each choice of blocks that must agree, as signed 64-bit numbers."""
-    b = distance + 2
-    while b < 16 and 64 * (b - distance) // b < np.log2(rows + 1):
+    b = distance + 1
+    while 64 * (b - distance) // b < key_bits:
         b += 1
     edges = [round(64 * i / b) for i in range(b + 1)]
     parts = [((1 << hi) - (1 << lo)) for lo, hi in zip(edges, edges[1:])]
@@ -172,7 +176,7 @@ def links_in_runs(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) ->
 
 def close_forest(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Star edges (a, b) of close fingerprints, of each partition; distinct has column fp."""
-    masks = block_masks(distance, distinct.count())
+    masks = block_masks(distance)
     fp = F.col("fp")
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     keyed = distinct.select(F.explode(keys).alias("key"), "fp").repartition(fan_out(distinct), "key").sortWithinPartitions("key")
@@ -188,7 +192,7 @@ def close_forest(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             if whole:
                 x, y = links_in_runs(key[:whole], fp[:whole], distance)
                 a, b = np.concatenate([a, x]), np.concatenate([b, y])
-                if len(a) > 1 << 20:
+                if len(a) > HELD_LINKS:
                     a, b = forest(a, b)
                 key, fp = key[whole:], fp[whole:]
         a, b = forest(a, b)
