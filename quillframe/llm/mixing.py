@@ -77,7 +77,10 @@ def permuted(index: Column, n: Column, key: list[Column]) -> Column:
 
 
 def slots(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """One row per slot of the mix: sid, slot, pass, block_index, words taken from its start, shard."""
+    """One row per slot of the mix: sid, slot, pass, block_index, words taken from its start, shard.
+
+    Spark takes the exploded rows for as few as the sources they come from, so joins name their kind.
+    """
     s = sources.where("source_size > 0").withColumns({"want": F.floor("target").cast("long"), "full": F.expr(f"source_size div {block}"), "tail": F.col("source_size") % block})
     s = s.withColumns({"blocks": F.col("full") + (F.col("tail") > 0).cast("int"), "passes": F.expr("want div source_size"), "rest": F.col("want") % F.col("source_size")})
     s = s.withColumn("n_slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block))
@@ -116,7 +119,7 @@ def mix(rows: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     lo .. lo + take of the block from that document.
     """
     sources = cut(targets(rows))
-    found = pieces(rows, sources, block).join(slots(sources, block), ["sid", "block_index"])
+    found = pieces(rows, sources, block).join(slots(sources, block).hint("merge"), ["sid", "block_index"])
     take = F.least("hi", "words") - F.col("lo")
     return found.withColumn("take", take).where("take > 0").select("shard", "sid", "slot", "pass", "block_index", "doc_id", "source", "at", "lo", "take")
 
@@ -125,7 +128,7 @@ def taken(rows: DataFrame) -> DataFrame:
     """rows with source_size, target and taken, the words the mix takes of each document."""
     sources = cut(targets(rows))
     keys = ["doc_id", "tie", "sid", "at", "size", "source_size", "target"]
-    got = pieces(rows, sources).join(slots(sources), ["sid", "block_index"], "left")
+    got = pieces(rows, sources).join(slots(sources).hint("merge"), ["sid", "block_index"], "left")
     take = F.greatest(F.lit(0), F.least("hi", F.coalesce("words", F.lit(0))) - F.col("lo"))
     got = got.groupBy(*keys).agg(F.sum(take).alias("taken")).select("doc_id", "tie", "size", "source_size", "target", "taken")
     s = sources.select(F.col("source").alias("__source"), "source_size", "target")
