@@ -43,7 +43,7 @@ REACH = WINDOW - GRAM + 1
 LAST = (1 << 63) - 1
 P = 0x9E3779B97F4A7C15 | 1
 #: Window starts hashed at a time.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 19
 
 
 def _power(n: int) -> np.uint64:
@@ -313,7 +313,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     found = materialise(_send(docs, buckets).groupBy("bucket").applyInPandas(_bucket, FOUND))
     release(docs.sparkSession)  # the places' shuffle files are the largest of this operator
     needs = found.where("kind = 1").groupBy("did", "th").agg(F.collect_set(F.struct("lo", F.col("len").alias("n"), "g")).alias("needs"))
-    texts = docs.select("did", "th", "text").join(needs, ["did", "th"]).select("did", "th", "text", "needs")
+    # a hashed side has one row a document, so whole texts pass it as a stream and are never sorted
+    texts = docs.select("did", "th", "text").join(needs.hint("shuffle_hash"), ["did", "th"]).select("did", "th", "text", "needs")
     met = _cut_contexts(texts).dropDuplicates(["did", "th", "lo", "g"])
     edges = materialise(met.groupBy(F.pmod(F.xxhash64("g"), F.lit(buckets))).applyInPandas(_edges, "did long, th long, lo long, len int"))
     del texts, met
@@ -345,7 +346,7 @@ def remove(docs: DataFrame) -> DataFrame:
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(all_spans, span), pa.array(all_kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = keyed.join(spans, ["did", "th"], "left").select("doc_id", "text", "spans")
+    joined = keyed.join(spans.hint("shuffle_hash"), ["did", "th"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start long, end long>>, kept binary")
 
 
