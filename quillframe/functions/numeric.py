@@ -43,3 +43,18 @@ def reward(precision: Column, conciseness: Column) -> Column:
 def config_key(parts: list[str]) -> Column:
     """SHA-1 of the parts as JSON with sorted keys."""
     return F.sha1(F.to_json(F.struct(*sorted(parts)), {"ignoreNullFields": "false"}))
+
+
+def finite01(x: Column) -> Column:
+    """x within 0 to 1; null for what is no finite number."""
+    v = x.try_cast("double")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
+
+
+def tokens_estimate(text: Column, per_token: float = 3.5) -> Column:
+    return F.floor(F.length(text) / per_token).cast("int")
+
+
+def completion_budget(context: Column, used: Column, spare: int, most: int, least: int = 100) -> Column:
+    return F.greatest(F.lit(least), F.least(context - used - spare, F.lit(most)))

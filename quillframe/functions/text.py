@@ -95,3 +95,37 @@ def embedded_json(text: Column) -> Column:
         tries.append(F.try_parse_json(F.when(start > 0, F.substr(cut, start))))
         cut = F.regexp_replace(cut, r"\}$", "")
     return F.coalesce(*tries)
+
+
+def paragraphs(text: Column) -> Column:
+    """Parts between blank lines, trimmed; blank ones are dropped."""
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.btrim(p, F.lit(" \n\r\t"))), lambda p: p != "")
+
+
+def keywords(text: Column) -> Column:
+    """The parts of a comma list, trimmed; blank ones are dropped."""
+    return F.filter(F.transform(F.split(text, ","), lambda k: F.trim(k)), lambda k: k != "")
+
+
+def cut_to(text: Column, most: int, mark: str = "") -> Column:
+    """The first most characters, with mark after them where something was cut."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
+
+
+def data_uri(data: Column, mime: Column) -> Column:
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.replace(F.base64(data), F.lit("\r\n"), F.lit("")))
+
+
+def widest_braces(text: Column) -> Column:
+    """The JSON value from the first brace to the last; null if there is none."""
+    return F.try_parse_json(F.nullif(F.regexp_extract(text, r"\{[\s\S]*\}", 0), F.lit("")))
+
+
+def headed_sections(text: Column) -> Column:
+    """A map of '# title' lines to the texts below them: of equal titles the last wins, text before the first is left out."""
+    parts = F.slice(F.split(F.concat(F.lit("\n"), text), r"\n#+[ \t]+"), F.lit(2), F.greatest(F.lit(0), F.size(F.split(F.concat(F.lit("\n"), text), r"\n#+[ \t]+")) - 1))
+    title = F.transform(parts, lambda p: F.trim(F.substring_index(p, "\n", 1)))
+    body = F.transform(parts, lambda p: F.btrim(F.when(F.contains(p, F.lit("\n")), F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise(""), F.lit(" \n\r\t")))
+    pairs = F.arrays_zip(title.alias("title"), body.alias("body"))
+    last = F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(title, i + 2, F.size(title)), x["title"]))
+    return F.map_from_entries(last)

@@ -11,9 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.functions import boxes as X
 from quillframe.functions import numeric as N
 from quillframe.functions import text as T
 from quillframe.operators import blocks as B
+from quillframe.operators import checks as C
+from quillframe.operators import matching as J
 from quillframe.operators import scoring as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -347,6 +350,66 @@ def multi_review_split(t):
     return reviews.select("l_orderkey", F.size("ts").cast("long").alias("parts"), F.expr("aggregate(ts, 0L, (a, x) -> a + length(x))").alias("chars"))
 
 
+@query("""WITH n AS (SELECT conv_id, turn AS edit, substr(text, 6, 15) AS needle FROM conversations),
+p AS (SELECT n.conv_id, edit, needle, c.turn AS pos, instr(c.text, needle) AS spot, c.text FROM n JOIN conversations c ON n.conv_id = c.conv_id AND needle <> '' AND instr(c.text, needle) > 0
+  QUALIFY row_number() OVER (PARTITION BY n.conv_id, edit ORDER BY c.turn) = 1)
+SELECT conv_id, edit, pos, (spot - 1)::BIGINT AS "offset", substr(text, greatest(1, spot - 120), spot - greatest(1, spot - 120)) AS before, substr(text, spot + length(needle), 120) AS after FROM p""")
+def first_offset_context(t):
+    needles = t.conversations.select("conv_id", F.col("turn").alias("edit"), F.substring("text", 6, 15).alias("needle"))
+    hits = J.first_containing(t.conversations, needles, "conv_id", "turn", "text", "needle").where("pos is not null")
+    return hits.select("conv_id", "edit", "pos", F.col("offset").cast("long").alias("offset"), "before", "after")
+
+
+@query("""WITH n AS (SELECT DISTINCT conv_id, substr(text, 1, 6) AS needle FROM conversations WHERE text <> '')
+SELECT n.conv_id, needle, min(c.turn) AS pos FROM n JOIN conversations c ON n.conv_id = c.conv_id AND contains(c.text, needle) GROUP BY ALL""")
+def containment_join(t):
+    needles = t.conversations.where("text <> ''").select("conv_id", F.substring("text", 1, 6).alias("needle")).distinct()
+    return J.first_containing(t.conversations, needles, "conv_id", "turn", "text", "needle").select("conv_id", "needle", "pos")
+
+
+@query(RUNS + """, f AS (SELECT user_id, min(start_index) AS s, arg_min(end_index, start_index) AS e FROM r WHERE contains(lower(title), 'click') GROUP BY user_id)
+SELECT user_id, idx, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx FROM events) JOIN f USING (user_id) WHERE idx BETWEEN s AND e""")
+def section_slice(t):
+    events, runs = event_runs(t)
+    return J.in_first_run(events, runs, "user_id", "idx", "Click").select("user_id", "idx", "event_id")
+
+
+@query("SELECT conv_id, count(*) AS n_errors, string_agg(role, ',' ORDER BY turn) AS kinds FROM conversations GROUP BY conv_id")
+def sft_grouping(t):
+    grouped = J.grouped_by_text(t.conversations, ["conv_id"], "turn", ["role"])
+    return grouped.select("conv_id", F.size("errors").cast("long").alias("n_errors"), F.array_join("errors.role", ",").alias("kinds"))
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT 'toxic' AS kind FROM labels WHERE toxic = 1 UNION ALL SELECT 'poor' FROM labels WHERE quality = 0) GROUP BY kind")
+def grouped_error_distribution(t):
+    kinds = F.array_compact(F.array(F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("quality") == 0, "poor")))
+    return t.labels.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+y AS (SELECT l_orderkey, i, n, CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'corruption_type' WHEN l_quantity >= 40 THEN 'difficulty' WHEN l_suppkey % 7 = 0 THEN 'location'
+  WHEN row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 5 ORDER BY i) > 1 THEN 'duplicate id' END AS fault FROM x)
+SELECT l_orderkey, CASE WHEN any_value(n) > 6 THEN 'count' ELSE arg_min(fault, i) FILTER (fault IS NOT NULL) END AS fault FROM y GROUP BY l_orderkey""")
+def edit_validator(t):
+    fields = {
+        "id": F.col("l_linenumber") % 5, "corruption_type": F.col("l_returnflag"), "difficulty": F.when(F.col("l_quantity") < 40, "easy").otherwise("odd"),
+        "location": F.when(F.col("l_suppkey") % 7 == 0, " ").otherwise("Methods"), "rationale": F.lit("r"), "error_explanation": F.lit("e"),
+        "target_find": F.lit("f"), "replacement": F.lit(""), "needs_cross_section": F.lit(True),
+    }
+    edit = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("edit")
+    orders = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", edit))).alias("e"))
+    edits = F.transform("e", lambda x: F.parse_json(x["edit"]))
+    return orders.select("l_orderkey", C.edit_fault(edits, ["A", "N"], 1, 6).alias("fault"))
+
+
+@query("""WITH b AS (SELECT p_partkey, p_size AS w, p_partkey % 7 AS l, p_partkey % 4 AS u FROM part)
+SELECT p_partkey, greatest(l, u, 24 - w, 1) <= 2 OR (l / w <= 0.1 AND u / 40 <= 0.1 AND greatest(0, 24 - w) / w <= 0.1) AS inside FROM b""")
+def bbox_containment(t):
+    outer = X.box(F.lit(0), F.lit(0), F.col("p_size"), F.lit(40))
+    inner = X.box(-(F.col("p_partkey") % 7), -(F.col("p_partkey") % 4), F.lit(24), F.lit(41))
+    return t.part.select("p_partkey", X.contains(outer, inner).alias("inside"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
