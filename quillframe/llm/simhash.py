@@ -14,6 +14,13 @@ A partition hands on a spanning forest of its links, one row per linked fingerpr
 joined by alternating large-star and small-star rounds, each cut by a checkpoint, until they no
 longer change.
 
+The pipeline's stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more. Bits of a 64-bit fingerprint cannot tell these from others, so its candidates come from a wider,
+min-wise fingerprint of BLOCKS blocks of MINIMA minima each: two texts are candidates if some block
+agrees, which at similarity 0.8 fails with probability (1 - 0.8^MINIMA)^BLOCKS, 4e-8. Every candidate
+pair is then verified on the whole shingle sets. Blocks shared by few texts give pairs; those shared
+by many are searched like long runs above, with the shingle sets in the run.
+
 Defined cases: null or empty text, or white space alone, has fingerprint zero, linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows share fingerprint and
 component; a component without any doc_id has a null component_id; empty tables give empty results;
@@ -28,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import lanes
@@ -36,8 +43,11 @@ from quillframe.llm.common import arrow_bounds, cut, documents, fan_out
 
 SHINGLE = 4
 DISTANCE = 4
-#: The pipeline's stage: five words, and a wider distance, which more near-copies of similarity 0.8 are within.
-STAGE_SHINGLE, STAGE_DISTANCE = 5, 6
+#: The pipeline's stage: five words, and the least similarity, as a fraction.
+STAGE_SHINGLE, SIMILAR = 5, (4, 5)
+BLOCKS, MINIMA = 24, 3
+#: Texts of a block up to which it gives pairs.
+FEW = 24
 SEED = 42
 #: Least bits of a key: the fewest blocks that give as many are used, at every size of the corpus.
 KEY_BITS = 20
@@ -226,7 +236,10 @@ def components(edges: DataFrame) -> DataFrame:
 def group(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """prints (doc_id, fp; computed once) with component_id, the smallest doc_id reachable."""
     first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(close_forest(first.select("fp"), distance))
+    return _named(prints, first, components(close_forest(first.select("fp"), distance)))
+
+
+def _named(prints: DataFrame, first: DataFrame, roots: DataFrame) -> DataFrame:
     placed = first.join(roots, first["fp"] == roots["a"], "left").select("fp", "first_id", F.coalesce("b", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
@@ -238,12 +251,172 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; 0 alone for a text without words."""
+    return np.unique(np.array(_hashes(text, STAGE_SHINGLE) or [0], dtype="<u8"))
+
+
+def block_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """The min-wise fingerprint of each set, a 64-bit key for each of its blocks."""
+    rng = np.random.default_rng(SEED)
+    factor, shift = rng.integers(0, 1 << 63, (2, BLOCKS * MINIMA), dtype=np.uint64)
+    flat, out = np.concatenate(sets), np.empty((len(sets), BLOCKS), dtype=np.uint64)
+    edges = np.cumsum([0, *(len(x) for x in sets[:-1])])
+    for b in range(BLOCKS):
+        key = np.full(len(sets), b, dtype=np.uint64)
+        for i in range(b * MINIMA, (b + 1) * MINIMA):
+            key = (key ^ np.minimum.reduceat(flat * (2 * factor[i] + np.uint64(1)) + shift[i], edges)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, b] = key
+    return out
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (a hash of the shingle set), text_hash, the set's size n, and its block keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = lanes.buffers(batch.column(1))
+            raw, fps, sizes, keys, sets, held = memoryview(data), [], [], [np.zeros((0, BLOCKS), dtype=np.uint64)], [], 0
+            for i in range(batch.num_rows):
+                x = shingle_set(bytes(raw[offsets[i] : offsets[i + 1]]))
+                fps.append(xxhash.xxh64_intdigest(x.tobytes(), SEED))
+                sizes.append(len(x))
+                sets.append(x)
+                held += len(x)
+                if held >= CHUNK or i == batch.num_rows - 1:
+                    keys.append(block_keys(sets))
+                    sets, held = [], 0
+            flat = pa.array(np.concatenate(keys).ravel().view(np.int64))
+            keyed = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * BLOCKS, flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), batch.column(2), pa.array(sizes, pa.int64()), keyed], ["doc_id", "fp", "text_hash", "n", "keys"])
+
+    return arrow_bounds(docs).select("doc_id", "text", _text_hash()).mapInArrow(run, "doc_id long, fp long, text_hash long, n long, keys array<long>")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of SIMILAR or more."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each key, as (key, rows without the key), from rows sorted by key."""
+    key, rows = None, []
+    for batch in batches:
+        for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != key:
+                if len(rows) > 1:
+                    yield key, rows
+                key, rows = k, []
+            rows.append(tuple(row))
+    if len(rows) > 1:
+        yield key, rows
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks with few texts the pairs (a, b) whose sizes allow SIMILAR; of others the members (key, a)."""
+    out: set[tuple] = set()
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*out)) or [(), (), ()]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "a", "b"])
+
+    for key, rows in _runs(batches):
+        if len(rows) > FEW:
+            out.update((key, fp, None) for fp, _ in rows)
+        else:
+            for (x, n), (y, m) in combinations(rows, 2):
+                if SIMILAR[1] * min(n, m) >= SIMILAR[0] * max(n, m):
+                    out.add((None, min(x, y), max(x, y)))
+        if len(out) >= CHUNK:
+            yield flush()
+    yield flush()
+
+
+def _links(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of a partition's links."""
+    a, b = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    held: list[tuple[int, int]] = []
+    for link in found:
+        held.append(link)
+        if len(held) >= HELD_LINKS:
+            a, b = forest(*(np.concatenate([x, np.array(y, dtype=np.int64)]) for x, y in zip((a, b), zip(*held))))
+            held = []
+    if held:
+        a, b = forest(*(np.concatenate([x, np.array(y, dtype=np.int64)]) for x, y in zip((a, b), zip(*held))))
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def similar_in_run(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, int]]:
+    """Links that connect the similar texts of a run (fp, set): what a search reaches leaves the rest."""
+    sets = [np.frombuffer(x, dtype="<u8") for _, x in rows]
+    sizes = np.array([len(x) for x in sets])
+    left, todo = np.arange(len(rows)), []
+    while len(left):
+        if not todo:
+            todo, left = [left[0]], left[1:]
+            if not len(left):
+                break
+        x = todo.pop()
+        n = len(sets[x])
+        near = (SIMILAR[1] * np.minimum(sizes[left], n) >= SIMILAR[0] * np.maximum(sizes[left], n))
+        for i in np.flatnonzero(near):
+            near[i] = similar(sets[x], sets[left[i]])
+        for y in left[near].tolist():
+            yield rows[x][0], rows[y][0]
+            todo.append(y)
+        left = left[~near]
+
+
+def similar_forest(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Star edges (a, b) of similar texts; first has fp, text_hash, n and keys, docs the texts."""
+    parts = fan_out(first)
+    keyed = first.select(F.explode("keys").alias("key"), "fp", "n").repartition(parts, "key").sortWithinPartitions("key")
+    found = cut(keyed.mapInArrow(_candidates, "key long, a long, b long"))
+    pairs, members = found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("key", F.col("a").alias("fp"))
+    wanted = found.select(F.explode(F.array("a", "b")).alias("fp")).where("fp is not null").distinct()
+    wanted = cut(wanted.join(first.select("fp", "text_hash"), "fp").select("text_hash").distinct())
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(x.as_py().encode()).tobytes() for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(x, SEED) for x in found], pa.uint64()).view(pa.int64()), pa.array(found, pa.binary())], ["fp", "shingles"])
+
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), _text_hash()).join(wanted, "text_hash", "left_semi").select("text")
+    sets = cut(texts.mapInArrow(sets_of, "fp long, shingles binary").dropDuplicates(["fp"]))
+    x, y = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
+
+    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c for c in batch.columns)))
+        yield from _links((a.as_py(), b.as_py()) for a, b, x, y in rows if similar(np.frombuffer(x.as_py(), dtype="<u8"), np.frombuffer(y.as_py(), dtype="<u8")))
+
+    def of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _links(link for _, rows in _runs(batches) for link in similar_in_run(rows))
+
+    few = pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(of_pairs, "a long, b long")
+    many = members.join(sets, "fp").select("key", "fp", "shingles").repartition(parts, "key").sortWithinPartitions("key")
+    return few.unionByName(many.mapInArrow(of_runs, "a long, b long"))
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id reachable by texts of similarity 0.8 or more."""
+    prints = cut(wide_fingerprints(docs))
+    first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("text_hash", "n", "keys")]))
+    return _named(prints, first, components(similar_forest(docs, first)))
+
+
 def stage(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id.
 
     Rows without a doc_id stay. Only the doc_ids that go are joined, so a table with few
     near-duplicates moves its texts at most once.
     """
-    judged = group(cut(fingerprints(docs, STAGE_SHINGLE)), STAGE_DISTANCE)
+    judged = similar_groups(docs)
     gone = cut(judged.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -214,6 +214,30 @@ def test_long_runs_link_like_pairs():
     assert sorted(zip(a, b)) == sorted(zip(x, y))
 
 
+def test_stage_links_by_similarity(spark):
+    rng = np.random.default_rng(7)
+    lines = []
+    for _ in range(30):  # a middle, and copies with 0 to 7 of 120 words changed
+        words = [f"w{k}" for k in rng.integers(0, 5000, 120)]
+        for changes in (0, 1, 2, 3, 4, 5, 6, 7):
+            copy = list(words)
+            for at in rng.choice(120, changes, replace=False):
+                copy[at] = f"x{rng.integers(0, 10**9)}"
+            lines.append(" ".join(copy))
+    middle = [f"v{k}" for k in range(100)]  # a block that many texts share
+    lines += [" ".join([*middle[:97], f"y{i}", f"y{i}", f"y{i}"]) for i in range(60)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, lines)]
+    root = np.arange(len(lines))
+    for i in range(len(lines)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    rows = [(i, x) for i, x in enumerate(lines)] + [(1000, lines[3].upper()), (1001, None), (1002, " "), (None, lines[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(r.doc_id for r in simhash.stage(docs).where("doc_id is not null").collect())
+    assert left == sorted({*root.tolist(), 1001}) and 31 < len(left) < len(lines) - 60
+
+
 def test_quality_base_columns(spark, tables):
     want = []
     for i, t in texts():
