@@ -1,9 +1,12 @@
 """Quality rules with adaptive thresholds, with DataFrame functions only.
 
 Each document gets four measures. KLL quantile sketches of the measures, built per language and
-source with map-side partial sketches and merged per language and over all rows, give quartiles;
-a group's fence is its upper quartile plus WIDE times its interquartile range, the range having a
-floor per measure so that a uniform group does not fence off ordinary text. Groups with fewer than
+source with map-side partial sketches and merged per language and over all rows, give two quantiles
+of each; a group's fence is the upper one plus a multiple of their distance, which has a floor per
+measure so that a uniform group does not fence off ordinary text. Word length and symbols take the
+quartiles. Duplicate lines and repeated words, which most texts of any group have none of, take the
+median and the 95th percentile, so that their fences follow the group's tail and, where that is
+ordinary, lie well below what the base rule takes. Groups with fewer than
 LEAST_ROWS rows use their language's fence, or the fence of all rows. Documents are joined with
 their group's fences and fail if a measure is outside.
 
@@ -20,10 +23,10 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import SPACES, WORD, cut, documents, text_or_empty
 
 LEAST_ROWS = 200
-WIDE = 6.0
-SKETCH_K = 200
-#: Measure: smallest interquartile range that counts, and whether low values fail as well.
-MEASURES = {"word_length": (0.5, True), "symbol_rate": (0.02, False), "duplicate_line_rate": (0.1, False), "repeated_word_rate": (0.04, False)}
+SKETCH_K = 800
+QUARTILES, TAIL = (0.25, 0.75, 6.0), (0.5, 0.95, 3.0)
+#: Measure: smallest distance of its two quantiles that counts, whether low values fail as well, the quantiles and the multiple.
+MEASURES = {"word_length": (0.5, True, QUARTILES), "symbol_rate": (0.02, False, QUARTILES), "duplicate_line_rate": (0.08, False, TAIL), "repeated_word_rate": (0.03, False, TAIL)}
 
 
 def base_columns(df: DataFrame) -> DataFrame:
@@ -76,10 +79,10 @@ def fences(judged: DataFrame) -> DataFrame:
     out = out.join(every.select(F.struct("rows", *MEASURES).alias("by_all")))  # one row
     use = F.when(F.col("own.rows") >= LEAST_ROWS, F.col("own")).when(F.col("by_lang.rows") >= LEAST_ROWS, F.col("by_lang")).otherwise(F.col("by_all"))
     out = out.withColumn("use", use)
-    for m, (floor, _) in MEASURES.items():
-        q1, q3 = (F.kll_sketch_get_quantile_double(F.col(f"use.{m}"), F.lit(q)) for q in (0.25, 0.75))
-        reach = F.greatest(q3 - q1, F.lit(floor)) * WIDE
-        out = out.withColumns({f"{m}_low": q1 - reach, f"{m}_high": q3 + reach})
+    for m, (floor, _, (lower, upper, wide)) in MEASURES.items():
+        a, b = (F.kll_sketch_get_quantile_double(F.col(f"use.{m}"), F.lit(q)) for q in (lower, upper))
+        reach = F.greatest(b - a, F.lit(floor)) * wide
+        out = out.withColumns({f"{m}_low": a - reach, f"{m}_high": b + reach})
     return out.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"{m}_{e}" for m in MEASURES for e in ("low", "high")])
 
 
@@ -90,7 +93,7 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = cut(rows.withColumn("base_failed", failed).withColumns(_measures()))
     out = rows.join(fences(rows), F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     inside = F.lit(True)
-    for m, (_, low) in MEASURES.items():
+    for m, (_, low, _) in MEASURES.items():
         inside = inside & F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True))
         if low:
             inside = inside & F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True))

@@ -252,6 +252,32 @@ def test_quality_base_columns(spark, tables):
     assert keyed(got, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == expect(*want)
 
 
+def test_each_quality_measure_rejects_and_follows_its_group(spark):
+    rng = np.random.default_rng(4)
+
+    def words(n, prefix="w"):
+        return [f"{prefix}{k:04d}" for k in rng.integers(0, 9999, n)]
+
+    def repeats(n):  # n of 200 words are in repeats of five
+        x = words(200 - n)
+        return " ".join(x + x[:5] * (n // 5))
+
+    def lines(same):
+        return "\n".join(" ".join(words(8)) + "\nthe same again" * (i < same) for i in range(12 - same))
+
+    odd = {1: " ".join(words(60, "w" * 20)), 2: " ".join(w + "#" for w in words(60)), 3: lines(6), 4: repeats(35)}
+    rows = [(i, x, "en", "clean") for i, x in odd.items()]
+    rows += [(100 + i, " ".join(words(100)), "en", "clean") for i in range(300)]
+    rows += [(1000 + i, (lines(6) if i % 5 == 1 else repeats(35)) if i % 5 < 3 else " ".join(words(100)), "en", "forms") for i in range(300)]
+    x = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+    assert not x.base_failed.any() and not x.kept[list(odd)].any()
+    assert x.kept[x.index >= 100].all()
+    for m, i in zip(quality.MEASURES, odd):  # each by its own measure
+        assert x.loc[i, m] > x.loc[i, f"{m}_high"]
+    for m in ("duplicate_line_rate", "repeated_word_rate"):
+        assert x.loc[100, f"{m}_high"] < x.loc[1000, f"{m}_high"]
+
+
 def test_secrets_against_a_regex_engine(spark, tables):
     kinds = [re.compile(rf"(?i:{secrets._KEY})({secrets._VALUE}+)"), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
     want = []
