@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 The examples are a bounded sample of labelled rows. Their terms are words and word beginnings; the
-terms that tell the labels apart (by a chi-square test on the sample) are the vocabulary, and all
-other words together are one more term, so that a text without telling words has neighbours too.
+terms that tell the labels apart (by a chi-square test on the sample, all that pass it) are the
+vocabulary, and all other words together are one more term, so that a text without telling words has
+neighbours too.
 Examples with equal vectors are one entry with a count per label. Entries stand in an inverted index
 whose postings are cut into blocks, each with the largest weight of every term in it; a query visits
 blocks in order of their upper bounds and stops when no bound exceeds its K-th cosine, so the
@@ -10,8 +11,8 @@ neighbours are exact. Votes are weighted by a power of the cosine, relative to t
 example stands for, which makes the score the share of toxic rows among such texts; the neighbours'
 doc_ids are returned as evidence.
 
-The model's bound: EXAMPLES rows of each label, each of at most EXAMPLE_BYTES bytes, and VOCABULARY
-terms. Every text is scored whole.
+The model's bound: EXAMPLES rows of each label, each of at most EXAMPLE_BYTES bytes, and with them
+their terms. Every text is scored whole.
 
 Defined cases: null or empty text has only the common term and a score like other texts without
 telling words; rows without label, with a null doc_id or held out are not learned from; with no
@@ -35,9 +36,8 @@ from quillframe.llm.language_id import fold
 
 EXAMPLES = 2000
 EXAMPLE_BYTES = 1 << 16
-VOCABULARY = 400
-#: Least chi-square value of a term, as such and as a share of the toxic examples.
-LEAST_CHI2, LEAST_CHI2_SHARE = 18.0, 0.02
+#: Least chi-square value of a term, at any number of examples.
+LEAST_CHI2 = 18.0
 LEAST_DOCS = 4
 BEGINNINGS = range(4, 9)
 NEIGHBOURS = 12
@@ -83,7 +83,7 @@ class Index:
             if a + b >= LEAST_DOCS and all(n):
                 both, total = a + b, n[0] + n[1]
                 chi[t] = total * (b * n[0] - a * n[1]) ** 2 / (both * (total - both) * n[0] * n[1]) if total > both else 0.0
-        best = sorted((t for t, x in chi.items() if x >= max(LEAST_CHI2, LEAST_CHI2_SHARE * n[1])), key=lambda t: (-chi[t], t))[:VOCABULARY]
+        best = sorted((t for t, x in chi.items() if x >= LEAST_CHI2), key=lambda t: (-chi[t], t))
         self.vocabulary = {t: i + 1 for i, t in enumerate(best)}  # 0 is the common term
         self.idf = np.array([COMMON_WEIGHT, *(math.log(1 + len(rows) / (df[0][t] + df[1][t])) for t in best)])
         self.memory: dict[str, tuple[int, ...]] = {}

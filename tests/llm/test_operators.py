@@ -150,6 +150,18 @@ def test_toxicity_learns_the_word(spark, tables):
     assert len(held) and ((held.doc_id % 7 == 0) == (held.predicted == 1)).mean() > 0.9 and x.score.between(0, 1).all()
 
 
+def test_toxicity_learns_many_rare_words():
+    rng = np.random.default_rng(8)
+    foul, plain = (["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(n)] for n in (500, 60))
+
+    def text(toxic):
+        return " ".join([*rng.choice(plain, 20), *(rng.choice(foul, 8, replace=False) if toxic else [])])
+
+    index = toxicity.Index([(i, i % 2, 1.0, text(i % 2)) for i in range(2 * toxicity.EXAMPLES)])  # each foul word in 1.6 % of the toxic ones
+    assert np.mean([w in index.vocabulary for w in foul]) > 0.95 and not set(plain) & set(index.vocabulary)
+    assert all((index.score(text(i % 2))[0] >= 0.5) == (i % 2) for i in range(100))
+
+
 def test_block_max_neighbours_are_exact():
     rng = np.random.default_rng(2)
     rows = [(i, int(i % 3 == 0), 1.0, " ".join(rng.choice(["foul", "nasty", "kind", "calm", "sky"], 6)) + (" vile" if i % 3 == 0 else "")) for i in range(300)]
