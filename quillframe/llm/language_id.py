@@ -8,8 +8,10 @@ language that needs fewest wins. Longest-match parsing with restart is itself de
 each automaton becomes one transition table with a flag where a phrase ends, and whole batches of
 texts run through it in lockstep.
 
-The model's bound: at most LANGUAGES languages (the most frequent), SAMPLE_ROWS rows of each with
-SAMPLE_BYTES bytes of each row. It depends on nothing else, so it does not grow with the corpus.
+The model's bound: SAMPLE_ROWS rows of each language with SAMPLE_CHARS characters of each row, from a
+hashed place in it, so that an opening which texts of several languages share is not what is learned.
+Every language that labels a text with a letter is learned, so the model grows with the languages, but
+not with the corpus.
 Every text is parsed whole, in lanes of lanes.LANE bytes; a phrase does not cross a lane's edge,
 which adds the same number of phrases for each language.
 
@@ -30,9 +32,8 @@ from pyspark.sql import functions as F
 from quillframe.llm import lanes
 from quillframe.llm.common import arrow_bounds, documents
 
-LANGUAGES = 64
 SAMPLE_ROWS = 48
-SAMPLE_BYTES = 400
+SAMPLE_CHARS = 400
 FOLDS = 5
 FLAG = 30
 REJECT_BITS = 7.0
@@ -46,15 +47,14 @@ def fold(doc_id: str = "doc_id") -> Column:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """The sample of each language, drawn by a hash of doc_id from the rows to learn from."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return {}
     span = 1 << 20
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(span, 1 + 8 * SAMPLE_ROWS * span // r["count"]))).otherwise(share)
-    some = known.withColumn("draw", F.xxhash64("doc_id")).where(F.pmod("draw", F.lit(span)) < share)
-    some = some.where(F.col("text").rlike(r"\p{L}")).select("lang", "draw", F.substring("text", 1, SAMPLE_BYTES).alias("part"))
+    share = F.least(F.lit(span), (1 + 8 * SAMPLE_ROWS * span / F.count(F.lit(1))).cast("long"))
+    shares = known.groupBy("lang").agg(share.alias("share"))
+    some = known.withColumn("draw", F.xxhash64("doc_id")).join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(span)) < F.col("share"))
+    start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    part = F.col("text").substr(start, F.lit(SAMPLE_CHARS))
+    lettered = F.when(part.rlike(r"\p{L}"), part).otherwise(F.regexp_extract("text", rf"\p{{L}}(?s:.){{0,{SAMPLE_CHARS - 1}}}", 0))
+    some = some.where(F.col("text").rlike(r"\p{L}")).select("lang", "draw", lettered.alias("part"))
     first = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "part"))).where(F.col("n") <= SAMPLE_ROWS)
     parts: dict[str, list[bytes]] = {}
     for r in first.orderBy("lang", "n").collect():

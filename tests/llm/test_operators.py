@@ -183,6 +183,24 @@ def test_language(spark, tables):
     assert set(x.index[x.held_out]) == {i for i in x.index if i == i and zlib.crc32(str(int(i)).encode()) % 5 == 0}
 
 
+def test_every_language_is_learned_and_not_its_header(spark):
+    rng = np.random.default_rng(9)
+    words = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(70)}
+    header = ("this file is given as it is and may be copied by all who keep these lines " * 6)[:400]
+    rows, n = [], 0
+    for lang, own in words.items():
+        for _ in range(8 if lang < "l60" else 6):
+            n += 1
+            rows.append((n, header + " ".join(rng.choice(own, 170)), lang))
+    rows.append((n + 1, "1 " * 600 + "only letters", "late"))
+    learned = spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 or r[2] != "late"], "doc_id long, text string, lang string")
+    samples = language_id.learn(learned)
+    assert set(words) <= set(samples) and all(re.search("[a-z]", x.decode()) for x in samples.values())
+    asked = [(i, " ".join(rng.choice(own, 20)), lang) for i, (lang, own) in enumerate(words.items())]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), samples).collect()}
+    assert all(got[i] == lang for i, _, lang in asked)
+
+
 def test_suffix_automaton_knows_all_substrings():
     step = language_id.suffix_automaton(b"abcbc")
     for a in range(5):
