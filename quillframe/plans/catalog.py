@@ -321,6 +321,16 @@ def id_repair(t):
     return S.repair_ids(x, "l_orderkey", "l_linenumber", "g").select("l_orderkey", "l_linenumber", "fixed_id")
 
 
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS g FROM lineitem),
+u AS (SELECT l_orderkey, count(*) AS n, coalesce(list(DISTINCT g) FILTER (g IS NOT NULL), []) AS used FROM x GROUP BY 1),
+f AS (SELECT l_orderkey, [v for v in range(1, n + len(used) + 1) if NOT list_contains(used, v)] AS free FROM u)
+SELECT l_orderkey, l_linenumber, coalesce(g, free[row_number() OVER (PARTITION BY l_orderkey, g IS NULL ORDER BY l_linenumber)])::INT AS fixed_id FROM x JOIN f USING (l_orderkey)""")
+def id_repair_all(t):
+    """Every order, with gaps and repeats between its line numbers."""
+    x = t.lineitem.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber")).alias("g"))
+    return S.repair_ids(x, "l_orderkey", "l_linenumber", "g").select("l_orderkey", "l_linenumber", "fixed_id")
+
+
 @query("SELECT doc_id, trim(string_split(text, chr(10))[1], ' ') AS body FROM documents")
 def markers_between(t):
     first = F.substring_index("text", "\n", 1)
