@@ -221,7 +221,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
+        state = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h"), F.bit_xor(F.xxhash64("b", "a")).alias("g")).first()
         if state == before or state["n"] == 0:
             return edges
         before = state
