@@ -1,19 +1,22 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the last WINDOW bytes cuts texts into chunks, so equal passages of different
-documents are cut alike wherever they stand. Around a cut the chunks' own encodings need not agree
-with the text's, so each join is re-encoded: the window around a cut grows to both sides until it
-ends at anchors, places where an encoding of the text must have a token's edge. An anchor is a space
-between two ASCII letters: the pre-tokeniser always ends a run of letters before the space and starts
-a run with it, whatever stands further off, so the encodings of the parts agree exactly with the
-encoding of the whole. A chunk's body, between its first and last anchor, is encoded once per task
-and found again by its bytes; so are the windows. The table of encoded chunks has a bound in bytes
-and starts afresh beyond it, which costs time and changes no result.
+documents are cut alike wherever they stand. A chunk is encoded by itself, once per task, and found
+again by its 128-bit digest. Around a cut the chunks' own encodings need not be the text's, so each
+join is re-encoded: the text is split anew from a place before the cut where its tokens must have an
+edge, and the window grows to the right until the new split has an edge where the next chunk's own
+split has one. The split pattern reads forward only, so from a common edge on both splits, and with
+them the encodings, agree exactly; a chunk without such an edge becomes part of the window. To the left
+the window begins at the last space after a character that is none, where every split has an edge, or
+at the last join's end if the chunk has no such space.
+
+The table of encoded chunks has a bound in bytes and starts afresh beyond it, which costs time and
+changes no result.
 
 The tokenizer is a byte-level BPE file of the tokenizers library; its vocabulary is turned into ranks.
 
 Defined cases: null text is empty and has no tokens; the strings of special tokens in a text are
-those tokens, as in the library's default; a text without anchors is one chunk; repeated rows give
+those tokens, as in the library's default; a text without cuts is one chunk; repeated rows give
 the same ids; decoding replaces malformed UTF-8 by U+FFFD; extra columns are not read by the query.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +38,11 @@ from quillframe.llm.common import arrow_bounds, documents
 
 WINDOW = 32
 CHUNK_BITS = 9
-TABLE_BYTES = 8 << 20
+TABLE_BYTES = 16 << 20
 #: The published split pattern of this kind of vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of a join's first window to each side, and characters beyond a match that decide on its end.
+REACH, AHEAD = 96, 3
 
 
 def _byte_letters() -> dict[str, int]:
@@ -69,8 +75,12 @@ class Codec:
             self.names[i] = token.encode()
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.marks = [t.encode() for t in self.special]
+        self.sizes = np.array([len(t) for t in self.names])
+        space = r"\p{White_Space}"
+        self.pieces = regex.compile(SPLIT.replace(r"[^\s", f"[^{space}").replace(r"\s", space).replace(r"\S", r"\P{White_Space}"))
         self.table: dict[bytes, np.ndarray] = {}
         self.held = 0
+        self.reused = self.encoded = 0  # bytes of chunks
 
     def plain(self, part: bytes) -> np.ndarray:
         """The ids of part, without reuse."""
@@ -83,16 +93,117 @@ class Codec:
             ids = self.core.encode_ordinary(text)
         return np.array(ids, dtype="<u4")
 
-    def part(self, part: bytes) -> np.ndarray:
-        ids = self.table.get(part)
+    def chunk(self, part: bytes) -> np.ndarray:
+        """The ids of a chunk by itself."""
+        key = blake2b(part, digest_size=16).digest()
+        ids = self.table.get(key)
         if ids is None:
-            ids = self.plain(part)
+            ids = np.array(self.core.encode_ordinary(part.decode()), dtype="<u4")
             if self.held > TABLE_BYTES:
                 self.table, self.held = {}, 0
-            self.table[part] = ids
-            self.held += len(part) + 4 * len(ids) + 200
+            self.table[key] = ids
+            self.held += 4 * len(ids) + 300
+            self.encoded += len(part)
+        else:
+            self.reused += len(part)
         return ids
 
+    def _edges(self, text: bytes, start: int, stop: int, most: int) -> Iterator[int]:
+        """The edges after start of a split of text from there, as far as text up to stop decides them; most is where the split's text ends."""
+        at = start
+        view = text[start:stop].decode("utf-8", errors="ignore")  # stop may lie in a character
+        sure = len(view) if stop >= most else len(view) - AHEAD
+        for m in self.pieces.finditer(view):
+            if m.end() > sure:
+                return
+            at += m.end() - m.start() if view.isascii() else len(m[0].encode())
+            yield at
+
+    def _join(self, text: bytes, start: int, cut: int, end: int) -> int | None:
+        """The first edge from cut on that the split of text from start shares with that of text[cut:end] alone."""
+        reach = REACH
+        while True:
+            stop_own, stop = min(end, cut + reach), min(len(text), cut + reach)
+            real, own = self._edges(text, start, stop, len(text)), self._edges(text, cut, stop_own, end)
+            a, b = next(real, None), cut
+            while a is not None and b is not None and a != b:
+                if a < b:
+                    a = next(real, None)
+                else:
+                    b = next(own, None)
+            if a is not None and a == b:
+                return a
+            if stop_own == end and (b is None or stop == len(text)):
+                return None
+            reach *= 4
+
+    def _before(self, text: bytes, least: int, cut: int) -> int:
+        """The last place before cut where any split has an edge, a space after a character that is none; else
+        the last edge that a split from least, itself an edge, has whatever comes after cut; else least."""
+        at = text.rfind(b" ", least + 1, cut)
+        while at > 0:
+            low = at - 1
+            while low > least and text[low] & 0xC0 == 0x80:
+                low -= 1
+            if not text[low:at].decode("utf-8", errors="replace").isspace():
+                return at
+            at = text.rfind(b" ", least + 1, at)
+        return max(self._edges(text, least, cut, len(text)), default=least)
+
+    def _window(self, text: bytes, start: int, meet: int | None) -> np.ndarray:
+        """The ids from an edge to another, or to the end. A run of spaces before meet would be split in another way if it ended the text."""
+        part = text[start:meet].decode()
+        if meet is None or not part[-1:].isspace():
+            return np.array(self.core.encode_ordinary(part), dtype="<u4")
+        edges = [start]
+        for e in self._edges(text, start, min(len(text), meet + 4 * AHEAD), len(text)):
+            if e <= meet:
+                edges.append(e)
+        return np.array([i for a, b in zip(edges, edges[1:]) for i in self.core.encode_ordinary(text[a:b].decode())], dtype="<u4")
+
+    def joined(self, text: bytes, cuts: list[int]) -> list[np.ndarray]:
+        """The ids of a text without special tokens, from those of its chunks."""
+        edges = [0, *cuts, len(text)]
+        first, done, out, k = 0, 0, [], 0  # the chunk whose encoding holds from done on begins at first
+        ids = self.chunk(text[: edges[1]])
+        while True:
+            k += 1
+            cut = edges[k]
+            tail = ids
+            if done > first:
+                tail = ids[np.searchsorted(np.cumsum(self.sizes[ids]), done - first, side="right") :]
+            if cut == len(text):
+                return [*out, tail]
+            start = self._before(text, done, cut)
+            while True:  # to the first chunk whose split agrees somewhere
+                meet = self._join(text, start, cut, edges[k + 1])
+                if meet is not None or edges[k + 1] == len(text):
+                    break
+                k += 1
+                cut = edges[k]
+            out.append(tail[: np.searchsorted(np.cumsum(self.sizes[tail]), start - done, side="right")])
+            out.append(self._window(text, start, meet))
+            if meet is None or meet == len(text):
+                return out
+            first, done = cut, meet
+            ids = self.chunk(text[cut : edges[k + 1]])
+
+    def encode(self, text: bytes, cuts: list[int]) -> bytes:
+        """The ids of a whole text, cut at the ends of characters."""
+        if not cuts:
+            return self.plain(text).tobytes()
+        if any(m in text for m in self.marks):
+            out, at = [], 0
+            for piece in map(str.encode, self.splitter.split(text.decode())):
+                if piece in self.marks:
+                    out.append(np.array([self.special[piece.decode()]], dtype="<u4"))
+                elif piece:
+                    out += self.joined(piece, [c - at for c in cuts if at < c < at + len(piece)])
+                at += len(piece)
+        else:
+            out = self.joined(text, cuts)
+        return b"".join(x.tobytes() for x in out)
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.names.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
@@ -120,24 +231,6 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((h >> np.uint32(32 - CHUNK_BITS)) == 0) + 1
 
 
-def anchors(data: np.ndarray) -> np.ndarray:
-    """Positions of spaces between two ASCII letters."""
-    low = data | 0x20
-    letter = (low >= 97) & (low <= 122)
-    at = np.flatnonzero(data == 32)
-    at = at[(at > 0) & (at < len(data) - 1)]
-    return at[letter[at - 1] & letter[at + 1]]
-
-
-def part_edges(size: int, cuts: np.ndarray, safe: np.ndarray) -> np.ndarray:
-    """Where a text of size bytes is divided: at the last anchor before and the first from each cut."""
-    if not len(safe) or not len(cuts):
-        return np.array([0, size])
-    after = np.searchsorted(safe, cuts)
-    picks = np.concatenate([safe[after[after < len(safe)]], safe[after[after > 0] - 1]])
-    return np.unique(np.concatenate([[0], picks, [size]]))
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids, the token ids as little-endian unsigned 32-bit integers in one binary."""
 
@@ -151,21 +244,24 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return arrow_bounds(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
+def whole_characters(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """cuts moved on to the next beginning of a character."""
+    for _ in range(3):
+        inside = cuts < len(data)
+        cuts = cuts + (inside & ((data[np.where(inside, cuts, 0)] & 0xC0) == 0x80))
+    return np.unique(cuts)
+
+
 def _encode_block(own: Codec, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Cuts depend on the WINDOW bytes before them; those of a text's first bytes see the text before, which changes no result."""
     base, block = int(offsets[0]), data[offsets[0] : offsets[-1]]
-    cuts, safe = chunk_ends(block), anchors(block)
     raw, at = block.tobytes(), offsets - base
-    cut_at, safe_at, out = np.searchsorted(cuts, at), np.searchsorted(safe, at), []
+    cuts = whole_characters(block, chunk_ends(block))
+    where, out = np.searchsorted(cuts, at, side="right"), []
     for i in range(len(at) - 1):
         lo, hi = int(at[i]), int(at[i + 1])
-        if lo == hi:
-            out.append(b"")
-            continue
-        inner = safe[safe_at[i] : safe_at[i + 1]] - lo
-        inner = inner[(inner > 0) & (inner < hi - lo - 1)]
-        edges = part_edges(hi - lo, cuts[cut_at[i] : cut_at[i + 1]] - lo, inner).tolist()
-        text = raw[lo:hi]
-        out.append(b"".join(own.part(text[x:y]).tobytes() for x, y in zip(edges, edges[1:])))
+        inner = cuts[where[i] : where[i + 1]] - lo
+        out.append(own.encode(raw[lo:hi], inner[inner < hi - lo].tolist()))
     return out
 
 
