@@ -3,10 +3,11 @@
 Every source's documents form one stream of words, cut into blocks of BLOCK_WORDS words; the last
 block of a source may be shorter. A source gives as many whole passes over its blocks as fit in its
 target, and the start of one more, its slots being numbered 0, 1, 2, ... A pass visits the whole
-blocks in the order of a pseudorandom permutation of their indices and the short block last. Slots
-are dealt to output shards by independent uniform draws, so each source's counts over the shards
-are one multinomial draw that adds up to its target exactly, and reruns agree. Shards then join the
-slots with the blocks' pieces of documents by block index.
+blocks in the order of a pseudorandom permutation of their indices and the short block last. Every
+output shard of SHARD_SLOTS places draws its counts of the sources from the multinomial distribution
+of the targets, by hashes, so reruns agree; the differences between the sums of these counts and the
+targets are then settled. A shard's places are its sources' next slots, and join the blocks' pieces
+of documents by block index.
 
 Defined cases: null text has no words; a null source is a source of its own, ordered last;
 documents without words are in no block and are taken 0 times; repeated rows are separate rows of
@@ -16,6 +17,8 @@ are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,8 @@ from quillframe.llm.common import WORD, cut, documents, text_or_empty, two_level
 
 BLOCK_WORDS = 512
 SHARD_SLOTS = 256
-CHUNK_SLOTS = 1024
+#: Places made in a task; numbers of a cell.
+PART_SLOTS, CELL = 1 << 16, 1024
 MOST_REPEATS = 3
 SEED = 20
 
@@ -76,24 +80,54 @@ def permuted(index: Column, n: Column, key: list[Column]) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(11)), index.cast("long"), step)
 
 
+def _drawn(s: DataFrame, total: int) -> DataFrame:
+    """One row per place of the mix, with its shard and the source it draws.
+
+    A place draws a number below the total of all sources' slots, and the source whose interval of
+    numbers has it; so a shard's counts of sources are a multinomial draw by the targets. Numbers meet
+    intervals by cells of CELL numbers, an equi-join in which no cell is larger than others.
+    """
+    cells = s.withColumn("cell", F.explode(F.expr(f"sequence(first div {CELL}, (first + n_slots - 1) div {CELL})")))
+    places = s.sparkSession.range(0, total, 1, max(1, -(-total // PART_SLOTS))).withColumn("x", F.pmod(_draw(F.lit("source"), F.col("id")), F.lit(max(1, total))))
+    places = places.select(F.expr(f"id div {SHARD_SLOTS}").alias("shard"), "id", "x", F.expr(f"x div {CELL}").alias("cell"))
+    return places.join(cells.hint("merge"), "cell").where("x >= first and x < first + n_slots").drop("cell", "x", "first")
+
+
 def slots(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """One row per slot of the mix: sid, slot, pass, block_index, words taken from its start, shard.
 
-    Spark takes the exploded rows for as few as the sources they come from, so joins name their kind.
+    A source's places number its slots in a pseudorandom order. A source that was drawn more often than
+    its target wants gives its last places, which lie in any shards, to sources drawn less often: the
+    totals are settled exactly, and only about the square root of all places change hands.
     """
+    own = ["sid", "n_slots", "want", "source_size", "full", "tail", "blocks"]
     s = sources.where("source_size > 0").withColumns({"want": F.floor("target").cast("long"), "full": F.expr(f"source_size div {block}"), "tail": F.col("source_size") % block})
     s = s.withColumns({"blocks": F.col("full") + (F.col("tail") > 0).cast("int"), "passes": F.expr("want div source_size"), "rest": F.col("want") % F.col("source_size")})
-    s = s.withColumn("n_slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block))
-    s = s.withColumn("shards", F.ceil(F.sum("n_slots").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / SHARD_SLOTS)).where("n_slots > 0")
-    s = s.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(n_slots - 1) div {CHUNK_SLOTS}")))).repartition("sid", "chunk")
-    s = s.withColumn("slot", F.explode(F.expr(f"sequence(chunk * {CHUNK_SLOTS}, least(n_slots, (chunk + 1) * {CHUNK_SLOTS}) - 1)")))
+    s = s.withColumn("n_slots", (F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / block)).cast("long")).where("n_slots > 0")
+    before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    s = cut(s.select(*own, F.coalesce(F.sum("n_slots").over(before), F.lit(0)).alias("first")))
+    total = s.agg(F.sum("n_slots")).first()[0] or 0
+    drawn = _drawn(s, total)
+    drawn = drawn.withColumn("spread", F.pmod(_draw(F.lit("order"), F.col("id")), F.lit(max(16, math.isqrt(total)))))
+    placed = cut(two_level_sum(drawn, ["sid"], "spread", ["id"], F.lit(1).cast("long"), "slot").select("shard", "slot", *own))
+
+    got = placed.groupBy("sid").agg(F.count(F.lit(1)).alias("got"))
+    settled = s.join(got.hint("merge"), "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    settled = settled.withColumns({"over": F.greatest(F.lit(0), F.col("got") - F.col("n_slots")), "under": F.greatest(F.lit(0), F.col("n_slots") - F.col("got"))})
+    settled = cut(settled.withColumns({f"{c}_from": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("over", "under")}))
+    spare = settled.where("over > 0").select("sid", "over_from")
+    spare = placed.where("slot >= n_slots").join(spare.hint("merge"), "sid").select("shard", (F.col("over_from") + F.col("slot") - F.col("n_slots")).alias("number"))
+    lacking = settled.where("under > 0").withColumn("number", F.explode(F.expr("sequence(under_from, under_from + under - 1)")))
+    lacking = lacking.select("number", (F.col("got") + F.col("number") - F.col("under_from")).alias("slot"), *own)
+    moved = spare.join(lacking.hint("merge"), "number").select("shard", "slot", *own)
+    s = placed.where("slot < n_slots").unionByName(moved)
+
     s = s.withColumns({"pass": F.expr("slot div blocks"), "turn": F.expr("slot % blocks")})
     whole = F.col("turn") < F.col("full")
     s = s.withColumn("block_index", F.when(whole, permuted(F.col("turn"), F.greatest("full", F.lit(1)), [F.col("sid"), F.col("pass")])).otherwise(F.col("full")))
     start = F.col("pass") * F.col("source_size") + F.col("turn") * block
     length = F.when(whole, F.lit(block)).otherwise(F.col("tail"))
     s = s.withColumn("words", F.least(length, F.col("want") - start).cast("long"))
-    s = s.withColumn("shard", F.pmod(_draw(F.lit("shard"), F.col("sid"), F.col("slot")), F.col("shards")))
     return s.where("words > 0").select("sid", "slot", "pass", "block_index", "words", "shard")
 
 
