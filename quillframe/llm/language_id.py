@@ -12,8 +12,10 @@ The model's bound: SAMPLE_ROWS rows of each language with SAMPLE_CHARS character
 hashed place in it, so that an opening which texts of several languages share is not what is learned.
 Every language that labels a text with a letter is learned, so the model grows with the languages, but
 not with the corpus.
-Every text is parsed whole, in lanes of lanes.LANE bytes; a phrase does not cross a lane's edge,
-which adds the same number of phrases for each language.
+Every text is parsed whole. Lanes of lanes.LANE bytes are parsed side by side, each from the
+automaton's start; then each lane's opening is parsed again from the state in which the lane before it
+ended, until both parses are in the same state, and the difference in phrases is added. So a text's
+phrases are those of one parse from its first byte to its last, wherever lanes have their edges.
 
 Defined cases: a text that is null or has no letter is und with score 0; a null doc_id is neither
 held out nor learned from; with no labelled row at all every text is und; ties go to the first
@@ -128,17 +130,41 @@ class CrossParser:
         table[:, self.pad] = np.arange(len(step)) * w
         return table.ravel()
 
+    def phrases(self, table: np.ndarray, codes: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each lane; follows says which lanes go on from the lane before them."""
+        low = (1 << FLAG) - 1
+        end, count = np.zeros(codes.shape[1], dtype=np.int32), np.ones(codes.shape[1], dtype=np.int32)
+        for c in codes:
+            end = table[end + c]
+            count += end >> FLAG
+            end &= low
+        own_end, more, todo = end.copy(), np.zeros_like(count), np.flatnonzero(follows)
+        while len(todo):  # lanes before which an end is new
+            real, fresh = end[todo - 1], np.zeros(len(todo), dtype=np.int32)
+            extra, live = np.full(len(todo), -1, dtype=np.int32), np.arange(len(todo))
+            for c in codes:
+                live = live[real[live] != fresh[live]]
+                if not len(live):
+                    break
+                code = c[todo[live]]
+                a, b = table[real[live] + code], table[fresh[live] + code]
+                extra[live] += (a >> FLAG) - (b >> FLAG)
+                real[live], fresh[live] = a & low, b & low
+            more[todo] = extra
+            new_end = np.where(real == fresh, own_end[todo], real)
+            after = todo[end[todo] != new_end] + 1
+            end[todo] = new_end
+            after = after[after < len(follows)]
+            todo = after[follows[after]]
+        return count + more
+
     def costs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits to describe each text by each language's sample, as an array (text, language)."""
         codes, rows = lanes.layout(data, offsets, self.lut, self.pad)
+        follows = np.append(False, rows[1:] == rows[:-1]) if len(rows) else np.zeros(0, dtype=bool)
         out = np.zeros((len(offsets) - 1, len(self.names)))
         for k, table in enumerate(self.tables):
-            state, phrases = np.zeros(codes.shape[1], dtype=np.int32), np.ones(codes.shape[1], dtype=np.int32)
-            for c in codes:
-                state = table[state + c]
-                phrases += state >> FLAG
-                state &= (1 << FLAG) - 1
-            out[:, k] = np.bincount(rows, weights=phrases, minlength=len(out)) * self.bits[k]
+            out[:, k] = np.bincount(rows, weights=self.phrases(table, codes, follows), minlength=len(out)) * self.bits[k]
         return out
 
 
