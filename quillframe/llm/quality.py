@@ -1,9 +1,11 @@
 """Quality rules with adaptive thresholds, with DataFrame functions only.
 
-Each document gets four measures. KLL quantile sketches of the measures, built per language and
-source with map-side partial sketches and merged per language and over all rows, give two quantiles
-of each; a group's fence is the upper one plus a multiple of their distance, which has a floor per
-measure so that a uniform group does not fence off ordinary text. Word length and symbols take the
+Each document gets four measures. Quantile sketches of the measures, counts on a fixed grid of
+logarithmic cells, are built per language and source with map-side partial counts and merged per
+language and over all rows. Counts merge exactly in any order, so reruns agree, and a quantile is
+within half a per cent of its value. Two quantiles of each are read; a group's fence is the upper
+one plus a multiple of their distance, which has a floor per measure so that a uniform group does
+not fence off ordinary text. Word length and symbols take the
 quartiles. Duplicate lines and repeated words, which most texts of any group have none of, take the
 median and the 95th percentile, so that their fences follow the group's tail and, where that is
 ordinary, lie well below what the base rule takes. Groups with fewer than
@@ -12,18 +14,21 @@ their group's fences and fail if a measure is outside.
 
 Defined cases: null or empty text has no words and fails the base rule; null language or source is
 a group of its own; repeated rows are judged alike; empty tables give empty results; extra columns
-are not read by the query and carried by stage().
+are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import SPACES, WORD, cut, documents, text_or_empty
 
 LEAST_ROWS = 200
-SKETCH_K = 800
+#: The sketches' grid: largest value of the first cell, and the growth of a cell, twice the relative error of a quantile.
+LEAST, GRID = 1e-4, 0.01
 QUARTILES, TAIL = (0.25, 0.75, 6.0), (0.5, 0.95, 3.0)
 #: Measure: smallest distance of its two quantiles that counts, whether low values fail as well, the quantiles and the multiple.
 MEASURES = {"word_length": (0.5, True, QUARTILES), "symbol_rate": (0.02, False, QUARTILES), "duplicate_line_rate": (0.08, False, TAIL), "repeated_word_rate": (0.03, False, TAIL)}
@@ -65,25 +70,49 @@ def _measures() -> dict[str, Column]:
     }
 
 
+def _cell(x: Column) -> Column:
+    """The cell of the grid that has x: 0 up to LEAST, then cells that grow by GRID."""
+    return F.when(x <= LEAST, F.lit(0)).otherwise(1 + F.floor(F.log(x / LEAST) / math.log(1 + GRID))).cast("int")
+
+
+def _middle(cell: Column) -> Column:
+    return F.when(cell == 0, F.lit(0.0)).otherwise(LEAST * F.pow(F.lit(1 + GRID), cell - 0.5))
+
+
+def sketches(judged: DataFrame) -> DataFrame:
+    """lang, source, measure, cell, n: the quantile sketch of each measure of each group, as counts of cells."""
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), _cell(F.col(m)).alias("cell")) for m in MEASURES])
+    rows = judged.where("not base_failed").select("lang", "source", F.explode(each).alias("e"))
+    return rows.groupBy("lang", "source", "e.measure", "e.cell").agg(F.count(F.lit(1)).alias("n"))
+
+
 def fences(judged: DataFrame) -> DataFrame:
     """One row per (lang, source): low and high fence of each measure.
 
-    Sketches are aggregated once per group, cut, and merged upwards from there.
+    Sketches are aggregated once per group and cut; those of languages and of all rows are merged from them.
     """
-    leaf = judged.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows"), *[F.kll_sketch_agg_double(m, SKETCH_K).alias(m) for m in MEASURES])
-    leaf = cut(leaf)
-    merged = [F.sum("rows").alias("rows"), *[F.kll_merge_agg_double(m).alias(m) for m in MEASURES]]
-    lang, every = leaf.groupBy("lang").agg(*merged), leaf.agg(*merged)
-    lang = lang.select(F.col("lang").alias("__lang"), F.struct("rows", *MEASURES).alias("by_lang"))
-    out = leaf.select("lang", "source", F.struct("rows", *MEASURES).alias("own")).join(lang, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    out = out.join(every.select(F.struct("rows", *MEASURES).alias("by_all")))  # one row
+    leaf = cut(sketches(judged))
+    null = F.lit(None).cast("string")
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), lang.alias("l"), source.alias("s")) for k, lang, source in ((1, F.col("lang"), F.col("source")), (2, F.col("lang"), null), (3, null, null))])
+    merged = leaf.select(F.explode(levels).alias("at"), "measure", "cell", "n").groupBy("at.level", "at.l", "at.s", "measure", "cell").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy("level", "l", "s", "measure")
+    merged = merged.withColumns({"upto": F.sum("n").over(of.orderBy("cell")), "rows": F.sum("n").over(of)})
+    picks = []
+    for m, (_, _, (lower, upper, _)) in MEASURES.items():
+        for end, q in (("a", lower), ("b", upper)):
+            picks.append(_middle(F.min(F.when((F.col("measure") == m) & (F.col("upto") >= q * F.col("rows")), F.col("cell")))).alias(f"{m}_{end}"))
+    level = cut(merged.groupBy("level", "l", "s").agg(F.max("rows").alias("rows"), *picks))
+    values = F.struct("rows", *[f"{m}_{end}" for m in MEASURES for end in "ab"])
+    own = level.where("level = 1").select(F.col("l").alias("__lang"), F.col("s").alias("__source"), values.alias("own"))
+    lang = level.where("level = 2").select(F.col("l").alias("__of"), values.alias("by_lang"))
+    out = own.join(lang, F.col("__lang").eqNullSafe(F.col("__of")), "left").join(level.where("level = 3").select(values.alias("by_all")))  # one row
     use = F.when(F.col("own.rows") >= LEAST_ROWS, F.col("own")).when(F.col("by_lang.rows") >= LEAST_ROWS, F.col("by_lang")).otherwise(F.col("by_all"))
     out = out.withColumn("use", use)
-    for m, (floor, _, (lower, upper, wide)) in MEASURES.items():
-        a, b = (F.kll_sketch_get_quantile_double(F.col(f"use.{m}"), F.lit(q)) for q in (lower, upper))
+    for m, (floor, _, (_, _, wide)) in MEASURES.items():
+        a, b = F.col(f"use.{m}_a"), F.col(f"use.{m}_b")
         reach = F.greatest(b - a, F.lit(floor)) * wide
         out = out.withColumns({f"{m}_low": a - reach, f"{m}_high": b + reach})
-    return out.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"{m}_{e}" for m in MEASURES for e in ("low", "high")])
+    return out.select("__lang", "__source", *[f"{m}_{e}" for m in MEASURES for e in ("low", "high")])
 
 
 def judge(docs: DataFrame) -> DataFrame:
