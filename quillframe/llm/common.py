@@ -29,15 +29,19 @@ def text_or_empty() -> Column:
 
 def _folder(sc: SparkContext) -> str:
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillframe-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillframe-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read again from the checkpoint folder that all executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests, a
-    local one is made. Spark removes the files when no plan refers to them any more.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a session on one machine, as
+    in tests, gets a local one, and any other an error. Spark removes the files when no plan refers to
+    them any more.
     """
     _folder(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
@@ -51,7 +55,17 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_folder(spark.sparkContext)}/quillframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quillframe_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that materialise() wrote and no plan reads any more; other tables stay."""
+    if path := getattr(df, "quillframe_path", None):
+        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def arrow_bounds(df: DataFrame) -> DataFrame:

@@ -188,15 +188,22 @@ FROM t
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one per group of equal texts, with the columns of docs."""
-    judged = deduplicate(digests(docs))
-    gone = cut(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("digest").alias("__gone_digest")))
-    stays = judged.where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("digest").alias("__kept_digest"))
+    """The rows of docs that stay, one per group of equal texts, with the columns of docs.
+
+    Rows are judged once. Only the keys of rows that go meet the texts, as the hashed side of a join
+    through which whole texts pass without a sort. It refuses a table with a column of its own names.
+    """
+    if clash := {"__digest", "__id", "__of"} & set(docs.columns):
+        raise ValueError(f"the input has columns {sorted(clash)}")
+    judged = cut(deduplicate(digests(docs)))
+    gone, stays = (judged.where(c).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of")) for c in ("not kept", "kept"))
     own = F.unhex(F.sha2(F.regexp_replace(text_or_empty(), SPACES, " "), 256))
+    # A lost row whose doc_id and text both equal a kept row's must not take that one along; only then are whole rows compared.
+    twins = cut(gone.join(stays, gone["__id"].eqNullSafe(stays["__id"]) & (gone["__of"] == stays["__of"]), "left_semi").distinct())
     out = docs.withColumn("__digest", own)
-    out = out.join(stays, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest")), "left_semi")
-    # A lost row whose doc_id and text both equal a kept row's passes the join; only then are whole rows compared.
-    same = gone.join(stays, F.col("__gone_id").eqNullSafe(F.col("__kept_id")) & (F.col("__gone_digest") == F.col("__kept_digest")), "left_semi")
-    if not same.isEmpty():
-        out = out.dropDuplicates(["doc_id", "__digest"])
-    return out.drop("__digest")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__of"))
+    if not twins.isEmpty():
+        gone = gone.join(twins, gone["__id"].eqNullSafe(twins["__id"]) & (gone["__of"] == twins["__of"]), "left_anti")
+        once = out.join(twins, same, "left_semi").dropDuplicates(["doc_id", "__digest"])
+        out = out.join(twins, same, "left_anti").unionByName(once)
+    return out.join(gone.distinct().hint("shuffle_hash"), same, "left_anti").drop("__digest")
