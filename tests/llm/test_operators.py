@@ -88,13 +88,31 @@ def test_bpe_equals_the_library(spark, tables):
     assert keyed(queries()["op1_bpe"](spark, tables).toPandas(), "n_tokens", "ids_sha256", "decoded_sha256") == expect(*want)
 
 
+ODD = list("ab c'strvel \n\t\r19é.,😀٣ж中ｗ\u3000\u00a0\u0301\x1c\x85 ")
+
+
 def test_joins_agree_wherever_chunks_are_cut():
     own, rng = bpe.Codec(bpe.default_path()), np.random.default_rng(1)
-    for _ in range(200):
-        text = "".join(rng.choice(list("ab c'st \n\t1é.,😀"), 80)).encode()
+    for k in range(1500):
+        n = int(rng.integers(2, 400))
+        alphabet = [ODD, list("abc"), list("中文"), list(" \n"), list("don't we'll 're  ")][k % 5]
+        text = "".join(rng.choice(alphabet, n)).encode()
         data = np.frombuffer(text, dtype=np.uint8)
-        edges = bpe.part_edges(len(text), np.sort(rng.integers(1, len(text), 4)), bpe.anchors(data))
-        assert np.concatenate([own.part(text[a:b]) for a, b in zip(edges, edges[1:])]).tolist() == own.plain(text).tolist()
+        cuts = bpe.whole_characters(data, np.sort(rng.integers(1, len(text), int(rng.integers(1, 12)))))
+        assert own.encode(text, [c for c in cuts.tolist() if c < len(text)]) == own.plain(text).tobytes(), text
+    assert own.reused > 0
+
+
+def test_long_texts_in_all_scripts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(bpe.default_path()), np.random.default_rng(4)
+    own = bpe.Codec(bpe.default_path())
+    texts = ["".join(rng.choice(ODD, 9000)), "中文字" * 4000, "word " * 5000, "x" * 9000, " " * 3000 + "y", "da" * 300 + "<|endoftext|>" + "b c" * 900, "привет мир, " * 900]
+    blob = [x.encode() for x in texts]
+    data, offsets = np.frombuffer(b"".join(blob), dtype=np.uint8), np.cumsum([0, *map(len, blob)])
+    for text, ids in zip(texts, bpe._encode_block(own, data, offsets)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_mix(spark, tables):
@@ -108,6 +126,56 @@ def test_mix(spark, tables):
     assert parts["take"].sum() == x.taken.sum()
 
 
+def plain_targets(size):
+    """Sizes by source to targets, by resharing the excess until there is none."""
+    order = sorted(size, key=lambda s: (s is None, s))
+    weight, target, open_ = {s: 1 + i % 3 for i, s in enumerate(order)}, {}, set(order)
+    left = float(sum(size.values()))
+    while open_:
+        share = {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * size[s]}
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 3.0 * size[s]
+        left -= sum(target[s] for s in over)
+        open_ -= over
+    return target
+
+
+def test_mix_targets_blocks_and_draws(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, "w " * int(rng.integers(0, 90)), None if i % 11 == 0 else f"s{int(rng.integers(0, 8)) ** 2 // 9}") for i in range(900)]
+    rows += [(2000, "w " * 7, "tiny"), (2001, "w " * 20000, "s1"), (2002, None, "void")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = mixing.sizes(docs)
+    size: dict = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+    want = plain_targets(size)
+    x = mixing.taken(sizes).toPandas()
+    names = {r[0]: r[2] for r in rows}
+    x["source"] = [names[i] for i in x.doc_id]
+    assert len(x) == len(rows) and np.allclose(x.target, [want[s] for s in x.source]) and list(x.source_size) == [size[s] for s in x.source]
+    assert (x.taken <= 3 * x["size"]).all()
+    for s, total in x.groupby("source", dropna=False).taken.sum().items():
+        assert abs(total - want[None if s != s else s]) <= 1
+    block = 8
+    slots = mixing.slots(common.cut(mixing.targets(sizes)), block).toPandas()
+    shards = slots.groupby("shard").size()
+    assert shards.max() <= mixing.SHARD_SLOTS and len(shards) == -(-len(slots) // mixing.SHARD_SLOTS)
+    sid = {s: k + 1 for k, s in enumerate(sorted(size, key=lambda s: (s is None, s)))}
+    for s, n in size.items():
+        of = slots[slots.sid == sid[s]].sort_values("slot")
+        assert list(of.slot) == list(range(len(of))) and abs(of.words.sum() - want[s]) <= 1
+        for _, p in of.groupby("pass"):  # a pass has each block once
+            assert p.block_index.is_unique and p.block_index.max() <= (n - 1) // block
+    counts = slots[slots["shard"] < shards.index.max()].pivot_table(index="shard", columns="sid", values="slot", aggfunc="count", fill_value=0)
+    share = np.array([want[s] for s in sorted(size, key=lambda s: (s is None, s)) if sid[s] in counts.columns]) / sum(want.values())
+    spread = (counts.var() / (mixing.SHARD_SLOTS * share * (1 - share)))[share > 0.02]
+    assert spread.between(0.4, 2).all()  # the variance of a multinomial draw
+
+
 def test_repeats_against_all_windows(spark, tables):
     docs = sorted(((i if i is not None else np.inf), (x or "").encode()) for i, x in texts())
     want = []
@@ -201,6 +269,26 @@ def test_every_language_is_learned_and_not_its_header(spark):
     assert all(got[i] == lang for i, _, lang in asked)
 
 
+def test_language_costs_are_of_one_parse_of_the_whole_text():
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdeé "), rng.integers(1, 9))) for _ in range(40)]
+    text = " ".join(rng.choice(words, 3000))
+    samples = {"x": " ".join(words).encode(), "y": b"abc " * 30, "z": text[500:9000].encode()}
+    parser = language_id.CrossParser(samples)
+    texts = [text.encode(), text[700:8000].encode(), b"", b"#" * 2000, ("q" + text[600:3000]).encode(), b"abc " * 700]
+    data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    want = np.zeros((len(texts), 3))
+    for k, table in enumerate(parser.tables):
+        for i, t in enumerate(texts):
+            state, phrases = 0, 1 if t else 0
+            for c in t:
+                state = int(table[state + parser.lut[c]])
+                phrases += state >> language_id.FLAG
+                state &= (1 << language_id.FLAG) - 1
+            want[i, k] = phrases * parser.bits[k]
+    assert np.allclose(parser.costs(data, offsets), want)
+
+
 def test_suffix_automaton_knows_all_substrings():
     step = language_id.suffix_automaton(b"abcbc")
     for a in range(5):
