@@ -1,6 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The examples are a bounded sample of labelled rows. Their terms are words and word beginnings; the
+The examples are a bounded sample of labelled rows. Near-copies of one label are one example that
+stands for all of them: texts that share the least of their shingles' hashes under one of COPY_KEYS
+hash functions. Otherwise the words of one text that was copied a few times would tell labels apart.
+The examples' terms are words and word beginnings; the
 terms that tell the labels apart (by a chi-square test on the sample, all that pass it) are the
 vocabulary, and all other words together are one more term, so that a text without telling words has
 neighbours too.
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import arrow_bounds, documents
 from quillframe.llm.language_id import fold
+from quillframe.llm.simhash import SEED, shingle_set
 
 EXAMPLES = 2000
 EXAMPLE_BYTES = 1 << 16
@@ -43,6 +47,7 @@ BEGINNINGS = range(4, 9)
 NEIGHBOURS = 12
 BLOCK = 32
 POWER = 12
+COPY_KEYS = 6
 COMMON_WEIGHT = 0.6
 #: Words whose terms a task remembers; beyond it the table starts afresh.
 REMEMBERED = 400_000
@@ -69,10 +74,32 @@ def examples(docs: DataFrame, labels: DataFrame) -> list[tuple[int, int, float,
     return sorted((r["doc_id"], r["toxic"], counts[r["toxic"]] / held[r["toxic"]], r["text"]) for r in rows)
 
 
+def without_copies(rows: list[tuple[int, int, float, str]]) -> list[tuple[int, int, float, str]]:
+    """rows with near-copies of one label as one row, the first of them, that stands for them all."""
+    root, first = list(range(len(rows))), {}
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, COPY_KEYS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for i, (_, label, _, text) in enumerate(rows):
+        shingles = shingle_set(text.encode())
+        for k, factor in enumerate(odd):
+            a, b = top(i), top(first.setdefault((label, k, int((shingles * factor).min())), i))
+            root[max(a, b)] = min(a, b)
+    stands: Counter = Counter()
+    for i, r in enumerate(rows):
+        stands[top(i)] += r[2]
+    return [(*rows[i][:2], stands[i], rows[i][3]) for i in sorted(stands)]
+
+
 class Index:
     """The vocabulary and the block-max inverted index of the examples."""
 
     def __init__(self, rows: list[tuple[int, int, float, str]]):
+        rows = without_copies(rows)
         bags = [Counter(TOKEN.findall(text.lower())) for *_, text in rows]
         sets = [{t for w in bag for t in terms(w)} for bag in bags]
         n = [sum(1 for r in rows if r[1] == y) for y in (0, 1)]
@@ -129,8 +156,8 @@ class Index:
         bound = w @ self.most[ids]
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable").tolist():
-            if len(best) == NEIGHBOURS and bound[b] <= best[-1][0]:
-                break
+            if len(best) == NEIGHBOURS and bound[b] < best[-1][0] - 1e-12:
+                break  # an equal bound may hold an equal entry with a smaller number
             scores = np.zeros(BLOCK)
             for t, x in zip(ids, w):
                 if (t, b) in self.postings:
