@@ -230,6 +230,39 @@ def test_toxicity_learns_many_rare_words():
     assert all((index.score(text(i % 2))[0] >= 0.5) == (i % 2) for i in range(100))
 
 
+def test_copies_of_an_example_teach_no_words():
+    rng = np.random.default_rng(3)
+    plain = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
+    rows = [(i, i % 2, 1.0, " ".join([*rng.choice(plain, 40), *(["vile"] if i % 2 else [])])) for i in range(400)]
+    once = " ".join([*rng.choice(plain, 60), "chance"])
+    rows += [(1000 + i, 1, 1.0, f"{once} end{i}") for i in range(30)]
+    index = toxicity.Index(rows)
+    assert "vile" in index.vocabulary and "chance" not in index.vocabulary
+    assert index.votes.sum() == len(rows)
+
+
+def plain_score(index, text):
+    """The vote of the nearest entries, from all cosines."""
+    key = index.key(toxicity.Counter(toxicity.TOKEN.findall(text.lower())))
+    dense = np.zeros((len(index.votes), len(index.idf)))
+    for (t, b), (at, w) in index.postings.items():
+        dense[b * toxicity.BLOCK + at, t] = w
+    ids, w = index.weights(key)
+    cosine = dense[:, ids] @ w
+    near = sorted(range(len(cosine)), key=lambda i: (-round(cosine[i], 12), i))[: toxicity.NEIGHBOURS]
+    weight = np.array([(cosine[i] / cosine[near[0]]) ** toxicity.POWER for i in near])
+    clean, foul = weight @ index.votes[near]
+    return (foul + 0.02) / (clean + foul + 0.2)
+
+
+def test_toxicity_scores_against_all_cosines(spark, tables):
+    docs, labels = common.documents(spark, tables), spark.read.parquet(f"{tables}/labels.parquet")
+    index = toxicity.Index(toxicity.examples(docs, labels))
+    got = {r.doc_id: r.score for r in queries()["op5_toxicity"](spark, tables).collect()}
+    for r in docs.where("doc_id is not null and doc_id <> 8").collect():
+        assert abs(got[r.doc_id] - plain_score(index, r.text or "")) < 1e-9
+
+
 def test_block_max_neighbours_are_exact():
     rng = np.random.default_rng(2)
     rows = [(i, int(i % 3 == 0), 1.0, " ".join(rng.choice(["foul", "nasty", "kind", "calm", "sky"], 6)) + (" vile" if i % 3 == 0 else "")) for i in range(300)]
@@ -299,6 +332,27 @@ def test_suffix_automaton_knows_all_substrings():
     assert ord("a") not in step[step[0][ord("c")]]
 
 
+def plain_jump(key, shards):
+    """The published loop of jump consistent hashing, on one key."""
+    b, j = -1, 0
+    while j < shards:
+        b, key = j, (key * 2862933555777941757 + 1) % (1 << 64)
+        j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return b
+
+
+def test_sharding_against_the_plain_loop(spark, tables):
+    from pyspark.sql import functions as F
+
+    keys = {r.doc_id: r.k % (1 << 64) for r in common.documents(spark, tables).select("doc_id", F.xxhash64("doc_id").alias("k")).collect()}
+    got = queries()["op7_sharding"](spark, tables).collect()
+    text = {r[0]: r[1] or "" for r in awkward()}
+    for r in got:
+        raw = text[r.doc_id].encode()
+        assert (r["size"], r.text_crc32, r.law) == (len(raw) + 16, zlib.crc32(raw), "key")
+        assert (r.shard, r.grown_shard) == (plain_jump(keys[r.doc_id], 40), plain_jump(keys[r.doc_id], 41))
+
+
 def test_growing_moves_rows_only_into_the_new_shard():
     keys = np.random.default_rng(0).integers(-(1 << 63), 1 << 63 - 1, 20_000)
     a, b = sharding.jump_hash(keys, 40), sharding.jump_hash(keys, 41)
@@ -310,6 +364,28 @@ def test_slots_have_no_gaps(spark, tables):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in x.groupby("shard"))
 
 
+def test_fingerprints_and_components_against_plain_ones(spark, tables):
+    import xxhash
+
+    rows = []
+    for i, t in texts():
+        words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        rows.append((i, sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))))
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(a):
+                if (rows[a][1] ^ rows[b][1]).bit_count() <= 4:
+                    root[a] = root[b] = min(root[a], root[b])
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(least.get(r, np.inf), np.inf if i is None else i)
+    want = [(i, f"{f:016x}", None if least[r] == np.inf else float(least[r])) for (i, f), r in zip(rows, root)]
+    assert keyed(queries()["op8_simhash"](spark, tables).toPandas(), "fingerprint", "component_id") == expect(*want)
+
+
 def test_simhash_links(spark, tables):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
