@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Edge punctuation of lines: fixed values.
 RESERVED = " .·•|-–—~"
+#: White space that trimming takes, beyond ASCII too: fixed values.
+BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: Ends of lines: fixed values.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{BLANK}|{BLANK}$", "")
+
+
+def split_lines(text: Column) -> Column:
+    """The lines of a text, without a last empty one; an empty text has none."""
+    parts = F.split(text, LINE_END)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
 def norm_line(line: Column) -> Column:
     """Comparable form of a line: no heading marks, single spaces, no edge punctuation, lower case;
     empty if fewer than five characters other than spaces are left."""
-    x = F.regexp_replace(F.trim(line), r"^[#*]+\s*", "")
+    x = F.regexp_replace(trimmed(line), r"(?U)^[#*]+\s*", "")
     x = F.regexp_replace(x, r"(?U)\s+", " ")
     x = F.lower(F.btrim(x, F.lit(RESERVED)))
     return F.when(F.length(F.replace(x, F.lit(" "), F.lit(""))) >= 5, x).otherwise("")
@@ -35,14 +50,16 @@ def format_range(first: Column, last: Column) -> Column:
 
 
 def citation_keys(text: Column) -> Column:
-    """Keys of 'Name et al., YYYY', 'A & B, YYYY' and '[n]' (leading zeros dropped)."""
-    name = r"\p{Lu}[\p{L}'’-]+"
-    author = F.regexp_extract_all(text, F.lit(rf"({name}) et al\.,? \(?(\d{{4}})"), F.lit(1))
-    year = F.regexp_extract_all(text, F.lit(rf"({name}) et al\.,? \(?(\d{{4}})"), F.lit(2))
-    pair = F.regexp_extract_all(text, F.lit(rf"({name}) (?:&|and) {name},? \(?(\d{{4}})"), F.lit(1))
-    pair_year = F.regexp_extract_all(text, F.lit(rf"({name}) (?:&|and) {name},? \(?(\d{{4}})"), F.lit(2))
-    number = F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda n: F.coalesce(F.nullif(F.ltrim(n, F.lit("0")), F.lit("")), F.lit("0")))
-    return F.array_distinct(F.concat(F.zip_with(author, year, lambda a, y: F.concat_ws("|", a, y)), F.zip_with(pair, pair_year, lambda a, y: F.concat_ws("|", a, y)), number))
+    """'surname|year' of 'Name et al., YYYY', then of 'A & B, YYYY' and 'A and B, YYYY' (the first name), in
+    lower case, then n of '[n]' without leading zeros; each once, in order of the text. Null has none."""
+    text, name = F.coalesce(text, F.lit("")), r"[A-Z][A-Za-z\-]+"
+
+    def named(pattern: str) -> Column:
+        who, year = (F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(k)) for k in (1, 2))
+        return F.zip_with(who, year, lambda a, y: F.concat_ws("|", F.lower(a), y))
+
+    number = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\[(\d+)\]"), F.lit(1)), lambda n: F.coalesce(F.nullif(F.ltrim(n, F.lit("0")), F.lit("")), F.lit("0")))
+    return F.array_distinct(F.concat(named(rf"\b({name})\s+et al\.,\s*(\d{{4}})"), named(rf"\b({name})\s*(?:&|and)\s*{name}\s*,\s*(\d{{4}})"), number))
 
 
 def first_tag(text: Column, tag: str) -> Column:
@@ -59,42 +76,83 @@ def drop_reasoning(text: Column) -> Column:
 
 
 def between_markers(text: Column, begin: str, end: str) -> Column:
-    after = F.when(F.contains(text, F.lit(begin)), F.expr("1")).isNotNull()
-    rest = F.substring_index(text, begin, -1)
-    return F.when(after, F.trim(F.substring_index(rest, end, 1)))
+    """What stands between the first begin and the first end after it, trimmed; empty without begin."""
+    rest = F.substr(text, F.locate(begin, text) + len(begin))
+    return F.when(F.contains(text, F.lit(begin)), trimmed(F.substring_index(rest, end, 1))).otherwise("")
+
+
+#: Headings that open a review, and a heading of one of its sections: fixed values.
+REVIEW_HEADINGS = [
+    r"(?im)^\s*(reviewer\s*\#?\s*\d+)\s*[:\-—]\s*$",
+    r"(?im)^\s*(review\s*\#?\s*\d+)\s*[:\-—]\s*$",
+    r"(?im)^\s*(meta[-\s]*review)\s*[:\-—]\s*$",
+    r"(?im)^\s*#{1,6}\s*(reviewer\s*\#?\s*\d+|review\s*\#?\s*\d+)\s*$",
+]
+SECTION_HEADING, SUMMARY_HEADING = r"(?im)^\s*#{2,6}\s*(summary|strengths|weaknesses|overall)\b", r"(?im)^\s*#{2,6}\s*summary\b"
+RULE_LINE = r"(?m)^\s*[-=_]{8,}\s*$"
 
 
 def split_reviews(text: Column, least: int = 500) -> Column:
-    """Parts between rule lines of eight or more - = or _, at least least characters each; else the text alone."""
-    parts = F.filter(F.transform(F.split(text, r"(?m)^[-=_]{8,}\s*$"), lambda p: F.btrim(p, F.lit(" \n\r\t"))), lambda p: F.length(p) >= least)
-    return F.when(F.size(parts) >= 2, parts).otherwise(F.array(F.trim(text)))
+    """The reviews of a text: parts between rule lines, else from heading to heading of the first kind of
+    heading, else from one Summary to the next, where that gives two or more of at least `least`
+    characters; else the text alone. A blank text has none."""
+    body = trimmed(F.coalesce(text, F.lit("")))
+
+    def long(parts: Column) -> Column:
+        return F.filter(F.transform(parts, trimmed), lambda p: F.length(p) >= least)
+
+    def headed(pattern: str, enough: Column | None = None) -> Column:
+        parts = F.split(F.regexp_replace(body, pattern, "\ue000$0"), "\ue000")
+        chunks = long(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
+        ok = (F.size(parts) > 2) & (F.size(chunks) >= 2)
+        return F.when(ok if enough is None else ok & enough, chunks)
+
+    ruled = long(F.split(body, RULE_LINE))
+    ways = [F.when(F.size(ruled) >= 2, ruled), *map(headed, REVIEW_HEADINGS), headed(SUMMARY_HEADING, F.regexp_count(body, F.lit(SECTION_HEADING)) >= 4)]
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.coalesce(*ways, F.array(body)))
 
 
 def safe_name(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}_.-]", "_")
 
 
-def score_label(text: Column, label: str) -> Column:
-    """The first 'Label (max): value' of a text, at a line's start or else anywhere; ASCII or wide colon."""
-    body = rf"{label}\s*\((\d+)\)\s*[:：]\s*(\d+)"
-    strict, loose = F.regexp_extract(text, rf"(?mi)^\s*{body}", 2), F.regexp_extract(text, rf"(?i){body}", 2)
+def _scores_on_lines(text: Column) -> Column:
+    """text with its scores on lines of their own, where a heading runs into the first."""
+    x = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)(###\s*Score)\s*-\s*", "$1\n- ")
+    return F.regexp_replace(x, r"(?i)(#+\s*Score)\s*:\s*", "$1:\n")
+
+
+def score_label(text: Column, label: str, most: int = 10) -> Column:
+    """The first 'Label (most): value' of a text, at a line's start or else anywhere; ASCII or wide colon; not clamped."""
+    x, body = _scores_on_lines(text), rf"{label}\s*\(\s*{most}\s*\)\s*[:：]\s*(\d+)\b"
+    strict, loose = F.regexp_extract(x, rf"(?im)^\s*(?:[-*]\s*)?{body}", 1), F.regexp_extract(x, rf"(?is)\b{body}", 1)
     return F.coalesce(F.nullif(strict, F.lit("")), F.nullif(loose, F.lit(""))).try_cast("int")
 
 
+def score_card(text: Column, labels: dict[str, int]) -> Column:
+    """parsed, a map of the labels found to their values, max, and missing, the labels that were not."""
+    found = F.array(*[F.struct(F.lit(k).alias("label"), score_label(text, k, most).alias("value")) for k, most in labels.items()])
+    parsed = F.map_from_entries(F.filter(found, lambda e: e["value"].isNotNull()))
+    missing = F.transform(F.filter(found, lambda e: e["value"].isNull()), lambda e: e["label"])
+    return F.struct(parsed.alias("parsed"), F.create_map(*[F.lit(x) for e in labels.items() for x in e]).alias("max"), missing.alias("missing"))
+
+
 def score_all(text: Column, label: str, most: int) -> Column:
-    """All values of a label, clamped to 0 .. most."""
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?i){label}\s*\(\d+\)\s*[:：]\s*(\d+)"), F.lit(1)), lambda v: F.least(F.lit(most), F.greatest(F.lit(0), v.try_cast("int"))))
+    """All values of a label in list items, clamped to 0 .. most."""
+    found = F.regexp_extract_all(_scores_on_lines(text), F.lit(rf"(?im)^\s*-\s*{label}\s*\(\s*{most}\s*\)\s*[:：]\s*(\d+)\b"), F.lit(1))
+    return F.transform(found, lambda v: F.least(F.lit(most), F.greatest(F.lit(0), v.try_cast("int"))))
 
 
 def embedded_json(text: Column) -> Column:
-    """A text's JSON value: the whole text, or the longest of its first brace to one of its last five."""
-    start = F.locate("{", text)
-    tries, cut = [F.try_parse_json(text)], text
+    """A text's JSON value: the whole text; or from its first brace to its last closing one, or to one of
+    the four further back, two characters or more apart; or the shortest braces; null if none is JSON."""
+    body = trimmed(F.coalesce(text, F.lit("")))
+    start = F.locate("{", body)
+    tries, cut = [F.try_parse_json(body)], F.regexp_extract(body, r"(?s)^(.*\})[^}]*$", 1)
     for _ in range(5):
-        cut = F.regexp_extract(cut, r"(?s)^(.*\})[^}]*$", 1)
-        tries.append(F.try_parse_json(F.when(start > 0, F.substr(cut, start))))
-        cut = F.regexp_replace(cut, r"\}$", "")
-    return F.coalesce(*tries)
+        tries.append(F.try_parse_json(F.when((start > 0) & (F.length(cut) > start), F.substr(cut, start))))
+        cut = F.regexp_extract(F.substr(cut, F.lit(1), F.greatest(F.length(cut) - 2, F.lit(0))), r"(?s)^(.*\})[^}]*$", 1)
+    return F.coalesce(*tries, F.try_parse_json(F.nullif(F.regexp_extract(body, r"(?s)\{.*?\}", 0), F.lit(""))))
 
 
 def paragraphs(text: Column) -> Column:
@@ -129,3 +187,59 @@ def headed_sections(text: Column) -> Column:
     pairs = F.arrays_zip(title.alias("title"), body.alias("body"))
     last = F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(title, i + 2, F.size(title)), x["title"]))
     return F.map_from_entries(last)
+
+
+def four_line_parts(text: Column) -> Column:
+    """Parts between runs of four line ends, trimmed, without blank ones; the trimmed text if all are blank."""
+    parts = F.filter(F.transform(F.split(text, "\n\n\n\n"), trimmed), lambda p: p != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(trimmed(text)))
+
+
+def flat_name(text: Column) -> Column:
+    """As safe_name, without points."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}_-]", "_")
+
+
+def squeezed_name(text: Column) -> Column:
+    """ASCII letters, digits, lines and dashes; each run of others one line."""
+    return F.regexp_replace(text, r"[^0-9A-Za-z_-]+", "_")
+
+
+def safe_title(text: Column, most: int = 160) -> Column:
+    """A title as a file's name, at most so many characters; blank is no_title."""
+    x = F.regexp_replace(F.regexp_replace(trimmed(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_. -]", "_"), " ", "_")
+    return F.substring(F.when(x == "", "no_title").otherwise(x), 1, most)
+
+
+def model_tag(name: Column) -> Column:
+    return F.replace(F.coalesce(name, F.lit("")), F.lit("/"), F.lit("_"))
+
+
+def safe_string(text: Column, default: str = "") -> Column:
+    return F.coalesce(F.nullif(trimmed(text), F.lit("")), F.lit(default))
+
+
+def image_mime(data: Column) -> Column:
+    """The type of an image by the first characters of its base64 text; PNG if unknown."""
+    return F.when(data.startswith("/9j/"), "image/jpeg").when(data.startswith("R0lGOD"), "image/gif").otherwise("image/png")
+
+
+def fetchable(url: Column) -> Column:
+    return F.coalesce(url.startswith("http") | url.startswith("data:"), F.lit(False))
+
+
+def event_content(line: Column) -> Column:
+    """The text that a line of an event stream adds; empty for its end and for what is no such line."""
+    body = trimmed(F.regexp_replace(line, "^data: ", ""))
+    return F.coalesce(F.try_variant_get(F.try_parse_json(body), "$.choices[0].delta.content", "string"), F.lit(""))
+
+
+def event_line(content: Column) -> Column:
+    """A line of an event stream that adds content."""
+    choice = F.struct(F.struct(content.alias("content")).alias("delta"))
+    return F.concat(F.lit("data: "), F.to_json(F.struct(F.lit("chat.completion.chunk").alias("object"), F.array(choice).alias("choices"))), F.lit("\n\n"))
+
+
+def rejoined_answer(text: Column) -> Column:
+    """An answer as a stream of its paragraphs gives it: what stands between blank lines, with nothing between."""
+    return F.array_join(F.split(text, "\n\n"), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import norm_line
+from quillframe.functions.text import norm_line, split_lines, trimmed
 
 
 def _running(key: str, pos: str) -> Window:
@@ -17,11 +17,13 @@ def budget_prefix(df: DataFrame, key: str, pos: str, cost: Column, budget: int)
     return df.withColumn("cum_cost", F.sum(cost).over(_running(key, pos))).where(F.col("cum_cost") <= budget)
 
 
-def soft_budget_prefix(df: DataFrame, key: str, pos: str, cost: Column, budget: int, most: int) -> DataFrame:
-    """As budget_prefix, but the block that passes 1.05 times the budget, or is the most-th, still stays."""
+def soft_budget_prefix(df: DataFrame, key: str, pos: str, cost: Column, budget: int, most: int, parts: Column | None = None, blank: Column | None = None) -> DataFrame:
+    """As budget_prefix, but the block that passes 1.05 times the budget, or reaches `most` parts, still
+    stays. parts is what a block counts, 1 by default; where blank is true, a block does not stop the run."""
     run = _running(key, pos)
-    df = df.withColumn("cum_cost", F.sum(cost).over(run)).withColumn("cum_parts", F.count(F.lit(1)).over(run))
+    df = df.withColumn("cum_cost", F.sum(cost).over(run)).withColumn("cum_parts", F.sum(F.lit(1) if parts is None else parts).over(run))
     stop = (F.col("cum_cost") > int(1.05 * budget)) | (F.col("cum_parts") >= most)
+    stop = stop if blank is None else stop & ~blank
     earlier = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("stopped", F.coalesce(F.max(stop).over(earlier), F.lit(False))).where(~F.col("stopped")).drop("stopped")
 
@@ -47,37 +49,74 @@ def fill_labels(df: DataFrame, key: str, pos: str, label: str, default: str) ->
     return df.withColumn("filled", F.coalesce(F.last(label, ignorenulls=True).over(_running(key, pos)), F.lit(default)))
 
 
-def lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line_no (from 0), line, norm."""
-    out = df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return out.withColumn("norm", norm_line(F.col("line")))
+RECORD = "struct<id: int, applied: boolean, pos0: int, offset: int, before: string, after: string>"
 
 
-def repeated_lines(rows: DataFrame, key: str, least: int = 3, share: float = 0.15) -> DataFrame:
-    """Normal forms found at least least times and in at least that share of a document's lines."""
-    rows = rows.where("norm <> ''")
-    counts = rows.groupBy(key, "norm").agg(F.count(F.lit(1)).alias("n"))
-    total = Window.partitionBy(key)
-    return counts.withColumn("n_lines", F.sum("n").over(total)).where((F.col("n") >= least) & (F.col("n") >= share * F.col("n_lines")))
+def apply_edits(texts: Column, edits: Column, around: int = 120) -> Column:
+    """Applies edits (id, find, replacement) in order to an array of texts, null for blocks that are no
+    text: a struct of the texts and a record of each edit.
 
+    An edit changes the first occurrence in the first text that has it and sees what earlier edits made.
+    Its record says whether it was applied, in which text (from 0), at which offset, and what stood
+    around characters before and after. An empty find is at the start of the first text.
+    """
+
+    def one(state: Column, e: Column) -> Column:
+        held = F.transform(state["texts"], lambda t: F.coalesce(F.contains(t, e["find"]), F.lit(False)))
+        hit = F.array_position(held, F.lit(True)).cast("int")
+        text = F.when(hit > 0, F.get(state["texts"], hit - 1))
+        at = F.position(e["find"], text)
+        start, end = F.greatest(F.lit(1), at - around), at + F.length(e["find"])
+        new = F.concat(F.substr(text, F.lit(1), at - 1), e["replacement"], F.substr(text, end))
+        place = F.when(hit > 0, hit - 1)
+        record = F.struct(
+            e["id"].cast("int").alias("id"), (hit > 0).alias("applied"), place.alias("pos0"), (at - 1).alias("offset"),
+            F.substr(text, start, at - start).alias("before"), F.substr(text, end, F.lit(around)).alias("after"),
+        )
+        after = F.transform(state["texts"], lambda t, i: F.when(i == place, new).otherwise(t))
+        return F.struct(after.alias("texts"), F.concat(state["records"], F.array(record)).alias("records"))
+
+    return F.aggregate(edits, F.struct(texts.alias("texts"), F.array().cast(f"array<{RECORD}>").alias("records")), one)
+
+
+def _block_lines(blocks: DataFrame, key: str, pos: str) -> DataFrame:
+    """A row a line of the text blocks, with its norm and how many blocks it opens or closes (n) of n_blocks.
+
+    A block's first and last line count once if they are equal. All windows lie within a paper, so the
+    lines move once, by key.
+    """
+    rows = blocks.where("type = 'text'").select(key, pos, F.posexplode(split_lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
+    rows = rows.repartition(key).withColumn("norm", norm_line(F.col("line")))
+    block, form = Window.partitionBy(key, pos), Window.partitionBy(key, "norm")
+    last = F.max_by("norm", "line_no").over(block)
+    first = F.min_by("norm", "line_no").over(block)
+    rows = rows.withColumns({"first": first, "last": last, "last_no": F.max("line_no").over(block)})
+    edge = (F.col("norm") != "") & ((F.col("line_no") == 0) | ((F.col("line_no") == F.col("last_no")) & (F.col("last") != F.col("first"))))
+    rows = rows.withColumns({"n": F.count_if(edge).over(form), "n_blocks": F.count_if(F.col("line_no") == 0).over(Window.partitionBy(key))})
+    return rows.drop("first", "last", "last_no")
 
-def strip_repeated(rows: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
-    """rows without the later repeats of pattern lines; the first occurrence stays."""
-    marked = rows.join(patterns.select(key, "norm", F.lit(True).alias("is_pattern")), [key, "norm"], "left")
-    nth = F.row_number().over(Window.partitionBy(key, "norm").orderBy("line_no"))
-    return marked.withColumn("nth", nth).where(F.col("is_pattern").isNull() | (F.col("nth") == 1)).drop("nth", "is_pattern")
 
+def header_footer(blocks: DataFrame, key: str, pos: str, least: int = 3, share: float = 0.15) -> DataFrame:
+    """key, norm, n, n_blocks: lines that open or close at least `least` blocks and that share of the
+    text blocks (key, pos, type, text) that have a line."""
+    rows = _block_lines(blocks, key, pos)
+    return rows.where((F.col("norm") != "") & (F.col("n") >= least) & (F.col("n") / F.col("n_blocks") >= share)).groupBy(key, "norm").agg(F.max("n").alias("n"), F.max("n_blocks").alias("n_blocks"))
 
-def apply_edits(blocks: Column, edits: Column) -> Column:
-    """Applies (find, replacement) edits in order to an array of texts; each changes the first
-    occurrence in the first text that has it, and sees what earlier edits made."""
 
-    def one(texts: Column, e: Column) -> Column:
-        hit = F.array_position(F.transform(texts, lambda t: F.contains(t, e["find"])), F.lit(True))
-        def patch(t: Column, i: Column) -> Column:
-            at = F.position(e["find"], t)
-            new = F.concat(F.substr(t, F.lit(1), at - 1), e["replacement"], F.substr(t, at + F.length(e["find"])))
-            return F.when((i + 1 == hit) & (e["find"] != ""), new).otherwise(t)
-        return F.transform(texts, patch)
+def strip_header_footer(blocks: DataFrame, key: str, pos: str, least: int = 3, share: float = 0.15) -> DataFrame:
+    """blocks (key, pos, type, text) without the later repeats of header and footer lines, wherever they stand.
 
-    return F.aggregate(edits, blocks, one)
+    Papers without such lines stay as they are; in others text blocks are joined anew and trimmed, and
+    those that end empty go.
+    """
+    rows = _block_lines(blocks, key, pos)
+    pattern = (F.col("norm") != "") & (F.col("n") >= least) & (F.col("n") / F.col("n_blocks") >= share)
+    nth = F.row_number().over(Window.partitionBy(key, "norm").orderBy(pos, "line_no"))
+    rows = rows.withColumns({"nth": nth, "pattern": pattern}).withColumn("some", F.max("pattern").over(Window.partitionBy(key)))
+    kept = F.array_sort(F.collect_list(F.when(~F.col("pattern") | (F.col("nth") == 1), F.struct("line_no", "line"))))
+    text = trimmed(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    new = rows.where("some").groupBy(key, pos).agg(text.alias("new_text"))
+    out = blocks.join(new.withColumn("changed", F.lit(True)), [key, pos], "left").join(new.select(key).distinct().withColumn("some", F.lit(True)), [key], "left")
+    gone = F.col("some") & (F.col("type") == "text") & (F.coalesce("new_text", F.lit("")) == "")
+    out = out.where(~F.coalesce(gone, F.lit(False))).withColumn("text", F.when(F.col("changed"), F.col("new_text")).otherwise(F.col("text")))
+    return out.drop("new_text", "changed", "some")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillframe.sources.files import is_object, trimmed
+from quillframe.functions.text import trimmed
+from quillframe.sources.files import is_object
 
 #: Fields that an edit must have: fixed values.
 EDIT_FIELDS = ["id", "corruption_type", "difficulty", "location", "rationale", "error_explanation", "target_find", "replacement", "needs_cross_section"]

@@ -15,14 +15,23 @@ def applied_edits(edits: DataFrame, results: DataFrame, key: str, id_: str) -> D
 
 
 def first_containing(blocks: DataFrame, needles: DataFrame, key: str, pos: str, text: str, needle: str, around: int = 120) -> DataFrame:
-    """needles with pos of the first block of the paper that contains each (null if none), its offset
-    from 0, and up to around characters before and after the match. An empty needle is found nowhere."""
-    at = F.position(F.col(needle), F.col(text))
-    end = at + F.length(needle)
-    start = F.greatest(F.lit(1), at - around)
-    hit = F.struct(F.col(pos).alias("pos"), (at - 1).alias("offset"), F.substr(text, start, at - start).alias("before"), F.substr(text, end, F.lit(around)).alias("after"))
-    pairs = needles.join(blocks.select(key, pos, text), [key], "left").withColumn("__hit", F.when((F.col(needle) != "") & (at > 0), hit))
-    return pairs.groupBy(*needles.columns).agg(F.min("__hit").alias("hit")).select(*needles.columns, "hit.*")
+    """needles, repeated rows too, with pos of the first block of the paper that contains each (null if
+    none), its offset from 0, and up to around characters before and after the match. An empty needle is
+    found nowhere.
+
+    Each different needle of a paper is searched once, and only places are aggregated; the text around a
+    match is read from the one block that has it.
+    """
+    once = needles.where(F.col(needle) != "").select(F.col(key), F.col(needle).alias("__needle")).distinct()
+    at = F.position(F.col("__needle"), F.col(text))
+    pairs = once.join(blocks.select(key, pos, text), [key]).where(at > 0)
+    first = pairs.groupBy(key, "__needle").agg(F.min(F.struct(F.col(pos).alias("pos"), at.alias("at"))).alias("__hit")).select(key, "__needle", "__hit.*")
+    own = blocks.select(F.col(key).alias("__key"), F.col(pos).alias("__pos"), F.col(text).alias("__text"))
+    first = first.join(own, (F.col(key) == F.col("__key")) & (F.col("pos") == F.col("__pos")))
+    end, start = F.col("at") + F.length("__needle"), F.greatest(F.lit(1), F.col("at") - around)
+    before, after = F.substr("__text", start, F.col("at") - start), F.substr("__text", end, F.lit(around))
+    first = first.select(F.col(key).alias("__of"), "__needle", "pos", (F.col("at") - 1).alias("offset"), before.alias("before"), after.alias("after"))
+    return needles.join(first, (needles[key] == F.col("__of")) & (needles[needle] == F.col("__needle")), "left").drop("__of", "__needle")
 
 
 def in_first_run(blocks: DataFrame, runs: DataFrame, key: str, index: str, wanted: str) -> DataFrame:
@@ -38,10 +47,14 @@ def zipped(left: DataFrame, right: DataFrame, key: str, pos: str) -> DataFrame:
 
 
 def hit_flags(matches: Column, n: Column) -> Column:
-    """Flags of n ground truths by the gt_index of matched entries: 0 .. n - 1 are taken as they
-    are, n is taken as n - 1, others set nothing."""
-    at = F.transform(F.filter(matches, lambda m: m["matched"]), lambda m: F.when(m["gt_index"].between(0, n - 1), m["gt_index"]).when(m["gt_index"] == n, n - 1))
-    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.coalesce(F.array_contains(at, i), F.lit(False)))
+    """Flags of n ground truths by the matches (gt_index, matched): an index in 0 .. n - 1 is taken as it
+    is, n as n - 1; the k-th match with no such index takes the k-th place, and nothing beyond n."""
+    index = F.transform(matches, lambda m: F.when(m["gt_index"].between(0, n - 1), m["gt_index"]).when(m["gt_index"] == n, n - 1))
+    turn = lambda i: F.size(F.filter(F.slice(index, F.lit(1), i + 1), lambda x: x.isNull())) - 1
+    at = F.transform(index, lambda x, i: F.coalesce(x, turn(i)))
+    hit = F.filter(F.arrays_zip(at.alias("at"), F.transform(matches, lambda m: F.coalesce(m["matched"], F.lit(False))).alias("hit")), lambda z: z["hit"])
+    taken = F.transform(hit, lambda z: z["at"])
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.array_contains(taken, i))).otherwise(F.array().cast("array<boolean>"))
 
 
 def grouped_by_text(rows: DataFrame, key: list[str], order: str, columns: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import numeric as N
 from quillframe.functions import text as T
-from quillframe.sources.files import is_object, trimmed
+from quillframe.functions.text import trimmed
+from quillframe.sources.files import is_object
 
 #: Titles of a list of references: fixed values.
 REFERENCE_TITLES = ["references", "reference", "bibliography"]
@@ -90,11 +91,11 @@ def reference_blocks(blocks: DataFrame, section: str = "section", kind: str = "t
 
 
 def cited_entries(entries: DataFrame, keys: DataFrame, paper: str, pos: str, text: str, key: str) -> DataFrame:
-    """keys with pos and text of the first entry of the paper that each names: 'Name|year' by both words
-    in it, in any case, 'n' by a line that starts with [n]. Keys that name none have nulls."""
+    """keys, repeated rows too, with pos and text of the first entry of the paper that each names: 'name|year'
+    by both words in it, the name in any case, 'n' by a line that starts with [n]. Keys that name none have nulls."""
     name, year = F.split_part(F.col(key), F.lit("|"), F.lit(1)), F.split_part(F.col(key), F.lit("|"), F.lit(2))
     by_name = F.contains(F.col(key), F.lit("|")) & F.contains(F.lower(F.col(text)), F.lower(name)) & F.contains(F.col(text), year)
-    by_number = ~F.contains(F.col(key), F.lit("|")) & F.rlike(F.col(text), F.concat(F.lit(r"(?m)^\s*\[0*"), F.col(key), F.lit(r"\]")))
-    named = F.when(by_name | by_number, F.struct(F.col(pos), F.col(text)))
-    pairs = keys.join(entries.select(paper, pos, text), [paper], "left").withColumn("__entry", named)
-    return pairs.groupBy(*keys.columns).agg(F.min("__entry").alias("e")).select(*keys.columns, "e.*")
+    by_number = ~F.contains(F.col(key), F.lit("|")) & F.rlike(F.col(text), F.concat(F.lit(r"(?m)^\s*\["), F.col(key), F.lit(r"\]")))
+    once = keys.select(F.col(paper), F.col(key)).distinct().join(entries.select(paper, pos, text), [paper])
+    first = once.where(by_name | by_number).groupBy(paper, key).agg(F.min(F.struct(pos, text)).alias("e"))
+    return keys.join(first, [paper, key], "left").select(*keys.columns, "e.*")

@@ -6,9 +6,7 @@ document's lines are blocks; events are an append log; conversations are ordered
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import boxes as X
@@ -17,36 +15,9 @@ from quillframe.functions import text as T
 from quillframe.operators import blocks as B
 from quillframe.operators import checks as C
 from quillframe.operators import matching as J
+from quillframe.operators import reviews as R
 from quillframe.operators import scoring as S
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-class Tables:
-    """The driver's tables, read when asked for."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Registers a function of Tables under its name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r6(x) -> F.Column:
-    return F.round(x, 6)
+from quillframe.plans.registry import ORACLES, QUERIES, Tables, query, r6
 
 
 def labelled(t: Tables) -> DataFrame:
@@ -116,25 +87,38 @@ def soft_budget_prefix(t):
     return B.soft_budget_prefix(t.conversations, "conv_id", "turn", F.length("text").cast("long"), 600, 5).select("conv_id", "turn")
 
 
-LINES = r"""
+#: Blocks of three lines, every fourth of them no text.
+PIECES = r"""
 WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM s),
-m AS (SELECT doc_id, line_no, line, lower(trim(regexp_replace(regexp_replace(trim(line, ' '), '^[#*]+\s*', ''), '\s+', ' ', 'g'), ' .·•|-–—~')) AS x FROM l),
-n AS (SELECT doc_id, line_no, line, CASE WHEN length(replace(x, ' ', '')) >= 5 THEN x ELSE '' END AS norm FROM m),
-c AS (SELECT doc_id, norm, count(*) AS n FROM n WHERE norm <> '' GROUP BY ALL),
-p AS (SELECT * FROM (SELECT doc_id, norm, n, (sum(n) OVER (PARTITION BY doc_id))::BIGINT AS n_lines FROM c) WHERE n >= 3 AND n >= 0.15 * n_lines)"""
+k AS (SELECT doc_id, unnest(range((len(ls) + 2) // 3)) AS pos, ls FROM s),
+b AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 3 THEN 'table' ELSE 'text' END AS type, ls[3 * pos + 1 : 3 * pos + 3] AS raw FROM k),
+c AS (SELECT doc_id, pos, type, CASE WHEN raw[len(raw)] = '' THEN raw[1 : len(raw) - 1] ELSE raw END AS ls, array_to_string(raw, chr(10)) AS text FROM b),
+l AS (SELECT doc_id, pos, unnest(ls) AS line, unnest(range(len(ls))) AS line_no, len(ls) AS n FROM c WHERE type = 'text'),
+m AS (SELECT *, lower(trim(regexp_replace(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '^[#*]+\s*', ''), '\s+', ' ', 'g'), ' .·•|-–—~')) AS x FROM l),
+n AS (SELECT *, CASE WHEN length(replace(x, ' ', '')) >= 5 THEN x ELSE '' END AS norm FROM m),
+e AS (SELECT DISTINCT doc_id, pos, norm FROM n WHERE norm <> '' AND (line_no = 0 OR line_no = n.n - 1)),
+t AS (SELECT doc_id, count(*) AS n_blocks FROM c WHERE type = 'text' AND len(ls) > 0 GROUP BY doc_id),
+p AS (SELECT doc_id, norm, count(*) AS n, any_value(n_blocks) AS n_blocks FROM e JOIN t USING (doc_id) GROUP BY doc_id, norm HAVING count(*) >= 3 AND count(*) / any_value(n_blocks) >= 0.15)"""
+
 
+def pieces(t) -> DataFrame:
+    """Blocks (doc_id, pos, type, text) of three lines of each document."""
+    lines = t.documents.select("doc_id", F.split("text", "\n").alias("ls"))
+    rows = lines.select("doc_id", "ls", F.explode(F.sequence(F.lit(0), F.floor((F.size("ls") + 2) / 3).cast("int") - 1)).alias("pos"))
+    return rows.select("doc_id", "pos", F.when(F.col("pos") % 4 == 3, "table").otherwise("text").alias("type"), F.array_join(F.slice("ls", F.col("pos") * 3 + 1, F.lit(3)), "\n").alias("text"))
 
-@query(LINES + " SELECT doc_id, norm, n, n_lines FROM p")
+
+@query(PIECES + " SELECT doc_id, norm, n, n_blocks FROM p")
 def header_footer_patterns(t):
-    return B.repeated_lines(B.lines(t.documents, "doc_id", "text"), "doc_id")
+    return B.header_footer(pieces(t), "doc_id", "pos")
 
 
-@query(LINES + """, k AS (SELECT n.*, p.norm IS NOT NULL AS pat, row_number() OVER (PARTITION BY n.doc_id, n.norm ORDER BY line_no) AS nth FROM n LEFT JOIN p USING (doc_id, norm))
-SELECT doc_id, line_no::INT AS line_no, line FROM k WHERE NOT pat OR nth = 1""")
+@query(PIECES + """, q AS (SELECT n.*, p.norm IS NOT NULL AS pat, row_number() OVER (PARTITION BY n.doc_id, n.norm ORDER BY pos, line_no) AS nth FROM n LEFT JOIN p USING (doc_id, norm)),
+j AS (SELECT doc_id, pos, regexp_replace(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT pat OR nth = 1), '^\\s+|\\s+$', '', 'g') AS text FROM q WHERE doc_id IN (SELECT doc_id FROM p) GROUP BY doc_id, pos)
+SELECT doc_id, pos::INT AS pos, text FROM j WHERE text <> ''
+UNION ALL SELECT doc_id, pos::INT, text FROM c WHERE type <> 'text' OR doc_id NOT IN (SELECT doc_id FROM p)""")
 def strip_header_footer(t):
-    rows = B.lines(t.documents, "doc_id", "text")
-    return B.strip_repeated(rows, B.repeated_lines(rows, "doc_id"), "doc_id").select("doc_id", "line_no", "line")
+    return B.strip_header_footer(pieces(t), "doc_id", "pos").select("doc_id", "pos", "text")
 
 
 RUNS = """
@@ -144,8 +128,6 @@ r AS (SELECT user_id, event_type AS title, min(idx) AS start_index, max(idx) AS
 
 
 def event_runs(t):
-    from pyspark.sql import Window
-
     e = t.events.select("user_id", "event_id", "event_type").withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
     return e, B.section_runs(e, "user_id", "idx", "event_type")
 
@@ -214,11 +196,13 @@ def todo_antijoin(t):
     return t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left_anti")
 
 
-@query("""WITH a AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM a) OR (SELECT count(*) FROM a) = 0""")
+@query("""WITH e AS (SELECT source, doc_id AS id, lang FROM documents), a AS (SELECT source, doc_id AS id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND source < 'src-05')
+SELECT source, id, lang FROM e WHERE EXISTS (SELECT 1 FROM a WHERE a.source = e.source AND a.id = e.id) OR NOT EXISTS (SELECT 1 FROM a WHERE a.source = e.source)""")
 def gt_semi_join(t):
-    applied = t.labels.where("toxic = 1").select("doc_id")
-    docs = t.documents.select("doc_id", "lang")
-    return docs if applied.isEmpty() else docs.join(applied, "doc_id", "left_semi")
+    """Sources without an applied row keep all of theirs."""
+    edits = t.documents.select("source", F.col("doc_id").alias("id"), "lang")
+    results = labelled(t).select("source", F.col("doc_id").alias("id"), ((F.col("toxic") == 1) & (F.col("source") < "src-05")).alias("applied"))
+    return J.applied_edits(edits, results, "source", "id")
 
 
 @query("SELECT source, count(*) AS paper_total, count(toxic) AS paper_with_eval, sum(toxic)::BIGINT AS hits FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
@@ -229,21 +213,11 @@ def optional_eval_join(t):
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS pos FROM conversations)
 SELECT a.conv_id, a.pos, length(a.text) AS asked, length(b.text) AS answered FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.pos = b.pos AND a.role = 'user' AND b.role = 'assistant'""")
 def position_zip(t):
-    from pyspark.sql import Window
-
     r = t.conversations.withColumn("pos", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("long"))
     a = r.where("role = 'user'").select("conv_id", "pos", F.length("text").cast("long").alias("asked"))
     return a.join(r.where("role = 'assistant'").select("conv_id", "pos", F.length("text").cast("long").alias("answered")), ["conv_id", "pos"])
 
 
-@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, 0 AS depth FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
-SELECT conv_id, count(*) AS nodes, max(depth) AS depth FROM t GROUP BY conv_id""")
-def reply_tree(t):
-    t.conversations.select("conv_id", "turn").createOrReplaceTempView("qf_turns")
-    return t.spark.sql("""WITH RECURSIVE t AS (SELECT conv_id, turn, 0 AS depth FROM qf_turns WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, t.depth + 1 FROM t JOIN qf_turns c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
-        SELECT conv_id, count(*) AS nodes, max(depth) AS depth FROM t GROUP BY conv_id""")
-
-
 @query("SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL")
 def unique_sections(t):
     return t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
@@ -255,17 +229,30 @@ def merge_sections(t):
     return t.conversations.groupBy("conv_id", "role").agg(F.min("turn").alias("first_turn"), F.array_join(parts, "\n\n").alias("merged"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity::INT AS overall, NULL::INT AS clarity FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN q WHEN 1 THEN q WHEN 2 THEN q END AS overall, CASE l_linenumber % 5 WHEN 4 THEN q END AS clarity,
+  CASE l_linenumber % 5 WHEN 3 THEN ['Overall', 'Clarity'] WHEN 4 THEN ['Overall'] ELSE ['Clarity'] END AS missing FROM (SELECT *, l_quantity::INT AS q FROM lineitem)""")
 def score_extract(t):
-    review = F.concat(F.lit("Summary\n### Score- Overall (10): "), F.col("l_quantity").cast("int"), F.lit("\nend"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", T.score_label(review, "Overall").alias("overall"), T.score_label(review, "Clarity").alias("clarity"))
-
-
-@query("SELECT l_orderkey, count(*) AS reviewers, round(avg(least(10, l_quantity::INT)), 6) AS overall FROM lineitem GROUP BY l_orderkey")
+    """Scores at a line's start, run into a heading, inside a line with a wide colon, with another maximum, of another label."""
+    q, k = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber") % 5
+    forms = [
+        F.concat(F.lit("Summary\n### Score- Overall (10): "), q, F.lit(" - fine\nend")), F.concat(F.lit("so far.Or Overall ( 10 )："), q, F.lit(" tail")),
+        F.concat(F.lit(" * Overall (10) : "), q, F.lit("\nOverall (10): 99")), F.concat(F.lit("Overall (5): "), q), F.concat(F.lit("Overalls (10): 4\n# score: Clarity (10): "), q),
+    ]
+    card = T.score_card(F.get(F.array(*forms), k.cast("int")), {"Overall": 10, "Clarity": 10})
+    return t.lineitem.withColumn("card", card).select("l_orderkey", "l_linenumber", F.col("card.parsed")["Overall"].alias("overall"), F.col("card.parsed")["Clarity"].alias("clarity"), "card.missing")
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, least(10, l_quantity::INT) AS a, least(5, l_linenumber::INT) AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT l_orderkey, count(*) AS reviewers, round(avg(a), 6) AS overall, round(avg(b), 6) AS confidence FROM x WHERE i <= greatest(1, n - 1) GROUP BY l_orderkey""")
 def score_multi_avg(t):
-    lines = F.array_join(F.collect_list(F.concat(F.lit("Overall (10)："), F.col("l_quantity").cast("int"))), "\n")
-    x = t.lineitem.groupBy("l_orderkey").agg(T.score_all(lines, "Overall", 10).alias("v")).select("l_orderkey", F.explode("v").alias("v"))
-    return x.groupBy("l_orderkey").agg(F.count("v").alias("reviewers"), r6(F.avg("v")).alias("overall"))
+    """The i-th scores of each label are one reviewer's; the last reviewer of several gives no confidence."""
+    q, i, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))
+    last = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) == F.greatest(n, F.lit(2))
+    line = F.concat(F.lit("text\n- Overall (10)："), q, F.lit(" - why\nOverall (10): 3\n"), F.when(last, "").otherwise(F.concat(F.lit(" - Confidence (5): "), i.cast("string"), F.lit("\n"))))
+    rows = t.lineitem.withColumn("line", line)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "line"))), lambda x: x["line"]), "")
+    each = rows.groupBy("l_orderkey").agg(text.alias("text")).select("l_orderkey", F.explode(R.reviewers(F.col("text"), {"Overall": 10, "Confidence": 5})).alias("r"))
+    return each.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("reviewers"), r6(F.avg("r.Overall")).alias("overall"), r6(F.avg("r.Confidence")).alias("confidence"))
 
 
 @query(r"SELECT page_id, trim(regexp_extract(html, '<title>((?s:.*?))</title>', 1)) AS title FROM pages")
@@ -290,10 +277,12 @@ def topn_stable_ties(t):
     return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_pos")).orderBy(F.desc("n"), "first_pos").limit(10)
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 6 = 4 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
 def json_extract(t):
-    noisy = F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" -- end}"))
-    return t.events.select("event_id", F.try_variant_get(T.embedded_json(noisy), "$.k", "bigint").alias("k"))
+    """JSON alone, in noise, before other braces, before further ends, and none."""
+    p = F.col("props")
+    forms = [F.concat(F.lit("\n"), p), F.concat(F.lit("Here it is: "), p, F.lit(" -- end}")), F.concat(F.lit("a "), p, F.lit(' and {"j": 1} b')), F.concat(p, F.lit("}}")), F.lit("none {here"), F.concat(p, F.lit("}"))]
+    return t.events.select("event_id", F.try_variant_get(T.embedded_json(F.get(F.array(*forms), (F.col("event_id") % 6).cast("int"))), "$.k", "bigint").alias("k"))
 
 
 @query("SELECT doc_id, round(0.6 * quality + 0.4 * (1 - toxic), 6) AS reward FROM labels")
@@ -301,62 +290,60 @@ def reward_score(t):
     return t.labels.select("doc_id", r6(N.reward(F.col("quality"), 1 - F.col("toxic"))).alias("reward"))
 
 
-@query("""WITH a AS (SELECT event_id % 100 AS k, max(event_id) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1), b AS (SELECT event_id % 70 AS k, min(event_id) AS v FROM events WHERE event_id % 3 = 1 GROUP BY 1)
-SELECT k, v FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, v FROM b""")
+@query("""WITH h AS (SELECT *, event_id > (SELECT max(event_id) // 2 FROM events) AS late FROM events),
+a AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_id FROM h WHERE NOT late GROUP BY ALL), b AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_id FROM h WHERE late AND value > 150 GROUP BY ALL)
+SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = a.user_id AND b.event_type = a.event_type) UNION ALL SELECT * FROM b""")
 def upsert_runs(t):
-    old = t.events.where("event_id % 3 = 0").groupBy((F.col("event_id") % 100).alias("k")).agg(F.max("event_id").alias("v"))
-    new = t.events.where("event_id % 3 = 1").groupBy((F.col("event_id") % 70).alias("k")).agg(F.min("event_id").alias("v"))
-    return S.upsert(old, new, ["k"])
-
-
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS g FROM lineitem)
-SELECT l_orderkey, l_linenumber, coalesce(g, 2 * (row_number() OVER (PARTITION BY l_orderkey, g IS NULL ORDER BY l_linenumber))::INT - 1) AS fixed_id
-FROM x WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = max(l_linenumber) AND count(DISTINCT l_linenumber) = count(*))""")
-def id_repair(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey")
-    x = t.lineitem.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber")).alias("g"))
-    x = x.withColumn("ok", (F.count(F.lit(1)).over(w) == F.max("l_linenumber").over(w)) & (F.size(F.collect_set("l_linenumber").over(w)) == F.count(F.lit(1)).over(w))).where("ok")
-    return S.repair_ids(x, "l_orderkey", "l_linenumber", "g").select("l_orderkey", "l_linenumber", "fixed_id")
+    """Runs of the later half of the log take the place of the earlier half's with the same key."""
+    half = t.events.agg(F.floor(F.max("event_id") / 2).alias("half"))
+    rows = t.events.join(half).withColumn("late", F.col("event_id") > F.col("half"))
+    old, new = (rows.where(c).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_id")) for c in ("not late", "late and value > 150"))
+    return S.upsert(old, new, ["user_id", "event_type"])
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS g FROM lineitem),
 u AS (SELECT l_orderkey, count(*) AS n, coalesce(list(DISTINCT g) FILTER (g IS NOT NULL), []) AS used FROM x GROUP BY 1),
 f AS (SELECT l_orderkey, [v for v in range(1, n + len(used) + 1) if NOT list_contains(used, v)] AS free FROM u)
 SELECT l_orderkey, l_linenumber, coalesce(g, free[row_number() OVER (PARTITION BY l_orderkey, g IS NULL ORDER BY l_linenumber)])::INT AS fixed_id FROM x JOIN f USING (l_orderkey)""")
-def id_repair_all(t):
+def id_repair(t):
     """Every order, with gaps and repeats between its line numbers."""
     x = t.lineitem.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber")).alias("g"))
     return S.repair_ids(x, "l_orderkey", "l_linenumber", "g").select("l_orderkey", "l_linenumber", "fixed_id")
 
 
-@query("SELECT doc_id, trim(string_split(text, chr(10))[1], ' ') AS body FROM documents")
+@query(r"SELECT doc_id, regexp_replace(CASE WHEN contains(text, '---') THEN string_split(text, '---')[1] ELSE text END, '^\s+|\s+$', '', 'g') AS body FROM documents")
 def markers_between(t):
-    first = F.substring_index("text", "\n", 1)
-    text = F.concat(F.lit("intro ### Text ### "), first, F.lit("\n@@@ tail"))
-    return t.documents.select("doc_id", T.between_markers(F.regexp_replace(text, "\n@@@", " @@@"), "### Text ###", "@@@").alias("body"))
+    text = F.concat(F.lit("rules --- ### Text ###\n"), F.col("text"), F.lit("\n--- more ### Text ### tail"))
+    return t.documents.select("doc_id", T.between_markers(text, "### Text ###", "---").alias("body"))
 
 
-@query("SELECT o_orderkey, ['Smith|' || (2000 + o_orderkey % 20), (o_orderkey % 50)::VARCHAR] AS keys FROM orders")
+@query("""WITH x AS (SELECT o_orderkey AS k, 2000 + o_orderkey % 20 AS y, o_orderkey % 50 AS n, o_orderkey % 7 AS f FROM orders)
+SELECT k AS o_orderkey, list_distinct_ordered AS keys FROM (SELECT k, CASE f
+  WHEN 0 THEN ['smith|' || y, n::VARCHAR] WHEN 1 THEN ['o-neil|' || y, 'lee|' || y, '0'] WHEN 2 THEN [n::VARCHAR] WHEN 3 THEN ['lecun|' || y, 'lecun|' || (y + 1)]
+  WHEN 4 THEN CASE WHEN n = 12 THEN ['rajabi|' || y, '12'] ELSE ['rajabi|' || y, '12', n::VARCHAR] END ELSE []::VARCHAR[] END AS list_distinct_ordered FROM x)""")
 def citation_match(t):
-    text = F.concat(F.lit("As Smith et al., "), (2000 + F.col("o_orderkey") % 20).cast("string"), F.lit(" and [0"), (F.col("o_orderkey") % 50).cast("string"), F.lit("] say"))
-    return t.orders.select("o_orderkey", T.citation_keys(text).alias("keys"))
-
-
-@query("SELECT conv_id, list(replace(text, 'e', 'E') ORDER BY turn) FILTER (false) IS NULL AS ok, count(*) AS n FROM conversations GROUP BY conv_id")
-def sequential_edits(t):
-    """Edits that undo themselves leave every text as it was."""
-    c = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
-    edits = F.array(*[F.struct(F.lit(a).alias("find"), F.lit(b).alias("replacement")) for a, b in ((" ", "~~"), ("~~", " "))])
-    return c.select("conv_id", (B.apply_edits(F.col("texts"), edits) == F.col("texts")).alias("ok"), F.size("texts").cast("long").alias("n"))
-
-
-@query("""WITH p AS (SELECT l_orderkey, list(text ORDER BY l_linenumber) AS ts FROM (SELECT l_orderkey, l_linenumber, repeat(l_returnflag, 500 + l_linenumber) AS text FROM lineitem) GROUP BY 1)
-SELECT l_orderkey, len(ts) AS parts, (list_sum([length(x) for x in ts]))::BIGINT AS chars FROM p""")
+    k, y, n = F.col("o_orderkey"), (2000 + F.col("o_orderkey") % 20).cast("string"), (F.col("o_orderkey") % 50).cast("string")
+    forms = [
+        F.concat(F.lit("As Smith  et al.,\n"), y, F.lit(" and [0"), n, F.lit("], then [00"), n, F.lit("] say")),
+        F.concat(F.lit("Lee&Kim,"), y, F.lit("; O-Neil et al., "), y, F.lit("; O-Neil and Wu , "), y, F.lit("; [000]")),
+        F.concat(F.lit("van Smith et al. "), y, F.lit(" lacks a comma, smith et al., "), y, F.lit(" a capital [x1] ["), n, F.lit("] ok")),
+        F.concat(F.lit("LeCun et al., "), y, F.lit(" LECUN et al., "), y, F.lit(" LeCun and Bengio, "), (2001 + F.col("o_orderkey") % 20).cast("string")),
+        F.concat(F.lit("Rajabi & Kosecka, "), y, F.lit(" [12] [012] ["), n, F.lit("]")),
+        F.lit("no citation [a] (1999) Smith 2001"), F.lit(None).cast("string"),
+    ]
+    return t.orders.select("o_orderkey", T.citation_keys(F.get(F.array(*forms), (k % 7).cast("int"))).alias("keys"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, count(*) AS n, l_orderkey % 4 AS form, sum(500 + l_linenumber) AS size FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN form = 3 OR n = 1 THEN 1 ELSE n END AS parts, CASE form WHEN 0 THEN size WHEN 1 THEN size + 13 * n WHEN 2 THEN size + 23 * n ELSE 10 * n + 12 * (n - 1) END::BIGINT AS chars FROM x""")
 def multi_review_split(t):
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.expr("repeat(l_returnflag, 500 + l_linenumber)").alias("x")))), lambda x: x["x"])
-    reviews = t.lineitem.groupBy("l_orderkey").agg(F.array_join(parts, "\n----------\n").alias("text")).select("l_orderkey", T.split_reviews(F.col("text")).alias("ts"))
+    """Reviews between rules, under numbered headings, from Summary to Summary, and too short to be told apart."""
+    form = F.col("l_orderkey") % 4
+    body = F.expr("repeat(l_returnflag, 500 + l_linenumber)")
+    part = F.when(form == 0, body).when(form == 1, F.concat(F.lit("Reviewer #1:\n"), body)).when(form == 2, F.concat(F.lit("## Summary\n"), body, F.lit("\n### Overall"))).otherwise("ten chars.")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", part.alias("x")))), lambda x: x["x"])
+    joined = F.when(form.isin(0, 3), F.array_join(parts, "\n----------\n")).otherwise(F.array_join(parts, "\n\n"))
+    reviews = t.lineitem.groupBy("l_orderkey").agg(joined.alias("text")).select("l_orderkey", T.split_reviews(F.col("text")).alias("ts"))
     return reviews.select("l_orderkey", F.size("ts").cast("long").alias("parts"), F.expr("aggregate(ts, 0L, (a, x) -> a + length(x))").alias("chars"))
 
 
@@ -384,12 +371,6 @@ def section_slice(t):
     return J.in_first_run(events, runs, "user_id", "idx", "Click").select("user_id", "idx", "event_id")
 
 
-@query("SELECT conv_id, count(*) AS n_errors, string_agg(role, ',' ORDER BY turn) AS kinds FROM conversations GROUP BY conv_id")
-def sft_grouping(t):
-    grouped = J.grouped_by_text(t.conversations, ["conv_id"], "turn", ["role"])
-    return grouped.select("conv_id", F.size("errors").cast("long").alias("n_errors"), F.array_join("errors.role", ",").alias("kinds"))
-
-
 @query("SELECT kind, count(*) AS n FROM (SELECT 'toxic' AS kind FROM labels WHERE toxic = 1 UNION ALL SELECT 'poor' FROM labels WHERE quality = 0) GROUP BY kind")
 def grouped_error_distribution(t):
     kinds = F.array_compact(F.array(F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("quality") == 0, "poor")))
@@ -421,8 +402,11 @@ def bbox_containment(t):
 
 
 def queries() -> dict:
+    from quillframe.plans import detection, papers, regressions, replies, scans, training  # noqa: F401  they register themselves
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

@@ -10,13 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that trimming takes, beyond ASCII too: fixed values.
-BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-
-
-def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}|{BLANK}$", "")
-
+from quillframe.functions.text import trimmed
 
 def scan_text(spark: SparkSession, root: str, name: str = "*", recursive: bool = True) -> DataFrame:
     """path, file, folder (the one that holds the file) and value, the whole text, of files whose name matches a glob."""
