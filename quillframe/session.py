@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +23,13 @@ def build_session(app: str = "quillframe", cores: int | None = None, **extra: st
         "spark.ui.showConsoleProgress": "false",
     } | extra
     return SparkSession.builder.master(f"local[{n}]").appName(app).config(map=conf).getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share: spark.checkpoint.dir. Only a session on one machine may lack it, and gets a local one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quillframe-")

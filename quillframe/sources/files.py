@@ -53,8 +53,9 @@ def tagged(files: DataFrame, tag: str) -> DataFrame:
 def tagged_or_exact(files: DataFrame, exact: str, tag: str) -> DataFrame:
     """The files named exact, where there are any, else those whose name holds tag; none below a folder ending in _detect or _eval."""
     kept = files.where(~F.exists(F.split("path", "/"), lambda part: part.rlike("(_detect|_eval)$")))
-    named = kept.where(F.col("file") == exact)
-    return tagged(kept, tag) if named.isEmpty() else named
+    some = kept.agg(F.coalesce(F.bool_or(F.col("file") == exact), F.lit(False)).alias("__exact"))  # one row
+    wanted = F.when(F.col("__exact"), F.col("file") == exact).otherwise(F.col("file").contains(tag))
+    return kept.join(some).where(wanted).drop("__exact")
 
 
 def matching(files: DataFrame, **parts: str | None) -> DataFrame:
@@ -92,3 +93,8 @@ def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """v, a variant, of each line that is a JSON object; other lines are passed over."""
     lines = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
     return lines.where(is_object(F.col("v")))
+
+
+def first_in_order(files: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n files in an order; the limit is what is asked for."""
+    return files.orderBy(*order).limit(n)

@@ -41,3 +41,10 @@ def with_run(old: DataFrame, new: DataFrame, keys: list[str], replace: bool = Tr
 def once(existing: DataFrame, df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The rows of df to append: their keys are not in existing, and their value is not blank."""
     return df.where(F.trim(value) != "").join(existing.select(*keys).distinct(), keys, "left_anti")
+
+
+def write_page_report(rows: DataFrame, path: str) -> None:
+    """rows (folder, pdf_path, pages) as CSV at path/pages, and the counts of all, readable and unreadable papers as JSON at path/summary."""
+    write_csv(rows.select("folder", "pdf_path", "pages"), f"{path}/pages")
+    readable = F.col("pages") > 0
+    write_json(rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(readable).alias("readable"), F.count_if(~readable).alias("unreadable")), f"{path}/summary", mode="overwrite")
