@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quillframe.functions import text as T
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -36,8 +38,23 @@ def round_half_even_binary(x: pd.Series) -> pd.Series:
     return x.map(lambda v: round(v, 2), na_action="ignore")
 
 
+#: Weights of a reward, and what rows get that cannot be judged: fixed values.
+PRECISION_WEIGHT, CONCISENESS_WEIGHT = 0.6, 0.4
+NO_OUTPUT, NO_TRUTH, NO_ANSWER = -0.5, -0.3, 0.0
+
+
 def reward(precision: Column, conciseness: Column) -> Column:
-    return 0.6 * precision + 0.4 * conciseness
+    return PRECISION_WEIGHT * precision + CONCISENESS_WEIGHT * conciseness
+
+
+def judged_reward(output: Column, truth: Column, scores: Column) -> Column:
+    """The reward of an output against a truth's JSON text by a judge's scores, a variant: the penalty of
+    the first that fails of a blank output, a truth that is no JSON, and a judge without an answer;
+    missing scores are 0."""
+    blank = lambda c: T.trimmed(F.coalesce(c, F.lit(""))) == ""
+    score = lambda n: F.coalesce(F.try_variant_get(scores, f"$.{n}", "double"), F.lit(0.0))
+    out = F.when(blank(output), NO_OUTPUT).when(blank(truth) | F.try_parse_json(T.trimmed(truth)).isNull(), NO_TRUTH)
+    return out.when(scores.isNull(), NO_ANSWER).otherwise(reward(score("precision"), score("conciseness")))
 
 
 def config_key(parts: list[str]) -> Column:
@@ -58,3 +75,26 @@ def tokens_estimate(text: Column, per_token: float = 3.5) -> Column:
 
 def completion_budget(context: Column, used: Column, spare: int, most: int, least: int = 100) -> Column:
     return F.greatest(F.lit(least), F.least(context - used - spare, F.lit(most)))
+
+
+def prompt_mark(prompt: Column, n: int = 10) -> Column:
+    """The first characters of a prompt's SHA-1."""
+    return F.substring(F.sha1(prompt), 1, n)
+
+
+def reward_key(output: Column, truth: Column) -> Column:
+    """What rewards are kept by: the MD5 of an output and a truth; the mark between them is fixed."""
+    return F.md5(F.concat(output, F.lit("|||"), truth))
+
+
+def iso_now(now: Column) -> Column:
+    """A time in UTC as ISO text with a Z; give the time, so that results can be repeated."""
+    return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def cut_tokens(text: Column, ids: Column, most: int, decoded: Column) -> Column:
+    """text where ids are at most `most`, else decoded, what the first `most` ids stand for, with the
+    bracket closed that opens it."""
+    short = decoded
+    short = F.when(short.startswith("[") & ~short.endswith("]"), F.concat(short, F.lit("]"))).when(short.startswith("{") & ~short.endswith("}"), F.concat(short, F.lit("}"))).otherwise(short)
+    return F.when(F.size(ids) <= most, text).otherwise(short)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Edge punctuation of lines: fixed values.
 RESERVED = " .·•|-–—~"
@@ -243,3 +244,20 @@ def event_line(content: Column) -> Column:
 def rejoined_answer(text: Column) -> Column:
     """An answer as a stream of its paragraphs gives it: what stands between blank lines, with nothing between."""
     return F.array_join(F.split(text, "\n\n"), "")
+
+
+def similar_work(title: Column, authors: Column, abstract: Column, resemblance: Column) -> Column:
+    """A paper like the one at hand, as a prompt shows it: the form is fixed."""
+    return F.concat(F.lit("<paper>\nTitle: "), title, F.lit("\nAuthors: "), authors, F.lit("\nAbstract: "), abstract, F.lit("\nResemblance Analysis: "), resemblance, F.lit("</paper>"))
+
+
+def indented_json(v: Column) -> Column:
+    """A variant's JSON with a field a line and two spaces a level, as files for people have it."""
+    return _indented(F.to_json(v))
+
+
+@F.pandas_udf(StringType())
+def _indented(x):  # noqa: ANN001, ANN202  types are given by the decorator
+    import json
+
+    return x.map(lambda t: json.dumps(json.loads(t), ensure_ascii=False, indent=2), na_action="ignore")

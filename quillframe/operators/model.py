@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from quillframe.functions import text as T
+
 
 class RateLimited(Exception):
     pass
@@ -41,28 +44,58 @@ class Stub:
         return self.rule(prompt)
 
 
-def retried(call: Callable[[], str], tries: int = 3, wait: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
-    """(answer, error). A limit waits 2 ** n seconds after try n, a timeout 1.5 * n; empty answers are tried again, a fatal error ends."""
-    error = "empty"
+@dataclass
+class Wait:
+    """How long to wait after a failed try. The rule 'kind' waits 2 ** n seconds after a limit on try n and
+    1.5 * n after a timeout; 'backoff' starts at first and grows by factor up to most, whatever failed."""
+
+    rule: str = "kind"
+    first: float = 1.0
+    factor: float = 2.0
+    most: float = 10.0
+
+    def after(self, n: int, error: Exception | None) -> float:
+        if self.rule == "backoff":
+            return min(self.most, self.first * self.factor ** (n - 1))
+        return 2.0**n if isinstance(error, RateLimited) else 1.5 * n if isinstance(error, TimedOut) else 0.0
+
+
+def has_key(answer: str, key: str) -> bool:
+    """Whether the JSON object in an answer has a value that is not null at key."""
+    start, end = answer.find("{"), answer.rfind("}")
+    try:
+        return json.loads(answer[start : end + 1]).get(key) is not None
+    except (ValueError, AttributeError):
+        return False
+
+
+def retried(call: Callable[[], str], tries: int = 3, wait: Callable[[float], None] = time.sleep, key: str | None = None, pauses: Wait = Wait()) -> tuple[str | None, str | None]:
+    """(answer, error). Failures, empty answers and, with key, answers without it are tried again, after a
+    pause; a fatal error ends. What the last try gave without the key comes with its error."""
+    answer = error = None
     for n in range(1, tries + 1):
-        pause = 0.0
+        raised = None
         try:
             answer = call()
-            if answer and answer.strip():
+            if not answer or not answer.strip():
+                answer, error = None, "empty"
+            elif key and not has_key(answer, key):
+                error = f"no {key}"
+            else:
                 return answer, None
-            error = "empty"
-        except RateLimited:
-            error, pause = "rate limit", 2.0**n
-        except TimedOut:
-            error, pause = "timeout", 1.5 * n
+        except RateLimited as e:
+            error, raised = "rate limit", e
+        except TimedOut as e:
+            error, raised = "timeout", e
         except Fatal as e:
             return None, str(e)
+        pause = pauses.after(n, raised) if raised or pauses.rule == "backoff" else 0.0
         if n < tries and pause:
             wait(pause)
-    return None, error
+    return answer, error
 
 
-def complete(df: DataFrame, prompt: str, backend: Backend, tries: int = 3) -> DataFrame:
+def complete(df: DataFrame, prompt: str, backend: Backend, tries: int = 3, key: str | None = None, pauses: Wait = Wait()) -> DataFrame:
     """df with answer and error; a null prompt gets neither. Rows are called where they lie, without a
     shuffle; a lost task calls again, so keep what is done in a table and take it out with an anti-join."""
     at = df.columns.index(prompt)
@@ -70,13 +103,31 @@ def complete(df: DataFrame, prompt: str, backend: Backend, tries: int = 3) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(None, None) if p is None else retried(lambda p=p: backend.complete(p), tries) for p in batch.column(at).to_pylist()]
+            out = [(None, None) if p is None else retried(lambda p=p: backend.complete(p), tries, key=key, pauses=pauses) for p in batch.column(at).to_pylist()]
             columns = [*batch.columns, *(pa.array([o[i] for o in out], pa.string()) for i in range(2))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "answer", "error"])
 
     return df.mapInArrow(run, schema)
 
 
+def stage(df: DataFrame, prompt: Column, backend: Backend, read: Callable[[Column], Column], out: str, tries: int = 3, key: str | None = None) -> DataFrame:
+    """A model's stage: df with out, what read makes of the JSON in the answers to prompt, and error.
+
+    Detection, review, judging and text preparation are such stages: a prompt, a client and a reader.
+    """
+    asked = complete(df.withColumn("__prompt", prompt), "__prompt", backend, tries, key)
+    return asked.withColumn(out, read(T.embedded_json(F.col("answer")))).drop("__prompt", "answer")
+
+
+def asked_once(df: DataFrame, question: Column, reference: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows with cache_key, one row a key to ask for): equal questions with equal references are asked once.
+
+    Join the answers back by cache_key; this stands for a bounded cache of the calls.
+    """
+    rows = df.withColumn("cache_key", F.md5(F.concat(question, F.lit("|||"), reference)))
+    return rows, rows.withColumn("__nth", F.row_number().over(Window.partitionBy("cache_key").orderBy(*[F.col(c) for c in df.columns]))).where("__nth = 1").drop("__nth")
+
+
 def message_text(content: Column) -> Column:
     """The text of a message's content, a variant: a string, or the text parts of a list, a line each; else its JSON."""
     kind = F.schema_of_variant(content)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillframe.functions import numeric as N
 from quillframe.functions import text as T
@@ -148,7 +149,7 @@ def first_object(text: Column) -> Column:
     return _first_object(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _first_object(texts):  # noqa: ANN001, ANN202  types are given by the decorator
     import json
 

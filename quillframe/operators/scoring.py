@@ -73,6 +73,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new, keys, "left_anti").unionByName(new)
 
 
+def removed(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """old without the rows whose key gone has."""
+    return old.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
 def repair_ids(df: DataFrame, key: str, pos: str, given: str) -> DataFrame:
     """Keeps given ids of 1 or more; the others get, in order, the smallest numbers that are unused."""
     w = Window.partitionBy(key)

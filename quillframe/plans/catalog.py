@@ -402,7 +402,7 @@ def bbox_containment(t):
 
 
 def queries() -> dict:
-    from quillframe.plans import detection, papers, regressions, replies, scans, training  # noqa: F401  they register themselves
+    from quillframe.plans import detection, papers, regressions, replies, runs, scans, training  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

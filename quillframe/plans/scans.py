@@ -116,8 +116,9 @@ def sample_rejects(t):
     one = F.when(k == 0, '{"a":"x","b":"y"}').when(k == 1, "7").when(k == 2, '{"a":"x"}').otherwise("{}")
     docs = t.orders.groupBy(F.col("o_custkey").alias("path")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("j")))).alias("js"))
     docs = docs.select("path", F.parse_json(F.concat(F.lit("["), F.array_join(F.transform("js", lambda x: x["j"]), ","), F.lit("]"))).alias("v"))
-    good, bad = K.split_rejects(S.samples(docs, ["a", "b"]).drop("v"))
-    return good.select(F.col("path").alias("paper"), "index", F.lit(None).cast("string").alias("reason")).unionByName(S.samples(docs, ["a", "b"]).where("reason is not null").select(F.col("path").alias("paper"), "index", "reason")) if bad.columns else good
+    rows = S.samples(docs, ["a", "b"]).select(F.col("path").alias("paper"), "index", "reason")
+    good, _ = K.split_rejects(rows)
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(rows.where("reason is not null"))
 
 
 @query("SELECT conv_id, count(*) AS n, sum(turn)::BIGINT AS turns FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
@@ -199,5 +200,5 @@ def first_search_source(t):
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE p_size + 1 END::INT AS pages FROM part")
 def page_counts(t):
-    body = F.concat(F.when(F.col("p_partkey") % 3 == 0, "?").otherwise("P"), F.expr("repeat('\\f', p_size)"))
+    body = F.concat(F.when(F.col("p_partkey") % 3 == 0, "?").otherwise("P"), F.expr("repeat('\\u000c', p_size)"))
     return X.count_pages(t.part.select("p_partkey", X.decoded(F.base64(F.encode(body, "UTF-8"))).alias("data")), "data", Feeds()).select("p_partkey", "pages")
