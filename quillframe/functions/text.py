@@ -182,9 +182,11 @@ def widest_braces(text: Column) -> Column:
 
 def headed_sections(text: Column) -> Column:
     """A map of '# title' lines to the texts below them: of equal titles the last wins, text before the first is left out."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), text), r"\n#+[ \t]+"), F.lit(2), F.greatest(F.lit(0), F.size(F.split(F.concat(F.lit("\n"), text), r"\n#+[ \t]+")) - 1))
-    title = F.transform(parts, lambda p: F.trim(F.substring_index(p, "\n", 1)))
-    body = F.transform(parts, lambda p: F.btrim(F.when(F.contains(p, F.lit("\n")), F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise(""), F.lit(" \n\r\t")))
+    pieces = F.split(F.concat(F.lit("\n"), text), f"(?:{LINE_END})# ")
+    parts = F.slice(pieces, F.lit(2), F.greatest(F.lit(0), F.size(pieces) - 1))
+    ends = F.transform(parts, lambda p: F.split(p, LINE_END, 2))
+    title = F.transform(ends, lambda e: trimmed(F.get(e, F.lit(0))))
+    body = F.transform(ends, lambda e: trimmed(F.coalesce(F.get(e, F.lit(1)), F.lit(""))))
     pairs = F.arrays_zip(title.alias("title"), body.alias("body"))
     last = F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(title, i + 2, F.size(title)), x["title"]))
     return F.map_from_entries(last)

@@ -61,8 +61,10 @@ def test_edits_without_applied_ones_all_stay(spark):
 
 def test_first_block_with_a_needle(spark):
     blocks = spark.createDataFrame([("p", 1, "abc"), ("p", 2, "xbcy bc"), ("q", 1, None)], "p string, i int, t string")
-    needles = spark.createDataFrame([("p", "bc"), ("p", "cy"), ("p", "zz"), ("p", ""), ("q", "a")], "p string, n string")
-    got = {(r.p, r.n): (r.pos, r.offset, r.before, r.after) for r in J.first_containing(blocks, needles, "p", "i", "t", "n", around=2).collect()}
+    needles = spark.createDataFrame([("p", "bc"), ("p", "bc"), ("p", "cy"), ("p", "zz"), ("p", ""), ("q", "a")], "p string, n string")
+    rows = J.first_containing(blocks, needles, "p", "i", "t", "n", around=2).collect()
+    assert len(rows) == 6  # repeated needles stay
+    got = {(r.p, r.n): (r.pos, r.offset, r.before, r.after) for r in rows}
     none = (None,) * 4
     assert got == {("p", "bc"): (1, 1, "a", ""), ("p", "cy"): (2, 2, "xb", " b"), ("p", "zz"): none, ("p", ""): none, ("q", "a"): none}
 
@@ -72,17 +74,17 @@ def test_flags_of_indices_from_zero_or_one(spark):
         m = F.array(*[F.struct(F.lit(i).alias("gt_index"), F.lit(True).alias("matched")) for i in indices])
         return [int(x) for x in one(spark, J.hit_flags(m, F.lit(3)))]
 
-    assert flags([0, 1, 2]) == [1, 1, 1] and flags([1, 2, 3]) == [0, 1, 1] and flags([7]) == [0, 0, 0]
+    assert flags([0, 1, 2]) == [1, 1, 1] and flags([1, 2, 3]) == [0, 1, 1] and flags([7]) == [1, 0, 0] and flags([None, 9, 2, None, None]) == [1, 1, 1]
 
 
 def test_parts_of_larger_boxes_go(spark):
-    boxes = F.array(*[X.box(*map(F.lit, b)) for b in ((0, 0, 10, 10), (1, 1, 5, 5), (20, 0, 30, 10), (-1, 0, 9, 10))])
-    assert [(b.x0, b.x1) for b in one(spark, X.without_parts(boxes))] == [(0.0, 10.0), (20.0, 30.0), (-1.0, 9.0)]
+    boxes = F.array(*[X.on_page(X.box(*map(F.lit, b)), F.lit(p)) for b, p in (((0, 0, 10, 10), 1), ((1, 1, 5, 5), 1), ((20, 0, 30, 10), 1), ((-1, 0, 9, 10), 1), ((1, 1, 4, 5), 2))])
+    assert [(b.x0, b.x1) for b in one(spark, X.without_parts(boxes))] == [(0.0, 10.0), (20.0, 30.0), (-1.0, 9.0), (1.0, 4.0)]
     assert one(spark, X.from_size(F.lit(1), F.lit(1), F.lit(0), F.lit(2))) is None
 
 
 def test_texts(spark):
-    assert one(spark, T.headed_sections(F.col("t")), "lead\n# A\none\n## B\n\ntwo\n# A\nthree") == {"B": "two", "A": "three"}
+    assert one(spark, T.headed_sections(F.col("t")), "lead\n# A\none\n# B\n\n## two\n#no\n# A\nthree") == {"B": "## two\n#no", "A": "three"}
     assert one(spark, T.headed_sections(F.col("t")), "none") == {}
     assert one(spark, T.paragraphs(F.col("t")), "a\nb\n \n\nc\n\n") == ["a\nb", "c"]
     assert one(spark, T.keywords(F.col("t")), "a, ,b ") == ["a", "b"]
@@ -108,6 +110,9 @@ def test_model_calls(spark):
 
     assert M.retried(call, 3, waits.append) == ("ok", None) and waits == [2.0, 3.0]
     assert M.retried(lambda: " ", 2, waits.append) == (None, "empty")
+    answers, waits = iter(['{"b": 1}', 'x {"a": null}', 'y {"a": 2} z']), []
+    assert M.retried(lambda: next(answers), 5, waits.append, key="a", pauses=M.Wait("backoff", first=3, most=4)) == ('y {"a": 2} z', None) and waits == [3, 4]
+    assert M.retried(lambda: '{"b": 1}', 2, key="a") == ('{"b": 1}', "no a")
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "k int, answer_to string")
     got = sorted(map(tuple, M.complete(df, "answer_to", M.Stub(lambda p: p.upper())).collect()))
     assert got == [(1, "a", "A", None), (2, None, None, None), (3, "", None, "empty")]

@@ -22,7 +22,7 @@ def test_three_sections(spark):
 
 
 def test_reviewers_take_the_shortest_list(spark):
-    text = "Overall (10): 12\nClarity (5): 3\nOverall (10): 4"
+    text = "- Overall (10): 12\nOverall (10): 7\n - Clarity (5): 3 - so\n- Overall (10): 4"
     assert [tuple(r) for r in one(spark, R.reviewers(F.col("t"), {"Overall": 10, "Clarity": 5}), text)] == [(10, 3)]
     assert one(spark, R.reviewers(F.col("t"), {"Overall": 10, "Clarity": 5}), "Overall (10): 1") == []
 
