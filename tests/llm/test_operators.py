@@ -315,7 +315,7 @@ def test_language_costs_are_of_one_parse_of_the_whole_text():
         for i, t in enumerate(texts):
             state, phrases = 0, 1 if t else 0
             for c in t:
-                state = int(table[state + parser.lut[c]])
+                state = int(table[state + int(parser.lut[c])])
                 phrases += state >> language_id.FLAG
                 state &= (1 << language_id.FLAG) - 1
             want[i, k] = phrases * parser.bits[k]
@@ -472,6 +472,43 @@ def test_each_quality_measure_rejects_and_follows_its_group(spark):
         assert x.loc[100, f"{m}_high"] < x.loc[1000, f"{m}_high"]
 
 
+def plain_fence(values, lower, upper, wide, floor):
+    """(low, high) from the cells of the two order statistics."""
+    def middle(q):
+        x = sorted(values)[max(0, int(np.ceil(q * len(values) - 1e-9)) - 1)]
+        return 0.0 if x <= quality.LEAST else quality.LEAST * (1 + quality.GRID) ** (np.floor(np.log(x / quality.LEAST) / np.log(1 + quality.GRID)) + 0.5)
+
+    a, b = middle(lower), middle(upper)
+    return a - wide * max(b - a, floor), b + wide * max(b - a, floor)
+
+
+def test_quality_verdicts_against_order_statistics(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(2500):
+        lang, source = [("en", "a"), ("en", "b"), ("en", "few"), ("de", "a"), (None, None)][i % 5] if i % 25 else ("xx", "rare")
+        words = ["x" * int(rng.integers(2, 3 + i % 9 + (60 if rng.random() < 0.02 else 0))) + "#" * int(rng.random() < 0.1 * (i % 3)) for _ in range(int(rng.integers(5, 80)))]
+        text = " ".join(words) + "\nsame line" * int(rng.integers(0, 6 if source == "b" else 2)) + (" ".join(words[:20]) if rng.random() < 0.1 else "")
+        rows.append((i, text if source != "few" or i % 50 == 2 else None, lang, source))
+    x = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    good = x[~x.base_failed]
+    none = lambda v: v is None or v != v
+    same = lambda col, v: col.isna() if none(v) else col == v
+    sizes = []
+    for _, r in x.iterrows():
+        own = good[same(good.lang, r.lang) & same(good.source, r.source)]
+        use = own if len(own) >= quality.LEAST_ROWS else good[same(good.lang, r.lang)]
+        use = use if len(use) >= quality.LEAST_ROWS else good
+        sizes.append(len(use))
+        kept = not r.base_failed
+        if len(own):
+            for m, (floor, low, (a, b, wide)) in quality.MEASURES.items():
+                lo, hi = plain_fence(use[m], a, b, wide, floor)
+                kept = kept and r[m] <= hi and (not low or r[m] >= lo)
+        assert kept == r.kept, r
+    assert len(set(sizes)) >= 4 and 5 < (~x.kept & ~x.base_failed).sum()
+
+
 def test_secrets_against_a_regex_engine(spark, tables):
     kinds = [re.compile(rf"(?i:{secrets._KEY})({secrets._VALUE}+)"), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
     want = []
@@ -493,6 +530,89 @@ def test_automata_match_like_regexes(pattern):
         assert bool(dfa.accepts[state // dfa.width]) == bool(re.fullmatch(pattern.encode(), text))
 
 
+def test_pipeline_stages_against_plain_versions(spark, tables):
+    """Each stage on what the one before it kept."""
+    import corpus_pipeline as c
+    from tokenizers import Tokenizer
+
+    before = common.documents(spark, tables)
+    stages = dict(c.STAGES)
+
+    def after(name):
+        out = common.materialise(stages[name](spark, before, tables))
+        assert out.columns == before.columns
+        return out, sorted(((r.doc_id, r.text) for r in before.collect()), key=repr), sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+    samples = language_id.learn(before)
+    parser = language_id.CrossParser(samples)
+    kept, was, now = after("language_id")
+
+    def clear(text):
+        raw, least = text.encode(), np.inf
+        for k, table in enumerate(parser.tables):
+            state, phrases = 0, 1
+            for b in raw:
+                state = int(table[state + int(parser.lut[b])])
+                phrases += state >> language_id.FLAG
+                state &= (1 << language_id.FLAG) - 1
+            least = min(least, phrases * parser.bits[k])
+        return any(x.isalpha() for x in text) and (len(raw) < language_id.LEAST_JUDGED or least <= language_id.REJECT_BITS * len(raw))
+
+    assert now == [r for r in was if clear(r[1] or "")] and 0 < len(now) < len(was)
+
+    before = kept
+    kept, was, now = after("exact_dedup")
+    first: dict = {}
+    for i, t in sorted(was, key=lambda r: (r[0] is None, r[0])):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), (i, t))
+    assert [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in now] == sorted(((i, k) for k, (i, _) in first.items()), key=repr) and len(now) < len(was)
+
+    before = kept
+    kept, was, now = after("simhash_dedup")
+    sets = []
+    for _, t in was:
+        w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(was)))
+    for a in range(len(was)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    least: dict = {}
+    for (i, _), r in zip(was, root):
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    assert now == [x for x, r in zip(was, root) if x[0] is None or least[r] == x[0]]
+
+    before = kept
+    kept, was, now = after("mixing")
+    text = dict(was)
+    assert set(now) <= set(was) and all(text[i] == t for i, t in now)
+    source = {r.doc_id: r.source for r in before.collect()}
+    size: dict = {}
+    got: dict = {}
+    for rows, into in ((was, size), (now, got)):
+        for i, t in rows:
+            into[source[i]] = into.get(source[i], 0) + len(re.findall(WORD, t or ""))
+    for s, want in plain_targets(size).items():  # whole documents, so within a few of the source's largest
+        assert abs(got.get(s, 0) - want) <= 0.25 * want + 2 * max(len(re.findall(WORD, t or "")) for i, t in was if source[i] == s)
+    assert max(now.count(r) for r in set(now)) <= 4
+
+    before = kept
+    t = Tokenizer.from_file(bpe.default_path())
+    want = []
+    for i, x in now:
+        ids = t.encode(x, add_special_tokens=False).ids
+        want.append((float(i) if i is not None else None, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert keyed(stages["bpe"](spark, before, tables).toPandas(), "n_tokens", "ids_sha256", "decoded_sha256") == expect(*want)
+
+
+def test_clashing_columns_are_refused(spark, tables):
+    docs = common.documents(spark, tables).withColumn("__digest", common.F.lit(1))
+    with pytest.raises(ValueError):
+        exact_dedup.stage(docs)
+
+
 def test_pipeline(spark, tables):
     import corpus_pipeline as c
 
