@@ -46,7 +46,7 @@ def test_picked(spark):
 
 
 def test_cited_entries(spark):
-    blocks = spark.createDataFrame([("p", 1, " References ", "text", "[1] A. Smith 2020"), ("p", 2, "Bibliography", "text", "x\n [02] SMITH, 2020"), ("p", 3, "Intro", "text", "[3]")], "p string, i int, section string, type string, t string")
-    keys = spark.createDataFrame([("p", "Smith|2020"), ("p", "2"), ("p", "3")], "p string, k string")
-    got = {r.k: r.i for r in R.cited_entries(R.reference_blocks(blocks), keys, "p", "i", "t", "k").collect()}
-    assert got == {"Smith|2020": 1, "2": 2, "3": None}
+    blocks = spark.createDataFrame([("p", 1, " References ", "text", "[1] A. Smith 2020"), ("p", 2, "Bibliography", "text", "x\n [2] SMITH, 2020\n[04] Lee"), ("p", 3, "Intro", "text", "[3]")], "p string, i int, section string, type string, t string")
+    keys = spark.createDataFrame([("p", "Smith|2020"), ("p", "2"), ("p", "2"), ("p", "3"), ("p", "4")], "p string, k string")
+    rows = R.cited_entries(R.reference_blocks(blocks), keys, "p", "i", "t", "k").collect()
+    assert len(rows) == 5 and {r.k: r.i for r in rows} == {"Smith|2020": 1, "2": 2, "3": None, "4": None}
