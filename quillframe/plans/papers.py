@@ -153,7 +153,7 @@ def soft_budget_with_blanks(t):
   list_filter(string_split(k, ','), lambda x: trim(x) <> '') AS words FROM (SELECT *, string_split(text, chr(10)) AS l, lang || ',' || source AS k FROM documents)""")
 def line_and_paragraph_split(t):
     words = F.concat(F.lit(" "), "lang", F.lit(" , ,"), "source", F.lit(","))
-    return t.documents.select("doc_id", F.size(T.split_lines(F.col("text"))).alias("n_lines"), F.size(T.paragraphs(F.col("text"))).cast("long").alias("n_paragraphs"), T.keywords(words).alias("words"))
+    return t.documents.select("doc_id", F.size(T.split_lines(F.col("text"))).cast("long").alias("n_lines"), F.size(T.paragraphs(F.col("text"))).cast("long").alias("n_paragraphs"), T.keywords(words).alias("words"))
 
 
 @query(r"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN ['a ' || turn, 'b'] WHEN 1 THEN ['x' || turn] WHEN 2 THEN [''] ELSE ['no' || chr(10) || chr(10) || 'split'] END AS parts FROM conversations""")

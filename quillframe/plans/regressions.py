@@ -13,7 +13,7 @@ from quillframe.operators import scoring as S
 from quillframe.plans.registry import query, r6
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 1.0 WHEN 1 THEN round(l_discount, 2) ELSE 0 END AS a, CASE WHEN l_linenumber % 2 = 0 THEN 0.12 ELSE 0.01 END AS b, 'n' AS note FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 1.0 WHEN 1 THEN round(l_discount, 2) ELSE 0 END AS a, CASE WHEN l_linenumber % 2 = 0 THEN 0.12 ELSE 0.01 END::DOUBLE AS b, 'n' AS note FROM lineitem""")
 def alignment_normalise(t):
     """Measures too large, as words, missing, and such that two ways of rounding differ."""
     k = F.col("l_linenumber")
@@ -152,7 +152,7 @@ def review_sections(t):
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_suppkey % 3 = 0 THEN 'score_rationale_shift' WHEN l_suppkey % 3 = 1 THEN 'tone' ELSE 'other' END AS kind, l_partkey % 4 > 0 AS said, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)
 SELECT l_orderkey, coalesce(list(kind ORDER BY i) FILTER (said AND i <= 4), []) AS every, coalesce(list(kind ORDER BY i) FILTER (said AND i <= 4), [])[1:1] AS first, list_filter(coalesce(list(kind ORDER BY i) FILTER (said AND i <= 4), []), lambda k: k = 'score_rationale_shift') AS shifts,
-  CASE WHEN l_orderkey % 2 = 0 THEN -1.5 END AS delta, CASE WHEN l_orderkey % 3 = 0 THEN '1-10' ELSE 'unknown' END AS scale FROM x GROUP BY l_orderkey""")
+  CASE WHEN l_orderkey % 2 = 0 THEN -1.5 END::DOUBLE AS delta, CASE WHEN l_orderkey % 3 = 0 THEN '1-10' ELSE 'unknown' END AS scale FROM x GROUP BY l_orderkey""")
 def regression_normalise(t):
     """At most four differences are read, those without a summary go, unknown kinds are other."""
     kind = F.when(F.col("l_suppkey") % 3 == 0, "score_rationale_shift").when(F.col("l_suppkey") % 3 == 1, "tone").otherwise("odd")

@@ -33,7 +33,7 @@ def thread_counts(t):
 def submissions(t):
     """Some forums have a note of their own number, others take the earliest."""
     rows = notes(t).withColumn("nid", F.col("id") + F.when(F.col("conv_id") % 2 == 0, 0).otherwise(1000000))
-    return R.submission(rows, "conv_id", "nid", "time").withColumn("submission", F.col("submission").cast("long"))
+    return R.submission(rows, "conv_id", "nid", "time").withColumn("submission", F.col("submission").cast("int"))
 
 
 @query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'Official_Review' WHEN 1 THEN 'Meta_Review' WHEN 2 THEN 'Decision' WHEN 3 THEN 'Public_Comment' ELSE '' END AS invitation, CASE turn % 5 WHEN 0 THEN 'review' WHEN 1 THEN 'meta_review' WHEN 2 THEN 'decision' WHEN 3 THEN 'comment' ELSE 'other' END AS kind FROM conversations""")

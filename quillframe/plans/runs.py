@@ -44,7 +44,7 @@ def resume_predicates(t):
     return out[0]
 
 
-@query("SELECT doc_id, round(CASE doc_id % 7 WHEN 0 THEN -0.5 WHEN 1 THEN -0.3 WHEN 2 THEN -0.3 WHEN 3 THEN 0 WHEN 4 THEN 0.6 * quality ELSE 0.6 * quality + 0.4 * (1 - toxic) END, 6) AS reward FROM labels")
+@query("SELECT doc_id, round(CASE doc_id % 7 WHEN 0 THEN -0.5 WHEN 1 THEN -0.3 WHEN 2 THEN -0.3 WHEN 3 THEN 0 WHEN 4 THEN 0.6 * quality ELSE 0.6 * quality + 0.4 * (1 - toxic) END::DOUBLE, 6) AS reward FROM labels")
 def judged_rewards(t):
     """Rewards, and the penalties of blank outputs, bad truths and judges without an answer."""
     k, q = F.col("doc_id") % 7, F.col("quality").cast("string")

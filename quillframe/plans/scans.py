@@ -25,7 +25,7 @@ def json_files(t):
     K.write_json(t.nation.select("n_nationkey", "n_name", F.lit(None).cast("string").alias("none"), F.col("n_regionkey").alias("region")).repartition(1, "region"), at, ["region"])
     lines = S.scan_text(t.spark, at, "*.json").select("folder", F.explode(F.split(S.trimmed(F.col("value")), "\n")).alias("value"))
     v = F.try_parse_json("value")
-    return lines.where(F.is_variant_null(F.try_variant_get(v, "$.none", "variant"))).select(F.try_variant_get(v, "$.n_nationkey", "long").alias("n_nationkey"), F.try_variant_get(v, "$.n_name", "string").alias("n_name"), "folder")
+    return lines.where(F.is_variant_null(F.try_variant_get(v, "$.none", "variant"))).select(F.try_variant_get(v, "$.n_nationkey", "int").alias("n_nationkey"), F.try_variant_get(v, "$.n_name", "string").alias("n_name"), "folder")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS times FROM customer WHERE c_custkey % 5 > 0")
