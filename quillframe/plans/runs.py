@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import numeric as N
 from quillframe.functions import text as T
 from quillframe.operators import model as M
+from quillframe.operators import prompts as P
 from quillframe.operators import regressions as G
 from quillframe.operators import resume as R
 from quillframe.operators import reviews as V
@@ -74,6 +75,11 @@ def reference_sections(t):
     return V.reference_blocks(rows).select("conv_id", "turn")
 
 
+@query("SELECT event_id, 'Read the section ' || event_type || ' and report its errors.' || chr(10) || CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR ELSE '' END || chr(10) || 'Answer as {\"findings\": [...]}.' AS prompt FROM events")
+def filled_prompts(t):
+    return t.events.select("event_id", P.fill(P.TEMPLATES["section"], section=F.col("event_type"), text=F.when(F.col("user_id") % 2 == 0, F.col("user_id"))).alias("prompt"))
+
+
 class Judge:
     """Answers with JSON in noise; the third kind of prompt gets none, the fourth an answer without the key."""
 

@@ -202,3 +202,38 @@ def first_search_source(t):
 def page_counts(t):
     body = F.concat(F.when(F.col("p_partkey") % 3 == 0, "?").otherwise("P"), F.expr("repeat('\\u000c', p_size)"))
     return X.count_pages(t.part.select("p_partkey", X.decoded(F.base64(F.encode(body, "UTF-8"))).alias("data")), "data", Feeds()).select("p_partkey", "pages")
+
+
+@dataclass
+class Paragraphs:
+    """A file's paragraphs are its blocks; one that does not begin with P is unreadable."""
+
+    def text(self, data: bytes) -> str:
+        if not data.startswith(b"P"):
+            raise ValueError("no text")
+        return data.decode()
+
+    def blocks(self, data: bytes) -> list[dict]:
+        return [{"type": "text", "text": p} for p in self.text(data).split("\n\n")]
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'P' || p_brand || chr(10) || chr(10) || p_type END AS text, CASE WHEN p_partkey % 3 > 0 THEN 2 END AS n, CASE WHEN p_partkey % 3 > 0 THEN '2:' || p_type END AS last FROM (SELECT p_partkey, 'b' || p_size AS p_brand, 't' || p_size AS p_type FROM part)")
+def parsed_files(t):
+    """Files read into texts and blocks by a stand-in for a parser."""
+    size = F.col("p_size").cast("string")
+    body = F.concat(F.when(F.col("p_partkey") % 3 == 0, "?").otherwise("P"), F.lit("b"), size, F.lit("\n\nt"), size)
+    files = t.part.select("p_partkey", F.encode(body, "UTF-8").alias("data"))
+    read = X.read_blocks(X.read_text(files, "data", Paragraphs()), "data", Paragraphs()).withColumn("bs", S.content(F.col("v")))
+    b = F.element_at("bs", -1)
+    last = F.concat(F.try_variant_get(b, "$.index", "string"), F.lit(":"), F.try_variant_get(b, "$.text", "string"))
+    return read.select("p_partkey", "text", F.when(F.col("bs").isNotNull(), F.size("bs")).alias("n"), last.alias("last"))
+
+
+@query("SELECT r_regionkey::VARCHAR AS paper, r_name AS name, 4::BIGINT AS lines FROM region")
+def paper_files(t):
+    """One file a region with a field a line, read as whole texts."""
+    at = folder(t)
+    v = F.parse_json(F.concat(F.lit('{"name":"'), "r_name", F.lit('","none":null}')))
+    K.write_papers(t.region.select("r_regionkey", v.alias("v")), at, "r_regionkey", "v")
+    got = S.scan_json(t.spark, at, "*.txt").join(S.scan_text(t.spark, at, "*.txt").select("path", F.size(F.split(S.trimmed(F.col("value")), "\n")).cast("long").alias("lines")), "path")
+    return got.select(F.split_part("folder", F.lit("="), F.lit(2)).alias("paper"), F.try_variant_get("v", "$.name", "string").alias("name"), "lines")

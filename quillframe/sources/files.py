@@ -15,7 +15,7 @@ from quillframe.functions.text import trimmed
 def scan_text(spark: SparkSession, root: str, name: str = "*", recursive: bool = True) -> DataFrame:
     """path, file, folder (the one that holds the file) and value, the whole text, of files whose name matches a glob."""
     path = F.col("_metadata.file_path")
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", name).option("recursiveFileLookup", recursive).text(root)
+    files = spark.read.option("pathGlobFilter", name).option("recursiveFileLookup", recursive).text(root, wholetext=True)
     return files.select(path.alias("path"), F.col("_metadata.file_name").alias("file"), F.element_at(F.split(path, "/"), -2).alias("folder"), "value")
 
 

@@ -6,6 +6,7 @@ queries use clients that answer by a rule. A lost task asks again.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any, Protocol
 
@@ -37,6 +38,14 @@ class Pages(Protocol):
     def count(self, data: bytes) -> int: ...
 
 
+class Parser(Protocol):
+    """Reads a file: its text, and its blocks as a list of objects with a type."""
+
+    def text(self, data: bytes) -> str: ...
+
+    def blocks(self, data: bytes) -> list[dict]: ...
+
+
 def pages_of(client: Notes, request: str, limit: int = PAGE_NOTES) -> Iterator[list[str]]:
     """Page after page, until one is empty."""
     offset = 0
@@ -113,6 +122,30 @@ def count_pages(files: DataFrame, data: str, client: Pages) -> DataFrame:
     return _with_column(files, data, "pages", IntegerType(), pa.int32(), count)
 
 
+def read_text(files: DataFrame, data: str, client: Parser) -> DataFrame:
+    """files with text, trimmed; empty where the client fails."""
+
+    def text(x: bytes) -> str:
+        try:
+            return client.text(x).strip()
+        except Exception:  # noqa: BLE001  an unreadable file is a value here
+            return ""
+
+    return _with_column(files, data, "text", StringType(), pa.string(), text)
+
+
+def read_blocks(files: DataFrame, data: str, client: Parser) -> DataFrame:
+    """files with v, a variant {"content": blocks} whose blocks are numbered from 1; null where the client fails."""
+
+    def blocks(x: bytes) -> str | None:
+        try:
+            return json.dumps({"content": [b | {"index": i} for i, b in enumerate(client.blocks(x), 1)]})
+        except Exception:  # noqa: BLE001  an unreadable file is a value here
+            return None
+
+    return _with_column(files, data, "__json", StringType(), pa.string(), blocks).withColumn("v", F.try_parse_json("__json")).drop("__json")
+
+
 def setting(config: dict, key: str, default: Any = None) -> Any:
     """The value at a dotted key of nested dictionaries, default where a step is missing."""
     for part in key.split("."):

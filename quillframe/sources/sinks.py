@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.functions.text import indented_json
+
 
 def write_json(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "errorifexists") -> None:
     """JSON lines, null fields kept, a folder for each value of the columns in by; mode append adds files."""
@@ -48,3 +50,9 @@ def write_page_report(rows: DataFrame, path: str) -> None:
     write_csv(rows.select("folder", "pdf_path", "pages"), f"{path}/pages")
     readable = F.col("pages") > 0
     write_json(rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(readable).alias("readable"), F.count_if(~readable).alias("unreadable")), f"{path}/summary", mode="overwrite")
+
+
+def write_papers(df: DataFrame, path: str, key: str, v: str, mode: str = "errorifexists") -> None:
+    """One file a paper, in a folder of its key: the variant v as JSON with a field a line."""
+    rows = df.select(key, indented_json(F.col(v)).alias("value"))
+    rows.repartition(key).write.mode(mode).partitionBy(key).text(path)

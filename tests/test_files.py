@@ -14,7 +14,7 @@ def root(tmp_path):
     for paper, names in {"a": ["final.json", "synth_m.json"], "b": ["final.json"], "c_eval": ["synth_m.json"]}.items():
         (tmp_path / paper).mkdir()
         for n in names:
-            (tmp_path / paper / n).write_text(json.dumps({"paper": {"content": [{"t": 1}, 2]}, "é": None}))
+            (tmp_path / paper / n).write_text(json.dumps({"paper": {"content": [{"t": 1}, 2]}, "é": None}, indent=2))
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "bad.json").write_bytes(b'{"k": "x\xff"}')
     (tmp_path / "d" / "empty.json").write_text(" ")
