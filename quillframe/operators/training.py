@@ -52,13 +52,17 @@ def samples(groups: DataFrame, key: list[str], instruction: str, kind: str = "co
 
 
 def numbered(rows: DataFrame, order: list[str], out: str = "sample", buckets: int = 64) -> DataFrame:
-    """rows with 'sample_1', 'sample_2', ... in order, without one task that sorts them all: rows are
-    ranged by order into partitions, numbered there, and shifted by the counts of those before."""
-    ranged = rows.repartitionByRange(buckets, *order).withColumn("__part", F.spark_partition_id())
-    within = Window.partitionBy("__part").orderBy(*order)
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    """rows with 'sample_1', 'sample_2', ... in order, without one task that sorts them all: rows are dealt
+    to buckets by the first column of order, a number, whose quantiles are read once as bounds, numbered
+    there, and shifted by the counts of the buckets before. Rows of one number share a bucket."""
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = sorted(set(rows.agg(F.percentile_approx(order[0], shares, 1000)).first()[0] or []))  # at most as many as buckets
+    over = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order[0]))) if bounds else F.lit(0)
+    rows = rows.withColumn("__part", over)
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    out_rows = ranged.withColumn("__nth", F.row_number().over(within)).join(F.broadcast(before), "__part")  # as many rows as buckets
+    out_rows = rows.withColumn("__nth", within).join(F.broadcast(before), "__part")  # as many rows as buckets
     return out_rows.withColumn(out, F.concat(F.lit("sample_"), (F.col("__nth") + F.col("__before")).cast("string"))).drop("__part", "__nth", "__before")
 
 
