@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {"op3_repeats": repeats.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op10_secret_scan": secrets.OP10_SQL}

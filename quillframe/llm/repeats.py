@@ -355,3 +355,19 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: All windows of all texts, as hexadecimal strings, from pieces of 400 windows; doc_ids must be unique and not null.
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, o, substr(h, 2 * o + 1, {2 * (400 + WINDOW - 1)}) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 400)) AS o FROM d)),
+w AS (SELECT doc_id, o + k AS k, substr(h, 2 * k + 1, {2 * WINDOW}) AS s FROM (SELECT doc_id, o, h, unnest(range(greatest(0, length(h) // 2 - {WINDOW - 1}))) AS k FROM c)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT w.doc_id, k, k > lag(k) OVER (PARTITION BY w.doc_id ORDER BY k) + {WINDOW} AS apart FROM w JOIN f USING (s) WHERE w.doc_id > first),
+n AS (SELECT doc_id, k, sum(coalesce(apart, true)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM r),
+x AS (SELECT doc_id, run, min(k) AS a, max(k) + {WINDOW} AS b FROM n GROUP BY doc_id, run),
+y AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS before FROM x),
+z AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS kept FROM y JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN z USING (doc_id)"""

@@ -175,3 +175,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.expr(f"cast(size(filter(spans, x -> x.kind = '{r.kind}')) as bigint)").alias(f"n_{r.kind}") for r in BASE],
         F.sha2(F.expr(joined.format(f"filter(spans, x -> x.kind in ({base}))")), 256).alias("base_sha256"), F.expr(joined.format("spans")).alias("spans"),
     )
+
+
+def _sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The query in SQL: places follow from the lengths of matches and of what stands between them."""
+    base = [r.kind for r in BASE]
+    per = []
+    for k, r in enumerate(rules):
+        pattern = f"(?i:{r.pattern.replace(_VALUE + '+', '(' + _VALUE + '+)')})" if r.least_value else r.pattern
+        pattern = pattern.replace("'", "''")
+        value = f"regexp_extract_all(t, '{pattern}', 2)" if r.least_value else "NULL::VARCHAR[]"
+        per.append(f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, {r.least_value} AS least_value, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g, {value} AS v FROM d")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), r AS ({' UNION ALL '.join(per)}),
+u AS (SELECT doc_id, k, kind, least, least_value, unnest(range(1, len(m) + 1)) AS i, m, g, v FROM r WHERE len(m) > 0),
+p AS (SELECT doc_id, k, kind, coalesce(list_sum([length(x) for x in g[1:i]]), 0) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS a, length(m[i]) AS n FROM u WHERE length(m[i]) >= least AND (least_value = 0 OR length(v[i]) >= least_value)),
+q AS (SELECT doc_id, k, kind, a::BIGINT AS a, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS span FROM p)
+SELECT d.doc_id, {', '.join(f"count(*) FILTER (kind = '{b}') AS n_{b}" for b in base)},
+       sha256(coalesce(string_agg(span, ',' ORDER BY a, k) FILTER (k < {len(base)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY a, k), '') AS spans
+FROM d LEFT JOIN q ON d.doc_id = q.doc_id GROUP BY d.doc_id"""
+
+
+OP10_SQL = _sql()

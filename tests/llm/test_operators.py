@@ -11,7 +11,7 @@ import pytest
 
 from quillframe.llm import bpe, common, exact_dedup, language_id, mixing, quality, repeats, secrets, sharding, simhash, toxicity
 from quillframe.llm.automata import Dfa
-from quillframe.llm.queries import queries
+from quillframe.llm.queries import oracle_sql, queries
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, shard int, size string"
@@ -58,6 +58,13 @@ def keyed(frame, *columns):
     return sorted((tuple(None if x != x else x for x in r) for r in frame[["doc_id", *columns]].astype(object).itertuples(index=False)), key=repr)
 
 
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_matches_sql(spark, name):
+    from tests.oracle import compare
+
+    assert not compare(spark, queries()[name], oracle_sql()[name], "/root/testdata/sf0.001")
+
+
 def texts():
     return [(float(r[0]) if r[0] is not None else None, r[1] or "") for r in awkward()]
 
