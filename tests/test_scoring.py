@@ -23,4 +23,4 @@ def test_repaired_ids_against_a_plain_version(spark):
 
 
 def test_every_line_is_repaired(spark):
-    assert catalog.queries()["id_repair_all"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert catalog.queries()["id_repair"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
