@@ -102,10 +102,13 @@ def fences(judged: DataFrame) -> DataFrame:
         for end, q in (("a", lower), ("b", upper)):
             picks.append(_middle(F.min(F.when((F.col("measure") == m) & (F.col("upto") >= q * F.col("rows")), F.col("cell")))).alias(f"{m}_{end}"))
     level = cut(merged.groupBy("level", "l", "s").agg(F.max("rows").alias("rows"), *picks))
-    values = F.struct("rows", *[f"{m}_{end}" for m in MEASURES for end in "ab"])
+    names = ["rows", *[f"{m}_{end}" for m in MEASURES for end in "ab"]]
+    values = F.struct(*names)
     own = level.where("level = 1").select(F.col("l").alias("__lang"), F.col("s").alias("__source"), values.alias("own"))
     lang = level.where("level = 2").select(F.col("l").alias("__of"), values.alias("by_lang"))
-    out = own.join(lang, F.col("__lang").eqNullSafe(F.col("__of")), "left").join(level.where("level = 3").select(values.alias("by_all")))  # one row
+    whole = level.where("level = 3").select(*names).first()  # one row
+    by_all = F.struct(*[F.lit(whole[c] if whole else None).cast(level.schema[c].dataType).alias(c) for c in names])
+    out = own.join(lang, F.col("__lang").eqNullSafe(F.col("__of")), "left").withColumn("by_all", by_all)
     use = F.when(F.col("own.rows") >= LEAST_ROWS, F.col("own")).when(F.col("by_lang.rows") >= LEAST_ROWS, F.col("by_lang")).otherwise(F.col("by_all"))
     out = out.withColumn("use", use)
     for m, (floor, _, (_, _, wide)) in MEASURES.items():
