@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import bpe, exact_dedup, language_id, mixing, quality, repeats, secrets, sharding, simhash, toxicity
+from quillframe.llm import bpe, exact_dedup, language_id, merkle, mixing, quality, repeats, secrets, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op11_merkle": merkle.op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_repeats": repeats.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op10_secret_scan": secrets.OP10_SQL}
+    return {"op3_repeats": repeats.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op10_secret_scan": secrets.OP10_SQL, "op11_merkle": merkle.OP11_SQL}
