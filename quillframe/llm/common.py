@@ -47,13 +47,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new name for a table in the folder that all executors share."""
+    return f"{_folder(spark.sparkContext)}/quillframe-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """df, written once as a compressed table beside the checkpoints, for results too large for cut().
 
     The folder is the shared one; the files stay until it is emptied.
     """
-    spark = df.sparkSession
-    path = f"{_folder(spark.sparkContext)}/quillframe-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch_path(df.sparkSession)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.quillframe_path = path

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import bpe, exact_dedup, language_id, merkle, mixing, quality, repeats, secrets, sharding, simhash, toxicity
+from quillframe.llm import bpe, exact_dedup, language_id, merkle, mixing, quality, repeats, secrets, sharding, simhash, token_file, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_secret_scan": secrets.op10_secret_scan,
         "op11_merkle": merkle.op11_merkle,
+        "op12_token_file": token_file.op12_token_file,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_repeats": repeats.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op10_secret_scan": secrets.OP10_SQL, "op11_merkle": merkle.OP11_SQL}
+    return {"op3_repeats": repeats.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op10_secret_scan": secrets.OP10_SQL, "op11_merkle": merkle.OP11_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
