@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillframe.functions import text as T
+from quillframe.functions.parse import json_value
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -53,7 +54,7 @@ def judged_reward(output: Column, truth: Column, scores: Column) -> Column:
     missing scores are 0."""
     blank = lambda c: T.trimmed(F.coalesce(c, F.lit(""))) == ""
     score = lambda n: F.coalesce(F.try_variant_get(scores, f"$.{n}", "double"), F.lit(0.0))
-    out = F.when(blank(output), NO_OUTPUT).when(blank(truth) | F.try_parse_json(T.trimmed(truth)).isNull(), NO_TRUTH)
+    out = F.when(blank(output), NO_OUTPUT).when(blank(truth) | json_value(T.trimmed(truth)).isNull(), NO_TRUTH)
     return out.when(scores.isNull(), NO_ANSWER).otherwise(reward(score("precision"), score("conciseness")))
 
 

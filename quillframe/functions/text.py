@@ -64,16 +64,21 @@ def citation_keys(text: Column) -> Column:
 
 
 def first_tag(text: Column, tag: str) -> Column:
-    return F.trim(F.regexp_extract(text, f"(?s)<{tag}>(.*?)</{tag}>", 1))
+    """What stands in the first <tag>, trimmed; empty if there is none."""
+    return trimmed(F.regexp_extract(text, f"(?s)<{tag}>(.*?)</{tag}>", 1))
 
 
 def strip_fence(text: Column) -> Column:
-    x = F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*|\s*```$", "")
-    return F.trim(F.regexp_replace(x, r"^json\s*", ""))
+    """An answer without a fence around it, plain or json, and without a leading word json; any case, trimmed."""
+    x = F.regexp_replace(trimmed(text), rf"(?i)^```(?:json)?(?:{BLANK})?", "")
+    x = F.regexp_replace(x, rf"(?:{BLANK})?```$", "")
+    return trimmed(F.regexp_replace(x, rf"(?i)^(?:{BLANK})?json(?:{BLANK})?", ""))
 
 
 def drop_reasoning(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
+    """A text without its <think> parts, in any case where one of the tags is in small letters; not trimmed."""
+    tagged = F.contains(text, F.lit("<think>")) | F.contains(text, F.lit("</think>"))
+    return F.when(tagged, F.regexp_replace(text, r"(?is)<think>.*?</think>", "")).otherwise(text)
 
 
 def between_markers(text: Column, begin: str, end: str) -> Column:
@@ -144,18 +149,6 @@ def score_all(text: Column, label: str, most: int) -> Column:
     return F.transform(found, lambda v: F.least(F.lit(most), F.greatest(F.lit(0), v.try_cast("int"))))
 
 
-def embedded_json(text: Column) -> Column:
-    """A text's JSON value: the whole text; or from its first brace to its last closing one, or to one of
-    the four further back, two characters or more apart; or the shortest braces; null if none is JSON."""
-    body = trimmed(F.coalesce(text, F.lit("")))
-    start = F.locate("{", body)
-    tries, cut = [F.try_parse_json(body)], F.regexp_extract(body, r"(?s)^(.*\})[^}]*$", 1)
-    for _ in range(5):
-        tries.append(F.try_parse_json(F.when((start > 0) & (F.length(cut) > start), F.substr(cut, start))))
-        cut = F.regexp_extract(F.substr(cut, F.lit(1), F.greatest(F.length(cut) - 2, F.lit(0))), r"(?s)^(.*\})[^}]*$", 1)
-    return F.coalesce(*tries, F.try_parse_json(F.nullif(F.regexp_extract(body, r"(?s)\{.*?\}", 0), F.lit(""))))
-
-
 def paragraphs(text: Column) -> Column:
     """Parts between blank lines, trimmed; blank ones are dropped."""
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.btrim(p, F.lit(" \n\r\t"))), lambda p: p != "")
@@ -163,7 +156,7 @@ def paragraphs(text: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """The parts of a comma list, trimmed; blank ones are dropped."""
-    return F.filter(F.transform(F.split(text, ","), lambda k: F.trim(k)), lambda k: k != "")
+    return F.filter(F.transform(F.split(text, ","), trimmed), lambda k: k != "")
 
 
 def cut_to(text: Column, most: int, mark: str = "") -> Column:
@@ -175,11 +168,6 @@ def data_uri(data: Column, mime: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.replace(F.base64(data), F.lit("\r\n"), F.lit("")))
 
 
-def widest_braces(text: Column) -> Column:
-    """The JSON value from the first brace to the last; null if there is none."""
-    return F.try_parse_json(F.nullif(F.regexp_extract(text, r"\{[\s\S]*\}", 0), F.lit("")))
-
-
 def headed_sections(text: Column) -> Column:
     """A map of '# title' lines to the texts below them: of equal titles the last wins, text before the first is left out."""
     pieces = F.split(F.concat(F.lit("\n"), text), f"(?:{LINE_END})# ")

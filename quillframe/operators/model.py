@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from quillframe.functions import parse as P
 from quillframe.functions import text as T
 
 
@@ -116,7 +117,7 @@ def stage(df: DataFrame, prompt: Column, backend: Backend, read: Callable[[Colum
     Detection, review, judging and text preparation are such stages: a prompt, a client and a reader.
     """
     asked = complete(df.withColumn("__prompt", prompt), "__prompt", backend, tries, key)
-    return asked.withColumn(out, read(T.embedded_json(F.col("answer")))).drop("__prompt", "answer")
+    return asked.withColumn(out, read(P.embedded_json(F.col("answer")))).drop("__prompt", "answer")
 
 
 def asked_once(df: DataFrame, question: Column, reference: Column) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quillframe.functions import numeric as N
 from quillframe.functions import text as T
@@ -137,34 +136,3 @@ def copied_names(selected: DataFrame, name: str, order: list[str]) -> DataFrame:
     """selected with target: the name for the first of its name, name__1, name__2, ... for the next."""
     nth = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
     return selected.withColumn("target", F.when(nth == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("__"), nth.cast("string"))))
-
-
-def first_object(text: Column) -> Column:
-    """The first JSON object in a text, as JSON: the whole text; or from each brace on, the longest part up
-    to a closing brace that is an object; null if there is none.
-
-    A brace's part is found by one read from it: an object ends where its braces and strings close, and
-    what goes on behind it is no part of it.
-    """
-    return _first_object(text)
-
-
-@F.pandas_udf(StringType())
-def _first_object(texts):  # noqa: ANN001, ANN202  types are given by the decorator
-    import json
-
-    read = json.JSONDecoder()
-
-    def one(text: str | None) -> str | None:
-        raw, at = (text or "").strip(), 0
-        while (at := raw.find("{", at)) >= 0:
-            try:
-                found, end = read.raw_decode(raw, at)
-                if isinstance(found, dict):
-                    return raw[at:end]
-            except ValueError:
-                pass
-            at += 1
-        return None
-
-    return texts.map(one)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import text as T
+from quillframe.functions.parse import json_value
 from quillframe.operators.checks import truth_fault
 
 #: Around the text in an instruction: fixed values.
@@ -74,8 +75,8 @@ def instruction_rows(rows: DataFrame) -> DataFrame:
 def reward_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(instruction, input, ground_truth) of samples whose output is a JSON array of whole errors, and the
     others with their fault. input is the text in the instruction."""
-    truths = F.try_variant_get(F.try_parse_json(T.trimmed(F.col("output"))), "$", "array<variant>")
-    read = rows.withColumn("__truths", truths).withColumn("fault", F.when(F.try_parse_json(T.trimmed(F.col("output"))).isNull(), "no JSON").otherwise(truth_fault(F.col("__truths"))))
+    truths = F.try_variant_get(json_value(T.trimmed(F.col("output"))), "$", "array<variant>")
+    read = rows.withColumn("__truths", truths).withColumn("fault", F.when(json_value(T.trimmed(F.col("output"))).isNull(), "no JSON").otherwise(truth_fault(F.col("__truths"))))
     whole = "array<struct<error_location: string, error_type: string, error_explanation: string>>"
     good = read.where("fault is null").select(T.trimmed(F.col("instruction")).alias("instruction"), T.between_markers(T.trimmed(F.col("instruction")), TEXT_MARK, RULE).alias("input"), F.from_json("output", whole).alias("ground_truth"))
     return good, read.where("fault is not null").drop("__truths")
@@ -83,7 +84,7 @@ def reward_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def sample_ok(instruction: Column, output: Column) -> Column:
     """A sample with an instruction that is not blank and a JSON array as output."""
-    return F.coalesce((T.trimmed(instruction) != "") & F.schema_of_variant(F.try_parse_json(output)).startswith("ARRAY"), F.lit(False))
+    return F.coalesce((T.trimmed(instruction) != "") & F.schema_of_variant(json_value(output)).startswith("ARRAY"), F.lit(False))
 
 
 def sample_stats(rows: DataFrame) -> DataFrame:

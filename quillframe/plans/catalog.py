@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import boxes as X
 from quillframe.functions import numeric as N
+from quillframe.functions import parse as P
 from quillframe.functions import text as T
 from quillframe.operators import blocks as B
 from quillframe.operators import checks as C
@@ -255,9 +256,11 @@ def score_multi_avg(t):
     return each.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("reviewers"), r6(F.avg("r.Overall")).alias("overall"), r6(F.avg("r.Confidence")).alias("confidence"))
 
 
-@query(r"SELECT page_id, trim(regexp_extract(html, '<title>((?s:.*?))</title>', 1)) AS title FROM pages")
+@query(r"SELECT page_id, regexp_replace(regexp_extract(html, '<title>((?s:.*?))</title>', 1), '^\s+|\s+$', '', 'g') AS title, url AS padded, '' AS none FROM pages")
 def tag_extract(t):
-    return t.pages.select("page_id", T.first_tag(F.col("html"), "title").alias("title"))
+    """A tag of the page, one with white space of all kinds around its text and another after it, and none."""
+    padded = F.concat(F.lit("x <t>\n\t\u00a0"), "url", F.lit("\u2003\r\n</t><t>more</t>"))
+    return t.pages.select("page_id", T.first_tag(F.col("html"), "title").alias("title"), T.first_tag(padded, "t").alias("padded"), T.first_tag(F.col("url"), "t").alias("none"))
 
 
 @query("""WITH x AS (SELECT lang, sum(toxic)::BIGINT AS d, sum(1 - toxic)::BIGINT AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang)
@@ -277,12 +280,16 @@ def topn_stable_ties(t):
     return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_pos")).orderBy(F.desc("n"), "first_pos").limit(10)
 
 
-@query("SELECT event_id, CASE WHEN event_id % 6 = 4 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 9 = 4 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 9 = 7 AS nan FROM events")
 def json_extract(t):
-    """JSON alone, in noise, before other braces, before further ends, and none."""
-    p = F.col("props")
-    forms = [F.concat(F.lit("\n"), p), F.concat(F.lit("Here it is: "), p, F.lit(" -- end}")), F.concat(F.lit("a "), p, F.lit(' and {"j": 1} b')), F.concat(p, F.lit("}}")), F.lit("none {here"), F.concat(p, F.lit("}"))]
-    return t.events.select("event_id", F.try_variant_get(T.embedded_json(F.get(F.array(*forms), (F.col("event_id") % 6).cast("int"))), "$.k", "bigint").alias("k"))
+    """JSON alone, in noise, before other braces, before further ends, none, with a repeated key, with NaN, and with more behind it."""
+    p, k = F.col("props"), F.col("event_id") % 9
+    inner = F.substr(p, F.lit(2))
+    text = F.when(k == 0, F.concat(F.lit("\n"), p)).when(k == 1, F.concat(F.lit("Here it is: "), p, F.lit(" -- end}"))).when(k == 2, F.concat(F.lit("a "), p, F.lit(' and {"j": 1} b')))
+    text = text.when(k == 3, F.concat(p, F.lit("}}"))).when(k == 4, "none {here").when(k == 5, F.concat(p, F.lit("}"))).when(k == 6, F.concat(F.lit('{"k": null, "k": [1], '), inner))
+    text = text.when(k == 7, F.concat(F.lit('say {"n": NaN, '), inner)).otherwise(F.concat(p, F.lit(" tail")))
+    out = t.events.select("event_id", P.embedded_json(text).alias("v"))
+    return out.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.coalesce(F.isnan(F.try_variant_get("v", "$.n", "double")), F.lit(False)).alias("nan"))
 
 
 @query("SELECT doc_id, round(0.6 * quality + 0.4 * (1 - toxic), 6) AS reward FROM labels")

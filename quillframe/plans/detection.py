@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillframe.functions import parse as P
 from quillframe.functions import text as T
 from quillframe.operators import checks as C
 from quillframe.operators import detection as D
@@ -240,10 +241,11 @@ def message_bodies(t):
     return t.conversations.select("conv_id", "turn", M.message_text(F.parse_json(v)).alias("body"))
 
 
-@query(r"SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN '[1]' ELSE 'x' END AS bare, event_type AS kept, CASE WHEN event_id % 3 = 1 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN length(event_type) > 5 THEN substr(event_type, 1, 5) || '...' ELSE event_type END AS short FROM events")
+@query(r"SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type WHEN 1 THEN '[1]' WHEN 2 THEN 'x' WHEN 3 THEN 'python' || chr(10) || event_type WHEN 4 THEN '' ELSE event_type || '``` y' END AS bare, CASE WHEN event_id % 3 = 2 THEN ' <THINK>a</THINK>' ELSE ' ' || event_type || chr(9) END AS kept, CASE WHEN event_id % 3 = 1 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN length(event_type) > 5 THEN substr(event_type, 1, 5) || '...' ELSE event_type END AS short FROM events")
 def answer_cleaning(t):
-    e, k = F.col("event_type"), F.col("event_id") % 3
-    fenced = F.when(k == 0, F.concat(F.lit("```json\n"), e, F.lit("\n```"))).when(k == 1, "json [1]").otherwise(" ```\nx```")
-    thought = F.concat(F.lit("<think>\n{}"), e, F.lit("</THINK> "), e, F.lit(" <think></think>"))
+    """Fences of json in any case, plain ones and other words, none, and an inner one; reasoning in mixed and in capital letters alone."""
+    e, k, f = F.col("event_type"), F.col("event_id") % 3, F.col("event_id") % 6
+    fenced = F.when(f == 0, F.concat(F.lit("\t```JSON\r\n"), e, F.lit("\n```\n"))).when(f == 1, "Json\t[1]").when(f == 2, " ```\nx```").when(f == 3, F.concat(F.lit("```python\n"), e, F.lit("\n```"))).when(f == 4, "\n``` ```\u00a0").otherwise(F.concat(e, F.lit("``` y")))
+    thought = F.when(k == 2, " <THINK>a</THINK>").otherwise(F.concat(F.lit("<think>\n{}"), e, F.lit("</THINK> "), e, F.lit("\t<think></think>")))
     braces = F.when(k == 1, F.concat(F.lit("a"), "props", F.lit("b"))).otherwise("none")
-    return t.events.select("event_id", T.strip_fence(fenced).alias("bare"), T.drop_reasoning(thought).alias("kept"), F.try_variant_get(T.widest_braces(braces), "$.k", "bigint").alias("k"), T.cut_to(e, 5, "...").alias("short"))
+    return t.events.select("event_id", T.strip_fence(fenced).alias("bare"), T.drop_reasoning(thought).alias("kept"), F.try_variant_get(P.widest_braces(braces), "$.k", "bigint").alias("k"), T.cut_to(e, 5, "...").alias("short"))

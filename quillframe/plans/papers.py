@@ -152,7 +152,7 @@ def soft_budget_with_blanks(t):
 @query(r"""SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(l) - (l[len(l)] = '')::INT END AS n_lines, len(list_filter(string_split_regex(trim(text, chr(10) || ' '), '\n\s*\n'), lambda p: trim(p, chr(10) || ' ') <> '')) AS n_paragraphs,
   list_filter(string_split(k, ','), lambda x: trim(x) <> '') AS words FROM (SELECT *, string_split(text, chr(10)) AS l, lang || ',' || source AS k FROM documents)""")
 def line_and_paragraph_split(t):
-    words = F.concat(F.lit(" "), "lang", F.lit(" , ,"), "source", F.lit(","))
+    words = F.concat(F.lit("\t\n"), "lang", F.lit("\u00a0, \r\n,"), "source", F.lit("\u2003,"))
     return t.documents.select("doc_id", F.size(T.split_lines(F.col("text"))).cast("long").alias("n_lines"), F.size(T.paragraphs(F.col("text"))).cast("long").alias("n_paragraphs"), T.keywords(words).alias("words"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import boxes as X
 from quillframe.functions import numeric as N
+from quillframe.functions import parse as P
 from quillframe.functions import text as T
 from quillframe.operators import regressions as R
 from quillframe.operators import reviews as V
@@ -139,7 +140,7 @@ def first_json_object(t):
     """An object alone, after a list and a broken brace, before further braces, and none."""
     p, k = F.col("props"), F.col("event_id") % 5
     text = F.when(k == 0, p).when(k == 1, F.concat(F.lit("[1] {bad} {'a': 1} "), p, F.lit(" {}"))).when(k == 2, F.concat(p, F.lit('} and {"j": 1}'))).when(k == 3, "no { object }").otherwise(F.concat(F.lit("{{"), p))
-    return t.events.select("event_id", F.try_variant_get(F.try_parse_json(R.first_object(text)), "$.k", "bigint").alias("k"))
+    return t.events.select("event_id", F.try_variant_get(F.try_parse_json(P.first_object(text)), "$.k", "bigint").alias("k"))
 
 
 @query(r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Summary' || chr(10) || source || chr(10) || chr(10) || 'Strengths' || chr(10) || '- ' || lang || chr(10) || chr(10) || 'Weaknesses' || chr(10) || '- (empty)' || chr(10) WHEN 1 THEN 'Summary' || chr(10) || source || chr(10) || chr(10) || 'Strengths' || chr(10) || '- (not explicitly separated)' || chr(10) || chr(10) || 'Weaknesses' || chr(10) || '- (not explicitly separated)' || chr(10)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
+from quillframe.functions.parse import json_value
 from quillframe.plans.registry import query
 from quillframe.session import scratch
 from quillframe.sources import files as S
@@ -24,7 +25,7 @@ def json_files(t):
     at = folder(t)
     K.write_json(t.nation.select("n_nationkey", "n_name", F.lit(None).cast("string").alias("none"), F.col("n_regionkey").alias("region")).repartition(1, "region"), at, ["region"])
     lines = S.scan_text(t.spark, at, "*.json").select("folder", F.explode(F.split(S.trimmed(F.col("value")), "\n")).alias("value"))
-    v = F.try_parse_json("value")
+    v = json_value(F.col("value"))
     return lines.where(F.is_variant_null(F.try_variant_get(v, "$.none", "variant"))).select(F.try_variant_get(v, "$.n_nationkey", "int").alias("n_nationkey"), F.try_variant_get(v, "$.n_name", "string").alias("n_name"), "folder")
 
 

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.functions.parse import json_value
 from quillframe.functions.text import trimmed
 
+
 def scan_text(spark: SparkSession, root: str, name: str = "*", recursive: bool = True) -> DataFrame:
     """path, file, folder (the one that holds the file) and value, the whole text, of files whose name matches a glob."""
     path = F.col("_metadata.file_path")
@@ -32,7 +34,7 @@ def scan_json(spark: SparkSession, root: str, name: str = "*.json", lenient: boo
     if lenient:
         text = F.regexp_replace(F.make_valid_utf8(text), "�", "")
         text = F.when(trimmed(text) == "", F.lit("{}")).otherwise(text)
-    return scan_text(spark, root, name).select("path", "file", "folder", F.try_parse_json(text).alias("v"))
+    return scan_text(spark, root, name).select("path", "file", "folder", json_value(text).alias("v"))
 
 
 def in_named_folders(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -91,7 +93,7 @@ def samples(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """v, a variant, of each line that is a JSON object; other lines are passed over."""
-    lines = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
+    lines = spark.read.text(path).select(json_value(F.col("value")).alias("v"))
     return lines.where(is_object(F.col("v")))
 
 

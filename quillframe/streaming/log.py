@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillframe.functions.parse import json_value
 from quillframe.sources.files import is_object
 
 
 def events(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
     """The log's rows as a stream; lines that are no JSON object are passed over."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    return lines.where(is_object(F.try_parse_json("value"))).select(F.from_json("value", schema).alias("e")).select("e.*")
+    return lines.where(is_object(json_value(F.col("value")))).select(F.from_json("value", schema).alias("e")).select("e.*")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillframe.functions import numeric as N
+from quillframe.functions import parse as P
 from quillframe.functions import text as T
 from quillframe.operators import blocks as B
 from quillframe.operators import scoring as S
@@ -23,7 +24,12 @@ def test_lines_and_tags(spark):
     assert one(spark, T.split_lines(F.col("t")), t="a\r\nb\u2028\x0bc\n") == ["a", "b", "", "c"] and one(spark, T.split_lines(F.col("t")), t="") == []
     assert one(spark, T.first_tag(F.col("t"), "k"), t="<k> a\nb </k><k>c</k>") == "a\nb"
     assert one(spark, T.strip_fence(F.col("t")), t='```json\n{"a": 1}\n```') == '{"a": 1}'
-    assert one(spark, T.drop_reasoning(F.col("t")), t="<THINK>x\ny</think> z") == "z"
+    assert one(spark, T.drop_reasoning(F.col("t")), t="<THINK>x\ny</think> z") == " z"
+    assert one(spark, T.drop_reasoning(F.col("t")), t="<THINK>x</THINK> z") == "<THINK>x</THINK> z"
+    assert one(spark, T.first_tag(F.col("t"), "t"), t="<t>\nfoo\u00a0\n</t>") == "foo"
+    assert one(spark, T.strip_fence(F.col("t")), t="```Python\nx\n```\n") == "Python\nx"
+    assert one(spark, T.strip_fence(F.col("t")), t="\u2003```JSON\nJson [1]\n```") == "[1]"
+    assert one(spark, T.keywords(F.col("t")), t="\ta\n,\u00a0,b c\r") == ["a", "b c"]
     assert one(spark, T.safe_name(F.col("t")), t="é/a b") == "é_a_b"
 
 
@@ -81,6 +87,6 @@ def test_reviews_are_split_by_the_first_way_that_works(spark):
 
 
 def test_json_in_noise(spark):
-    read = lambda t: (lambda v: v.toPython() if v is not None else None)(one(spark, T.embedded_json(F.col("t")), t=t))
+    read = lambda t: (lambda v: v.toPython() if v is not None else None)(one(spark, P.embedded_json(F.col("t")), t=t))
     assert read(" [1] ") == [1] and read('a {"k": 1} b } c') == {"k": 1}
     assert read('{"k": 1}}') == {"k": 1} and read('x {"k": 1} and {"j": 1') == {"k": 1} and read("none") is None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import boxes as X
 from quillframe.functions import numeric as N
+from quillframe.functions import parse as P
 from quillframe.functions import text as T
 from quillframe.operators import checks as C
 from quillframe.operators import matching as J
@@ -90,7 +91,7 @@ def test_texts(spark):
     assert one(spark, T.keywords(F.col("t")), "a, ,b ") == ["a", "b"]
     assert one(spark, T.cut_to(F.col("t"), 3, "..."), "abcd") == "abc..." and one(spark, T.cut_to(F.col("t"), 4, "..."), "abcd") == "abcd"
     assert one(spark, T.data_uri(F.col("t").cast("binary"), F.lit("image/png")), "x" * 60).endswith("eHh4" * 20)
-    assert one(spark, T.widest_braces(F.col("t")), 'x {"a": 1} y').toPython() == {"a": 1} and one(spark, T.widest_braces(F.col("t")), "x") is None
+    assert one(spark, P.widest_braces(F.col("t")), 'x {"a": 1} y').toPython() == {"a": 1} and one(spark, P.widest_braces(F.col("t")), "x") is None
 
 
 def test_numbers(spark):
