@@ -47,6 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def refuse(df: DataFrame, *names: str) -> None:
+    """An error if df has a column of one of these names, which the caller is about to add."""
+    if clash := {n.lower() for n in names} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the input has columns {sorted(clash)}")
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new name for a table in the folder that all executors share."""
     return f"{_folder(spark.sparkContext)}/quillframe-{uuid.uuid4().hex}"

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import SPACES, cut, documents, fan_out, text_or_empty
+from quillframe.llm.common import SPACES, cut, documents, fan_out, refuse, text_or_empty
 
 #: Distinct digests that one shard's hash holds on average, about 60 bytes each.
 SHARD_KEYS = 20_000
@@ -193,8 +193,7 @@ def stage(docs: DataFrame) -> DataFrame:
     Rows are judged once. Only the keys of rows that go meet the texts, as the hashed side of a join
     through which whole texts pass without a sort. It refuses a table with a column of its own names.
     """
-    if clash := {"__digest", "__id", "__of"} & set(docs.columns):
-        raise ValueError(f"the input has columns {sorted(clash)}")
+    refuse(docs, "__digest", "__id", "__of")
     judged = cut(deduplicate(digests(docs)))
     gone, stays = (judged.where(c).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__of")) for c in ("not kept", "kept"))
     own = F.unhex(F.sha2(F.regexp_replace(text_or_empty(), SPACES, " "), 256))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm import lanes
-from quillframe.llm.common import arrow_bounds, documents
+from quillframe.llm.common import arrow_bounds, documents, refuse
 
 SAMPLE_ROWS = 48
 SAMPLE_CHARS = 400
@@ -207,8 +207,10 @@ def stage(docs: DataFrame) -> DataFrame:
 
     Rejected are texts without a letter, and texts of LEAST_JUDGED bytes or more that the best
     language needs more than REJECT_BITS bits a byte to describe: some ten standard deviations above
-    what texts in learned languages need, reached where nearly every phrase is one or two bytes.
+    what texts in learned languages need, reached where nearly every phrase is one or two bytes. It refuses
+    a table with a column __lettered.
     """
+    refuse(docs, "__lettered")
     samples = learn(docs)
     names = docs.schema.names
 

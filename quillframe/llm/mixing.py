@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import WORD, cut, documents, text_or_empty, two_level_sum
+from quillframe.llm.common import WORD, cut, documents, refuse, text_or_empty, two_level_sum
 
 BLOCK_WORDS = 512
 SHARD_SLOTS = 256
@@ -179,8 +179,10 @@ def stage(docs: DataFrame) -> DataFrame:
 
     A document of which the mix takes n times its size, n a fraction, stands floor(n + u) times, u
     being a draw from 0 to 1 by hash, so each source's words come near its target in documents, too.
-    Documents without words, which no mix takes, are left out.
+    Documents without words, which no mix takes, are left out. A document is a doc_id and a text; rows
+    equal in both stand as often each. It refuses a table with a column __id, __tie, __copies or __copy.
     """
+    refuse(docs, "__id", "__tie", "__copies", "__copy")
     per = taken(sizes(docs)).where("size > 0").groupBy("doc_id", "tie").agg((F.sum("taken") / F.sum("size")).alias("n"))
     per = per.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.floor(F.col("n") + F.pmod(_draw(F.lit("round"), F.col("doc_id"), F.col("tie")), F.lit(1 << 30)) / float(1 << 30)).cast("int").alias("__copies"))
     per = per.where("__copies > 0")

@@ -24,7 +24,7 @@ by many are searched like long runs above, with the shingle sets in the run.
 Defined cases: null or empty text, or white space alone, has fingerprint zero, linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows share fingerprint and
 component; a component without any doc_id has a null component_id; empty tables give empty results;
-extra columns are not read by the query and carried by stage().
+extra columns are not read by the query and carried by stage(), which names its own cases.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import lanes
-from quillframe.llm.common import arrow_bounds, cut, documents, fan_out
+from quillframe.llm.common import arrow_bounds, cut, documents, fan_out, refuse
 
 SHINGLE = 4
 DISTANCE = 4
@@ -235,15 +235,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def group(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """prints (doc_id, fp; computed once) with component_id, the smallest doc_id reachable."""
-    first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    return _named(prints, first, components(close_forest(first.select("fp"), distance)))
+    first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    least = _least(first, components(close_forest(first.select("fp"), distance)))
+    return prints.join(least, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
-def _named(prints: DataFrame, first: DataFrame, roots: DataFrame) -> DataFrame:
-    placed = first.join(roots, first["fp"] == roots["a"], "left").select("fp", "first_id", F.coalesce("b", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+def _least(first: DataFrame, roots: DataFrame) -> DataFrame:
+    """fp and least, the least value of first in its component."""
+    placed = first.join(roots, first["fp"] == roots["a"], "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first").alias("least"))
+    return placed.join(least, "root").select("fp", "least")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,11 +292,11 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
             keyed = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * BLOCKS, flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), batch.column(2), pa.array(sizes, pa.int64()), keyed], ["doc_id", "fp", "text_hash", "n", "keys"])
 
-    return arrow_bounds(docs).select("doc_id", "text", _text_hash()).mapInArrow(run, "doc_id long, fp long, text_hash long, n long, keys array<long>")
+    return arrow_bounds(docs).select("doc_id", "text", _text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long, n long, keys array<long>")
 
 
 def _text_hash() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -388,7 +389,7 @@ def similar_forest(docs: DataFrame, first: DataFrame) -> DataFrame:
             found = [shingle_set(x.as_py().encode()).tobytes() for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(x, SEED) for x in found], pa.uint64()).view(pa.int64()), pa.array(found, pa.binary())], ["fp", "shingles"])
 
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), _text_hash()).join(wanted, "text_hash", "left_semi").select("text")
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), _text_hash().alias("text_hash")).join(wanted, "text_hash", "left_semi").select("text")
     sets = cut(texts.mapInArrow(sets_of, "fp long, shingles binary").dropDuplicates(["fp"]))
     x, y = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
 
@@ -405,18 +406,25 @@ def similar_forest(docs: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id reachable by texts of similarity 0.8 or more."""
+    """doc_id, text_hash and kept (late, doc_id, text_hash): the first document of each text's component by
+    similarity 0.8 or more, by doc_id, nulls last, then by text_hash."""
     prints = cut(wide_fingerprints(docs))
-    first = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("text_hash", "n", "keys")]))
-    return _named(prints, first, components(similar_forest(docs, first)))
+    own = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
+    first = cut(prints.groupBy("fp").agg(F.min(own).alias("first"), F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", "keys")]))
+    least = _least(first.select("fp", "first"), components(similar_forest(docs, first)))
+    return prints.join(least, "fp").select("doc_id", "text_hash", F.col("least").alias("kept"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id.
+    """The rows of docs that stay: of each component the first document by doc_id, nulls last, then by a hash of the text.
 
-    Rows without a doc_id stay. Only the doc_ids that go are joined, so a table with few
-    near-duplicates moves its texts at most once.
+    A document is a doc_id and a text: unlike texts of one doc_id are judged apart, and rows equal in both,
+    which exact deduplication has removed, stay or go together. Only the documents that go are joined, so a
+    table with few near-duplicates moves its texts at most once. It refuses a table with a column __gone or
+    __of.
     """
+    refuse(docs, "__gone", "__of")
     judged = similar_groups(docs)
-    gone = cut(judged.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = judged.where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))))
+    gone = cut(gone.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__of")).distinct())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (_text_hash() == F.col("__of")), "left_anti")

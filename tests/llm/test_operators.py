@@ -598,10 +598,30 @@ def test_pipeline_stages_against_plain_versions(spark, tables):
     assert keyed(stages["bpe"](spark, before, tables).toPandas(), "n_tokens", "ids_sha256", "decoded_sha256") == expect(*want)
 
 
-def test_clashing_columns_are_refused(spark, tables):
-    docs = common.documents(spark, tables).withColumn("__digest", common.F.lit(1))
-    with pytest.raises(ValueError):
-        exact_dedup.stage(docs)
+@pytest.mark.parametrize("stage, name", [
+    (exact_dedup.stage, "__digest"), (exact_dedup.stage, "__of"), (simhash.stage, "__gone"), (simhash.stage, "__OF"), (mixing.stage, "__id"), (mixing.stage, "__tie"),
+    (mixing.stage, "__copies"), (mixing.stage, "__copy"), (language_id.stage, "__lettered"),
+])
+def test_clashing_columns_are_refused(spark, tables, stage, name):
+    docs = common.documents(spark, tables).withColumn(name, common.F.lit("own"))
+    with pytest.raises(ValueError, match="the input has columns"):
+        stage(docs)
+
+
+def test_near_copies_go_by_doc_id_and_text(spark):
+    x, y, z = ("".join(f"{c}{i} " for i in range(40)) for c in "xyz")
+    rows = [(1, x), (2, x + "a"), (2, y), (3, z), (None, y + "b"), (None, z + "c"), (None, "alone in its words and with none like it"), (4, y), (4, y)]
+    rows += [(5, "one two three four five six seven eight nine ten"), (5, "ONE two three four five six seven eight nine ten eleven")]
+    got = simhash.stage(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = sorted((r.doc_id or 0, r.text) for r in got)
+    assert left[:4] == sorted([(0, "alone in its words and with none like it"), (1, x), (2, y), (3, z)])
+    assert [r[0] for r in left[4:]] == [5]
+
+
+def test_near_copies_of_equal_rows_stay_or_go_together(spark):
+    x = "".join(f"w{i} " for i in range(40))
+    docs = spark.createDataFrame([(1, x), (1, x), (2, x + "a"), (2, x + "a")], "doc_id long, text string")
+    assert [tuple(r) for r in simhash.stage(docs).collect()] == [(1, x), (1, x)]
 
 
 def test_pipeline(spark, tables):
