@@ -19,6 +19,7 @@ from quillframe.session import scratch
 from quillframe.sources import files as X
 from quillframe.sources import remote
 from quillframe.sources import sinks as K
+from quillframe.sources import stored as D
 from quillframe.streaming import log as L
 
 
@@ -105,17 +106,37 @@ def calls_asked_once(t):
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def log_stream(t):
-    """The events as a log of JSON lines among broken ones, read as a stream in two runs, and the latest of each user."""
+    """The events as a log of JSON lines among broken ones, read as a stream in two runs of many micro-batches, and the latest of each user."""
     at = f"{scratch(t.spark)}/log-{uuid.uuid4().hex}"
-    half = t.events.agg(F.floor(F.max("event_id") / 2).alias("half"))
-    rows = t.events.join(half)
     line = F.when(F.col("bad"), F.lit("{broken")).otherwise(F.to_json(F.struct("user_id", "event_type", "event_id")))
-    for n, part in enumerate(("event_id <= half", "event_id > half")):
-        both = rows.where(part).select("user_id", "event_type", "event_id", F.explode(F.array(F.lit(False), F.lit(True))).alias("bad"))
-        K.write_text(both.select(line.alias("value")), f"{at}/log/{n}")
-        stream = L.events(t.spark, f"{at}/log/*", "user_id long, event_type string, event_id long")
-        L.keep_latest(stream, f"{at}/state", f"{at}/checkpoint", ["user_id"], ["event_id"]).awaitTermination()
-    return L.current(t.spark, f"{at}/state", ["user_id"], ["event_id"])
+    for n, part in enumerate((F.col("event_type").isin("click", "view"), ~F.col("event_type").isin("click", "view"))):
+        both = t.events.where(part).select("user_id", "event_type", "event_id", F.explode(F.array(F.lit(False), F.lit(True))).alias("bad"))
+        K.write_text(both.select(line.alias("value")).repartition(4), f"{at}/log/{n}")
+        stream = L.events(t.spark, f"{at}/log/*", "user_id long, event_type string, event_id long", files_per_batch=2)
+        L.keep_latest(stream, f"{at}/checkpoint", ["user_id"], ["event_id"]).awaitTermination()
+    return L.current(t.spark, f"{at}/checkpoint", ["user_id", "event_type", "event_id"])
+
+
+STORED = """WITH o AS (SELECT user_id, event_type, CASE WHEN value > 20 THEN 'high' ELSE 'low' END AS level, event_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events WHERE event_type IN ('click', 'view', 'error')),
+n AS (SELECT user_id, event_type, level, max(event_id) AS run FROM (SELECT *, CASE WHEN value > 20 THEN 'high' ELSE 'low' END AS level FROM events WHERE event_type IN ('click', 'purchase')) GROUP BY ALL),
+f AS (SELECT user_id, event_type, level, min(pos) AS pos FROM o GROUP BY ALL), top AS (SELECT user_id, max(pos) AS top FROM o GROUP BY user_id)"""
+
+
+@query(STORED + """ SELECT o.user_id, o.event_type, o.level, coalesce(n.run, o.run) AS run, o.pos::INT AS pos FROM o LEFT JOIN f USING (user_id, event_type, level, pos)
+LEFT JOIN n ON f.user_id IS NOT NULL AND n.user_id = o.user_id AND n.event_type = o.event_type AND n.level = o.level
+UNION ALL SELECT n.user_id, n.event_type, n.level, n.run, (coalesce(top, -1) + row_number() OVER (PARTITION BY n.user_id ORDER BY n.run))::INT FROM n LEFT JOIN top USING (user_id) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.user_id = n.user_id AND f.event_type = n.event_type AND f.level = n.level)""")
+def stored_runs(t):
+    """Runs of users as a stored table: clicks and purchases take the places of runs with the same key or follow them. A
+    writer dies before, and one that was told nothing runs again after; neither leaves a trace."""
+    at = f"{scratch(t.spark)}/stored-{uuid.uuid4().hex}"
+    rows = t.events.select("user_id", "event_type", F.when(F.col("value") > 20, "high").otherwise("low").alias("level"), F.col("event_id").alias("run"))
+    new = rows.where(F.col("event_type").isin("click", "purchase"))
+    D.create(rows.where(F.col("event_type").isin("click", "view", "error")), at, "user_id", ["run"], buckets=8)
+    D.stage(new.withColumn("level", F.lit("lost")), at, ["event_type", "level"], ["run"])
+    for _ in range(2):
+        D.update(new, at, ["event_type", "level"], ["run"], tag="clicks")
+    D.prune(t.spark, at)
+    return D.load(t.spark, at)
 
 
 @query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 0 ELSE s_suppkey END AS k, 'p' || s_suppkey % 4 AS folder FROM supplier WHERE s_suppkey % 3 < 2")

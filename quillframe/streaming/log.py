@@ -1,8 +1,9 @@
 """An append-only log of JSON lines as a stream, and the latest state of each key.
 
-Each micro-batch is reduced to its latest row per key and written under a folder of its own number,
-so a batch that is run again after a failure replaces itself. The streaming checkpoint keeps what was
-read, which stands for a scan of the state on restart.
+The latest row of each key is a streaming aggregate, so it lives in Spark's state store: a row a key,
+whatever the length of the log. A micro-batch writes the keys it touches, is run again from the same
+version of the state after a failure, and the store drops versions that are no longer needed. current()
+reads the store itself, so there is no second copy of the state to keep in step with the checkpoint.
 """
 
 from __future__ import annotations
@@ -22,21 +23,24 @@ def events(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Of each key the row that is greatest by order, then by all columns; no task holds a key's rows."""
+    """key, and row: of each key the row that is greatest by order, then by all columns; no task holds a key's rows."""
     rest = [c for c in df.columns if c not in order]
-    row = F.max(F.struct(*order, *rest)).alias("row")
-    return df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(row).select("row.*").select(*df.columns)
+    key = F.struct(*[F.col(k).alias(f"key{i}") for i, k in enumerate(keys)])
+    return df.groupBy(key.alias("key")).agg(F.max(F.struct(*order, *rest)).alias("row"))
 
 
-def keep_latest(stream: DataFrame, state: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Starts the query that takes what the log has now, and ends."""
+def keep_latest(stream: DataFrame, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
+    """Starts the query that takes what the log has now into the state under checkpoint, and ends.
 
-    def save(batch: DataFrame, number: int) -> None:
-        latest(batch, keys, order).write.mode("overwrite").parquet(f"{state}/batch={number}")
+    The number of state partitions is fixed by the first run of a checkpoint: the session's shuffle
+    partitions of that time.
+    """
+    out = latest(stream, keys, order).writeStream.outputMode("update").format("noop")
+    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def current(spark: SparkSession, state: str, keys: list[str], order: list[str]) -> DataFrame:
-    """The latest row of each key over all batches."""
-    return latest(spark.read.parquet(state), keys, [*order, "batch"]).drop("batch")
+def current(spark: SparkSession, checkpoint: str, columns: list[str], batch: int | None = None) -> DataFrame:
+    """columns of the latest row of each key, after the last batch that was committed or after the named one."""
+    store = spark.read.format("statestore")
+    store = store if batch is None else store.option("batchId", batch)
+    return store.load(checkpoint).select("value.max.*").select(*columns)

@@ -68,8 +68,8 @@ def test_log_stream(spark, tmp_path):
     def take(name, lines):
         (tmp_path / "in" / name).write_text("\n".join(lines))
         stream = log.events(spark, str(tmp_path / "in"), "k int, t int, v string")
-        assert log.keep_latest(stream, str(tmp_path / "state"), str(tmp_path / "check"), ["k"], ["t"]).awaitTermination(120)
-        return sorted(map(tuple, log.current(spark, str(tmp_path / "state"), ["k"], ["t"]).collect()))
+        assert log.keep_latest(stream, str(tmp_path / "check"), ["k"], ["t"]).awaitTermination(120)
+        return sorted(map(tuple, log.current(spark, str(tmp_path / "check"), ["k", "t", "v"]).collect()))
 
     first = ['{"k":1,"t":1,"v":"a"}', "", "junk", "[1]", '{"k":1,"t":3,"v":"b"}', '{"k":2,"t":1,"v":"c"}']
     assert take("0.jsonl", first) == [(1, 3, "b"), (2, 1, "c")]
