@@ -5,12 +5,12 @@ logarithmic cells, are built per language and source with map-side partial count
 language and over all rows. Counts merge exactly in any order, so reruns agree, and a quantile is
 within half a per cent of its value. Two quantiles of each are read; a group's fence is the upper
 one plus a multiple of their distance, which has a floor per measure so that a uniform group does
-not fence off ordinary text. Word length and symbols take the
-quartiles. Duplicate lines and repeated words, which most texts of any group have none of, take the
-median and the 95th percentile, so that their fences follow the group's tail and, where that is
-ordinary, lie well below what the base rule takes. Groups with fewer than
-LEAST_ROWS rows use their language's fence, or the fence of all rows. Documents are joined with
-their group's fences and fail if a measure is outside.
+not fence off ordinary text. Word length takes the quartiles. Symbols, duplicate lines and repeated
+words, which most texts of any group have none of, take the median and the 90th or 95th percentile, so
+that their fences follow the group's tail and, where that is ordinary, lie well below what the base rule
+takes. A group's sketch is mixed with some rows of its language's, and a language's with some of all rows',
+so small groups have the fences of larger ones around them, without a size at which that changes. Documents
+are joined with their group's fences and fail if a measure is outside.
 
 Defined cases: null or empty text has no words and fails the base rule; null language or source is
 a group of its own; repeated rows are judged alike; empty tables give empty results; extra columns
@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import SPACES, WORD, cut, documents, text_or_empty
 
-LEAST_ROWS = 200
+#: Rows of its language that count with a group's own, and of all rows with a language's, and the points that stand for them.
+PRIOR, POINTS = 25, 20
 #: The sketches' grid: largest value of the first cell, and the growth of a cell, twice the relative error of a quantile.
 LEAST, GRID = 1e-4, 0.01
-QUARTILES, TAIL = (0.25, 0.75, 6.0), (0.5, 0.95, 3.0)
+QUARTILES, TENTH, TAIL = (0.25, 0.75, 6.0), (0.5, 0.9, 3.0), (0.5, 0.95, 3.0)
 #: Measure: smallest distance of its two quantiles that counts, whether low values fail as well, the quantiles and the multiple.
-MEASURES = {"word_length": (0.5, True, QUARTILES), "symbol_rate": (0.02, False, QUARTILES), "duplicate_line_rate": (0.08, False, TAIL), "repeated_word_rate": (0.03, False, TAIL)}
+MEASURES = {"word_length": (0.5, True, QUARTILES), "symbol_rate": (0.04, False, TENTH), "duplicate_line_rate": (0.08, False, TAIL), "repeated_word_rate": (0.03, False, TAIL)}
 
 
 def base_columns(df: DataFrame) -> DataFrame:
@@ -86,36 +87,53 @@ def sketches(judged: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "e.measure", "e.cell").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys, "measure", "cell").agg(F.sum("n").alias("n"))
+
+
+def _points(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """PRIOR rows that stand for a sketch: its quantiles at POINTS even places, the cells that have one with their share."""
+    of = Window.partitionBy(*keys, "measure")
+    upto, rows = F.sum("n").over(of.orderBy("cell")), F.sum("n").over(of)
+    points = sketch.withColumns({"__upto": upto, "__rows": rows})
+    passed = lambda n: F.floor(n * POINTS / F.col("__rows") + 0.5 + 1e-6)
+    points = points.withColumn("n", passed(F.col("__upto")) - passed(F.col("__upto") - F.col("n")))
+    return points.where("n > 0").select(*keys, "measure", "cell", (F.col("n") * (PRIOR / POINTS)).alias("n"))
+
+
+def _mixed(own: DataFrame, keys: list[str], prior: DataFrame, on: list[str]) -> DataFrame:
+    """own with the prior's rows of the same values of on added to each group."""
+    groups = own.select(*keys, "measure").distinct()
+    held = prior.select(*[F.col(c).alias(f"__{c}") for c in on], F.col("measure").alias("__measure"), "cell", "n")
+    match = F.col("measure") == F.col("__measure")
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return _summed(own.unionByName(groups.join(held, match).select(*keys, "measure", "cell", "n")), keys)
+
+
 def fences(judged: DataFrame) -> DataFrame:
     """One row per (lang, source): low and high fence of each measure.
 
     Sketches are aggregated once per group and cut; those of languages and of all rows are merged from them.
+    Every group's sketch gets PRIOR rows of its language's, and a language's PRIOR rows of all rows', so a
+    fence follows its group the more, the more rows the group has, at every size by one rule.
     """
-    leaf = cut(sketches(judged))
-    null = F.lit(None).cast("string")
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), lang.alias("l"), source.alias("s")) for k, lang, source in ((1, F.col("lang"), F.col("source")), (2, F.col("lang"), null), (3, null, null))])
-    merged = leaf.select(F.explode(levels).alias("at"), "measure", "cell", "n").groupBy("at.level", "at.l", "at.s", "measure", "cell").agg(F.sum("n").alias("n"))
-    of = Window.partitionBy("level", "l", "s", "measure")
+    leaf = cut(sketches(judged)).withColumn("n", F.col("n").cast("double"))
+    whole = _points(_summed(leaf, []), [])
+    langs = _points(_mixed(_summed(leaf, ["lang"]), ["lang"], whole, []), ["lang"])
+    merged = _mixed(leaf, ["lang", "source"], langs, ["lang"])
+    of = Window.partitionBy("lang", "source", "measure")
     merged = merged.withColumns({"upto": F.sum("n").over(of.orderBy("cell")), "rows": F.sum("n").over(of)})
     picks = []
     for m, (_, _, (lower, upper, _)) in MEASURES.items():
         for end, q in (("a", lower), ("b", upper)):
-            picks.append(_middle(F.min(F.when((F.col("measure") == m) & (F.col("upto") >= q * F.col("rows")), F.col("cell")))).alias(f"{m}_{end}"))
-    level = cut(merged.groupBy("level", "l", "s").agg(F.max("rows").alias("rows"), *picks))
-    names = ["rows", *[f"{m}_{end}" for m in MEASURES for end in "ab"]]
-    values = F.struct(*names)
-    own = level.where("level = 1").select(F.col("l").alias("__lang"), F.col("s").alias("__source"), values.alias("own"))
-    lang = level.where("level = 2").select(F.col("l").alias("__of"), values.alias("by_lang"))
-    whole = level.where("level = 3").select(*names).first()  # one row
-    by_all = F.struct(*[F.lit(whole[c] if whole else None).cast(level.schema[c].dataType).alias(c) for c in names])
-    out = own.join(lang, F.col("__lang").eqNullSafe(F.col("__of")), "left").withColumn("by_all", by_all)
-    use = F.when(F.col("own.rows") >= LEAST_ROWS, F.col("own")).when(F.col("by_lang.rows") >= LEAST_ROWS, F.col("by_lang")).otherwise(F.col("by_all"))
-    out = out.withColumn("use", use)
+            picks.append(_middle(F.min(F.when((F.col("measure") == m) & (F.col("upto") >= q * F.col("rows") - 1e-6), F.col("cell")))).alias(f"{m}_{end}"))
+    out = merged.groupBy(F.col("lang").alias("__lang"), F.col("source").alias("__source")).agg(*picks)
     for m, (floor, _, (_, _, wide)) in MEASURES.items():
-        a, b = F.col(f"use.{m}_a"), F.col(f"use.{m}_b")
+        a, b = F.col(f"{m}_a"), F.col(f"{m}_b")
         reach = F.greatest(b - a, F.lit(floor)) * wide
         out = out.withColumns({f"{m}_low": a - reach, f"{m}_high": b + reach})
-    return out.select("__lang", "__source", *[f"{m}_{e}" for m in MEASURES for e in ("low", "high")])
+    return cut(out.select("__lang", "__source", *[f"{m}_{e}" for m in MEASURES for e in ("low", "high")]))
 
 
 def judge(docs: DataFrame) -> DataFrame:
