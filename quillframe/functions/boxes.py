@@ -34,15 +34,3 @@ def contains(outer: Column, inner: Column, pixels: float = 2, share: float = 0.1
 def on_page(b: Column, page: Column) -> Column:
     """b with the page it is on."""
     return F.struct(*[b[n].alias(n) for n in ("x0", "y0", "x1", "y1")], page.cast("int").alias("page"))
-
-
-def without_parts(boxes: Column) -> Column:
-    """Of an array of boxes on pages, those in no larger one that is kept on their page: from large to small, ties as given."""
-    ranked = F.transform(boxes, lambda b, i: F.struct((-area(b)).alias("less"), i.alias("pos"), b.alias("b")))
-    ordered = F.transform(F.array_sort(ranked), lambda r: r["b"])
-
-    def keep(kept: Column, b: Column) -> Column:
-        inside = F.exists(kept, lambda k: k["page"].eqNullSafe(b["page"]) & contains(k, b) & (area(k) > area(b)))
-        return F.when(inside, kept).otherwise(F.concat(kept, F.array(b)))
-
-    return F.aggregate(ordered, F.filter(boxes, lambda b: F.lit(False)), keep)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillframe.functions import text as T
-from quillframe.functions.parse import json_value
+from quillframe.functions.parse import json_value, stable_json
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -59,8 +59,8 @@ def judged_reward(output: Column, truth: Column, scores: Column) -> Column:
 
 
 def config_key(parts: list[str]) -> Column:
-    """SHA-1 of the parts as JSON with sorted keys."""
-    return F.sha1(F.to_json(F.struct(*sorted(parts)), {"ignoreNullFields": "false"}))
+    """SHA-1 of the parts, nested ones too, as JSON with the keys of all records in order and numbers as Python writes them."""
+    return F.sha1(stable_json(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})))
 
 
 def finite01(x: Column) -> Column:

@@ -60,6 +60,11 @@ def first_object(text: Column) -> Column:
     return _first_object(text)
 
 
+def stable_json(text: Column) -> Column:
+    """A JSON text with the keys of all its objects in order and no spaces, by which equal values have equal texts; null for what is no JSON."""
+    return _stable(text)
+
+
 def read(text: str) -> object:
     """Python's reading of a JSON text, with numbers that are not finite as strings."""
     return json.loads(text, parse_constant=str, parse_float=_finite)
@@ -150,6 +155,17 @@ def _nested(raw: str, start: int, stop: int, failed: set[int], objects: dict[int
     failed.update(place for bracket, place, _ in stack if bracket == "{")
 
 
+@F.pandas_udf(StringType())
+def _stable(x: pd.Series) -> pd.Series:
+    def one(text: str) -> str | None:
+        try:
+            return json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode("utf-8", "replace").decode()
+        except (ValueError, RecursionError):
+            return None
+
+    return x.map(one, na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def _reread(x: pd.Series) -> pd.Series:
     return x.map(_again, na_action="ignore")

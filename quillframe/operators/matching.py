@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.operators.search import in_cells, occurrences
+
 
 def applied_edits(edits: DataFrame, results: DataFrame, key: str, id_: str) -> DataFrame:
     """The edits whose id was applied; all edits of a paper that has no applied one."""
@@ -19,18 +22,28 @@ def first_containing(blocks: DataFrame, needles: DataFrame, key: str, pos: str,
     none), its offset from 0, and up to around characters before and after the match. An empty needle is
     found nowhere.
 
-    Each different needle of a paper is searched once, and only places are aggregated; the text around a
-    match is read from the one block that has it.
+    Each different needle of a paper is searched once, all of a cell's needles at a time, and a cell hands
+    on a row a needle.
     """
     once = needles.where(F.col(needle) != "").select(F.col(key), F.col(needle).alias("__needle")).distinct()
-    at = F.position(F.col("__needle"), F.col(text))
-    pairs = once.join(blocks.select(key, pos, text), [key]).where(at > 0)
-    first = pairs.groupBy(key, "__needle").agg(F.min(F.struct(F.col(pos).alias("pos"), at.alias("at"))).alias("__hit")).select(key, "__needle", "__hit.*")
-    own = blocks.select(F.col(key).alias("__key"), F.col(pos).alias("__pos"), F.col(text).alias("__text"))
-    first = first.join(own, (F.col(key) == F.col("__key")) & (F.col("pos") == F.col("__pos")))
-    end, start = F.col("at") + F.length("__needle"), F.greatest(F.lit(1), F.col("at") - around)
-    before, after = F.substr("__text", start, F.col("at") - start), F.substr("__text", end, F.lit(around))
-    first = first.select(F.col(key).alias("__of"), "__needle", "pos", (F.col("at") - 1).alias("offset"), before.alias("before"), after.alias("after"))
+    kind = {c: blocks.schema[c].dataType.simpleString() for c in (key, pos)}
+
+    def look(b: pa.Table, n: pa.Table) -> pa.Table:
+        texts, wanted, place = b[text].to_pylist(), n["__needle"].to_pylist(), b[pos].to_pylist()
+        first: dict[int, tuple] = {}
+        for i, w, o in zip(*(x.tolist() for x in occurrences(texts, wanted))):
+            if i not in first or (place[w], o) < first[i][:2]:
+                first[i] = place[w], o, w
+        own = [(texts[w], o, o + len(wanted[i])) for i, (_, o, w) in first.items()]
+        return pa.table({
+            key: pa.array(n[key].to_pylist()[:1] * len(first), n[key].type), "__needle": pa.array([wanted[i] for i in first], pa.string()),
+            "pos": pa.array([x[0] for x in first.values()], b[pos].type), "offset": pa.array([x[1] for x in first.values()], pa.int32()),
+            "before": pa.array([t[max(0, a - around) : a] for t, a, _ in own], pa.string()), "after": pa.array([t[e : e + around] for t, _, e in own], pa.string()),
+        })
+
+    held = blocks.where(F.col(text).isNotNull() & F.col(pos).isNotNull()).select(key, pos, text)
+    found = in_cells(held, once, key, F.col(text), F.col("__needle"), look, f"`{key}` {kind[key]}, __needle string, pos {kind[pos]}, offset int, before string, after string")
+    first = found.groupBy(F.col(key).alias("__of"), "__needle").agg(F.min(F.struct("pos", "offset", "before", "after")).alias("__hit")).select("__of", "__needle", "__hit.*")
     return needles.join(first, (needles[key] == F.col("__of")) & (needles[needle] == F.col("__needle")), "left").drop("__of", "__needle")
 
 
@@ -41,11 +54,6 @@ def in_first_run(blocks: DataFrame, runs: DataFrame, key: str, index: str, wante
     return blocks.join(first, key).where(F.col(index).between(F.col("start_index"), F.col("end_index"))).drop("start_index", "end_index")
 
 
-def zipped(left: DataFrame, right: DataFrame, key: str, pos: str) -> DataFrame:
-    """Rows of the same position in both; the longer side's rest is left out."""
-    return left.join(right, [key, pos])
-
-
 def hit_flags(matches: Column, n: Column) -> Column:
     """Flags of n ground truths by the matches (gt_index, matched): an index in 0 .. n - 1 is taken as it
     is, n as n - 1; the k-th match with no such index takes the k-th place, and nothing beyond n."""
@@ -55,9 +63,3 @@ def hit_flags(matches: Column, n: Column) -> Column:
     hit = F.filter(F.arrays_zip(at.alias("at"), F.transform(matches, lambda m: F.coalesce(m["matched"], F.lit(False))).alias("hit")), lambda z: z["hit"])
     taken = F.transform(hit, lambda z: z["at"])
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.array_contains(taken, i))).otherwise(F.array().cast("array<boolean>"))
-
-
-def grouped_by_text(rows: DataFrame, key: list[str], order: str, columns: list[str]) -> DataFrame:
-    """One row a paragraph: its rows' columns as an array in order. A paragraph's edits are few; rows without bound do not belong here."""
-    ordered = F.array_sort(F.collect_list(F.struct(order, *columns)))
-    return rows.groupBy(*key).agg(F.transform(ordered, lambda e: F.struct(*[e[c].alias(c) for c in columns])).alias("errors"))

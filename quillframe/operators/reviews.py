@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions import numeric as N
 from quillframe.functions import text as T
 from quillframe.functions.text import trimmed
+from quillframe.operators.search import in_cells, occurrences
 from quillframe.sources.files import is_object
 
 #: Titles of a list of references: fixed values.
@@ -92,10 +95,32 @@ def reference_blocks(blocks: DataFrame, section: str = "section", kind: str = "t
 
 def cited_entries(entries: DataFrame, keys: DataFrame, paper: str, pos: str, text: str, key: str) -> DataFrame:
     """keys, repeated rows too, with pos and text of the first entry of the paper that each names: 'name|year'
-    by both words in it, the name in any case, 'n' by a line that starts with [n]. Keys that name none have nulls."""
-    name, year = F.split_part(F.col(key), F.lit("|"), F.lit(1)), F.split_part(F.col(key), F.lit("|"), F.lit(2))
-    by_name = F.contains(F.col(key), F.lit("|")) & F.contains(F.lower(F.col(text)), F.lower(name)) & F.contains(F.col(text), year)
-    by_number = ~F.contains(F.col(key), F.lit("|")) & F.rlike(F.col(text), F.concat(F.lit(r"(?m)^\s*\["), F.col(key), F.lit(r"\]")))
-    once = keys.select(F.col(paper), F.col(key)).distinct().join(entries.select(paper, pos, text), [paper])
-    first = once.where(by_name | by_number).groupBy(paper, key).agg(F.min(F.struct(pos, text)).alias("e"))
+    by both words in it, the name in any case, 'n' by a line that starts with [n]. Keys that name none have nulls.
+
+    Names and years are searched together in cells of a paper; numbers meet by the numbers that lines begin with.
+    """
+    once, kind = keys.select(paper, key).distinct(), {c: entries.schema[c].dataType.simpleString() for c in (paper, pos)}
+    named = once.where(F.contains(key, F.lit("|"))).withColumns({"__name": F.lower(F.split_part(F.col(key), F.lit("|"), F.lit(1))), "__year": F.split_part(F.col(key), F.lit("|"), F.lit(2))})
+
+    def look(b: pa.Table, n: pa.Table) -> pa.Table:
+        b = b.sort_by([(pos, "ascending"), (text, "ascending")])
+        everywhere, within = np.arange(b.num_rows), {}
+        for lower, column in ((True, "__name"), (False, "__year")):
+            words = n[column].unique().to_pylist()
+            which, where, _ = occurrences(b["__lower" if lower else text].to_pylist(), words)
+            edges = np.searchsorted(which, np.arange(len(words) + 1))
+            within |= {(lower, w): where[edges[i] : edges[i + 1]] if w else everywhere for i, w in enumerate(words)}
+        both = [np.intersect1d(within[True, name], within[False, year], assume_unique=True)[:1] for name, year in zip(n["__name"].to_pylist(), n["__year"].to_pylist())]
+        first = pa.array([int(x[0]) if len(x) else None for x in both], pa.int64())
+        hit = first.is_valid()
+        own, found = n.filter(hit), b.take(first.filter(hit))
+        return pa.table({paper: own[paper], key: own[key], "pos": found[pos], "text": found[text]})
+
+    held = entries.where(F.col(text).isNotNull() & F.col(pos).isNotNull()).select(paper, F.col(pos), F.col(text))
+    schema = f"`{paper}` {kind[paper]}, `{key}` string, pos {kind[pos]}, text string"
+    by_name = in_cells(held.withColumn("__lower", F.lower(text)), named, paper, F.col(text), F.col(key), look, schema)
+    numbers = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?m)^\s*\[([^\[\]]*)\]"), F.lit(1)))
+    by_number = held.select(F.col(paper).alias("__of"), F.col(pos).alias("pos"), F.col(text).alias("text"), F.explode(numbers).alias("__number"))
+    by_number = once.where(~F.contains(key, F.lit("|"))).join(by_number, (F.col(paper) == F.col("__of")) & (F.col(key) == F.col("__number"))).select(paper, key, "pos", "text")
+    first = by_name.unionByName(by_number).groupBy(paper, key).agg(F.min(F.struct(F.col("pos").alias(pos), F.col("text").alias(text))).alias("e"))
     return keys.join(first, [paper, key], "left").select(*keys.columns, "e.*")

@@ -21,6 +21,17 @@ def breakdown(df: DataFrame, paper: str, dims: list[str], matched: Column) -> Da
     return out.withColumn("rate", ratio(F.col("matched"), F.col("total")))
 
 
+def in_order(buckets: DataFrame) -> DataFrame:
+    """breakdown() in order of dimensions and values, with nth, a value's place in its dimension from 1."""
+    nth = F.row_number().over(Window.partitionBy("dim").orderBy("value"))  # a row a value
+    return buckets.withColumn("nth", nth).orderBy("dim", "nth")
+
+
+def head(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group in an order: a head sample, whose limit is what is asked for."""
+    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__nth") <= n).drop("__nth")
+
+
 def overall(df: DataFrame, paper: str, matched: Column) -> DataFrame:
     per = df.groupBy(paper).agg(F.count(F.lit(1)).alias("t"), F.sum(matched.cast("int")).alias("m"))
     return per.agg(F.count(F.lit(1)).alias("paper_count"), F.sum("t").alias("total"), F.sum("m").alias("matched"), ratio(F.sum("m"), F.sum("t")).alias("micro_rate"), F.avg(F.col("m") / F.col("t")).alias("macro_rate"))

@@ -13,11 +13,14 @@ from quillframe.functions import boxes as X
 from quillframe.functions import numeric as N
 from quillframe.functions import parse as P
 from quillframe.functions import text as T
+from quillframe.functions import tokens as K
 from quillframe.operators import blocks as B
 from quillframe.operators import checks as C
 from quillframe.operators import matching as J
+from quillframe.operators import resume as U
 from quillframe.operators import reviews as R
 from quillframe.operators import scoring as S
+from quillframe.operators import selection as M
 from quillframe.plans.registry import ORACLES, QUERIES, Tables, query, r6
 
 
@@ -29,13 +32,15 @@ LABELLED = "labels JOIN documents USING (doc_id)"
 
 
 @query(f"""
-WITH x AS (SELECT source, unnest(['lang', 'quality']) AS dim, unnest([lang, quality::VARCHAR]) AS value, toxic FROM {LABELLED}),
+WITH x AS (SELECT source, unnest(['lang', 'quality', 'size', 'lined']) AS dim, unnest([lang, quality::VARCHAR, length(n_chars::VARCHAR)::VARCHAR, contains(text, chr(10))::VARCHAR]) AS value, toxic FROM {LABELLED}),
 p AS (SELECT source, dim, value, count(*) AS t, sum(toxic) AS m FROM x WHERE value IS NOT NULL GROUP BY ALL)
 SELECT dim, value, count(*) AS paper_count, sum(t)::BIGINT AS total, sum(m)::BIGINT AS matched,
-       round(sum(m) / sum(t), 6) AS rate, round(avg(m / t), 6) AS macro_rate FROM p GROUP BY dim, value""")
+       round(sum(m) / sum(t), 6) AS rate, round(avg(m / t), 6) AS macro_rate, row_number() OVER (PARTITION BY dim ORDER BY value)::INT AS nth FROM p GROUP BY dim, value""")
 def macro_micro_breakdown(t):
-    out = S.breakdown(labelled(t), "source", ["lang", "quality"], F.col("toxic") == 1)
-    return out.select("dim", "value", "paper_count", "total", "matched", r6("rate").alias("rate"), r6("macro_rate").alias("macro_rate"))
+    """All four dimensions in one pass, their values in order."""
+    rows = t.labels.join(t.documents.select("doc_id", "lang", "source", F.length(F.col("n_chars").cast("string")).alias("size"), F.contains("text", F.lit("\n")).alias("lined")), "doc_id")
+    out = S.in_order(S.breakdown(rows, "source", ["lang", "quality", "size", "lined"], F.col("toxic") == 1))
+    return out.select("dim", "value", "paper_count", "total", "matched", r6("rate").alias("rate"), r6("macro_rate").alias("macro_rate"), "nth")
 
 
 @query(f"""
@@ -164,7 +169,17 @@ def histogram_by5(t):
 
 @query("SELECT count(*) AS total, count(*) FILTER (n_chars > 0) AS readable, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean, median(n_chars) AS med FROM documents")
 def page_stats(t):
-    return t.documents.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n_chars") > 0).alias("readable"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), r6(F.avg("n_chars")).alias("mean"), F.median("n_chars").alias("med"))
+    """Counts and means in one pass; the exact median by narrowing ranges."""
+    one = t.documents.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n_chars") > 0).alias("readable"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), r6(F.avg("n_chars")).alias("mean"))
+    return one.withColumn("med", F.lit(M.median(t.documents, "n_chars")).cast("double"))
+
+
+@query("SELECT event_type, median(value) AS med, count(*) AS n FROM events GROUP BY event_type")
+def medians_by_kind(t):
+    """The exact median of each kind of event, the kinds being few."""
+    n = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = [(r.event_type, M.median(t.events.where(F.col("event_type").eqNullSafe(F.lit(r.event_type))), "value"), r.n) for r in n.collect()]
+    return t.spark.createDataFrame(rows, "event_type string, med double, n long")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size <= 0 THEN 'unreadable' WHEN p_size < 30 THEN 'keep' ELSE 'overlong' END AS verdict FROM part")
@@ -177,6 +192,14 @@ def alignment_stats(t):
     return S.metric_stats(t.lineitem, ["l_orderkey"], "l_quantity").select("l_orderkey", "n", r6("mean").alias("mean"), r6("std").alias("std"), "min", "max")
 
 
+@query(r"""SELECT event_id, sha1('{"a":{"b":{"c":"' || event_type || '","d":null,"u":' || user_id || '},"y":' || value || '},"z":{"k":' || (props->>'$.k') || '}}') AS config_key FROM events""")
+def nested_config(t):
+    """Keys of nested configurations, whose records have their fields in any order."""
+    inner = F.struct(F.col("user_id").alias("u"), F.lit(None).cast("int").alias("d"), F.col("event_type").alias("c"))
+    rows = t.events.select("event_id", F.from_json("props", "k long").alias("z"), F.struct(F.col("value").alias("y"), inner.alias("b")).alias("a"))
+    return rows.select("event_id", N.config_key(["z", "a"]).alias("config_key"))
+
+
 @query("""SELECT sha1('{"l_linestatus":"' || l_linestatus || '","l_returnflag":"' || l_returnflag || '"}') AS config_key, count(*) AS n, round(avg(l_discount), 6) AS mean FROM lineitem GROUP BY 1""")
 def config_group(t):
     return t.lineitem.groupBy(N.config_key(["l_returnflag", "l_linestatus"]).alias("config_key")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("l_discount")).alias("mean"))
@@ -187,9 +210,34 @@ def latest_record(t):
     return S.latest(t.events, "user_id", [F.desc(F.col("event_type") == "purchase"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("""SELECT user_id, arg_max(event_type, event_id) AS last_type, arg_max(props, event_id) FILTER (value > 50) AS last_props, count(*) AS n FROM events GROUP BY user_id""")
+#: Events as records of a log of samples: views are predictions and purchases judgements, errors fail, clicks are
+#: predictions of nothing but white space, and sign-ups records of another kind.
+RECORDS = """WITH r AS (SELECT user_id AS sample, event_id AS pos, CASE WHEN event_type IN ('view', 'click', 'error') THEN 'pred' WHEN event_type = 'purchase' THEN 'judge' ELSE 'note' END AS kind,
+CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, CASE event_type WHEN 'click' THEN chr(10) || chr(9) WHEN 'error' THEN NULL ELSE props END AS prediction FROM events)"""
+
+
+def records(t: Tables) -> DataFrame:
+    e = F.col("event_type")
+    kind, text = F.when(e.isin("view", "click", "error"), "pred").when(e == "purchase", "judge").otherwise("note"), F.when(e == "click", "\n\t").when(e != "error", F.col("props"))
+    return t.events.select(F.col("user_id").alias("sample"), F.col("event_id").alias("pos"), kind.alias("kind"), F.when(e == "error", "failed").otherwise("success").alias("status"), text.alias("prediction"))
+
+
+@query(RECORDS + """ SELECT sample, coalesce(bool_or(kind = 'pred'), false) AS pred_done, coalesce(arg_max(status, pos) FILTER (kind = 'pred') = 'success', false) AS pred_success, coalesce(bool_or(kind = 'judge'), false) AS judge_done,
+coalesce(arg_max(status, pos) FILTER (kind = 'judge') = 'success', false) AS judge_success, arg_max(prediction, pos) FILTER (kind IN ('pred', 'judge') AND trim(prediction, chr(10) || chr(9) || ' ') <> '') AS prediction FROM r GROUP BY sample""")
 def resume_state(t):
-    return t.events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.max_by(F.when(F.col("value") > 50, F.col("props")), F.when(F.col("value") > 50, F.col("event_id"))).alias("last_props"), F.count(F.lit(1)).alias("n"))
+    return U.sample_state(records(t), "sample", "pos", "kind", "status", "prediction")
+
+
+@query(RECORDS + """ SELECT sample, kind, status, prediction, pos FROM r WHERE kind IN ('pred', 'judge') QUALIFY row_number() OVER (PARTITION BY sample ORDER BY kind = 'judge' DESC, pos DESC) = 1""")
+def final_records(t):
+    """The last judgement of each sample, or else its last prediction."""
+    return U.final_records(records(t), "sample", "pos", "kind").select("sample", "kind", "status", "prediction", "pos")
+
+
+@query("SELECT user_id, event_id FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 5")
+def head_of_failures(t):
+    """The first five failures of each user: the limit is the feature."""
+    return S.head(t.events.where("event_type = 'error'").select("user_id", "event_id"), ["user_id"], ["event_id"], 5)
 
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -408,6 +456,14 @@ def bbox_containment(t):
     return t.part.select("p_partkey", X.contains(outer, inner).alias("inside"))
 
 
+@query()
+def token_counts(t):
+    """The tokens of every whole text, and the text cut to fifty of them; estimates where no vocabulary is installed."""
+    path, text = K.installed("byte_bpe_50k.tiktoken"), F.coalesce("text", F.lit(""))
+    cut = F.substring(text, 1, 175) if path is None else K.cut_to_tokens(text, 50, path)
+    return t.documents.select("doc_id", K.token_count(text, path).alias("tokens"), K.token_count(text).alias("estimate"), F.sha1(cut).alias("cut_sha1"))
+
+
 def queries() -> dict:
     from quillframe.plans import detection, papers, regressions, replies, runs, scans, training  # noqa: F401  they register themselves
 

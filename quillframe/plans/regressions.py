@@ -8,6 +8,7 @@ from quillframe.functions import boxes as X
 from quillframe.functions import numeric as N
 from quillframe.functions import parse as P
 from quillframe.functions import text as T
+from quillframe.operators import figures as G
 from quillframe.operators import regressions as R
 from quillframe.operators import reviews as V
 from quillframe.operators import scoring as S
@@ -186,6 +187,6 @@ SELECT l_orderkey, len(arg_max(kept, k)) AS n_kept FROM f GROUP BY l_orderkey"""
 def sub_images(t):
     """Boxes within larger ones of their page go, from large to small."""
     x, y, w, h = F.col("l_partkey") % 40, F.col("l_suppkey") % 40, 20 + F.col("l_partkey") % 60, 20 + F.col("l_suppkey") % 60
-    rows = t.lineitem.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", X.on_page(X.from_size(x, y, w, h), F.col("l_linenumber") % 2).alias("b")).alias("r"))
-    boxes = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["b"]).alias("bs"))
-    return boxes.select("l_orderkey", F.size(X.without_parts(F.col("bs"))).cast("long").alias("n_kept"))
+    rows = t.lineitem.select("l_orderkey", (F.col("l_linenumber") % 2).alias("page"), "l_linenumber", "l_partkey", "l_suppkey", X.from_size(x, y, w, h).alias("box"))
+    kept = G.without_parts(rows, ["l_orderkey", "page"], "box", ["l_linenumber", "l_partkey", "l_suppkey"])
+    return kept.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_kept"))

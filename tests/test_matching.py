@@ -10,6 +10,7 @@ from quillframe.functions import numeric as N
 from quillframe.functions import parse as P
 from quillframe.functions import text as T
 from quillframe.operators import checks as C
+from quillframe.operators import figures as G
 from quillframe.operators import matching as J
 from quillframe.operators import model as M
 
@@ -79,8 +80,10 @@ def test_flags_of_indices_from_zero_or_one(spark):
 
 
 def test_parts_of_larger_boxes_go(spark):
-    boxes = F.array(*[X.on_page(X.box(*map(F.lit, b)), F.lit(p)) for b, p in (((0, 0, 10, 10), 1), ((1, 1, 5, 5), 1), ((20, 0, 30, 10), 1), ((-1, 0, 9, 10), 1), ((1, 1, 4, 5), 2))])
-    assert [(b.x0, b.x1) for b in one(spark, X.without_parts(boxes))] == [(0.0, 10.0), (20.0, 30.0), (-1.0, 9.0), (1.0, 4.0)]
+    rows = [(b, p, i) for i, (b, p) in enumerate((((0, 0, 10, 10), 1), ((1, 1, 5, 5), 1), ((20, 0, 30, 10), 1), ((-1, 0, 9, 10), 1), ((1, 1, 4, 5), 2), ((1, 1, 4, 5), None), (None, 1)))]
+    boxes = spark.createDataFrame(rows, "b struct<x0: int, y0: int, x1: int, y1: int>, p int, i int")
+    kept = G.without_parts(boxes, ["p"], "b", ["i"]).orderBy("i").collect()
+    assert [(r.b.x0, r.b.x1) for r in kept] == [(0, 10), (20, 30), (-1, 9), (1, 4), (1, 4)]
     assert one(spark, X.from_size(F.lit(1), F.lit(1), F.lit(0), F.lit(2))) is None
 
 
