@@ -10,16 +10,18 @@ neighbours too.
 Examples with equal vectors are one entry with a count per label. Entries stand in an inverted index
 whose postings are cut into blocks, each with the largest weight of every term in it; a query visits
 blocks in order of their upper bounds and stops when no bound exceeds its K-th cosine, so the
-neighbours are exact. Votes are weighted by a power of the cosine, relative to the nearest, and by how many labelled rows an
-example stands for, which makes the score the share of toxic rows among such texts; the neighbours'
-doc_ids are returned as evidence.
+neighbours are exact. Votes are weighted by a power of the cosine, relative to the nearest, and by how many
+labelled rows an example stands for. Their share is calibrated: either half of the examples is scored by an
+index of the other half, and a rising fit of the labels to these shares makes the score the rate of toxic
+rows among texts of such a share. The neighbours' doc_ids are returned as evidence.
 
 The model's bound: EXAMPLES rows of each label, each of at most EXAMPLE_BYTES bytes, and with them
 their terms. Every text is scored whole.
 
 Defined cases: null or empty text has only the common term and a score like other texts without
 telling words; rows without label, with a null doc_id or held out are not learned from; with no
-example every score is 0; repeated rows have the same score; extra columns are not read.
+example every score is 0; of several texts of one doc_id the one with the least hash is learned; repeated rows have
+the same score; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -40,15 +42,15 @@ from quillframe.llm.simhash import SEED, shingle_set
 
 EXAMPLES = 2000
 EXAMPLE_BYTES = 1 << 16
-#: Least chi-square value of a term, at any number of examples.
-LEAST_CHI2 = 18.0
+#: Least chi-square value of a term at any number of examples: one in a thousand by chance.
+LEAST_CHI2 = 11.0
 LEAST_DOCS = 4
 BEGINNINGS = range(4, 9)
 NEIGHBOURS = 12
 BLOCK = 32
 POWER = 12
 COPY_KEYS = 6
-COMMON_WEIGHT = 0.6
+COMMON_WEIGHT = 1.0
 #: Words whose terms a task remembers; beyond it the table starts afresh.
 REMEMBERED = 400_000
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -69,7 +71,8 @@ def examples(docs: DataFrame, labels: DataFrame) -> list[tuple[int, int, float,
     drawn = known.withColumn("draw", F.xxhash64("doc_id")).where(F.pmod("draw", F.lit(span)) < share)
     drawn = drawn.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy("draw"))).where(F.col("n") <= EXAMPLES)
     texts = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= EXAMPLE_BYTES)).select("doc_id", "text")
-    rows = texts.join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id").dropDuplicates(["doc_id"]).collect()  # at most 2 * EXAMPLES rows
+    first = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")  # of a doc_id with several texts the same one in every run
+    rows = texts.join(F.broadcast(drawn.select("doc_id", "toxic")), "doc_id").groupBy("doc_id", "toxic").agg(first).collect()  # at most 2 * EXAMPLES rows
     held = Counter(r["toxic"] for r in rows)
     return sorted((r["doc_id"], r["toxic"], counts[r["toxic"]] / held[r["toxic"]], r["text"]) for r in rows)
 
@@ -98,8 +101,8 @@ def without_copies(rows: list[tuple[int, int, float, str]]) -> list[tuple[int, i
 class Index:
     """The vocabulary and the block-max inverted index of the examples."""
 
-    def __init__(self, rows: list[tuple[int, int, float, str]]):
-        rows = without_copies(rows)
+    def __init__(self, rows: list[tuple[int, int, float, str]], calibrated: bool = True):
+        rows = without_copies(rows) if calibrated else rows
         bags = [Counter(TOKEN.findall(text.lower())) for *_, text in rows]
         sets = [{t for w in bag for t in terms(w)} for bag in bags]
         n = [sum(1 for r in rows if r[1] == y) for y in (0, 1)]
@@ -131,6 +134,7 @@ class Index:
                 self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
         self.postings = {k: (np.array([i for i, _ in v]), np.array([w for _, w in v])) for k, v in posted.items()}
         self.known: dict[tuple, tuple[float, list[int]]] = {}
+        self.knots, self.rates = rising_fit(cross_shares(rows)) if calibrated else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def key(self, bag: Counter) -> tuple[tuple[int, int], ...]:
         """A text's (term, count) pairs, the common term first."""
@@ -175,13 +179,41 @@ class Index:
             near = self.neighbours(key)
             weight = np.array([(s / near[0][0]) ** POWER for s, _ in near])
             votes = weight @ self.votes[[i for _, i in near]]
-            share = float((votes[1] + 0.02) / (votes.sum() + 0.2))
+            share = float(np.interp((votes[1] + 0.02) / (votes.sum() + 0.2), self.knots, self.rates))
             if len(self.known) > REMEMBERED:
                 self.known = {}
             found = self.known[key] = (min(1.0, max(0.0, share)), [d for _, i in near[:3] for d in self.evidence[i][:1]])
         return found
 
 
+def cross_shares(rows: list[tuple[int, int, float, str]]) -> list[tuple[float, int, float]]:
+    """Vote share, label and weight of each example, by the examples of the other half alone; none where a half lacks a label."""
+    out = []
+    for half in (0, 1):
+        own, other = rows[half::2], rows[1 - half :: 2]
+        if {r[1] for r in other} == {0, 1}:
+            index = Index(other, calibrated=False)
+            out += [(index.score(text)[0], label, stands) for _, label, stands, text in own]
+    return out
+
+
+def rising_fit(seen: list[tuple[float, int, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and the rates of label 1 that they stand for, both rising: the best rising fit, pooling neighbours that fall."""
+    by_share: dict[float, list[float]] = {}
+    for share, label, rows in seen:
+        held = by_share.setdefault(round(share, 9), [0.0, 0.0])
+        held[0] += label * rows
+        held[1] += rows
+    blocks: list[list[float]] = []  # share times rows, toxic rows, rows
+    for share, (toxic, rows) in sorted(by_share.items()):
+        blocks.append([share * rows, toxic, rows])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+    rates = np.maximum.accumulate([0.0, *((b[1] + 0.1) / (b[2] + 0.2) for b in blocks), 1.0])
+    return np.array([0.0, *(b[0] / b[2] for b in blocks), 1.0]), rates
+
+
 def score(docs: DataFrame, rows: list[tuple[int, int, float, str]]) -> DataFrame:
     """doc_id, score and evidence (doc_ids of the nearest examples); nothing but text is used."""
     index = Index(rows) if {r[1] for r in rows} == {0, 1} else None

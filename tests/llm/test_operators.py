@@ -232,26 +232,92 @@ def test_copies_of_an_example_teach_no_words():
     assert index.votes.sum() == len(rows)
 
 
-def plain_score(index, text):
-    """The vote of the nearest entries, from all cosines."""
-    key = index.key(toxicity.Counter(toxicity.TOKEN.findall(text.lower())))
-    dense = np.zeros((len(index.votes), len(index.idf)))
-    for (t, b), (at, w) in index.postings.items():
-        dense[b * toxicity.BLOCK + at, t] = w
-    ids, w = index.weights(key)
-    cosine = dense[:, ids] @ w
-    near = sorted(range(len(cosine)), key=lambda i: (-round(cosine[i], 12), i))[: toxicity.NEIGHBOURS]
-    weight = np.array([(cosine[i] / cosine[near[0]]) ** toxicity.POWER for i in near])
-    clean, foul = weight @ index.votes[near]
-    return (foul + 0.02) / (clean + foul + 0.2)
-
-
-def test_toxicity_scores_against_all_cosines(spark, tables):
+class PlainToxicity:
+    """The model from the examples alone: dense vectors, all cosines, and the rising fit by its max-min formula."""
+
+    def __init__(self, rows, calibrated=True):
+        rows = toxicity.without_copies(rows) if calibrated else rows
+        bags = [self.bag(x) for *_, x in rows]
+        n = [sum(r[1] == y for r in rows) for y in (0, 1)]
+        df = [{t: sum(t in b for b, r in zip(bags, rows) if r[1] == y) for t in {t for b in bags for t in b}} for y in (0, 1)]
+        chi = {}
+        for t in df[0]:
+            table = np.array([[df[y][t], n[y] - df[y][t]] for y in (0, 1)], dtype=float)
+            want = table.sum(axis=1, keepdims=True) * table.sum(axis=0) / table.sum()
+            chi[t] = ((table - want) ** 2 / want).sum() if (want > 0).all() and df[0][t] + df[1][t] >= toxicity.LEAST_DOCS else 0.0
+        self.terms = [t for t in chi if chi[t] >= toxicity.LEAST_CHI2 - 1e-9 and df[1][t]]
+        self.idf = np.array([toxicity.COMMON_WEIGHT, *(np.log(1 + len(rows) / (df[0][t] + df[1][t])) for t in self.terms)])
+        groups = {}
+        for (_, label, stands, _), bag in zip(rows, bags):
+            groups.setdefault(tuple(bag.get(t, 0) for t in self.terms), [0.0, 0.0])[label] += stands
+        self.vectors, self.votes = np.array([self.vector(k) for k in groups]), np.array(list(groups.values()))
+        self.knots, self.rates = [0.0, 1.0], [0.0, 1.0]
+        if calibrated:
+            self.fit([(PlainToxicity(rows[1 - h :: 2], False).score(x), y, s) for h in (0, 1) for _, y, s, x in rows[h::2] if {r[1] for r in rows[1 - h :: 2]} == {0, 1}])
+
+    def fit(self, seen):
+        by = {}
+        for share, y, stands in seen:
+            held = by.setdefault(round(share, 9), [0.0, 0.0])
+            held[0] += y * stands
+            held[1] += stands
+        x = sorted(by)
+        toxic, rows = (np.array([by[s][k] for s in x]) for k in (0, 1))
+        fit = [max(min(toxic[a : b + 1].sum() / rows[a : b + 1].sum() for b in range(i, len(x))) for a in range(i + 1)) for i in range(len(x))]
+        knots, rates = [0.0], [0.0]
+        for value in sorted(set(np.round(fit, 9))):
+            at = np.isclose(fit, value, atol=1e-8)
+            knots.append((np.array(x)[at] * rows[at]).sum() / rows[at].sum())
+            rates.append(max(rates[-1], (toxic[at].sum() + 0.1) / (rows[at].sum() + 0.2)))
+        self.knots, self.rates = [*knots, 1.0], [*rates, 1.0]
+
+    @staticmethod
+    def bag(text):
+        found = {}
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            for t in [w, *(w[:k] + "*" for k in range(4, 9) if k < len(w))]:
+                found[t] = found.get(t, 0) + 1
+        return found
+
+    def vector(self, counts):
+        x = np.array([1, *counts])
+        w = np.where(x > 0, self.idf * (1 + np.log(np.maximum(x, 1))), 0.0)
+        return w / np.sqrt((w * w).sum())
+
+    def score(self, text):
+        bag = self.bag(text)
+        cosine = np.round(self.vectors @ self.vector([bag.get(t, 0) for t in self.terms]), 12)
+        near = np.argsort(-cosine, kind="stable")[: toxicity.NEIGHBOURS]
+        clean, foul = (cosine[near] / cosine[near[0]]) ** toxicity.POWER @ self.votes[near]
+        return float(np.interp((foul + 0.02) / (clean + foul + 0.2), self.knots, self.rates))
+
+
+def test_toxicity_scores_against_a_plain_model(spark, tables):
     docs, labels = common.documents(spark, tables), spark.read.parquet(f"{tables}/labels.parquet")
-    index = toxicity.Index(toxicity.examples(docs, labels))
+    rows = toxicity.examples(docs, labels)
+    own, index = PlainToxicity(rows), toxicity.Index(rows)
+    assert set(index.vocabulary) == set(own.terms) and len(own.votes) <= toxicity.NEIGHBOURS
     got = {r.doc_id: r.score for r in queries()["op5_toxicity"](spark, tables).collect()}
     for r in docs.where("doc_id is not null and doc_id <> 8").collect():
-        assert abs(got[r.doc_id] - plain_score(index, r.text or "")) < 1e-9
+        assert abs(got[r.doc_id] - own.score(r.text or "")) < 1e-9
+
+
+def test_toxicity_finds_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic in (0, 1)").select("doc_id", "toxic")
+    rows = queries()["op5_toxicity"](spark, sf).where("held_out").join(labels, "doc_id").select("toxic", "score", "predicted").toPandas()
+    foul = rows.toxic == 1
+    assert rows.predicted[foul].mean() >= 0.9 and rows.predicted[~foul].mean() <= 0.03
+    for low, high in ((0.0, 0.1), (0.9, 1.01)):  # the score is a rate
+        part = rows[(rows.score >= low) & (rows.score < high)]
+        assert abs(part.toxic.mean() - part.score.mean()) < 0.12
+
+
+def test_of_several_texts_of_a_doc_id_the_same_one_is_learned(spark):
+    docs = spark.createDataFrame([(i, f"text {k} of {i}") for i in range(60) for k in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    first = toxicity.examples(docs, labels)
+    assert first == toxicity.examples(docs.repartition(7), labels) and len({r[0] for r in first}) == len(first)
 
 
 def test_block_max_neighbours_are_exact():
