@@ -103,10 +103,12 @@ class Index:
 
     def __init__(self, rows: list[tuple[int, int, float, str]], calibrated: bool = True):
         rows = without_copies(rows) if calibrated else rows
-        bags = [Counter(TOKEN.findall(text.lower())) for *_, text in rows]
-        sets = [{t for w in bag for t in terms(w)} for bag in bags]
+        # before the index itself, as the halves' indexes need as much of the driver's memory
+        self.knots, self.rates = rising_fit(cross_shares(rows)) if calibrated else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         n = [sum(1 for r in rows if r[1] == y) for y in (0, 1)]
-        df = [Counter(t for s, r in zip(sets, rows) if r[1] == y for t in s) for y in (0, 1)]
+        df: list[Counter] = [Counter(), Counter()]
+        for _, label, _, text in rows:
+            df[label].update({t for w in set(TOKEN.findall(text.lower())) for t in terms(w)})
         chi = {}
         for t, b in df[1].items():
             a = df[0][t]
@@ -118,8 +120,8 @@ class Index:
         self.idf = np.array([COMMON_WEIGHT, *(math.log(1 + len(rows) / (df[0][t] + df[1][t])) for t in best)])
         self.memory: dict[str, tuple[int, ...]] = {}
         entries: dict[tuple, list] = {}
-        for (doc_id, label, stands, _), bag in zip(rows, bags):
-            e = entries.setdefault(self.key(bag), [0.0, 0.0, []])
+        for doc_id, label, stands, text in rows:
+            e = entries.setdefault(self.key(Counter(TOKEN.findall(text.lower()))), [0.0, 0.0, []])
             e[label] += stands
             e[2].append(doc_id)
         order = sorted(entries, key=lambda k: (max(k, key=lambda x: self.idf[x[0]] * x[1])[0], k))
@@ -134,7 +136,6 @@ class Index:
                 self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
         self.postings = {k: (np.array([i for i, _ in v]), np.array([w for _, w in v])) for k, v in posted.items()}
         self.known: dict[tuple, tuple[float, list[int]]] = {}
-        self.knots, self.rates = rising_fit(cross_shares(rows)) if calibrated else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def key(self, bag: Counter) -> tuple[tuple[int, int], ...]:
         """A text's (term, count) pairs, the common term first."""
@@ -194,6 +195,7 @@ def cross_shares(rows: list[tuple[int, int, float, str]]) -> list[tuple[float, i
         if {r[1] for r in other} == {0, 1}:
             index = Index(other, calibrated=False)
             out += [(index.score(text)[0], label, stands) for _, label, stands, text in own]
+            del index
     return out
 
 
