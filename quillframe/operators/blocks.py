@@ -79,44 +79,37 @@ def apply_edits(texts: Column, edits: Column, around: int = 120) -> Column:
     return F.aggregate(edits, F.struct(texts.alias("texts"), F.array().cast(f"array<{RECORD}>").alias("records")), one)
 
 
-def _block_lines(blocks: DataFrame, key: str, pos: str) -> DataFrame:
-    """A row a line of the text blocks, with its norm and how many blocks it opens or closes (n) of n_blocks.
-
-    A block's first and last line count once if they are equal. All windows lie within a paper, so the
-    lines move once, by key.
-    """
-    rows = blocks.where("type = 'text'").select(key, pos, F.posexplode(split_lines(F.coalesce("text", F.lit("")))).alias("line_no", "line"))
-    rows = rows.repartition(key).withColumn("norm", norm_line(F.col("line")))
-    block, form = Window.partitionBy(key, pos), Window.partitionBy(key, "norm")
-    last = F.max_by("norm", "line_no").over(block)
-    first = F.min_by("norm", "line_no").over(block)
-    rows = rows.withColumns({"first": first, "last": last, "last_no": F.max("line_no").over(block)})
-    edge = (F.col("norm") != "") & ((F.col("line_no") == 0) | ((F.col("line_no") == F.col("last_no")) & (F.col("last") != F.col("first"))))
-    rows = rows.withColumns({"n": F.count_if(edge).over(form), "n_blocks": F.count_if(F.col("line_no") == 0).over(Window.partitionBy(key))})
-    return rows.drop("first", "last", "last_no")
-
-
 def header_footer(blocks: DataFrame, key: str, pos: str, least: int = 3, share: float = 0.15) -> DataFrame:
     """key, norm, n, n_blocks: lines that open or close at least `least` blocks and that share of the
-    text blocks (key, pos, type, text) that have a line."""
-    rows = _block_lines(blocks, key, pos)
-    return rows.where((F.col("norm") != "") & (F.col("n") >= least) & (F.col("n") / F.col("n_blocks") >= share)).groupBy(key, "norm").agg(F.max("n").alias("n"), F.max("n_blocks").alias("n_blocks"))
+    text blocks (key, pos, type, text) that have a line.
+
+    A block gives its first and last line, once if they are equal, and a mark that it has lines; nothing
+    else of its text is moved.
+    """
+    lines = F.col("__lines")
+    edges = F.transform(F.array(F.get(lines, F.lit(0)), F.element_at(lines, -1)), norm_line)
+    rows = blocks.where("type = 'text'").select(key, split_lines(F.coalesce("text", F.lit(""))).alias("__lines")).where(F.size(lines) > 0)
+    marks = F.concat(F.array(F.lit("")), F.filter(F.array_distinct(edges), lambda x: x != ""))  # the empty form counts blocks
+    per = rows.select(key, F.explode(marks).alias("norm")).groupBy(key, "norm").agg(F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("n_blocks", F.max(F.when(F.col("norm") == "", F.col("n"))).over(Window.partitionBy(key)))
+    return per.where((F.col("norm") != "") & (F.col("n") >= least) & (F.col("n") / F.col("n_blocks") >= share)).select(key, "norm", "n", "n_blocks")
 
 
 def strip_header_footer(blocks: DataFrame, key: str, pos: str, least: int = 3, share: float = 0.15) -> DataFrame:
     """blocks (key, pos, type, text) without the later repeats of header and footer lines, wherever they stand.
 
     Papers without such lines stay as they are; in others text blocks are joined anew and trimmed, and
-    those that end empty go.
+    those that end empty go. A paper has few such lines, 2 / share at most, so they and the places where
+    each stands first are small arrays that meet the blocks by key; lines are not rows.
     """
-    rows = _block_lines(blocks, key, pos)
-    pattern = (F.col("norm") != "") & (F.col("n") >= least) & (F.col("n") / F.col("n_blocks") >= share)
-    nth = F.row_number().over(Window.partitionBy(key, "norm").orderBy(pos, "line_no"))
-    rows = rows.withColumns({"nth": nth, "pattern": pattern}).withColumn("some", F.max("pattern").over(Window.partitionBy(key)))
-    kept = F.array_sort(F.collect_list(F.when(~F.col("pattern") | (F.col("nth") == 1), F.struct("line_no", "line"))))
-    text = trimmed(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    new = rows.where("some").groupBy(key, pos).agg(text.alias("new_text"))
-    out = blocks.join(new.withColumn("changed", F.lit(True)), [key, pos], "left").join(new.select(key).distinct().withColumn("some", F.lit(True)), [key], "left")
-    gone = F.col("some") & (F.col("type") == "text") & (F.coalesce("new_text", F.lit("")) == "")
-    out = out.where(~F.coalesce(gone, F.lit(False))).withColumn("text", F.when(F.col("changed"), F.col("new_text")).otherwise(F.col("text")))
-    return out.drop("new_text", "changed", "some")
+    forms = header_footer(blocks, key, pos, least, share).groupBy(F.col(key).alias("__of")).agg(F.collect_set("norm").alias("__forms"))
+    own = blocks.where("type = 'text'").select(key, pos, split_lines(F.coalesce("text", F.lit(""))).alias("__lines")).join(forms, F.col(key) == F.col("__of"))
+    hits = F.filter(F.transform("__lines", lambda x, i: F.struct(norm_line(x).alias("norm"), i.alias("i"))), lambda h: F.array_contains(F.col("__forms"), h["norm"]))
+    found = own.select("__of", pos, F.explode(hits).alias("h")).groupBy("__of", "h.norm").agg(F.min(F.struct(F.col(pos).alias("pos"), F.col("h.i").alias("i"))).alias("at"))
+    firsts = found.groupBy("__of").agg(F.collect_set("norm").alias("__forms"), F.collect_set("at").alias("__firsts"))
+    out = blocks.join(firsts, F.col(key) == F.col("__of"), "left")
+    repeats = lambda x, i: F.array_contains(F.col("__forms"), norm_line(x)) & ~F.array_contains(F.col("__firsts"), F.struct(F.col(pos).alias("pos"), i.alias("i")))
+    kept = F.filter(split_lines(F.coalesce("text", F.lit(""))), lambda x, i: ~repeats(x, i))
+    told = F.col("__of").isNotNull() & (F.col("type") == "text")
+    out = out.withColumn("text", F.when(told, trimmed(F.array_join(kept, "\n"))).otherwise(F.col("text")))
+    return out.where(~F.coalesce(told & (F.col("text") == ""), F.lit(False))).select(*blocks.columns)

@@ -21,7 +21,7 @@ from quillframe.operators import resume as U
 from quillframe.operators import reviews as R
 from quillframe.operators import scoring as S
 from quillframe.operators import selection as M
-from quillframe.plans.registry import ORACLES, QUERIES, Tables, query, r6
+from quillframe.plans.registry import ORACLES, QUERIES, Tables, chosen, query, r6
 
 
 def labelled(t: Tables) -> DataFrame:
@@ -287,7 +287,7 @@ def score_extract(t):
         F.concat(F.lit("Summary\n### Score- Overall (10): "), q, F.lit(" - fine\nend")), F.concat(F.lit("so far.Or Overall ( 10 )："), q, F.lit(" tail")),
         F.concat(F.lit(" * Overall (10) : "), q, F.lit("\nOverall (10): 99")), F.concat(F.lit("Overall (5): "), q), F.concat(F.lit("Overalls (10): 4\n# score: Clarity (10): "), q),
     ]
-    card = T.score_card(F.get(F.array(*forms), k.cast("int")), {"Overall": 10, "Clarity": 10})
+    card = T.score_card(chosen(k, forms), {"Overall": 10, "Clarity": 10})
     return t.lineitem.withColumn("card", card).select("l_orderkey", "l_linenumber", F.col("card.parsed")["Overall"].alias("overall"), F.col("card.parsed")["Clarity"].alias("clarity"), "card.missing")
 
 
@@ -386,7 +386,7 @@ def citation_match(t):
         F.concat(F.lit("Rajabi & Kosecka, "), y, F.lit(" [12] [012] ["), n, F.lit("]")),
         F.lit("no citation [a] (1999) Smith 2001"), F.lit(None).cast("string"),
     ]
-    return t.orders.select("o_orderkey", T.citation_keys(F.get(F.array(*forms), (k % 7).cast("int"))).alias("keys"))
+    return t.orders.select("o_orderkey", T.citation_keys(chosen(k % 7, forms)).alias("keys"))
 
 
 @query("""WITH x AS (SELECT l_orderkey, count(*) AS n, l_orderkey % 4 AS form, sum(500 + l_linenumber) AS size FROM lineitem GROUP BY l_orderkey)
@@ -432,20 +432,25 @@ def grouped_error_distribution(t):
     return t.labels.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
-y AS (SELECT l_orderkey, i, n, CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'corruption_type' WHEN l_quantity >= 40 THEN 'difficulty' WHEN l_suppkey % 7 = 0 THEN 'location'
+@query("""WITH x AS (SELECT *, l_quantity::INT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+y AS (SELECT l_orderkey, i, n, CASE WHEN q = 50 THEN 'missing fields' WHEN l_returnflag = 'R' AND q > 30 THEN 'corruption_type' WHEN q = 49 THEN 'difficulty' WHEN q = 48 THEN 'needs_cross_section' WHEN q = 47 THEN 'location' WHEN q = 46 THEN 'location too long'
+  WHEN q = 45 THEN 'rationale' WHEN q = 44 THEN 'error_explanation' WHEN q = 43 THEN 'error_explanation too long' WHEN q = 42 THEN 'target_find' WHEN q = 41 THEN 'target_find too long' WHEN q = 40 THEN 'replacement' WHEN q = 39 THEN 'replacement too long'
   WHEN row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 5 ORDER BY i) > 1 THEN 'duplicate id' END AS fault FROM x)
 SELECT l_orderkey, CASE WHEN any_value(n) > 6 THEN 'count' ELSE arg_min(fault, i) FILTER (fault IS NOT NULL) END AS fault FROM y GROUP BY l_orderkey""")
 def edit_validator(t):
+    """Every fault of an edit, by a line's quantity."""
+    q = F.col("l_quantity").cast("int")
+    odd = lambda blank, long, size, good: F.when(q == blank, "\n ").when(q == long, F.repeat(F.lit("x"), size)).otherwise(good)
     fields = {
-        "id": F.col("l_linenumber") % 5, "corruption_type": F.col("l_returnflag"), "difficulty": F.when(F.col("l_quantity") < 40, "easy").otherwise("odd"),
-        "location": F.when(F.col("l_suppkey") % 7 == 0, " ").otherwise("Methods"), "rationale": F.lit("r"), "error_explanation": F.lit("e"),
-        "target_find": F.lit("f"), "replacement": F.lit(""), "needs_cross_section": F.lit(True),
+        "id": F.col("l_linenumber") % 5, "corruption_type": F.when((F.col("l_returnflag") == "R") & (q > 30), "other").otherwise("swap"), "difficulty": F.when(q == 49, "odd").otherwise("easy"),
+        "location": odd(47, 46, 101, "Methods"), "rationale": F.when(q == 45, "").when(q != 50, "r"), "error_explanation": odd(44, 43, 2001, "e"), "target_find": odd(42, 41, 2001, "f"),
     }
-    edit = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("edit")
+    plain = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    replacement = F.when(q == 40, "7").when(q == 39, F.concat(F.lit('"'), F.repeat(F.lit("x"), 2001), F.lit('"'))).otherwise('""')
+    edit = F.concat(F.substr(plain, F.lit(1), F.length(plain) - 1), F.lit(',"needs_cross_section":'), F.when(q == 48, '"yes"').otherwise("true"), F.lit(',"replacement":'), replacement, F.lit("}")).alias("edit")
     orders = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", edit))).alias("e"))
     edits = F.transform("e", lambda x: F.parse_json(x["edit"]))
-    return orders.select("l_orderkey", C.edit_fault(edits, ["A", "N"], 1, 6).alias("fault"))
+    return orders.select("l_orderkey", C.edit_fault(edits, ["swap"], 1, 6).alias("fault"))
 
 
 @query("""WITH b AS (SELECT p_partkey, p_size AS w, p_partkey % 7 AS l, p_partkey % 4 AS u FROM part)

@@ -33,5 +33,13 @@ def query(sql: str | None = None):
     return register
 
 
+def chosen(k: Column, forms: list[Column]) -> Column:
+    """The form whose number from 0 is k; the others are not computed."""
+    out = F.when(k == 0, forms[0])
+    for i, form in enumerate(forms[1:], 1):
+        out = out.when(k == i, form)
+    return out
+
+
 def r6(x) -> Column:
     return F.round(x, 6)

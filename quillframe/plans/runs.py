@@ -14,7 +14,7 @@ from quillframe.operators import regressions as G
 from quillframe.operators import resume as R
 from quillframe.operators import reviews as V
 from quillframe.operators import scoring as S
-from quillframe.plans.registry import query, r6
+from quillframe.plans.registry import chosen, query, r6
 from quillframe.session import scratch
 from quillframe.sources import files as X
 from quillframe.sources import remote
@@ -30,11 +30,11 @@ def outputs(t):
         F.concat(F.lit('{"reviews":null,"synthetic":true,"paper":{},"findings":[1],"runs":[{"config_key":"k1"},{"config_key":"k'), c.cast("string"), F.lit('"}]}')),
         F.lit('{"synthetic":"true","paper":1,"findings":[],"runs":[5]}'), F.lit("[]"), F.lit("{"), F.lit('{"reviews":[],"synthetic":true,"runs":{}}'),
     ]
-    text = F.get(F.array(*forms), (c % 5).cast("int"))
-    return t.customer.where("c_custkey % 7 > 0").select("c_custkey", F.try_parse_json(text).alias("v"), F.length(text).alias("size"))
+    text = chosen(c % 5, forms)
+    return t.customer.where("c_acctbal >= 0").select("c_custkey", F.try_parse_json(text).alias("v"), F.length(text).alias("size"))
 
 
-@query("""WITH o AS (SELECT c_custkey, c_custkey % 5 AS f FROM customer WHERE c_custkey % 7 > 0), d AS (SELECT 'field' AS way, c_custkey FROM o WHERE f IN (0, 4) UNION ALL SELECT 'flag', c_custkey FROM o WHERE f = 0 UNION ALL SELECT 'run', c_custkey FROM o WHERE f = 0 UNION ALL SELECT 'size', c_custkey FROM o WHERE f IN (0, 1) UNION ALL SELECT 'found', c_custkey FROM o WHERE f <> 1)
+@query("""WITH o AS (SELECT c_custkey, c_custkey % 5 AS f FROM customer WHERE c_acctbal >= 0), d AS (SELECT 'field' AS way, c_custkey FROM o WHERE f IN (0, 4) UNION ALL SELECT 'flag', c_custkey FROM o WHERE f = 0 UNION ALL SELECT 'run', c_custkey FROM o WHERE f = 0 UNION ALL SELECT 'size', c_custkey FROM o WHERE f IN (0, 1) UNION ALL SELECT 'found', c_custkey FROM o WHERE f <> 1)
 SELECT way, c_custkey FROM (SELECT DISTINCT way FROM d) w, customer c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.way = w.way AND d.c_custkey = c.c_custkey)""")
 def resume_predicates(t):
     """What each way of telling whether work is done leaves to do."""
@@ -151,12 +151,16 @@ def lenient_files(t):
     return got.select(F.regexp_extract("path", "n=([0-9]+)", 1).cast("long").alias("s_suppkey"), F.coalesce(F.try_variant_get("v", "$.k", "long"), F.lit(0)).alias("k"), F.regexp_extract(F.element_at(parts, -3), "f=(.*)", 1).alias("folder"))
 
 
-@query("SELECT n_nationkey, 2 AS depth, 'none' AS gone, n_name FROM nation WHERE n_nationkey > 4 AND n_regionkey = 2")
+@query("SELECT n_nationkey, 2 AS depth, 'none' AS gone, true AS flag, 0.5::DOUBLE AS share, n_name FROM nation WHERE n_regionkey = 2")
 def settings_and_filters(t):
-    """Settings by dotted keys, and filters by equality that an empty word leaves out."""
-    config = {"a": {"b": {"c": 2}}, "x": 1}
-    rows = G.filtered(t.nation.where("n_nationkey > 4").withColumn("region", F.col("n_regionkey").cast("string")), region="2", n_name="")
-    return rows.select("n_nationkey", F.lit(remote.setting(config, "a.b.c")).alias("depth"), F.lit(remote.setting(config, "x.y", "none")).alias("gone"), "n_name")
+    """Settings of a file by dotted keys, and filters by equality that an empty word leaves out."""
+    at = f"{scratch(t.spark)}/settings-{uuid.uuid4().hex}"
+    lines = "# all\na:\n  b:\n    c: 2  # deep\n\n  region: '2'\nx: 1\nnone_set:\nflag: true\nshare: 0.5"
+    K.write_text(t.spark.range(1).select(F.lit(lines).alias("value")), at)
+    config = remote.read_settings(t.spark, at)
+    rows = G.filtered(t.nation.withColumn("region", F.col("n_regionkey").cast("string")), region=remote.setting(config, "a.region"), n_name=remote.setting(config, "none_set") or "")
+    told = {"depth": "a.b.c", "gone": "x.y", "flag": "flag", "share": "share"}
+    return rows.select("n_nationkey", *[F.lit(remote.setting(config, key, "none")).alias(name) for name, key in told.items()], "n_name")
 
 
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND user_id % 2 = 0 UNION ALL SELECT user_id, 'new', -1 FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 1)")

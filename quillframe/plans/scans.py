@@ -58,10 +58,10 @@ def text_files(t):
     return got.select(F.split_part(F.trim("line"), F.lit("\t"), F.lit(1)).cast("long").alias("s_suppkey"), F.trim(F.split_part("line", F.lit("\t"), F.lit(2))).alias("name"))
 
 
-@query("SELECT 3 AS total, 2 AS readable, 1 AS unreadable, 9 AS pages")
+@query("SELECT count(*)::INT AS total, count(*) FILTER (p_retailprice >= 925)::INT AS readable, count(*) FILTER (p_retailprice < 925)::INT AS unreadable, (sum(p_size) FILTER (p_retailprice >= 925))::INT AS pages FROM part")
 def page_report(t):
-    """The report of page counts as CSV and its summary as one JSON line."""
-    rows = t.region.where("r_regionkey < 3").select(F.col("r_name").alias("folder"), F.concat("r_name", F.lit(".pdf")).alias("pdf_path"), F.when(F.col("r_regionkey") == 0, -1).otherwise(3 + F.col("r_regionkey")).cast("int").alias("pages"))
+    """The report of the parts' pages as CSV, cheap ones being unreadable, and its summary as one JSON line."""
+    rows = t.part.select(F.col("p_name").alias("folder"), F.concat("p_name", F.lit(".pdf")).alias("pdf_path"), F.when(F.col("p_retailprice") < 925, -1).otherwise(F.col("p_size")).cast("int").alias("pages"))
     at = folder(t)
     K.write_page_report(rows, at)
     report = t.spark.read.json(f"{at}/summary")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillframe.operators import blocks as B
 from quillframe.operators import training as R
-from quillframe.plans.registry import query, r6
+from quillframe.plans.registry import chosen, query, r6
 
 #: Edits of each conversation: of turn k the text from character 6 on, found again in an earlier or later turn, then one that undoes part of it, one that is nowhere.
 EDITS = """
@@ -93,7 +93,7 @@ def outputs(t):
     """Samples whose outputs are whole, lack a field, hold a string, are an object, and are no JSON."""
     rows = R.samples(chain(t), ["conv_id"], TEMPLATE).withColumn("form", F.col("conv_id") % 5)
     forms = [F.col("output"), F.regexp_replace("output", '"error_type":"[^"]*",', ""), F.lit('["x"]'), F.lit('{"a": 1}'), F.lit("[1")]
-    return rows.withColumn("output", F.get(F.array(*forms), F.col("form").cast("int")))
+    return rows.withColumn("output", chosen(F.col("form"), forms))
 
 
 @query(CHAIN + r""" SELECT conv_id % 5 AS form, regexp_replace(CASE WHEN contains(text, '---') THEN string_split(text, '---')[1] ELSE text END, '^\s+|\s+$', '', 'g') AS input, kinds, NULL AS fault FROM s WHERE conv_id % 5 = 0

@@ -14,6 +14,10 @@ from quillframe.functions.parse import json_value
 from quillframe.functions.text import trimmed
 
 
+#: Two code points that are no characters and so stand in no text.
+ASIDE = "\ufdd0\ufdd1"
+
+
 def scan_text(spark: SparkSession, root: str, name: str = "*", recursive: bool = True) -> DataFrame:
     """path, file, folder (the one that holds the file) and value, the whole text, of files whose name matches a glob."""
     path = F.col("_metadata.file_path")
@@ -28,11 +32,12 @@ def scan_trimmed(spark: SparkSession, root: str, name: str = "*.txt") -> DataFra
 def scan_json(spark: SparkSession, root: str, name: str = "*.json", lenient: bool = False) -> DataFrame:
     """path, file, folder and v, a variant; null where the text is no JSON.
 
-    lenient: bytes that are not UTF-8 are dropped (and U+FFFD with them), and a blank file is {}.
+    lenient: bytes that are not UTF-8 are dropped, and a blank file is {}.
     """
     text = F.col("value")
-    if lenient:
-        text = F.regexp_replace(F.make_valid_utf8(text), "�", "")
+    if lenient:  # U+FFFD of the text itself stands aside while bytes that are no text become U+FFFD and go
+        text = F.replace(F.make_valid_utf8(F.replace(text, F.lit("\ufffd"), F.lit(ASIDE))), F.lit("\ufffd"), F.lit(""))
+        text = F.replace(text, F.lit(ASIDE), F.lit("\ufffd"))
         text = F.when(trimmed(text) == "", F.lit("{}")).otherwise(text)
     return scan_text(spark, root, name).select("path", "file", "folder", json_value(text).alias("v"))
 

@@ -7,11 +7,12 @@ queries use clients that answer by a rule. A lost task asks again.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from typing import Any, Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StringType, StructType
 
@@ -146,6 +147,47 @@ def read_blocks(files: DataFrame, data: str, client: Parser) -> DataFrame:
     return _with_column(files, data, "__json", StringType(), pa.string(), blocks).withColumn("v", F.try_parse_json("__json")).drop("__json")
 
 
+def read_settings(spark: SparkSession, path: str) -> dict:
+    """The settings of a file of nested "key: value" lines, indented by spaces, with # comments: words in quotes
+    are text, others numbers, true, false or null where they are such, and a key without a value above no
+    deeper line is null."""
+    lines = [line for row in spark.read.text(path, wholetext=True).collect() for line in row[0].splitlines()]  # a settings file
+    root: dict = {}
+    open_ = [(-1, root, "")]  # indent, dictionary, the key in the one above that holds it
+    for line in lines:
+        m = re.match(r"( *)([^\s#:][^:#]*):(?:\s+(\"[^\"]*\"|'[^']*'|[^#]*?))?\s*(?:#.*)?$", line)
+        if not m:
+            if line.strip() and not line.lstrip().startswith("#"):
+                raise ValueError(f"no setting: {line.strip()}")
+            continue
+        while open_[-1][0] >= len(m[1]):
+            open_.pop()
+        holder, key = open_[-1][1], m[2].strip()
+        if m[3]:
+            holder[key] = _scalar(m[3])
+        else:
+            holder[key] = {}
+            open_.append((len(m[1]), holder[key], key))
+    return _without_empty(root)
+
+
+def _scalar(word: str) -> Any:
+    if word[0] in "\"'":
+        return word[1:-1]
+    if word in ("true", "false", "null", "~"):
+        return {"true": True, "false": False}.get(word)
+    for read in (int, float):
+        try:
+            return read(word)
+        except ValueError:
+            pass
+    return word
+
+
+def _without_empty(config: dict) -> dict:
+    return {k: (_without_empty(v) or None) if isinstance(v, dict) else v for k, v in config.items()}
+
+
 def setting(config: dict, key: str, default: Any = None) -> Any:
     """The value at a dotted key of nested dictionaries, default where a step is missing."""
     for part in key.split("."):

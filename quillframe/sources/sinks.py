@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import indented_json
+from quillframe.functions.text import indented_json, trimmed
 
 
 def write_json(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "errorifexists") -> None:
@@ -24,7 +24,7 @@ def write_text(df: DataFrame, path: str, column: str = "value") -> None:
 
 def write_parquet(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Snappy Parquet; an existing table is kept unless overwrite, and no rows are an error."""
-    if df.isEmpty():
+    if df.isEmpty():  # a look at one row, before anything is replaced
         raise ValueError("no rows to write")
     df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "snappy").parquet(path)
 
@@ -42,7 +42,7 @@ def with_run(old: DataFrame, new: DataFrame, keys: list[str], replace: bool = Tr
 
 def once(existing: DataFrame, df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The rows of df to append: their keys are not in existing, and their value is not blank."""
-    return df.where(F.trim(value) != "").join(existing.select(*keys).distinct(), keys, "left_anti")
+    return df.where(trimmed(F.col(value)) != "").join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def write_page_report(rows: DataFrame, path: str) -> None:

@@ -57,11 +57,30 @@ def test_samples_and_sinks(spark, tmp_path):
     old, new = spark.sql("select 1 k, 'x' v union all select 2, 'y'"), spark.sql("select 2 k, 'z' v")
     assert sorted(map(tuple, sinks.with_run(old, new, ["k"]).collect())) == [(1, "x"), (2, "z")]
     assert sinks.with_run(old, new, ["k"], replace=False).count() == 3
-    assert sinks.once(old, spark.sql("select 2 k, 'z' v union all select 3, ' ' union all select 4, 'w'"), ["k"], "v").collect() == [(4, "w")]
+    assert sinks.once(old, spark.sql("select 2 k, 'z' v union all select 3, '\t\n' union all select 4, 'w'"), ["k"], "v").collect() == [(4, "w")]
     sinks.write_json(spark.sql("select 1 k, cast(null as string) v"), str(tmp_path / "j"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "j")).collect()] == ['{"k":1,"v":null}']
 
 
+def test_lenient_files_drop_bytes_that_are_no_text(spark, tmp_path):
+    for name, raw in {"a": b'{"k": "x\xff\xc3\xef\xbf\xbdy\xe4\xb8"}', "b": b" \n", "c": b"{x", "d": '{"k": "\ufffd"}'.encode()}.items():
+        (tmp_path / f"{name}.json").write_bytes(raw)
+    got = {r.file: r.v for r in files.scan_json(spark, str(tmp_path), lenient=True).select("file", files.F.to_json("v").alias("v")).collect()}
+    assert got == {"a.json": '{"k":"x\ufffdy"}', "b.json": "{}", "c.json": None, "d.json": '{"k":"\ufffd"}'}
+
+
+def test_settings_files(spark, tmp_path):
+    from quillframe.sources import remote
+
+    (tmp_path / "s.yml").write_text("# c\nllm:\n  retries: 10\n  delay: 1.5   # s\n  deep:\n    name: 'a: b'\nempty:\non: true\nword: two words\nback: null\n")
+    config = remote.read_settings(spark, str(tmp_path / "s.yml"))
+    assert config == {"llm": {"retries": 10, "delay": 1.5, "deep": {"name": "a: b"}}, "empty": None, "on": True, "word": "two words", "back": None}
+    assert remote.setting(config, "llm.deep.name") == "a: b" and remote.setting(config, "llm.none", 3) == 3
+    (tmp_path / "t.yml").write_text("- item\n")
+    with pytest.raises(ValueError, match="no setting"):
+        remote.read_settings(spark, str(tmp_path / "t.yml"))
+
+
 def test_log_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
 
