@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "quillframe", cores: int | None = None, **extra: str) -> SparkSession:
@@ -33,3 +33,11 @@ def scratch(spark: SparkSession) -> str:
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.mkdtemp(prefix="quillframe-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and read again from files that all executors share; Spark deletes them when no plan needs them."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch(df.sparkSession))
+    return df.checkpoint(eager=True)
