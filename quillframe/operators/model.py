@@ -123,10 +123,15 @@ def stage(df: DataFrame, prompt: Column, backend: Backend, read: Callable[[Colum
 def asked_once(df: DataFrame, question: Column, reference: Column) -> tuple[DataFrame, DataFrame]:
     """(rows with cache_key, one row a key to ask for): equal questions with equal references are asked once.
 
-    Join the answers back by cache_key; this stands for a bounded cache of the calls.
+    answered() joins the answers back; this stands for a bounded cache of the calls.
     """
     rows = df.withColumn("cache_key", F.md5(F.concat(question, F.lit("|||"), reference)))
-    return rows, rows.withColumn("__nth", F.row_number().over(Window.partitionBy("cache_key").orderBy(*[F.col(c) for c in df.columns]))).where("__nth = 1").drop("__nth")
+    return rows, rows.groupBy("cache_key").agg(F.min(F.struct(*df.columns)).alias("__r")).select("__r.*", "cache_key")
+
+
+def answered(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """rows of asked_once() with the columns of answers (cache_key, ...), which has a row a key; rows whose key was not answered stay."""
+    return rows.join(answers, "cache_key", "left")
 
 
 def message_text(content: Column) -> Column:

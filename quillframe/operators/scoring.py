@@ -80,8 +80,10 @@ def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old without the rows whose key new has, and new."""
-    return old.join(new, keys, "left_anti").unionByName(new)
+    """old without the rows whose key new has, and new, each read once; null keys are equal."""
+    both = old.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)))
+    met = both.withColumn("__met", F.max("__new").over(Window.partitionBy(*keys)))
+    return met.where(F.col("__new") | ~F.col("__met")).drop("__new", "__met")
 
 
 def removed(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

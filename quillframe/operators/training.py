@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import text as T
 from quillframe.functions.parse import json_value
 from quillframe.operators.checks import truth_fault
+from quillframe.session import checkpointed
 
 #: Around the text in an instruction: fixed values.
 TEXT_MARK, RULE = "### Text to Review ###", "---"
@@ -52,19 +53,16 @@ def samples(groups: DataFrame, key: list[str], instruction: str, kind: str = "co
     )
 
 
-def numbered(rows: DataFrame, order: list[str], out: str = "sample", buckets: int = 64) -> DataFrame:
-    """rows with 'sample_1', 'sample_2', ... in order, without one task that sorts them all: rows are dealt
-    to buckets by the first column of order, a number, whose quantiles are read once as bounds, numbered
-    there, and shifted by the counts of the buckets before. Rows of one number share a bucket."""
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(rows.agg(F.percentile_approx(order[0], shares, 1000)).first()[0] or []))  # at most as many as buckets
-    over = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order[0]))) if bounds else F.lit(0)
-    rows = rows.withColumn("__part", over)
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+def numbered(rows: DataFrame, order: list[str], out: str = "sample") -> DataFrame:
+    """rows with 'sample_1', 'sample_2', ... in order, without one task that sorts them all: rows are dealt to
+    ranges by all columns of order, numbered within their range, and shifted by the counts of the ranges before."""
+    dealt = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order))  # so that ranges stay as they are
+    at = dealt.withColumn("__at", F.monotonically_increasing_id())  # the range, and below 33 bits the place in it
+    at = at.withColumns({"__part": F.shiftright("__at", 33), "__nth": F.col("__at").bitwiseAND((1 << 33) - 1) + 1})
+    counts = at.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    out_rows = rows.withColumn("__nth", within).join(F.broadcast(before), "__part")  # as many rows as buckets
-    return out_rows.withColumn(out, F.concat(F.lit("sample_"), (F.col("__nth") + F.col("__before")).cast("string"))).drop("__part", "__nth", "__before")
+    out_rows = at.join(F.broadcast(before), "__part")  # a row a range
+    return out_rows.withColumn(out, F.concat(F.lit("sample_"), (F.col("__nth") + F.col("__before")).cast("string"))).drop("__part", "__nth", "__before", "__at")
 
 
 def instruction_rows(rows: DataFrame) -> DataFrame:

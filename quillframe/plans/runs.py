@@ -98,10 +98,12 @@ def model_stage(t):
     return M.stage(asked, prompt, Judge(), lambda v: F.try_variant_get(v, "$.score", "bigint"), "score", tries=2, key="score").select("event_id", "score", "error")
 
 
-@query("SELECT event_type, user_id, md5(event_type || '|||' || user_id) AS cache_key, min(event_id) AS event_id FROM events GROUP BY ALL")
+@query("SELECT event_id, user_id, event_type, md5(event_type || '|||' || user_id) AS cache_key, min(event_id) OVER (PARTITION BY event_type, user_id) AS asked_by, length(event_type) AS size FROM events")
 def calls_asked_once(t):
-    _, once = M.asked_once(t.events.select("event_id", "event_type", "user_id"), F.col("event_type"), F.col("user_id").cast("string"))
-    return once
+    """Equal questions are asked once, by the first event, and the answer reaches all that ask."""
+    rows, once = M.asked_once(t.events.select("event_id", "event_type", "user_id"), F.col("event_type"), F.col("user_id").cast("string"))
+    answers = once.select("cache_key", F.col("event_id").alias("asked_by"), F.length("event_type").cast("long").alias("size"))
+    return M.answered(rows, answers).select("event_id", "user_id", "event_type", "cache_key", "asked_by", "size")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")

@@ -48,10 +48,22 @@ def in_named_folders(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def folders(files: DataFrame) -> DataFrame:
-    """The folders that hold a file; Spark does not see empty ones."""
+    """The folders that hold a file; Spark does not see empty ones, see all_folders()."""
     return files.select("folder").distinct()
 
 
+def all_folders(spark: SparkSession, root: str) -> DataFrame:
+    """folder and path of every folder right below root, empty ones too, in order of names. The file system lists
+    one level, page by page, which is no work on files; the driver holds as many names as there are papers."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed, found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatusIterator(at), []
+    while listed.hasNext():
+        entry = listed.next()
+        if entry.isDirectory():
+            found.append((entry.getPath().getName(), entry.getPath().toString()))
+    return spark.createDataFrame(sorted(found), "folder string, path string")
+
+
 def tagged(files: DataFrame, tag: str) -> DataFrame:
     """Files whose name holds tag."""
     return files.where(F.col("file").contains(tag))

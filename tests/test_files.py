@@ -34,6 +34,9 @@ def test_discovery(spark, root):
     assert names(files.in_named_folders(spark, str(root), "final.json")) == [("a", "final.json"), ("b", "final.json")]
     assert names(files.matching(scan, folder="b", file=None)) == [("b", "final.json")]
     assert files.folders(scan).count() == 4
+    (root / "empty").mkdir()
+    listed = [r.folder for r in files.all_folders(spark, str(root)).collect()]
+    assert listed == sorted(p.name for p in root.iterdir() if p.is_dir()) and "empty" in listed
 
 
 def test_json(spark, root):
