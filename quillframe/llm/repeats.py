@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from quillframe.llm import lanes
 from quillframe.llm.common import arrow_bounds, documents, fan_out, materialise, release
 
+#: Bytes of text whose grams one bucket holds on average, beyond four buckets a shuffle partition.
+BUCKET_TEXT = 4 << 20
 WINDOW = 50
 GRAM = 24
 REACH = WINDOW - GRAM + 1
@@ -309,7 +311,8 @@ def _cut_contexts(joined: DataFrame) -> DataFrame:
 
 def find_repeats(docs: DataFrame) -> DataFrame:
     """(did, th, lo, len): byte intervals of docs (did, th, text) that repeat a smaller doc_id's."""
-    buckets = 4 * fan_out(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * fan_out(docs), size // BUCKET_TEXT)  # so that a bucket's rows stay as many at any size
     found = materialise(_send(docs, buckets).groupBy("bucket").applyInPandas(_bucket, FOUND))
     release(docs.sparkSession)  # the places' shuffle files are the largest of this operator
     needs = found.where("kind = 1").groupBy("did", "th").agg(F.collect_set(F.struct("lo", F.col("len").alias("n"), "g")).alias("needs"))
