@@ -56,8 +56,8 @@ def citation_keys(text: Column) -> Column:
     text, name = F.coalesce(text, F.lit("")), r"[A-Z][A-Za-z\-]+"
 
     def named(pattern: str) -> Column:
-        who, year = (F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(k)) for k in (1, 2))
-        return F.zip_with(who, year, lambda a, y: F.concat_ws("|", F.lower(a), y))
+        whole = F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))  # the parts are then taken from the few matches
+        return F.transform(whole, lambda m: F.concat_ws("|", F.lower(F.regexp_extract(m, "(?U)" + pattern, 1)), F.regexp_extract(m, "(?U)" + pattern, 2)))
 
     number = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\[(\d+)\]"), F.lit(1)), lambda n: F.coalesce(F.nullif(F.ltrim(n, F.lit("0")), F.lit("")), F.lit("0")))
     return F.array_distinct(F.concat(named(rf"\b({name})\s+et al\.,\s*(\d{{4}})"), named(rf"\b({name})\s*(?:&|and)\s*{name}\s*,\s*(\d{{4}})"), number))
@@ -143,10 +143,15 @@ def score_card(text: Column, labels: dict[str, int]) -> Column:
     return F.struct(parsed.alias("parsed"), F.create_map(*[F.lit(x) for e in labels.items() for x in e]).alias("max"), missing.alias("missing"))
 
 
-def score_all(text: Column, label: str, most: int) -> Column:
-    """All values of a label in list items, clamped to 0 .. most."""
-    found = F.regexp_extract_all(_scores_on_lines(text), F.lit(rf"(?im)^\s*-\s*{label}\s*\(\s*{most}\s*\)\s*[:：]\s*(\d+)\b"), F.lit(1))
-    return F.transform(found, lambda v: F.least(F.lit(most), F.greatest(F.lit(0), v.try_cast("int"))))
+def score_lists(text: Column, labels: dict[str, int]) -> dict[str, Column]:
+    """All values of each label in list items, clamped to 0 .. its most."""
+    lines = _scores_on_lines(text)
+
+    def one(label: str, most: int) -> Column:
+        found = F.regexp_extract_all(lines, F.lit(rf"(?im)^\s*-\s*{label}\s*\(\s*{most}\s*\)\s*[:：]\s*(\d+)\b"), F.lit(1))
+        return F.transform(found, lambda v: F.least(F.lit(most), F.greatest(F.lit(0), v.try_cast("int"))))
+
+    return {label: one(label, most) for label, most in labels.items()}
 
 
 def paragraphs(text: Column) -> Column:

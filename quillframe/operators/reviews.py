@@ -42,11 +42,16 @@ def three_sections(text: Column) -> Column:
 
 def reviewers(text: Column, labels: dict[str, int]) -> Column:
     """A struct a reviewer of the i-th score of each label, clamped to the label's maximum; as many as every label has."""
-    scores = [T.score_all(text, k, most) for k, most in labels.items()]
-    n = F.least(*[F.size(s) for s in scores]) if len(scores) > 1 else F.size(scores[0])
-    rows = F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
-    got = F.transform(rows, lambda i: F.struct(*[F.get(s, i).alias(k) for k, s in zip(labels, scores)]))
-    return F.slice(got, F.lit(1), n)
+
+    def paired(scores: Column) -> Column:
+        sizes = [F.size(scores[k]) for k in labels]
+        n = F.least(*sizes) if len(sizes) > 1 else sizes[0]
+        rows = F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
+        return F.slice(F.transform(rows, lambda i: F.struct(*[F.get(scores[k], i).alias(k) for k in labels])), F.lit(1), n)
+
+    # an array of one, so that the texts are searched once and not for each reviewer
+    once = F.array(F.struct(*[s.alias(k) for k, s in T.score_lists(text, labels).items()]))
+    return F.get(F.transform(once, paired), F.lit(0))
 
 
 def picked(differences: Column, mode: str, k: int = 3) -> Column:
