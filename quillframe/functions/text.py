@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -14,14 +16,18 @@ BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANK}|{BLANK}$", "")
 
 
 def split_lines(text: Column) -> Column:
     """The lines of a text, without a last empty one; an empty text has none."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(text, LINE_END), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def norm_line(line: Column) -> Column:
@@ -30,7 +36,7 @@ def norm_line(line: Column) -> Column:
     x = F.regexp_replace(trimmed(line), r"(?U)^[#*]+\s*", "")
     x = F.regexp_replace(x, r"(?U)\s+", " ")
     x = F.lower(F.btrim(x, F.lit(RESERVED)))
-    return F.when(F.length(F.replace(x, F.lit(" "), F.lit(""))) >= 5, x).otherwise("")
+    return bound(x, lambda y: F.when(F.length(F.replace(y, F.lit(" "), F.lit(""))) >= 5, y).otherwise(""))
 
 
 def expand_ranges(expr: Column) -> Column:
@@ -130,17 +136,25 @@ def _scores_on_lines(text: Column) -> Column:
 
 def score_label(text: Column, label: str, most: int = 10) -> Column:
     """The first 'Label (most): value' of a text, at a line's start or else anywhere; ASCII or wide colon; not clamped."""
-    x, body = _scores_on_lines(text), rf"{label}\s*\(\s*{most}\s*\)\s*[:：]\s*(\d+)\b"
+    return bound(_scores_on_lines(text), lambda x: _score(x, label, most))
+
+
+def _score(x: Column, label: str, most: int) -> Column:
+    body = rf"{label}\s*\(\s*{most}\s*\)\s*[:：]\s*(\d+)\b"
     strict, loose = F.regexp_extract(x, rf"(?im)^\s*(?:[-*]\s*)?{body}", 1), F.regexp_extract(x, rf"(?is)\b{body}", 1)
-    return F.coalesce(F.nullif(strict, F.lit("")), F.nullif(loose, F.lit(""))).try_cast("int")
+    return bound(strict, lambda s: F.when(s != "", s).otherwise(F.nullif(loose, F.lit("")))).try_cast("int")
 
 
 def score_card(text: Column, labels: dict[str, int]) -> Column:
     """parsed, a map of the labels found to their values, max, and missing, the labels that were not."""
-    found = F.array(*[F.struct(F.lit(k).alias("label"), score_label(text, k, most).alias("value")) for k, most in labels.items()])
-    parsed = F.map_from_entries(F.filter(found, lambda e: e["value"].isNotNull()))
-    missing = F.transform(F.filter(found, lambda e: e["value"].isNull()), lambda e: e["label"])
-    return F.struct(parsed.alias("parsed"), F.create_map(*[F.lit(x) for e in labels.items() for x in e]).alias("max"), missing.alias("missing"))
+
+    def card(found: Column) -> Column:
+        parsed = F.map_from_entries(F.filter(found, lambda e: e["value"].isNotNull()))
+        missing = F.transform(F.filter(found, lambda e: e["value"].isNull()), lambda e: e["label"])
+        return F.struct(parsed.alias("parsed"), F.create_map(*[F.lit(x) for e in labels.items() for x in e]).alias("max"), missing.alias("missing"))
+
+    found = lambda x: F.array(*[F.struct(F.lit(k).alias("label"), _score(x, k, most).alias("value")) for k, most in labels.items()])
+    return bound(bound(_scores_on_lines(text), found), card)
 
 
 def score_lists(text: Column, labels: dict[str, int]) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import norm_line, split_lines, trimmed
+from quillframe.functions.text import bound, norm_line, split_lines, trimmed
 
 
 def _running(key: str, pos: str) -> Window:
@@ -86,11 +86,12 @@ def header_footer(blocks: DataFrame, key: str, pos: str, least: int = 3, share:
     A block gives its first and last line, once if they are equal, and a mark that it has lines; nothing
     else of its text is moved.
     """
-    lines = F.col("__lines")
-    edges = F.transform(F.array(F.get(lines, F.lit(0)), F.element_at(lines, -1)), norm_line)
-    rows = blocks.where("type = 'text'").select(key, split_lines(F.coalesce("text", F.lit(""))).alias("__lines")).where(F.size(lines) > 0)
-    marks = F.concat(F.array(F.lit("")), F.filter(F.array_distinct(edges), lambda x: x != ""))  # the empty form counts blocks
-    per = rows.select(key, F.explode(marks).alias("norm")).groupBy(key, "norm").agg(F.count(F.lit(1)).alias("n"))
+
+    def marks(lines: Column) -> Column:
+        edges = F.transform(F.array(F.get(lines, F.lit(0)), F.element_at(lines, -1)), norm_line)
+        return F.when(F.size(lines) > 0, F.concat(F.array(F.lit("")), F.filter(F.array_distinct(edges), lambda x: x != "")))  # the empty form counts blocks
+
+    per = blocks.where("type = 'text'").select(key, F.explode(bound(split_lines(F.coalesce("text", F.lit(""))), marks)).alias("norm")).groupBy(key, "norm").agg(F.count(F.lit(1)).alias("n"))
     per = per.withColumn("n_blocks", F.max(F.when(F.col("norm") == "", F.col("n"))).over(Window.partitionBy(key)))
     return per.where((F.col("norm") != "") & (F.col("n") >= least) & (F.col("n") / F.col("n_blocks") >= share)).select(key, "norm", "n", "n_blocks")
 

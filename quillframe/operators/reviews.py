@@ -49,9 +49,7 @@ def reviewers(text: Column, labels: dict[str, int]) -> Column:
         rows = F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
         return F.slice(F.transform(rows, lambda i: F.struct(*[F.get(scores[k], i).alias(k) for k in labels])), F.lit(1), n)
 
-    # an array of one, so that the texts are searched once and not for each reviewer
-    once = F.array(F.struct(*[s.alias(k) for k, s in T.score_lists(text, labels).items()]))
-    return F.get(F.transform(once, paired), F.lit(0))
+    return T.bound(F.struct(*[s.alias(k) for k, s in T.score_lists(text, labels).items()]), paired)
 
 
 def picked(differences: Column, mode: str, k: int = 3) -> Column:
