@@ -12,6 +12,8 @@ from pyspark.sql.types import StringType
 RESERVED = " .·•|-–—~"
 #: White space that trimming takes, beyond ASCII too: fixed values.
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: The same characters as a text.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Ends of lines: fixed values.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -22,7 +24,7 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}|{BLANK}$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def split_lines(text: Column) -> Column:
