@@ -147,10 +147,9 @@ def lenient_files(t):
     at, s = f"{scratch(t.spark)}/lenient-{uuid.uuid4().hex}", F.col("s_suppkey")
     text = F.when(s % 3 == 0, " ").when(s % 3 == 1, F.concat(F.lit('{"k":'), s.cast("string"), F.lit("}"))).otherwise("{x")
     rows = t.supplier.select(text.alias("value"), F.concat(F.lit("p"), (s % 4).cast("string")).alias("f"), s.cast("string").alias("n"))
-    rows.write.partitionBy("f", "n").text(at)
+    K.write_files(rows, at, "f", "n", "value")
     got = X.scan_json(t.spark, at, lenient=True, name="*.txt").where("v is not null")
-    parts = F.split("path", "/")
-    return got.select(F.regexp_extract("path", "n=([0-9]+)", 1).cast("long").alias("s_suppkey"), F.coalesce(F.try_variant_get("v", "$.k", "long"), F.lit(0)).alias("k"), F.regexp_extract(F.element_at(parts, -3), "f=(.*)", 1).alias("folder"))
+    return got.select(F.regexp_extract("path", "/n=([0-9]+)[^=]*$", 1).cast("long").alias("s_suppkey"), F.coalesce(F.try_variant_get("v", "$.k", "long"), F.lit(0)).alias("k"), F.regexp_extract("path", "/f=([^/=]*)/n=[^=]*$", 1).alias("folder"))
 
 
 @query("SELECT n_nationkey, 2 AS depth, 'none' AS gone, true AS flag, 0.5::DOUBLE AS share, n_name FROM nation WHERE n_regionkey = 2")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import indented_json, trimmed
@@ -22,6 +27,32 @@ def write_text(df: DataFrame, path: str, column: str = "value") -> None:
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_files(df: DataFrame, root: str, folder: str, name: str, value: str) -> None:
+    """A text file a row in a folder of the columns folder and name: root/folder=../name=..txt, from all tasks at once.
+
+    Spark's writer opens a folder and two files a row and lists them one task each. Where root is a path of a file
+    system that all executors mount, tasks write the files themselves, each put in place whole, so that a task
+    that runs again changes nothing. Other roots have Spark's files, one below root/folder=../name=../. Values
+    must be fit for names of files.
+    """
+    rows = df.select(*[F.col(c).cast("string") for c in (folder, name, value)]).repartition(4 * df.sparkSession.sparkContext.defaultParallelism, name)
+    if re.match(r"(?!file:)\w[\w+.-]+:", root):
+        rows.write.partitionBy(folder, name).text(root)
+        return
+    at = unquote(re.sub(r"^file:/*", "/", root)) if root.startswith("file:") else root
+
+    def run(part: Iterator[Row]) -> None:
+        for of, own, text in part:
+            os.makedirs(within := f"{at}/{folder}={of}", exist_ok=True)
+            whole, half = f"{within}/{name}={own}.txt", f"{within}/_{own}.{os.getpid()}"
+            with open(half, "w", encoding="utf-8", newline="") as file:
+                file.write(text + "\n")
+            os.replace(half, whole)
+
+    os.makedirs(at)
+    rows.foreachPartition(run)
+
+
 def write_parquet(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Snappy Parquet; an existing table is kept unless overwrite, and no rows are an error."""
     if df.isEmpty():  # a look at one row, before anything is replaced

@@ -96,3 +96,13 @@ def test_log_stream(spark, tmp_path):
     first = ['{"k":1,"t":1,"v":"a"}', "", "junk", "[1]", '{"k":1,"t":3,"v":"b"}', '{"k":2,"t":1,"v":"c"}']
     assert take("0.jsonl", first) == [(1, 3, "b"), (2, 1, "c")]
     assert take("1.jsonl", ['{"k":1,"t":2,"v":"old"}', '{"k":2,"t":5,"v":"d"}']) == [(1, 3, "b"), (2, 5, "d")]
+
+
+def test_files_of_rows_are_written_by_all_tasks_without_a_folder_each(spark, tmp_path):
+    rows = spark.createDataFrame([(f"p{i % 2}", str(i), f"text {i}\nü") for i in range(40)], "f string, n string, value string").coalesce(1)
+    sinks.write_files(rows, f"file:{tmp_path}/out", "f", "n", "value")
+    assert sorted(p.relative_to(tmp_path / "out").as_posix() for p in (tmp_path / "out").rglob("*")) == sorted(["f=p0", "f=p1", *(f"f=p{i % 2}/n={i}.txt" for i in range(40))])
+    got = {(r.folder, r.file): r.value for r in files.scan_text(spark, f"{tmp_path}/out", name="*.txt").collect()}
+    assert got == {(f"f=p{i % 2}", f"n={i}.txt"): f"text {i}\nü\n" for i in range(40)}
+    with pytest.raises(FileExistsError):
+        sinks.write_files(rows, f"{tmp_path}/out", "f", "n", "value")
