@@ -91,21 +91,39 @@ def findings(v: Column, default_type: str | None = "other", section: Column | No
     blank, confidence within 0 to 1 and 0.5 where it is no number. A single object counts as a list.
 
     default_type stands for a missing type; None leaves such findings out. section is the place of
-    findings that name none.
+    findings that name none. Where several of these are asked of one answer, name read_findings() as a column.
     """
     listed = F.coalesce(F.try_variant_get(v, "$.findings", "array<variant>"), F.when(kind(v, "findings").startswith("OBJECT"), F.array(F.try_variant_get(v, "$.findings", "variant"))), F.array().cast("array<variant>"))
+    return kept_findings(read_findings(v), default_type, section)
+
+
+def read_findings(v: Column) -> Column:
+    """All findings of an answer's variant with their texts trimmed, empty where they are missing or no text."""
     clean = lambda f, name: T.trimmed(F.coalesce(string(f, name), F.lit("")))
 
     def one(f: Column) -> Column:
-        place = clean(f, "section_location")
-        place = place if section is None else F.coalesce(F.nullif(place, F.lit("")), section)
-        type_ = clean(f, "type") if default_type is None else F.coalesce(F.nullif(clean(f, "type"), F.lit("")), F.lit(default_type))
-        said = F.coalesce(F.try_variant_get(f, "$.confidence", "double"), F.try_variant_get(f, "$.confidence", "string").try_cast("double"))
-        fields = {"type": type_, "section_location": place, "error_location": clean(f, "error_location"), "explanation": clean(f, "explanation"), "confidence": N.clamp01(said), "proposed_fix": clean(f, "proposed_fix")}
+        said = F.try_variant_get(f, "$.confidence", "double")  # of texts too
+        fields = {n: N.clamp01(said) if n == "confidence" else clean(f, n) for n in FINDING_FIELDS[1:]}
         return F.struct(*[c.alias(n) for n, c in fields.items()])
 
-    needed = ["section_location", "error_location", "explanation"] + (["type"] if default_type is None else [])
-    return F.filter(F.transform(F.filter(listed, is_object), one), lambda f: F.forall(F.array(*[f[n] for n in needed]), lambda x: x != ""))
+    return F.transform(F.filter(listed, is_object), one)
+
+
+def kept_findings(read: Column, default_type: str | None = "other", section: Column | None = None) -> Column:
+    """What findings() keeps of read_findings()."""
+    stand_in = {"type": None if default_type is None else F.lit(default_type), "section_location": section}
+
+    def one(f: Column) -> Column:
+        fields = {n: f[n] if stand_in.get(n) is None else F.when(f[n] == "", stand_in[n]).otherwise(f[n]) for n in FINDING_FIELDS[1:]}
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    def whole(f: Column) -> Column:
+        ok = (f["error_location"] != "") & (f["explanation"] != "")
+        for n, other in stand_in.items():
+            ok = ok & (f[n] != "") if other is None else ok & ((f[n] != "") | (other != ""))
+        return ok
+
+    return F.transform(F.filter(read, whole), one)
 
 
 def tasks(v: Column, risks: list[str]) -> Column:
