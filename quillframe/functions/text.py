@@ -110,20 +110,27 @@ def split_reviews(text: Column, least: int = 500) -> Column:
     """The reviews of a text: parts between rule lines, else from heading to heading of the first kind of
     heading, else from one Summary to the next, where that gives two or more of at least `least`
     characters; else the text alone. A blank text has none."""
-    body = trimmed(F.coalesce(text, F.lit("")))
 
     def long(parts: Column) -> Column:
         return F.filter(F.transform(parts, trimmed), lambda p: F.length(p) >= least)
 
-    def headed(pattern: str, enough: Column | None = None) -> Column:
-        parts = F.split(F.regexp_replace(body, pattern, "\ue000$0"), "\ue000")
-        chunks = long(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
-        ok = (F.size(parts) > 2) & (F.size(chunks) >= 2)
-        return F.when(ok if enough is None else ok & enough, chunks)
+    def several(parts: Column) -> Column:
+        return bound(long(parts), lambda chunks: F.when(F.size(chunks) >= 2, chunks))
 
-    ruled = long(F.split(body, RULE_LINE))
-    ways = [F.when(F.size(ruled) >= 2, ruled), *map(headed, REVIEW_HEADINGS), headed(SUMMARY_HEADING, F.regexp_count(body, F.lit(SECTION_HEADING)) >= 4)]
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.coalesce(*ways, F.array(body)))
+    def headed(body: Column, pattern: str, enough: Column | None = None) -> Column:
+        def chosen(parts: Column) -> Column:
+            ok = F.size(parts) > 2
+            return F.when(ok if enough is None else ok & enough, several(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))))
+
+        return bound(F.split(F.regexp_replace(body, pattern, "\ue000$0"), "\ue000"), chosen)
+
+    def reviews(body: Column) -> Column:
+        said = lambda word: F.contains(F.lower(body), F.lit(word))  # noqa: E731  found sooner than a heading with the word
+        named = F.when(said("review"), F.coalesce(*[headed(body, p) for p in REVIEW_HEADINGS]))
+        ways = [several(F.split(body, RULE_LINE)), named, F.when(said("summary"), headed(body, SUMMARY_HEADING, F.regexp_count(body, F.lit(SECTION_HEADING)) >= 4))]
+        return F.when(body == "", F.array().cast("array<string>")).otherwise(F.coalesce(*ways, F.array(body)))
+
+    return bound(trimmed(F.coalesce(text, F.lit(""))), reviews)
 
 
 def safe_name(text: Column) -> Column:
