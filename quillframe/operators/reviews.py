@@ -15,6 +15,8 @@ from quillframe.sources.files import is_object
 
 #: Titles of a list of references: fixed values.
 REFERENCE_TITLES = ["references", "reference", "bibliography"]
+#: Pairs of a key and an entry of a paper up to which they are compared one by one; a cell takes longer than these to begin.
+PAIRS = 1024
 #: The kind of difference that explains a score, and the kind of all unknown ones: fixed values.
 SCORE_SHIFT, OTHER = "score_rationale_shift", "other"
 
@@ -65,7 +67,7 @@ def _string(v: Column, path: str) -> Column:
 
 
 def _number(v: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(v, path, "double"), F.try_variant_get(v, path, "string").try_cast("double"))
+    return F.try_variant_get(v, path, "double")  # of texts too
 
 
 def _known(x: Column, known: list[str], default: str) -> Column:
@@ -100,7 +102,8 @@ def cited_entries(entries: DataFrame, keys: DataFrame, paper: str, pos: str, tex
     """keys, repeated rows too, with pos and text of the first entry of the paper that each names: 'name|year'
     by both words in it, the name in any case, 'n' by a line that starts with [n]. Keys that name none have nulls.
 
-    Names and years are searched together in cells of a paper; numbers meet by the numbers that lines begin with.
+    Names and years meet entries one by one in papers of at most PAIRS pairs of the two, and are searched together in
+    cells of larger papers; numbers meet by the numbers that lines begin with.
     """
     once, kind = keys.select(paper, key).distinct(), {c: entries.schema[c].dataType.simpleString() for c in (paper, pos)}
     named = once.where(F.contains(key, F.lit("|"))).withColumns({"__name": F.lower(F.split_part(F.col(key), F.lit("|"), F.lit(1))), "__year": F.split_part(F.col(key), F.lit("|"), F.lit(2))})
@@ -121,7 +124,13 @@ def cited_entries(entries: DataFrame, keys: DataFrame, paper: str, pos: str, tex
 
     held = entries.where(F.col(text).isNotNull() & F.col(pos).isNotNull()).select(paper, F.col(pos), F.col(text))
     schema = f"`{paper}` {kind[paper]}, `{key}` string, pos {kind[pos]}, text string"
-    by_name = in_cells(held.withColumn("__lower", F.lower(text)), named, paper, F.col(text), F.col(key), look, schema)
+    lowered = held.withColumn("__lower", F.lower(text))
+    of = lambda df, n: df.groupBy(F.col(paper).alias("__of")).agg(F.count(F.lit(1)).alias(n))
+    small = of(held, "__n").join(of(named, "__m"), "__of").where(F.col("__n") * F.col("__m") <= PAIRS).select("__of")
+    in_small = named[paper] == small["__of"]
+    near = lowered.select(F.col(paper).alias("__in"), F.col(pos).alias("pos"), F.col(text).alias("text"), "__lower")
+    each = named.join(small, in_small, "left_semi").join(near, F.col(paper) == F.col("__in")).where(F.contains("__lower", "__name") & F.contains("text", "__year")).select(paper, key, "pos", "text")
+    by_name = each.unionByName(in_cells(lowered, named.join(small, in_small, "left_anti"), paper, F.col(text), F.col(key), look, schema))
     numbers = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?m)^\s*\[([^\[\]]*)\]"), F.lit(1)))
     by_number = held.select(F.col(paper).alias("__of"), F.col(pos).alias("pos"), F.col(text).alias("text"), F.explode(numbers).alias("__number"))
     by_number = once.where(~F.contains(key, F.lit("|"))).join(by_number, (F.col(paper) == F.col("__of")) & (F.col(key) == F.col("__number"))).select(paper, key, "pos", "text")
