@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import trimmed
+from quillframe.functions.text import bound, trimmed
 from quillframe.sources.files import is_object
 
 #: Fields that an edit must have: fixed values.
@@ -43,21 +43,35 @@ def first_fault(items: Column, fault: Callable[[Column, Column], Column]) -> Col
 
 def edit_fault(edits: Column, types: list[str], least: int, most: int, snippet: int = 2000, replacement: int = 2000, location: int = 100, explanation: int = 2000) -> Column:
     """Of an array of edits; null edits are no list. One bad edit is a fault of the whole set."""
-    ids = F.transform(edits, lambda e: F.to_json(F.struct(F.try_variant_get(e, "$.id", "variant").alias("id"))))
-
-    def fault(e: Column, i: Column) -> Column:
-        out = F.when(lacks(e, EDIT_FIELDS), "missing fields")
-        out = out.when(~F.coalesce(string(e, "corruption_type").isin(types), F.lit(False)), "corruption_type")
-        out = out.when(~F.coalesce(string(e, "difficulty").isin(DIFFICULTIES), F.lit(False)), "difficulty")
-        out = out.when(kind(e, "needs_cross_section") != "BOOLEAN", "needs_cross_section")
+    texts = [f for f in EDIT_FIELDS if f not in ("id", "needs_cross_section")]
+
+    def read(e: Column) -> Column:
+        """Each field got once: the texts, null for what is none, the ids, and what is missing or of another type."""
+        def kinds(x: Column) -> Column:
+            named = [F.when(F.schema_of_variant(x[f]) == "STRING", F.try_variant_get(x[f], "$", "string")).alias(f) for f in texts]
+            missing = x["id"].isNull() | x["needs_cross_section"].isNull()
+            for f in texts:
+                missing = missing | x[f].isNull()
+            return F.struct(missing.alias("missing"), (F.schema_of_variant(x["needs_cross_section"]) == "BOOLEAN").alias("crosses"), F.to_json(F.struct(x["id"].alias("id"))).alias("id"), *named)
+
+        return bound(F.struct(*[F.try_variant_get(e, f"$.{f}", "variant").alias(f) for f in EDIT_FIELDS]), kinds)
+
+    def judged(rows: Column) -> Column:
+        ids = F.transform(rows, lambda e: e["id"])
+        return bound(ids, lambda ids: first_fault(rows, lambda e, i: fault(e, i, ids)))
+
+    def fault(e: Column, i: Column, ids: Column) -> Column:
+        out = F.when(e["missing"], "missing fields")
+        out = out.when(~F.coalesce(e["corruption_type"].isin(types), F.lit(False)), "corruption_type")
+        out = out.when(~F.coalesce(e["difficulty"].isin(DIFFICULTIES), F.lit(False)), "difficulty").when(~e["crosses"], "needs_cross_section")
         for field, size in (("location", location), ("rationale", None), ("error_explanation", explanation), ("target_find", snippet)):
-            out = out.when(~filled(e, field), field)
+            out = out.when(F.coalesce(trimmed(e[field]), F.lit("")) == "", field)
             if size:
-                out = out.when(F.length(string(e, field)) > size, f"{field} too long")
-        out = out.when(kind(e, "replacement") != "STRING", "replacement").when(F.length(string(e, "replacement")) > replacement, "replacement too long")
-        return out.when(F.array_position(ids, F.get(ids, i)) < i + 1, "duplicate id")
+                out = out.when(F.length(e[field]) > size, f"{field} too long")
+        out = out.when(e["replacement"].isNull(), "replacement").when(F.length(e["replacement"]) > replacement, "replacement too long")
+        return out.when(F.array_position(ids, e["id"]) < i + 1, "duplicate id")
 
-    return F.when(edits.isNull(), "no list").when(~F.size(edits).between(least, most), "count").otherwise(first_fault(edits, fault))
+    return F.when(edits.isNull(), "no list").when(~F.size(edits).between(least, most), "count").otherwise(bound(F.transform(edits, read), judged))
 
 
 def match_fault(matches: Column, truths: Column) -> Column:
