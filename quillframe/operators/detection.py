@@ -74,11 +74,12 @@ def truth_items(v: Column) -> Column:
     listed = lambda path: F.try_variant_get(v, path, "array<variant>")
     objects = lambda xs: F.filter(xs, is_object)
     applied = F.filter(listed("$.apply_results"), lambda g: is_object(g) & F.coalesce((kind(g, "applied") == "BOOLEAN") & F.try_variant_get(g, "$.applied", "boolean"), F.lit(False)))
-    source = F.when(F.size(applied) > 0, applied).otherwise(F.coalesce(objects(listed("$.ground_truth")), objects(listed("$.audit_log.edits")), F.array().cast("array<variant>")))
+    others = F.coalesce(objects(listed("$.ground_truth")), objects(listed("$.audit_log.edits")), F.array().cast("array<variant>"))
+    source = T.bound(applied, lambda xs: F.when(F.size(xs) > 0, xs).otherwise(others))
     text = lambda g, f: T.trimmed(F.try_variant_get(g, f"$.{f}", "string"))
 
     def item(g: Column) -> Column:
-        type_ = F.coalesce(F.nullif(text(g, "corruption_type"), F.lit("")), text(g, "type"))
+        type_ = T.bound(text(g, "corruption_type"), lambda x: F.when(x != "", x).otherwise(text(g, "type")))
         place = F.coalesce(text(g, "location"), text(g, "section_location"))
         cross = F.coalesce(F.try_variant_get(g, "$.needs_cross_section", "boolean"), F.lit(False))
         return F.struct(type_.alias("corruption_type"), text(g, "difficulty").alias("difficulty"), place.alias("location"), cross.alias("needs_cross_section"))
@@ -93,12 +94,12 @@ def findings(v: Column, default_type: str | None = "other", section: Column | No
     default_type stands for a missing type; None leaves such findings out. section is the place of
     findings that name none. Where several of these are asked of one answer, name read_findings() as a column.
     """
-    listed = F.coalesce(F.try_variant_get(v, "$.findings", "array<variant>"), F.when(kind(v, "findings").startswith("OBJECT"), F.array(F.try_variant_get(v, "$.findings", "variant"))), F.array().cast("array<variant>"))
     return kept_findings(read_findings(v), default_type, section)
 
 
 def read_findings(v: Column) -> Column:
     """All findings of an answer's variant with their texts trimmed, empty where they are missing or no text."""
+    listed = F.coalesce(F.try_variant_get(v, "$.findings", "array<variant>"), F.when(kind(v, "findings").startswith("OBJECT"), F.array(F.try_variant_get(v, "$.findings", "variant"))), F.array().cast("array<variant>"))
     clean = lambda f, name: T.trimmed(F.coalesce(string(f, name), F.lit("")))
 
     def one(f: Column) -> Column:

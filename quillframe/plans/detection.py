@@ -124,8 +124,9 @@ def truth_sources(t):
     even = js(F.filter("es", lambda x: x["i"] % 2 == 0))
     text = F.when(F.col("form") == 0, F.concat(F.lit('{"apply_results":'), js(F.col("es")), F.lit(',"ground_truth":'), even, F.lit("}"))).when(F.col("form") == 1, F.concat(F.lit('{"ground_truth":'), even, F.lit(',"audit_log":{"edits":[]}}')))
     v = F.parse_json(F.coalesce(text, F.concat(F.lit('{"apply_results":5,"audit_log":{"edits":'), js(F.col("es")), F.lit("}}"))))
-    got = F.transform(D.truth_items(v), lambda g: F.concat_ws("/", g["corruption_type"], g["difficulty"], g["location"], g["needs_cross_section"].cast("string")))
-    return p.select("l_orderkey", F.when(F.size(got) > 0, got).alias("items"))
+    p = p.select("l_orderkey", v.alias("v"))  # parsed once, though truth_items() names it often
+    got = F.transform(D.truth_items(F.col("v")), lambda g: F.concat_ws("/", g["corruption_type"], g["difficulty"], g["location"], g["needs_cross_section"].cast("string")))
+    return p.select("l_orderkey", T.bound(got, lambda x: F.when(F.size(x) > 0, x)).alias("items"))
 
 
 FOUND = f"""WITH {LINES}, f AS (SELECT l_orderkey, i, CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE 'k' || l_suppkey % 4 END AS type, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'S' || l_partkey % 3 END AS place, i % 5 > 0 AS whole, CASE WHEN i % 4 = 0 THEN 0.5 WHEN i % 4 = 1 THEN 1.0 ELSE round(l_discount, 2) END AS confidence FROM x)"""
