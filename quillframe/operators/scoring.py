@@ -93,10 +93,10 @@ def removed(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 def repair_ids(df: DataFrame, key: str, pos: str, given: str) -> DataFrame:
     """Keeps given ids of 1 or more; the others get, in order, the smallest numbers that are unused."""
-    w = Window.partitionBy(key)
+    in_turn = Window.partitionBy(key).orderBy(pos)  # one order for all, so that a task sorts its rows once
+    w = in_turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ok = F.when(F.col(given) >= 1, F.col(given).cast("int"))
-    df = df.withColumn("ok", ok).withColumn("used", F.collect_set("ok").over(w)).withColumn("size", F.count(F.lit(1)).over(w))
+    turn = F.sum(F.col("ok").isNull().cast("int")).over(in_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    df = df.withColumn("ok", ok).withColumns({"used": F.collect_set("ok").over(w), "size": F.count(F.lit(1)).over(w), "turn": turn})
     free = F.array_except(F.sequence(F.lit(1), (F.col("size") + F.size("used")).cast("int")), F.col("used"))
-    turn = F.sum(F.col("ok").isNull().cast("int")).over(w.orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    df = df.withColumn("turn", turn)
     return df.withColumn("fixed_id", F.coalesce("ok", F.get(free, F.col("turn").cast("int") - 1))).drop("turn").drop("ok", "used", "size")
