@@ -161,7 +161,8 @@ def regression_normalise(t):
     d = F.struct(kind.alias("diff_type"), F.when(F.col("l_partkey") % 4 > 0, " s").otherwise(" ").alias("summary"))
     rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", d.alias("d")))).alias("ds"))
     text = F.concat(F.lit('{"score_delta":{"baseline_score":"6.5","final_score":'), F.when(F.col("l_orderkey") % 2 == 0, "5").otherwise('"n/a"'), F.lit(',"scale_hint":"'), F.when(F.col("l_orderkey") % 3 == 0, "1-10").otherwise("5 stars"), F.lit('"},"differences":'), F.to_json(F.transform("ds", lambda x: x["d"])), F.lit("}"))
-    got = rows.select("l_orderkey", V.regression(F.parse_json(text), ["1-10"], ["score_rationale_shift", "tone", "other"], [], most=4).alias("r"))
+    rows = rows.select("l_orderkey", F.parse_json(text).alias("v"))  # once, though regression() names it often
+    got = rows.select("l_orderkey", V.regression(F.col("v"), ["1-10"], ["score_rationale_shift", "tone", "other"], [], most=4).alias("r"))
     kinds = lambda mode: F.transform(V.picked(F.col("r.differences"), mode), lambda x: x["diff_type"])
     return got.select("l_orderkey", kinds("all").alias("every"), kinds("top1").alias("first"), kinds("score_shift_only").alias("shifts"), F.col("r.score_delta.delta").alias("delta"), F.col("r.score_delta.scale_hint").alias("scale"))
 
