@@ -15,10 +15,11 @@ joined by alternating large-star and small-star rounds, each cut by a checkpoint
 longer change.
 
 The pipeline's stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-more. Bits of a 64-bit fingerprint cannot tell these from others, so its candidates come from a wider,
-min-wise fingerprint of BLOCKS blocks of MINIMA minima each: two texts are candidates if some block
-agrees, which at similarity 0.8 fails with probability (1 - 0.8^MINIMA)^BLOCKS, 4e-8. Every candidate
-pair is then verified on the whole shingle sets. Blocks shared by few texts give pairs; those shared
+more. Its candidates are the pairs whose SimHash fingerprints, of the distinct five-word shingles, the search
+above links under some key. Fingerprints of similarity 0.8 differ by some ten bits of 64, so those that
+DISTANCE leaves out come from min-wise hashes beside them, BLOCKS blocks of MINIMA minima each: two texts are
+candidates too if some block agrees, which at similarity 0.8 fails with probability (1 - 0.8^MINIMA)^BLOCKS,
+4e-8. Every candidate pair is then verified on the whole shingle sets. Blocks shared by few texts give pairs; those shared
 by many are searched like long runs above, with the shingle sets in the run.
 
 Defined cases: null or empty text, or white space alone, has fingerprint zero, linked like any
@@ -71,24 +72,28 @@ def _hashes(text: bytes, shingle: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
 
 
+def majorities(lists: list[np.ndarray]) -> np.ndarray:
+    """The 64-bit number of each list of hashes, none empty, that has the bits of more than half of them."""
+    sizes = np.array([len(x) for x in lists])
+    flat = np.concatenate(lists)
+    ones = np.zeros((len(lists), 64), dtype=np.int64)
+    owner, first = np.repeat(np.arange(len(lists)), sizes), 0
+    while first < len(flat):
+        part, who = flat[first : first + CHUNK], owner[first : first + CHUNK]
+        bits = np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64)
+        edges = np.flatnonzero(np.diff(who, prepend=-1))
+        ones[who[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int64)
+        first += CHUNK
+    major = (2 * ones > sizes[:, None]).astype(np.uint8)
+    return np.packbits(major, axis=1, bitorder="little").view("<u8").ravel()
+
+
 def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """The 64-bit fingerprint of each text."""
     out, todo, held = np.zeros(len(texts), dtype=np.uint64), [], 0
 
     def settle() -> None:
-        lists = [np.array(h, dtype="<u8") for _, h in todo]
-        sizes = np.array([len(x) for x in lists])
-        flat = np.concatenate(lists)
-        ones = np.zeros((len(lists), 64), dtype=np.int64)
-        owner, first = np.repeat(np.arange(len(lists)), sizes), 0
-        while first < len(flat):
-            part, who = flat[first : first + CHUNK], owner[first : first + CHUNK]
-            bits = np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64)
-            edges = np.flatnonzero(np.diff(who, prepend=-1))
-            ones[who[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int64)
-            first += CHUNK
-        major = (2 * ones > sizes[:, None]).astype(np.uint8)
-        out[[i for i, _ in todo]] = np.packbits(major, axis=1, bitorder="little").view("<u8").ravel()
+        out[[i for i, _ in todo]] = majorities([np.array(h, dtype="<u8") for _, h in todo])
 
     for i, text in enumerate(texts):
         h = _hashes(text, shingle)
@@ -145,25 +150,26 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def _dense(group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of a long run's links: what a search reaches leaves the rest."""
-    left, froms, tos = group, [], []
+def _dense(group: np.ndarray, distance: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a long run's links, as ids: what a search reaches leaves the rest."""
+    left, froms, tos = np.arange(len(group)), [], []
     while len(left) > 1:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             x = todo.pop()
-            near = np.bitwise_count(left ^ x) <= distance
+            near = np.bitwise_count(group[left] ^ group[x]) <= distance
             if near.any():
                 reached = left[near]
                 froms.append(np.full(len(reached), x))
                 tos.append(reached)
                 todo.extend(reached)
                 left = left[~near]
-    return (np.concatenate(froms), np.concatenate(tos)) if froms else (group[:0], group[:0])
+    return (ids[np.concatenate(froms)], ids[np.concatenate(tos)]) if froms else (ids[:0], ids[:0])
 
 
-def links_in_runs(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of equal key (rows sorted by key) whose fingerprints are close."""
+def links_in_runs(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of equal key (rows sorted by key) whose fingerprints are close, as ids (without: as fingerprints)."""
+    ids = fp if ids is None else ids
     edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(edges, len(key)))
     run, a, b = np.repeat(np.arange(len(edges)), sizes), [], []
@@ -175,21 +181,45 @@ def links_in_runs(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) ->
         if not len(rows):
             break
         near = np.bitwise_count(fp[rows] ^ fp[rows + step]) <= distance
-        a.append(fp[rows[near]])
-        b.append(fp[rows[near] + step])
+        a.append(ids[rows[near]])
+        b.append(ids[rows[near] + step])
     for e, n in zip(edges[long], sizes[long]):
-        x, y = _dense(fp[e : e + n], distance)
+        x, y = _dense(fp[e : e + n], distance, ids[e : e + n])
         a.append(x)
         b.append(y)
-    return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+
+
+def _keyed(distinct: DataFrame, distance: int, *columns: str) -> DataFrame:
+    """key and the columns, a row for each choice of blocks of fp, in runs of equal keys."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(distance))])
+    return distinct.select(F.explode(keys).alias("key"), *columns).repartition(fan_out(distinct), "key").sortWithinPartitions("key")
+
+
+def close_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs (a, b) of ids whose fingerprints are close, some of them repeated; prints has id and fp. Of a long
+    run the links of its search; all pairs of others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp, ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        for batch in _and_end(batches):
+            if batch is not None:
+                key, ids = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(2).to_numpy()])
+                fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
+            whole = int(np.searchsorted(key, key[-1])) if batch is not None and len(key) else len(key)  # the last run may go on
+            if whole:
+                x, y = links_in_runs(key[:whole], fp[:whole], distance, ids[:whole])
+                for at in range(0, len(x), CHUNK):
+                    p, q = x[at : at + CHUNK], y[at : at + CHUNK]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+                key, fp, ids = key[whole:], fp[whole:], ids[whole:]
+
+    return _keyed(prints, distance, "fp", "id").mapInArrow(run, "a long, b long")
 
 
 def close_forest(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Star edges (a, b) of close fingerprints, of each partition; distinct has column fp."""
-    masks = block_masks(distance)
-    fp = F.col("fp")
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    keyed = distinct.select(F.explode(keys).alias("key"), "fp").repartition(fan_out(distinct), "key").sortWithinPartitions("key")
+    keyed = _keyed(distinct, distance, "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
@@ -273,12 +303,13 @@ def block_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (a hash of the shingle set), text_hash, the set's size n, and its block keys."""
+    """doc_id, fp (a hash of the shingle set), text_hash, the set's size n, its SimHash sim, and its min-wise block keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = lanes.buffers(batch.column(1))
-            raw, fps, sizes, keys, sets, held = memoryview(data), [], [], [np.zeros((0, BLOCKS), dtype=np.uint64)], [], 0
+            raw, fps, sizes, sets, held = memoryview(data), [], [], [], 0
+            keys, sims = [np.zeros((0, BLOCKS), dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
             for i in range(batch.num_rows):
                 x = shingle_set(bytes(raw[offsets[i] : offsets[i + 1]]))
                 fps.append(xxhash.xxh64_intdigest(x.tobytes(), SEED))
@@ -287,12 +318,13 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
                 held += len(x)
                 if held >= CHUNK or i == batch.num_rows - 1:
                     keys.append(block_keys(sets))
+                    sims.append(majorities(sets))
                     sets, held = [], 0
             flat = pa.array(np.concatenate(keys).ravel().view(np.int64))
             keyed = pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * BLOCKS, flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), batch.column(2), pa.array(sizes, pa.int64()), keyed], ["doc_id", "fp", "text_hash", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.concatenate(sims).view(np.int64)), keyed], ["doc_id", "fp", "text_hash", "n", "sim", "keys"])
 
-    return arrow_bounds(docs).select("doc_id", "text", _text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long, n long, keys array<long>")
+    return arrow_bounds(docs).select("doc_id", "text", _text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long, n long, sim long, keys array<long>")
 
 
 def _text_hash() -> Column:
@@ -376,10 +408,11 @@ def similar_in_run(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, int]]:
 
 
 def similar_forest(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """Star edges (a, b) of similar texts; first has fp, text_hash, n and keys, docs the texts."""
+    """Star edges (a, b) of similar texts; first has fp, text_hash, n, sim and keys, docs the texts."""
     parts = fan_out(first)
     keyed = first.select(F.explode("keys").alias("key"), "fp", "n").repartition(parts, "key").sortWithinPartitions("key")
-    found = cut(keyed.mapInArrow(_candidates, "key long, a long, b long"))
+    close = close_pairs(first.select(F.col("sim").alias("fp"), F.col("fp").alias("id"))).distinct()
+    found = cut(close.select(F.lit(None).cast("long").alias("key"), "a", "b").unionByName(keyed.mapInArrow(_candidates, "key long, a long, b long")))
     pairs, members = found.where("b is not null").select("a", "b").distinct(), found.where("b is null").select("key", F.col("a").alias("fp"))
     wanted = found.select(F.explode(F.array("a", "b")).alias("fp")).where("fp is not null").distinct()
     wanted = cut(wanted.join(first.select("fp", "text_hash"), "fp").select("text_hash").distinct())
@@ -410,7 +443,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     similarity 0.8 or more, by doc_id, nulls last, then by text_hash."""
     prints = cut(wide_fingerprints(docs))
     own = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
-    first = cut(prints.groupBy("fp").agg(F.min(own).alias("first"), F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", "keys")]))
+    first = cut(prints.groupBy("fp").agg(F.min(own).alias("first"), F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", "sim", "keys")]))
     least = _least(first.select("fp", "first"), components(similar_forest(docs, first)))
     return prints.join(least, "fp").select("doc_id", "text_hash", F.col("least").alias("kept"))
 

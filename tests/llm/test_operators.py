@@ -728,3 +728,35 @@ def test_pipeline(spark, tables):
     assert c.run(spark, tables).count() == docs.count() > 0
     left = {r[0] for r in docs.select("doc_id").collect()}
     assert not left & {1, 2, 3, 8}
+
+
+def test_stage_takes_candidates_by_simhash(spark):
+    """Without any min-wise block, texts whose fingerprints are close are found, each group whole; others are not."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(2000)]
+    base = [" ".join(rng.choice(words, 400)) for _ in range(4)]
+    texts = [*base, *(f"{b} end{i}" for b in base[:3] for i in range(2)), *(f"{base[0]} tail {i}" for i in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = common.cut(simhash.wide_fingerprints(docs).withColumn("keys", F.array().cast("array<long>")))
+    sims = {r.fp: r.sim for r in prints.collect()}
+    far = lambda a, b: ((sims[a] ^ sims[b]) & (1 << 64) - 1).bit_count()
+    pairs = {(r.a, r.b) for r in simhash.close_pairs(prints.select(F.col("sim").alias("fp"), F.col("fp").alias("id"))).collect()}
+    assert pairs and all(far(a, b) <= simhash.DISTANCE for a, b in pairs)
+    found = {(r.a, r.b) for r in simhash.components(simhash.similar_forest(docs, prints)).collect()}
+    root = {}
+    for a, b in found:
+        root[a] = b
+    want = {}
+    for a in sims:
+        near, todo = {a}, [a]
+        while todo:
+            x = todo.pop()
+            for y in sims:
+                if y not in near and far(x, y) <= simhash.DISTANCE:
+                    near.add(y)
+                    todo.append(y)
+        want[a] = min(near)
+    assert {a: root.get(a, a) for a in sims} == want
+    assert len(set(want.values())) < len(texts) - 20
