@@ -26,6 +26,8 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import repeat
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,12 @@ from quillframe.llm.common import arrow_bounds, documents
 WINDOW = 32
 CHUNK_BITS = 9
 TABLE_BYTES = 16 << 20
+#: Most pieces whose ids a worker keeps, some 200 bytes each.
+PIECES = 400_000
 #: The published split pattern of this kind of vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Kinds of characters in the split pattern; UNSURE ones have none in this Unicode version and perhaps another in the tokenizer's.
+OTHER, LETTER, NUMBER, SPACE, UNSURE = range(5)
 #: Bytes of a join's first window to each side, and characters beyond a match that decide on its end.
 REACH, AHEAD = 96, 3
 
@@ -80,6 +86,7 @@ class Codec:
         self.pieces = regex.compile(SPLIT.replace(r"[^\s", f"[^{space}").replace(r"\s", space).replace(r"\S", r"\P{White_Space}"))
         self.table: dict[bytes, np.ndarray] = {}
         self.held = 0
+        self._forget()
         self.reused = self.encoded = 0  # bytes of chunks
 
     def plain(self, part: bytes) -> np.ndarray:
@@ -93,6 +100,74 @@ class Codec:
             ids = self.core.encode_ordinary(text)
         return np.array(ids, dtype="<u4")
 
+    def _forget(self) -> None:
+        """Empties the table of pieces: the row of each, and the rows' ids, one after the other."""
+        self.rows: dict[bytes, int] = {}
+        self.flat = np.zeros(0, dtype="<u4")
+        self.firsts, self.lengths = np.zeros((2, 0), dtype=np.int64)
+
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
+        """The rows of different pieces, of which new ones are encoded."""
+        if len(self.rows) > PIECES:
+            self._forget()
+        edges, raw = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset :][: len(pieces) + 1].tolist(), pieces.buffers()[2]
+        raw = raw.to_pybytes() if raw else b""
+        names = [raw[a:b] for a, b in zip(edges, edges[1:])]
+        rows = np.fromiter(map(self.rows.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        new = np.flatnonzero(rows < 0).tolist()
+        if new:
+            spaces = [k for k in new if names[k].isspace() or not names[k].isascii() and names[k].decode().isspace()]
+            own = set(spaces)
+            order = [k for k in new if k not in own] + spaces
+            rows[order] = len(self.rows) + np.arange(len(order))
+            self.rows |= zip([names[k] for k in order], rows[order].tolist())
+            words = [names[k] for k in order[: len(order) - len(spaces)]]
+            for ids, lengths in (self._words(words), self._alone([names[k] for k in spaces])):
+                self.firsts = np.append(self.firsts, len(self.flat) + np.cumsum(lengths) - lengths)
+                self.lengths, self.flat = np.append(self.lengths, lengths), np.append(self.flat, ids)
+        return rows
+
+    def _words(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces other than spaces, and how many each has. Encoded in one text, where a space or else a line's end before each keeps it apart."""
+        apart = np.array([x[0] != 0x20 for x in pieces], dtype=np.int64)
+        text = b"".join([b"\n" + x if a else x for x, a in zip(pieces, apart.tolist())]).decode()
+        ids = np.array(self.core.encode_ordinary(text), dtype="<u4")
+        ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum(apart + np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+        stops = np.searchsorted(ends, wanted) + 1
+        starts = np.append(0, stops)[:-1]
+        if (ends[stops - 1] != wanted).any():
+            return self._alone(pieces)
+        return np.delete(ids, starts[apart > 0]), stops - starts - apart
+
+    def _alone(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.core.encode_ordinary(x.decode()) for x in pieces]
+        return np.array([i for x in parts for i in x], dtype="<u4"), np.array([len(x) for x in parts], dtype=np.int64)
+
+    def many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has, as plain() gives them; a piece is encoded once for as long as the table holds it."""
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        starts = np.searchsorted(lead, np.append(0, ends))  # characters with which texts begin, and the end
+        kind = _kinds()[points]
+        at = piece_starts(points, kind, starts)
+        edges = np.append(lead[at], len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        row = self._rows(pieces.dictionary)[pieces.indices.to_numpy()]
+        each = self.lengths[row]
+        done = np.append(0, np.cumsum(each))
+        place = np.repeat(self.firsts[row] - done[:-1], each)
+        place += np.arange(done[-1])
+        ids = self.flat[place]
+        cuts = done[np.searchsorted(at, starts)]
+        unsure = np.searchsorted(starts, np.flatnonzero(kind == UNSURE), side="right") - 1
+        odd = {k for k, t in enumerate(texts) if any(m in t for m in self.marks)} | set(unsure.tolist())
+        if odd:
+            parts = [self.plain(t) if k in odd else ids[cuts[k] : cuts[k + 1]] for k, t in enumerate(texts)]
+            return np.concatenate(parts), np.array([len(p) for p in parts])
+        return ids, np.diff(cuts)
+
     def chunk(self, part: bytes) -> np.ndarray:
         """The ids of a chunk by itself."""
         key = blake2b(part, digest_size=16).digest()
@@ -208,6 +283,44 @@ class Codec:
         return b"".join(map(self.names.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kind of each code point."""
+    out = np.full(0x110000, OTHER, dtype=np.uint8)
+    for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+        text = "".join(map(chr, range(low, high)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+"), (UNSURE, r"\p{Cn}+")):
+            for m in regex.finditer(pattern, text):
+                out[low + m.start() : low + m.end()] = kind
+        out[low:high][[category(c) == "Cn" for c in text]] = UNSURE  # in the older of two versions
+    return out
+
+
+def piece_starts(points: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The characters with which pieces of SPLIT begin, in texts that begin at starts, of which the last is the end of all.
+
+    Pieces are runs of a kind. The last space character before another kind is a piece of its own, or the beginning
+    of the next one if it is U+0020. A contraction counts where its apostrophe begins a piece.
+    """
+    n = len(points)
+    first = np.zeros(n + 1, dtype=bool)
+    first[starts] = True
+    space = kind == SPACE
+    out = first[:n].copy()
+    out[1:] |= (kind[1:] != kind[:-1]) & ~(points[:-1] == 0x20)
+    out[1:] |= space[1:] & ~space[:-1]
+    out[:-1] |= space[:-1] & ~space[1:] & ~first[1:n]
+    marks = np.flatnonzero(out & (points == 0x27))
+    for word in ("s", "t", "re", "ve", "m", "ll", "d"):
+        own = marks[marks + len(word) < n]
+        for k, letter in enumerate(word, 1):
+            own = own[(points[own + k] == ord(letter)) & ~first[own + k]]
+        out[own + 1] = False
+        after = own + len(word) + 1
+        out[after[after < n]] = True
+    return np.flatnonzero(out)
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)

@@ -30,6 +30,8 @@ from quillframe.llm.range_coder import Segment, pack
 END_ID = 2
 #: Ids of a segment, which is coded in one go, all its blocks in lockstep.
 SEGMENT = 8 << 20
+#: Bytes of texts that are encoded together.
+TEXTS = 4 << 20
 #: Ids that read() hands on at a time.
 HANDED = 1 << 20
 STORED = "file int, segment int, start long, n_ids long, n_docs long, body binary"
@@ -41,11 +43,27 @@ def _sorted(docs: DataFrame) -> DataFrame:
     return rows.repartitionByRange(fan_out(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    """doc_ids and texts of about TEXTS bytes."""
+    doc_ids, texts, held = [], [], 0
+    for batch in batches:
+        data, offsets = lanes.buffers(batch.column(1))
+        for i, doc_id in enumerate(batch.column(0).to_pylist()):
+            doc_ids.append(doc_id)
+            texts.append(data[offsets[i] : offsets[i + 1]].tobytes())
+            held += len(texts[-1])
+            if held >= TEXTS:
+                yield doc_ids, texts
+                doc_ids, texts, held = [], [], 0
+    if doc_ids:
+        yield doc_ids, texts
+
+
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -> None:
     """Encodes every text and writes the ids to folder, documents in rising order of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end, file = bpe.codec(vocabulary), np.array([end_id], dtype="<u4"), TaskContext.get().partitionId()
+        own, file = bpe.codec(vocabulary), TaskContext.get().partitionId()
         ids, doc_ids, lengths = [], [], []
         held = start = number = 0
 
@@ -53,14 +71,17 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -
             row = [[file], [number], [start], [held], [len(doc_ids)], [pack(doc_ids, lengths, np.concatenate(ids))]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["file", "segment", "start", "n_ids", "n_docs", "body"])
 
-        for batch in batches:
-            data, offsets = lanes.buffers(batch.column(1))
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                part = own.plain(data[offsets[i] : offsets[i + 1]].tobytes())
-                ids += [part, end]
-                doc_ids.append(doc_id)
-                lengths.append(len(part) + 1)
-                held += len(part) + 1
+        for some, texts in _together(batches):
+            part, sizes = own.many(texts)
+            part, ends = np.insert(part, np.cumsum(sizes), end_id), np.cumsum(sizes + 1)
+            at = 0
+            while at < len(some):  # up to the document that fills the segment
+                before = int(ends[at - 1]) if at else 0
+                to = min(len(some), int(np.searchsorted(ends, before + SEGMENT - held)) + 1)
+                ids.append(part[before : ends[to - 1]])
+                doc_ids += some[at:to]
+                lengths += (sizes[at:to] + 1).tolist()
+                held, at = held + int(ends[to - 1]) - before, to
                 if held >= SEGMENT:
                     yield segment()
                     start, number, held = start + held, number + 1, 0

@@ -107,6 +107,72 @@ def test_files_with_many_segments(spark, tmp_path, monkeypatch):
         at += len(ids)
 
 
+def test_pieces_are_encoded_once_and_as_the_library_does(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    some = ["'", "s", "t", "re", "ve", "m", "ll", "d", " ", "  ", "\n", "\t", "\r\n", "a", "B", "\xe9", "\xdf", "\u8a9e", "1", "\xb2", "!", "-", "\xa0", "\u3000", "\u2028", "\x85", "\x1c"]
+    some += ["\u0301", "\U0001f600", "\u200d", "<|endoftext|>", "'S", "\u02bc", "\u2019s", "\u0378", "\U0001fae9", "\U00011f00", "\u0438", "\u0639", "\U000323b0", "\ufeff", "\x00"]
+    rng = random.Random(4)
+    texts = ["", *("".join(rng.choice(some) for _ in range(rng.randrange(25))) for _ in range(4000)), ""]
+    t, own = Tokenizer.from_file(bpe.default_path()), bpe.Codec(bpe.default_path())
+    monkeypatch.setattr(bpe, "PIECES", 500)  # the table starts afresh now and then
+    for k in range(0, len(texts), 100):
+        ids, lengths = own.many([x.encode() for x in texts[k : k + 100]])
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts[k : k + 100]]
+        assert (ids.tolist(), lengths.tolist()) == ([i for w in want for i in w], [len(w) for w in want])
+    assert [len(x) for x in own.many([])] == [0, 0]
+
+    class Counting:
+        given = 0
+
+        def encode_ordinary(self, text, core=own.core):
+            self.given += len(text)
+            return core.encode_ordinary(text)
+
+    own._forget()
+    own.core = Counting()
+    for _ in range(3):
+        ids, lengths = own.many([b"unheardof wordings, it's  so\n" * 50] * 2)
+        assert ids.tolist() == t.encode("unheardof wordings, it's  so\n" * 50, add_special_tokens=False).ids * 2
+    assert 0 < own.core.given < 60
+
+
+def test_coder_foresees_what_the_decoder_looks_up():
+    rng = np.random.default_rng(9)
+    numbers = rng.integers(0, 6, (range_coder.ROWS + 3, 300)).astype(np.int32)
+    seen, model = range_coder._foreseen(numbers), range_coder._Model(len(numbers), 6)
+    for t in range(numbers.shape[1]):
+        x = numbers[:, t]
+        model.look(len(x))
+        by = np.where(model.named2 == x, 0, np.where(model.named1 == x, 1, 2))
+        assert (seen[:, t] == 32 * by + model.state - model.states).all()
+        model.credit(by)
+        model.learn(x)
+    assert {0, 1, 2} == set((seen >> 5).reshape(-1).tolist())
+
+
+@pytest.mark.parametrize("group", [1, 2, 4096])
+def test_blocks_in_any_groups_have_the_same_words(monkeypatch, group):
+    ids = (np.random.default_rng(3).zipf(1.3, 9000) % 60000).astype("<u4")
+    whole = range_coder.pack([1], [9000], ids)
+    monkeypatch.setattr(range_coder, "LANES", group)
+    assert range_coder.pack([1], [9000], ids) == whole
+    assert range_coder.Segment(whole).read().tolist() == ids.tolist()
+
+
+def test_quotients_and_parts_are_whole():
+    rng = np.random.default_rng(7)
+    part, times = rng.integers(1 << 30, 1 << 46, 20000), rng.integers(1, 1 << 15, 20000)
+    for off in (-1, 0, 1):
+        code = part * times + off
+        assert (range_coder._quotients(code, part) == code // part).all()
+    span, total = rng.integers(1 << 46, (1 << 62) + 1, 20000), rng.integers(1, 1 << 16, 20000)
+    parts = range_coder._parts(span, total)
+    assert (parts * total <= span).all() and (parts > 0).all() and (span - parts * total <= (span >> 49) + total).all()
+
+
 def test_range_coder_round_trips():
     rng = np.random.default_rng(5)
     words = rng.integers(0, 3000, 40)
